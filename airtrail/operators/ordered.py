@@ -111,6 +111,9 @@ def gap_sessions(df: DataFrame, keys: list[str], ts: str, gap: int, folds: dict[
 def null_safe(left: DataFrame, right: DataFrame, names: list[str], how: str = "left") -> DataFrame:
     """Join on equal names where null equals null; keeps the left columns and the right's other ones."""
     other = right.select([F.col(c).alias(f"_r_{c}") if c in names else F.col(c) for c in right.columns])
+    if how in ("left_semi", "left_anti"):
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in names])
+        return left.join(other, same, how)
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in names])
     return left.join(other, same, how).drop(*[f"_r_{c}" for c in names])
 
