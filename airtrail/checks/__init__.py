@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load() -> None:
-    from . import columns  # noqa: F401
+    from . import columns, reports, sessions  # noqa: F401
 
 
 def all_queries() -> dict:

@@ -108,8 +108,8 @@ def _(t):
     return t["req"].select("event_id", n.alias("num"), net.long_to_ip(n).alias("back"), net.ip_to_long(F.concat("source_ip", F.lit(".1"))).alias("bad"))
 
 
-SOCKET = ("CAST(((10 * 256 + 184) * 256 + user_id % 200) * 256 + k % 3 AS STRING) || ':' || CAST(source_port AS STRING) || '-' || "
-          "CAST(((93 * 256 + 184) * 256 + k % 4) * 256 + 10 AS STRING) || ':80'")
+SOCKET = ("CAST((((10 * 256 + 184) * 256 + user_id % 200) * 256 + k % 3) * CAST(65536 AS BIGINT) + source_port AS STRING) || '-' || "
+          "CAST((CAST(((93 * 256 + 184) * 256 + k % 4) AS BIGINT) * 256 + 10) * 65536 + 80 AS STRING)")
 
 
 @check("f_undirected_socket", f"SELECT event_id, {SOCKET} AS sock, true AS same FROM {{req}}")
@@ -247,7 +247,7 @@ def _(t):
 
 
 _BUILD = r"""keyed AS (SELECT *, regexp_replace(regexp_replace(ap_name, '-[0-9]+F-.*$', ''), '^MH-', '') AS bkey FROM {wifi}),
-    best AS (SELECT bkey, arg_max(b.name, length(code)) AS bname, arg_max(b."type", length(code)) AS btype, arg_max(b."user", length(code)) AS buser, arg_max(b.lat, length(code)) AS blat
+    best AS (SELECT bkey, arg_max(b.name, length(code)) AS bname, arg_max(b."type", length(code)) AS btype, arg_max(b."user", length(code)) AS buser, CAST(arg_max(b.lat, length(code)) AS DOUBLE) AS blat
     FROM (SELECT DISTINCT bkey FROM keyed WHERE bkey IS NOT NULL) k JOIN {buildings} b ON contains(k.bkey, b.code) GROUP BY 1)"""
 
 

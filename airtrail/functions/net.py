@@ -7,13 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 
+_OCTET = r"(25[0-5]|2[0-4]\d|[01]?\d?\d)"
+DOTTED = rf"^({_OCTET}\.){{3}}{_OCTET}$"
+
+
 def ip_to_long(ip: Column) -> Column:
     """Dotted IPv4 text as a number; null when it is not one."""
     parts = F.split(ip, r"\.")
-    octet = [F.try_element_at(parts, F.lit(i + 1)).try_cast("long") for i in range(4)]
-    value = reduce(lambda acc, o: acc * 256 + o, octet)
-    good = (F.size(parts) == 4) & reduce(lambda a, b: a & b, [o.between(0, 255) for o in octet])
-    return F.when(good, value)
+    value = reduce(lambda acc, i: acc * 256 + parts[i].cast("long"), range(1, 4), parts[0].cast("long"))
+    return F.when(ip.rlike(DOTTED), value)
 
 
 def long_to_ip(value: Column) -> Column:
@@ -29,16 +31,16 @@ def socket(src_ip: Column, src_port: Column, dst_ip: Column, dst_port: Column) -
     )
 
 
+def endpoint(ip: Column, port: Column) -> Column:
+    """Address and port as one number."""
+    return ip_to_long(ip) * 65536 + port.cast("long")
+
+
 def undirected_socket(ip1: Column, port1: Column, ip2: Column, port2: Column) -> Column:
     """Both ends in address order, as one text key; null when an address or port is missing."""
-    a = F.struct(ip_to_long(ip1).alias("ip"), port1.cast("int").alias("port"))
-    b = F.struct(ip_to_long(ip2).alias("ip"), port2.cast("int").alias("port"))
-    lo, hi = F.least(a, b), F.greatest(a, b)
-    text = F.concat(
-        lo["ip"].cast("string"), F.lit(":"), lo["port"].cast("string"), F.lit("-"),
-        hi["ip"].cast("string"), F.lit(":"), hi["port"].cast("string"),
-    )
-    return F.when(a["ip"].isNotNull() & b["ip"].isNotNull(), text)
+    a, b = endpoint(ip1, port1), endpoint(ip2, port2)
+    key = F.concat(F.least(a, b).cast("string"), F.lit("-"), F.greatest(a, b).cast("string"))
+    return F.when(a.isNotNull() & b.isNotNull(), key)
 
 
 def local_side_ip(src: Column, dst: Column, prefix: str = "111.186") -> Column:

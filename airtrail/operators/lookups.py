@@ -26,13 +26,14 @@ def contained(names: DataFrame, name: str, words: DataFrame, word: str) -> DataF
     sizes = [r[0] for r in words.select(F.length(word)).distinct().collect() if r[0]]
     if not sizes:
         return names.join(words, F.lit(False), "inner")
-    whole = F.length(name)
-    grams = [
-        F.when(whole >= n, F.transform(F.sequence(F.lit(1), F.greatest(whole - n + 1, F.lit(1))),
-                                       lambda i, n=n: F.substring(F.col(name), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-        for n in sorted(sizes)
-    ]
-    spread = names.where(F.col(name).isNotNull()).select(name, F.explode(F.array_distinct(F.concat(*grams))).alias(word))
+
+    def pieces(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(name) - n + 1, F.lit(1)))
+        return F.when(F.length(name) >= n, F.transform(starts, lambda i: F.substring(F.col(name), i, F.lit(n)))).otherwise(
+            F.array().cast("array<string>"))
+
+    grams = F.array_distinct(F.concat(*[pieces(n) for n in sorted(sizes)]))
+    spread = names.where(F.col(name).isNotNull()).select(name, F.explode(grams).alias(word))
     return spread.join(words, word)
 
 
