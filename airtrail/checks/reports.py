@@ -442,7 +442,7 @@ def _(t):
 
 # ---- whole jobs
 
-_STATS = """cl AS (SELECT seq, account, location, stime, etime, size, mobile, sp, scat, host, stime // 86400000 AS d FROM located JOIN svc ON svc.host = located.full_host WHERE sp IS NOT NULL),
+_STATS = """cl AS (SELECT seq, account, location, stime, etime, size, mobile, sp, scat, located.host, stime // 86400000 AS d FROM located JOIN svc ON svc.host = located.full_host WHERE sp IS NOT NULL),
     fr AS (SELECT *, CASE WHEN stime - lag(stime) OVER w <= 3600000 AND lag(location) OVER w = location THEN 0 ELSE 1 END AS fresh FROM cl WINDOW w AS (PARTITION BY account, d ORDER BY stime, seq)),
     nn AS (SELECT *, sum(fresh) OVER (PARTITION BY account, d ORDER BY stime, seq) AS no FROM fr), k AS (SELECT *, account || '|' || d || '|' || no AS sid FROM nn),
     mo AS (SELECT sid, arg_min(mobile, (-n, mobile)) AS mobile FROM (SELECT sid, mobile, count(*) AS n FROM k WHERE mobile <> 'unknown' GROUP BY 1, 2) x GROUP BY 1),

@@ -33,50 +33,47 @@ AP_INFO = r"((?:\d{1,3}\.){3}\d{1,3})-((?:[0-9a-f]{2}:){5}[0-9a-f]{2})-([\w-]+)"
 ROAM_INFO = r"([\w-]+)/((?:[0-9a-f]{2}:){5}[0-9a-f]{2})/(\w+)"
 
 
-def _forms(ip_range: str) -> dict[int, tuple[str, int, int | None, int | None, int | None]]:
-    """Event -> (pattern, MAC group, access point group, account group, IP group)."""
+def _forms(ip_range: str) -> dict[int, tuple[str, str]]:
+    """Event -> pattern, and its groups as time, MAC, access point, account, address (``-`` where it has none)."""
+    device = "1 2 5 - -"
     return {
-        AUTH_REQUEST: (rf"(?i){TIME}(?:.*)Auth\s+request:\s+{MAC}:?\s+(?:.*)AP\s+{AP_INFO}", 2, 5, None, None),
-        DEAUTH: (rf"(?i){TIME}(?:.*)Deauth(?:.*):\s+{MAC}:?\s+(?:.*)AP\s+{AP_INFO}", 2, 5, None, None),
-        ASSOC_REQUEST: (rf"(?i){TIME}(?:.*)Assoc(?:.*):\s+{MAC}(?:.*):?\s+(?:.*)AP\s+{AP_INFO}", 2, 5, None, None),
-        DISASSOC: (rf"(?i){TIME}(?:.*)Disassoc(?:.*):\s+{MAC}:?\s+AP\s+{AP_INFO}", 2, 5, None, None),
-        USER_AUTH: (rf"(?i){TIME}(?:.*)\s+username=([^\s]+)\s+MAC={MAC}\s+IP={IP}(?:.+)", 3, None, 2, 4),
-        IP_ALLOC: (rf"(?i){TIME}(?:.*)MAC={MAC}\s+IP={ip_range}", 2, None, None, 3),
-        IP_RECYCLE: (rf"(?i){TIME}(?:.*)MAC={MAC}\s+IP={ip_range}", 2, None, None, 3),
-        ROAM: (rf"{TIME}(?:.*)Station\s+{MAC},\s+(?:{IP})?:\s+(?:.*)\s+AP\s+{AP_NAME},\s+{ROAM_INFO}", 2, 4, None, 3),
-        NEW_DEVICE: (rf"{TIME}(?:.*)MAC={MAC} Station UP: BSSID={MAC} ESSID={AP_NAME} (?:.*)AP-name={AP_NAME}", 2, 5, None, None),
+        AUTH_REQUEST: (rf"(?i){TIME}(?:.*)Auth\s+request:\s+{MAC}:?\s+(?:.*)AP\s+{AP_INFO}", device),
+        DEAUTH: (rf"(?i){TIME}(?:.*)Deauth(?:.*):\s+{MAC}:?\s+(?:.*)AP\s+{AP_INFO}", device),
+        ASSOC_REQUEST: (rf"(?i){TIME}(?:.*)Assoc(?:.*):\s+{MAC}(?:.*):?\s+(?:.*)AP\s+{AP_INFO}", device),
+        DISASSOC: (rf"(?i){TIME}(?:.*)Disassoc(?:.*):\s+{MAC}:?\s+AP\s+{AP_INFO}", device),
+        USER_AUTH: (rf"(?i){TIME}(?:.*)\s+username=([^\s]+)\s+MAC={MAC}\s+IP={IP}(?:.+)", "1 3 - 2 4"),
+        IP_ALLOC: (rf"(?i){TIME}(?:.*)MAC={MAC}\s+IP={ip_range}", "1 2 - - 3"),
+        IP_RECYCLE: (rf"(?i){TIME}(?:.*)MAC={MAC}\s+IP={ip_range}", "1 2 - - 3"),
+        ROAM: (rf"{TIME}(?:.*)Station\s+{MAC},\s+(?:{IP})?:\s+(?:.*)\s+AP\s+{AP_NAME},\s+{ROAM_INFO}", "1 2 4 - 3"),
+        NEW_DEVICE: (rf"{TIME}(?:.*)MAC={MAC} Station UP: BSSID={MAC} ESSID={AP_NAME} (?:.*)AP-name={AP_NAME}", device),
     }
 
 
 def parse_wifi_syslog(lines: DataFrame, line: str = "value", ip_range: str = CAMPUS_IP, keep: tuple[str, ...] = ()) -> DataFrame:
     """Controller messages as clean events: mac, t_ms, code, ap, account, ip.
 
-    The message number stands behind the second ``<`` and starts with 5; other lines give no row.
+    The message number stands behind the second ``<`` and starts with 5; other lines give no row. A line is matched
+    once, by the pattern of its number, and all groups come out of that match.
     """
-    text = F.col(line)
-    parts = F.split(text, "<", 3)
-    number = F.when(
-        (F.size(parts) == 3) & F.element_at(parts, 3).startswith("5"),
-        F.split(F.element_at(parts, 3), ">", 2)[0].try_cast("int"),
+    mark = "\x01"
+    number = F.regexp_extract(line, r"^[^<]*<[^<]*<(5\d*)>", 1).try_cast("int")
+    numbered = lines.select(*keep, F.col(line).alias("_line"), number.alias("_n"))
+    found = F.lit(None).cast("string")
+    for event, (pattern, groups) in _forms(ip_range).items():
+        flag, body = ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
+        cells = mark.join("" if g == "-" else f"${g}" for g in groups.split())
+        taken = F.regexp_replace("_line", f"{flag}^.*?{body}.*$", f"{event}{mark}{cells}")
+        found = F.when(F.col("_n").isin(*CODES[event]), taken).otherwise(found)
+    fields = numbered.where(F.col("_n").isNotNull()).select(*keep, F.split(found, mark).alias("_f"))
+
+    def text(i: int):
+        return F.nullif(F.col("_f")[i], F.lit(""))
+
+    event = F.struct(
+        mac_plain(text(2)).alias("mac"), syslog_ms(text(1)).alias("t_ms"), F.col("_f")[0].cast("int").alias("code"),
+        text(3).alias("ap"), text(4).alias("account"), text(5).alias("ip"),
     )
-    code = F.lit(None).cast("int")
-    for event, numbers in CODES.items():
-        code = F.when(F.col("_n").isin(*numbers), F.lit(event)).otherwise(code)
-    forms = _forms(ip_range)
-
-    def pick(slot: int):
-        out = F.lit(None).cast("string")
-        for event, form in forms.items():
-            group = 1 if slot == 0 else form[slot]
-            if group is not None:
-                out = F.when(F.col("code") == event, F.regexp_extract(text, form[0], group)).otherwise(out)
-        return F.nullif(out, F.lit(""))
-
-    coded = lines.withColumn("_n", number).withColumn("code", code).where(F.col("code").isNotNull())
-    return coded.select(
-        *keep, mac_plain(pick(1)).alias("mac"), syslog_ms(pick(0)).alias("t_ms"), "code",
-        pick(2).alias("ap"), pick(3).alias("account"), pick(4).alias("ip"),
-    ).where(F.col("mac").isNotNull() & F.col("t_ms").isNotNull())
+    return fields.select(*keep, F.inline(F.when(F.size("_f") == 6, F.array(event)))).where(F.col("t_ms").isNotNull())
 
 
 def read_wifi_sessions(spark: SparkSession, path) -> DataFrame:
