@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.spans import CONJUNCT, PARALLEL, RELAYED, SERIAL, SHORTEST, UNCLASSIFIED
-from ..session import scratch
+from ..session import settle
 from .ordered import mark_gap_sessions
 
 EDGE = "tree STRING, node STRING, parent STRING, dummy BOOLEAN, t BIGINT, url STRING"
@@ -260,15 +260,14 @@ def split_forest(edges: DataFrame, text_nodes: DataFrame, min_children: int = 3)
     ``edges`` has tree, node and parent, ``text_nodes`` the nodes whose content is text. A node's new tree is its nearest
     ancestor (or itself) that is a root or cut; it is found by doubling the steps up, so a deep tree takes few rounds.
     """
-    spark = edges.sparkSession
+    edges = settle(edges, "edges")
     wide = edges.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("_c")).where(
         F.col("_c") > min_children).join(text_nodes.select("node").distinct(), "node", "left_semi")
     tops = edges.join(wide, "node", "left").withColumn("_top", F.col("parent").isNull() | F.col("_c").isNotNull())
+    tops = settle(tops, "tops")
     steps = tops.select("node", F.when(F.col("_top"), F.col("node")).otherwise(F.col("parent")).alias("up"))
     while True:
-        path = scratch(spark, "forest")
-        steps.write.parquet(path)
-        steps = spark.read.parquet(path)
+        steps = settle(steps, "steps")
         above = steps.where(F.col("up") != F.col("node")).select(F.col("node").alias("up"), F.col("up").alias("_next"))
         moved = steps.join(above, "up", "left")
         if moved.where(F.col("_next").isNotNull()).isEmpty():

@@ -17,39 +17,38 @@ def _plain_text(pattern: str) -> str | None:
     return bare if pattern and not re.search(r"[\\^$.|?*+()\[\]{}]", rest) else None
 
 
-def contained(names: DataFrame, name: str, words: DataFrame, word: str) -> DataFrame:
-    """Pairs (name, word row) where the name contains the word.
-
-    Substrings of every length in use are joined by equality, so the work follows the length of the names and not
-    the number of words; Catalyst broadcasts the words when they are small enough.
-    """
-    sizes = [r[0] for r in words.select(F.length(word)).distinct().collect() if r[0]]
-    if not sizes:
-        return names.join(words, F.lit(False), "inner")
-
+def substrings(text: Column, sizes: list[int]) -> Column:
+    """Distinct substrings of a text that have one of the given lengths."""
     def pieces(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(name) - n + 1, F.lit(1)))
-        return F.when(F.length(name) >= n, F.transform(starts, lambda i: F.substring(F.col(name), i, F.lit(n)))).otherwise(
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+        return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))).otherwise(
             F.array().cast("array<string>"))
 
-    grams = F.array_distinct(F.concat(*[pieces(n) for n in sorted(sizes)]))
-    spread = names.where(F.col(name).isNotNull()).select(name, F.explode(grams).alias(word))
-    return spread.join(words, word)
+    return F.array_distinct(F.concat(*[pieces(n) for n in sizes]))
 
 
 def classify_hosts(hosts: DataFrame, host: str, rules: list[tuple[int, str, str]]) -> DataFrame:
-    """Category of the lowest-numbered rule whose pattern is found in the host; (host, category), null when none."""
+    """Category of the lowest-numbered rule whose pattern is found in the host; (host, category), null when none.
+
+    Rules that are plain texts are met by joining the substrings of a host by equality, so the work follows the length
+    of the host and not the number of rules; the others are tried in place.
+    """
     spark = hosts.sparkSession
     plain = [(no, _plain_text(p)) for no, p, _ in rules]
-    words = spark.createDataFrame([(n, t) for n, t in plain if t is not None] or [(0, "")], "rule_no INT, word STRING")
-    words = words.where("word <> ''").groupBy("word").agg(F.min("rule_no").alias("rule_no"))
-    literal = contained(hosts, host, words, "word").groupBy(host).agg(F.min("rule_no").alias("_lit"))
-    found = [F.when(F.col(host).rlike(p), F.lit(no)) for no, p, _ in rules if _plain_text(p) is None]
+    words = [(n, t) for n, t in plain if t]
     other = F.lit(None).cast("int")
-    for test in found:
-        other = F.least(other, test)
+    for no, pattern, _ in rules:
+        if _plain_text(pattern) is None:
+            other = F.least(other, F.when(F.col(host).rlike(pattern), F.lit(no)))
+    numbered = hosts.select(host, other.alias("_other"))
+    if words:
+        table = spark.createDataFrame(words, "rule_no INT, _word STRING").groupBy("_word").agg(F.min("rule_no").alias("rule_no"))
+        sizes = sorted({len(t) for _, t in words})
+        spread = numbered.select("*", F.explode_outer(substrings(F.col(host), sizes)).alias("_word"))
+        numbered = spread.join(table, "_word", "left").groupBy(host).agg(F.least(F.min("rule_no"), F.min("_other")).alias("rule_no"))
+    else:
+        numbered = numbered.withColumnRenamed("_other", "rule_no")
     listed = spark.createDataFrame([(n, c) for n, _, c in rules], "rule_no INT, category STRING")
-    numbered = hosts.join(literal, host, "left").withColumn("rule_no", F.least("_lit", other))
     return numbered.join(listed, "rule_no", "left").select(host, "category")
 
 
@@ -80,8 +79,9 @@ def add_building(df: DataFrame, ap: str, buildings: DataFrame, fields=("name", "
     info = F.struct(*[F.col(f) for f in fields])
     if full_name:
         keys = df.select(building_key(F.col(ap)).alias("_key")).where(F.col("_key").isNotNull()).distinct()
-        best = contained(keys, "_key", buildings.withColumnRenamed("code", "_code"), "_code").groupBy("_key").agg(
-            F.max_by(info, F.struct(F.length("_code"), F.col("_code"))).alias("_b"))
+        sizes = sorted(r[0] for r in buildings.select(F.length("code")).distinct().collect() if r[0])
+        spread = keys.select("_key", F.explode(substrings(F.col("_key"), sizes)).alias("code"))
+        best = spread.join(buildings, "code").groupBy("_key").agg(F.max_by(info, F.struct(F.length("code"), F.col("code"))).alias("_b"))
         marked = df.withColumn("_key", building_key(F.col(ap)))
     else:
         best = buildings.select(F.col("code").alias("_key"), info.alias("_b"))

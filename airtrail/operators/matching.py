@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.net import local_side_ip
 from ..functions.times import DAY_MS, day_of_ms
 from ..functions.url import registered_domain
+from ..session import settle
 from .nearest import first_cover, first_within
 from .ordered import null_safe
 
@@ -110,8 +111,9 @@ def merge_flows(tcp: DataFrame, transfers: DataFrame, tol: int = 180_000_000) ->
     block, side (``tcp``/``http``), pos, matched, socket, flow_id, seq, t_us, line. A matched block holds the flows and
     the transfers of one connection; rows without partner keep a block of their own side, so no pair is ever built.
     """
+    transfers = settle(transfers, "transfers")
     conns = connection_table(transfers)
-    hits = match_flows(tcp.select("flow_id", "socket", "t_us", "line"), conns, tol)
+    hits = settle(match_flows(tcp.select("flow_id", "socket", "t_us", "line"), conns, tol), "matched-flows")
     name = F.concat_ws("#", F.col("socket"), F.col("conn_no").cast("string"))
     flows = hits.select(
         F.when(F.col("conn_no").isNotNull(), name).otherwise(F.concat(F.lit("flow#"), F.col("flow_id").cast("string"))).alias("block"),

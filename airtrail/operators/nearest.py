@@ -53,54 +53,37 @@ def first_within(points: DataFrame, events: DataFrame, keys: list[str], t: str,
     return found.select("_p.*", F.least("_tail", "_head").alias(into))
 
 
-def _segments(spans: DataFrame, keys: list[str], lo: str, hi: str, tie: list[str], chunk: int) -> DataFrame:
-    """Cut spans to where each is the earliest-started one that covers the time.
-
-    A span that ends before an earlier-started one does can never win. Of the rest both starts and ends grow, so
-    span k wins from just after the end of span k-1.
-    """
-    ran = with_running(spans, keys, [lo, *tie], F.col(hi), "_before", chunk, "max", inclusive=False)
-    kept = ran.where(F.col("_before").isNull() | (F.col(hi) > F.col("_before")))
-    return kept.withColumn("_from", F.greatest(F.col(lo), F.col("_before") + 1)).drop("_before")
-
-
 def first_cover(points: DataFrame, spans: DataFrame, keys: list[str], t: str, lo: str, hi: str, tie: list[str],
                 payload: list[str], tolerance: int = 0, chunk: int = 900_000, into: str = "hit",
                 exact_first: bool = True) -> DataFrame:
     """Left lookup: struct ``into`` holds the payload of the earliest-started span with ``lo <= t <= hi``; when no
     span covers the point and ``tolerance`` is given, of the earliest-started one that does within the tolerance.
     ``exact_first=False`` applies the tolerance straight away. Times are whole numbers, spans' keys not null.
+
+    A span that ends before an earlier-started one does can never win. Of the rest both starts and ends grow, so span
+    k wins from just after the end of span k-1 (a tolerance moves all ends alike). These pieces do not overlap; they
+    are cut at time blocks, and inside (key, block) a point takes the newest piece at or before it.
     """
-    spans = spans.where(F.col(lo).isNotNull() & F.col(hi).isNotNull() & (F.col(hi) >= F.col(lo)))
-    for k in keys:
-        spans = spans.where(F.col(k).isNotNull())
-    goods = F.struct(*[F.col(c) for c in payload]).alias("_pay")
+    spans = spans.where(F.col(lo).isNotNull() & F.col(hi).isNotNull() & (F.col(hi) >= F.col(lo))).dropna(subset=keys)
+    named = spans.select(*keys, F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), *[F.col(c).alias(f"_t{i}") for i, c in enumerate(tie)],
+                         F.struct(*[F.col(c) for c in payload]).alias("_pay"))
+    ran = with_running(named, keys, ["_lo", *[f"_t{i}" for i in range(len(tie))]], F.col("_hi"), "_before", chunk, "max", inclusive=False)
+    kept = ran.where(F.col("_before").isNull() | (F.col("_hi") > F.col("_before")))
     levels = [0] if tolerance == 0 else ([0, tolerance] if exact_first else [tolerance])
-    cut = None
-    for level, slack in enumerate(levels):
-        wide = spans.select(*keys, (F.col(lo) - slack).alias("_lo"), (F.col(hi) + slack).alias("_hi"),
-                            *[F.col(c).alias(f"_t{i}") for i, c in enumerate(tie)], goods)
-        seg = _segments(wide, keys, "_lo", "_hi", [f"_t{i}" for i in range(len(tie))], chunk)
-        seg = seg.select(*keys, F.col("_from").alias("_x"), F.lit(level).alias("_level"),
-                         F.struct(F.col("_from"), F.col("_hi"), F.col("_pay")).alias("_seg"))
-        cut = seg if cut is None else cut.unionByName(seg)
-    cut = cut.withColumn("_c", F.floor(F.col("_x") / chunk))
-    rows = points.select(*keys, F.col(t).alias("_x"), F.struct(*points.columns).alias("_p"),
-                         F.floor(F.col(t) / chunk).alias("_c"))
-    n = len(levels)
-    level_seg = [F.when(F.col("_level") == i, F.col("_seg")) for i in range(n)]
-    # newest segment of every earlier chunk; chunks that hold points only are listed too
-    last = cut.groupBy(*keys, "_c").agg(*[F.max(level_seg[i]).alias(f"_l{i}") for i in range(n)])
-    listed = rows.where(F.col("_c").isNotNull()).select(*keys, "_c").distinct()
-    all_chunks = last.unionByName(listed, allowMissingColumns=True).groupBy(*keys, "_c").agg(
-        *[F.max(f"_l{i}").alias(f"_l{i}") for i in range(n)])
-    before = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    carry = all_chunks.select(*keys, "_c", *[F.max(f"_l{i}").over(before).alias(f"_b{i}") for i in range(n)])
-    both = rows.unionByName(cut, allowMissingColumns=True)
+    reach = [
+        F.struct(F.lit(i).alias("level"), F.greatest(F.col("_lo") - slack, F.col("_before") + (slack + 1)).alias("from"), (F.col("_hi") + slack).alias("to"))
+        for i, slack in enumerate(levels)
+    ]
+    pieces = kept.select(*keys, "_pay", F.explode(F.array(*reach)).alias("_r")).where("_r.from <= _r.to")
+    blocks = F.sequence(F.floor(F.col("_r.from") / chunk), F.floor(F.col("_r.to") / chunk))
+    marks = pieces.select("*", F.explode(blocks).alias("_c")).select(
+        *keys, "_c", F.greatest(F.col("_r.from"), F.col("_c") * chunk).alias("_x"), F.col("_r.level").alias("_level"),
+        F.struct(F.col("_r.from").alias("from"), F.col("_r.to").alias("to"), F.col("_pay").alias("pay")).alias("_seg"))
+    rows = points.select(*keys, F.floor(F.col(t) / chunk).alias("_c"), F.col(t).alias("_x"), F.struct(*points.columns).alias("_p"))
+    both = rows.unionByName(marks, allowMissingColumns=True)
     is_point = F.col("_p").isNotNull()
     inside = Window.partitionBy(*keys, "_c").orderBy(F.col("_x"), is_point.asc()).rowsBetween(Window.unboundedPreceding, 0)
-    joined = both.join(carry, [*keys, "_c"], "left")
-    for i in range(n):
-        joined = joined.withColumn(f"_s{i}", F.coalesce(F.max(level_seg[i]).over(inside), F.col(f"_b{i}")))
-    hits = [F.when(F.col(f"_s{i}._hi") >= F.col("_x"), F.col(f"_s{i}._pay")) for i in range(n)]
-    return joined.where(is_point).select("_p.*", F.coalesce(*hits).alias(into))
+    for i in range(len(levels)):
+        both = both.withColumn(f"_s{i}", F.last(F.when(F.col("_level") == i, F.col("_seg")), ignorenulls=True).over(inside))
+    hits = [F.when(F.col(f"_s{i}.to") >= F.col("_x"), F.col(f"_s{i}.pay")) for i in range(len(levels))]
+    return both.where(is_point).select("_p.*", F.coalesce(*hits).alias(into))

@@ -69,10 +69,33 @@ def with_running(df: DataFrame, keys: list[str], order: list[str], value: Column
 
 
 def with_islands(df: DataFrame, keys: list[str], order: list[str], fields: list[str], opens, chunk, into: str) -> DataFrame:
-    """Number the runs of rows inside a key; ``opens(prev)`` says where a new run starts (a first row always does)."""
-    df = with_previous(df, keys, order, fields, chunk, "_prev")
-    flag = (F.col("_prev").isNull() | F.coalesce(opens(F.col("_prev")), F.lit(False))).cast("long")
-    return with_running(df, keys, order, flag, into, chunk).drop("_prev")
+    """Number the runs of rows inside a key; ``opens(prev)`` says where a new run starts (a first row always does).
+
+    ``opens`` may use the row's own ``fields`` by name and the previous row's through ``prev``. Runs are counted inside
+    a chunk, and a chunk's first and last row and its count decide what the later chunks add.
+    """
+    columns = df.columns
+    fields = list(dict.fromkeys(fields))
+    now, at = F.struct(*fields), F.struct(*order)
+    inside = Window.partitionBy(*keys, CHUNK).orderBy(*[F.col(c) for c in order])
+    rows = df.withColumn(CHUNK, F.lit(0) if chunk is None else _chunk(order, chunk)).withColumn("_prev", F.lag(now).over(inside))
+    rows = rows.withColumn("_open", (F.col("_prev").isNotNull() & F.coalesce(opens(F.col("_prev")), F.lit(False))).cast("long"))
+    rows = rows.drop("_prev")
+    if chunk is not None:
+        ends = rows.groupBy(*keys, CHUNK).agg(
+            F.min(F.struct(at.alias("at"), now.alias("row"))).alias("_head"), F.max(F.struct(at.alias("at"), now.alias("row"))).alias("_tail"),
+            F.sum("_open").alias("_n"))
+        by_chunk = Window.partitionBy(*keys).orderBy(CHUNK)
+        own = [f for f in fields if f not in keys]
+        ends = ends.withColumn("_before", F.lag("_tail.row").over(by_chunk)).select(*keys, CHUNK, "_n", "_before", *[F.col(f"_head.row.{f}").alias(f) for f in own])
+        fresh = F.col("_before").isNull() | F.coalesce(opens(F.col("_before")), F.lit(False))
+        ends = ends.withColumn("_fresh", fresh.cast("long"))
+        base = F.coalesce(F.sum(F.col("_n") + F.col("_fresh")).over(by_chunk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_fresh")
+        rows = rows.join(ends.select(*keys, CHUNK, base.alias("_base")), [*keys, CHUNK], "left")
+    else:
+        rows = rows.withColumn("_base", F.lit(1))
+    run = F.sum("_open").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.select(*columns, (F.col("_base") + run).alias(into))
 
 
 def gap_cells(df: DataFrame, keys: list[str], ts: str, gap: int, folds: dict[str, tuple[Column, str]],

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.spans import classify_pair
 from ..functions.times import DAY_MS, day_of_ms
+from ..session import settle
 from .ordered import gap_sessions, mark_gap_sessions, with_islands, with_previous, with_running
 
 NO_AP = ""  # stands for an unknown access point while grouping
@@ -19,7 +20,7 @@ def _merge_and_cut(raw: DataFrame, order: list[str], place: str, gap: int, chunk
     def opens(prev):
         return ~((F.col(place) == prev[place]) & (F.col("s") - prev["e"] < gap))
 
-    runs = with_islands(raw, ["mac"], order, [place, "e"], opens, chunk, "island")
+    runs = with_islands(settle(raw, "raw-sessions"), ["mac"], order, [place, "s", "e"], opens, chunk, "island")
     at = F.struct(*order)
     whole = runs.groupBy("mac", "island").agg(
         F.min_by("s", at).alias("s"), F.max_by("e", at).alias("e"), F.first(place).alias(place))
@@ -148,6 +149,7 @@ def location_intervals(log: DataFrame, tie: str = "seq", chunk: int = DAY_MS, li
         "ip", "mac", "t_ms", F.col(tie).alias("seq"), (F.col("kind") == "alloc").alias("gives"))
     runs = with_islands(rows, ["ip", "mac"], ["t_ms", "seq"], ["gives"],
                         lambda prev: F.col("gives") & ~prev["gives"], chunk, "n")
+    runs = settle(runs, "address-runs")
     begun = runs.groupBy("ip", "mac", "n").agg(
         F.min(F.when(F.col("gives"), F.col("t_ms"))).alias("a0"), F.max(F.when(F.col("gives"), F.col("t_ms"))).alias("a1"),
         F.min(F.when(~F.col("gives"), F.col("t_ms"))).alias("r0"),

@@ -6,25 +6,26 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.net import is_local
 from ..functions.text import f_measure
+from ..session import settle
 
 
 def context_session_stats(df: DataFrame) -> DataFrame:
     """One row per ``sid``: account, location, stime, sdur, mobile and ``services``, an array of
     (sp, scat, host, bytes, requests) by bytes, largest first.
 
-    Requests are folded to (session, device, service) before anything else is shuffled.
+    Requests are folded to (session, device) and (session, service) on the map side; a session's list is as long as the
+    number of its services.
     """
-    folded = df.groupBy("sid", "mobile", "sp", "scat", "host").agg(
-        F.sum("size").alias("bytes"), F.count("*").alias("requests"), F.min("stime").alias("stime"),
-        F.max("etime").alias("etime"), F.min(F.struct("stime", "seq", "location", "account")).alias("head"))
-    whole = folded.groupBy("sid").agg(
-        F.min("stime").alias("stime"), (F.max("etime") - F.min("stime")).alias("sdur"), F.min("head").alias("head"))
-    device = folded.groupBy("sid", "mobile").agg(F.sum("requests").alias("n")).groupBy("sid").agg(
-        F.min(F.when(F.col("mobile") != "unknown", F.struct((-F.col("n")).alias("n"), "mobile"))).alias("top"))
-    service = folded.groupBy("sid", "sp", "scat", "host").agg(F.sum("bytes").alias("bytes"), F.sum("requests").alias("requests"))
-    lists = service.groupBy("sid").agg(F.array_sort(F.collect_list(
-        F.struct((-F.col("bytes")).alias("_less"), "sp", "scat", "host", "bytes", "requests"))).alias("_l"))
-    return whole.join(device, "sid").join(lists, "sid").select(
+    sets = df.groupingSets([["sid", "mobile"], ["sid", "sp", "scat", "host"]], "sid", "mobile", "sp", "scat", "host").agg(
+        F.sum("size").alias("bytes"), F.count("*").alias("requests"), F.min("stime").alias("stime"), F.max("etime").alias("etime"),
+        F.min(F.struct("stime", "seq", "location", "account")).alias("head"), F.grouping("mobile").alias("_svc"))
+    service = F.struct((-F.col("bytes")).alias("_less"), "sp", "scat", "host", "bytes", "requests")
+    device = F.struct((-F.col("requests")).alias("_less"), "mobile")
+    per = sets.groupBy("sid").agg(
+        F.min("stime").alias("stime"), (F.max("etime") - F.min("stime")).alias("sdur"), F.min("head").alias("head"),
+        F.min(F.when((F.col("_svc") == 0) & (F.col("mobile") != "unknown"), device)).alias("top"),
+        F.array_sort(F.collect_list(F.when(F.col("_svc") == 1, service))).alias("_l"))
+    return per.select(
         "sid", F.col("head.account").alias("account"), F.col("head.location").alias("location"), "stime", "sdur",
         F.col("top.mobile").alias("mobile"),
         F.transform("_l", lambda s: F.struct(s["sp"].alias("sp"), s["scat"].alias("scat"), s["host"].alias("host"),
@@ -156,6 +157,8 @@ def evaluate_forest(predicted: DataFrame, truth: DataFrame, agent: str = "agent"
 
     Trees meet only through entities they share, so trees without common entities are never compared.
     """
+    predicted = settle(predicted.select(agent, tree, entity), "forest")
+    truth = settle(truth.select(agent, tree, entity), "forest")
     sizes_p = predicted.groupBy(agent, tree).agg(F.count("*").alias("n_pred")).withColumnRenamed(tree, "p_tree")
     sizes_t = truth.groupBy(agent, tree).agg(F.count("*").alias("n_true")).withColumnRenamed(tree, "t_tree")
     p = predicted.groupBy(agent, F.col(tree).alias("p_tree"), entity).agg(F.count("*").alias("n"))

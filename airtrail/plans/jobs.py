@@ -8,6 +8,7 @@ from ..functions.net import undirected_socket
 from ..functions.spans import entry_duration, request_end, response_end
 from ..functions.times import capture_number
 from ..functions.url import entry_url, registered_domain, strip_proto
+from ..session import settle
 from ..operators import cleaning, forest, lookups, matching, sessions, stats
 
 
@@ -15,18 +16,20 @@ def wifi_sessions(events: DataFrame, buildings: DataFrame | None = None, merge_g
     """Clean controller events (mac, t_ms, code, ap, account, ip, seq) to movement sessions with address and account."""
     if buildings is not None:
         events = cleaning.building_events(events, buildings)
+    events = settle(events, "events")
     moves = sessions.association_sessions(cleaning.by_codes(events, cleaning.ASSOCIATION_CODES), merge_gap)
     addresses = sessions.ip_sessions(cleaning.by_codes(events, cleaning.IP_CODES), merge_gap)
     auths = cleaning.by_codes(events, cleaning.AUTH_CODES).select("mac", "t_ms", "account", "ip").distinct()
-    return matching.attach_account(matching.attach_ip(moves, addresses, shift), auths)
+    placed = settle(matching.attach_ip(moves, addresses, shift), "moves")
+    return matching.attach_account(placed, auths)
 
 
 def http_context(http: DataFrame, movement: DataFrame, rules, classes: DataFrame, names: DataFrame, seq: str = "seq",
                  tol: int = 300_000, gap: int = 300_000) -> DataFrame:
     """Request log and movement sessions to context sessions with their services."""
     clean = cleaning.clean_http(http, keep=(seq,)).withColumnRenamed(seq, "seq")
-    known = cleaning.classified(lookups.add_service(clean, "host", rules, classes, names).drop("scat2"))
-    placed = matching.locate_requests(known, movement, tol)
+    known = cleaning.classified(lookups.add_service(settle(clean, "clean-http"), "host", rules, classes, names).drop("scat2"))
+    placed = settle(matching.locate_requests(known, movement, tol), "placed-http")
     return stats.context_session_stats(sessions.context_sessions(placed, gap))
 
 
@@ -37,7 +40,7 @@ def publish_rows(context: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def http_sessions(http: DataFrame, rules, classes: DataFrame, names: DataFrame, gap: int = 300_000) -> DataFrame:
     """Request log to sessions per address with their leading service."""
-    clean = cleaning.clean_http_strict(http)
+    clean = settle(cleaning.clean_http_strict(http), "clean-http")
     full = lookups.add_service(clean, "host", rules, classes, names).withColumn("domain", registered_domain(F.col("host")))
     return cleaning.sane_sessions(stats.http_session_stats(full, gap))
 
@@ -93,5 +96,5 @@ def entries(http: DataFrame, seq: str = "seq") -> DataFrame:
 
 def activity(http: DataFrame, seq: str = "seq", timeout: int = 60_000_000, cut_gap: float = 3.0, extra: list[str] = []) -> DataFrame:
     """Request log to activity trees per user agent (or domain) and session."""
-    marked = sessions.ua_sessions(entries(http, seq), "agent", "domain", "t", timeout, extra)
+    marked = sessions.ua_sessions(settle(entries(http, seq), "entries"), "agent", "domain", "t", timeout, extra)
     return forest.activity_forest(marked, ["has_ua", "activity", *extra, "session_start"], cut_gap)
