@@ -7,14 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 
-_OCTET = r"(25[0-5]|2[0-4]\d|[01]?\d?\d)"
-DOTTED = rf"^({_OCTET}\.){{3}}{_OCTET}$"
+DOTTED = r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"
 
 
 def ip_to_long(ip: Column) -> Column:
     """Dotted IPv4 text as a number; null when it is not one."""
-    parts = F.split(ip, r"\.")
-    value = reduce(lambda acc, i: acc * 256 + parts[i].cast("long"), range(1, 4), parts[0].cast("long"))
+    value = F.aggregate(F.split(ip, r"\."), F.lit(0).cast("long"), lambda acc, part: acc * 256 + part.try_cast("long"))
     return F.when(ip.rlike(DOTTED), value)
 
 
@@ -36,11 +34,15 @@ def endpoint(ip: Column, port: Column) -> Column:
     return ip_to_long(ip) * 65536 + port.cast("long")
 
 
+def has_socket(ip1: Column, port1: Column, ip2: Column, port2: Column) -> Column:
+    """True when both ends are complete; a cheap test to filter by before the key is built."""
+    return ip1.rlike(DOTTED) & ip2.rlike(DOTTED) & port1.isNotNull() & port2.isNotNull()
+
+
 def undirected_socket(ip1: Column, port1: Column, ip2: Column, port2: Column) -> Column:
     """Both ends in address order, as one text key; null when an address or port is missing."""
-    a, b = endpoint(ip1, port1), endpoint(ip2, port2)
-    key = F.concat(F.least(a, b).cast("string"), F.lit("-"), F.greatest(a, b).cast("string"))
-    return F.when(a.isNotNull() & b.isNotNull(), key)
+    both = F.array_join(F.sort_array(F.array(endpoint(ip1, port1), endpoint(ip2, port2))), "-")
+    return F.when(has_socket(ip1, port1, ip2, port2), both)
 
 
 def local_side_ip(src: Column, dst: Column, prefix: str = "111.186") -> Column:

@@ -22,24 +22,24 @@ COMMON_SUFFIXES = (
 )
 
 
-def _capture(text: Column, pattern: str, group: int = 1, otherwise: Column | None = None) -> Column:
-    """Group of the first match, or ``otherwise`` when the pattern is not found; null stays null."""
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group)).otherwise(otherwise)
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def strip_params(url: Column) -> Column:
     """Address without protocol and without everything from ``?`` or ``&``."""
-    return _capture(url, r"^(?:\w+://)?([^\?&]+)\??", 1, url)
+    return F.regexp_replace(url, r"(?s)^(?:\w+://)?([^\?&]+).*$", "$1")
 
 
 def strip_params_keep_proto(url: Column) -> Column:
     """Address without parameters, protocol kept."""
-    return _capture(url, r"^((?:\w+://)?[^&\?]+)\??", 1, url)
+    return F.regexp_replace(url, r"(?s)^((?:\w+://)?[^\?&]+).*$", "$1")
 
 
 def strip_proto(url: Column) -> Column:
     """Address without ``http://`` (or the broken form ``http//``)."""
-    return _capture(url, r"^(?:\w+:?//)?(.*)$", 1, url)
+    return F.regexp_replace(url, r"^\w+:?//", "")
 
 
 def has_proto(url: Column) -> Column:
@@ -66,7 +66,7 @@ def entry_url(host: Column, uri: Column) -> Column:
 
 def url_host(url: Column) -> Column:
     """Host part without port, path and parameters."""
-    return _capture(url, r"^(?:\w+:?//)?([^:\/\?&]+)")
+    return F.nullif(F.regexp_extract(url, r"^(?:\w+:?//)?([^:\/\?&]+)", 1), F.lit(""))
 
 
 def url_params(url: Column) -> Column:
@@ -92,25 +92,24 @@ def registered_domain(url: Column, suffixes=COMMON_SUFFIXES, wildcards=(), excep
     ``wildcards`` holds the parents of rules such as ``*.ck``, ``exceptions`` the hosts that rules such as
     ``!www.ck`` take out. The lists become hash sets in the expression, so the cost does not grow with them.
     """
-    host = url_host(url)
-    labels = F.split(F.lower(host), r"\.")
-    n = F.size(labels)
-
-    def tail(i: Column) -> Column:
-        return F.array_join(F.slice(labels, i, n), ".")
-
-    def is_suffix(i: Column) -> Column:
-        known = tail(i).isin(*suffixes)
-        if wildcards:
-            known = known | (tail(i + 1).isin(*wildcards) & (i < n))
-        if exceptions:
-            known = known & ~tail(i).isin(*exceptions)
-        return known
-
-    starts = F.filter(F.sequence(F.lit(1), n), is_suffix)
-    first = F.array_min(starts)
-    whole = F.array_join(F.slice(F.split(host, r"\."), first - 1, n), ".")
-    return F.when(host.isNull(), F.lit(None)).when(first.isNull() | (first <= 1), host).otherwise(whole)
+    def of_labels(labels: Column) -> Column:
+        n = F.size(labels)
+
+        def tail(i: Column) -> Column:
+            return F.lower(F.array_join(F.slice(labels, i, n), "."))
+
+        def is_suffix(i: Column) -> Column:
+            known = tail(i).isin(*suffixes)
+            if wildcards:
+                known = known | (tail(i + 1).isin(*wildcards) & (i < n))
+            if exceptions:
+                known = known & ~tail(i).isin(*exceptions)
+            return known
+
+        first = F.array_min(F.filter(F.sequence(F.lit(1), n), is_suffix))
+        return F.array_join(F.when(first > 1, F.slice(labels, first - 1, n)).otherwise(labels), ".")
+
+    return let(F.split(url_host(url), r"\."), of_labels)
 
 
 def url_equal(a: Column, b: Column, loose: bool = False) -> Column:

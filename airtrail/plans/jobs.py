@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.net import undirected_socket
+from ..functions.net import has_socket, undirected_socket
 from ..functions.spans import entry_duration, request_end, response_end
 from ..functions.times import capture_number
 from ..functions.url import entry_url, registered_domain, strip_proto
@@ -50,23 +50,23 @@ def transfers(http: DataFrame, seq: str = "seq") -> DataFrame:
     def us(name: str) -> Column:
         return F.floor(F.col(name) * 1_000_000)
 
-    rows = cleaning.transfer_rows(http).select(
-        F.col(seq).alias("seq"),
-        undirected_socket(F.col("source_ip"), F.col("source_port"), F.col("dest_ip"), F.col("dest_port")).alias("socket"),
+    ends = [F.col(c) for c in ("source_ip", "source_port", "dest_ip", "dest_port")]
+    rows = cleaning.transfer_rows(http).where(has_socket(*ends)).select(
+        F.col(seq).alias("seq"), undirected_socket(*ends).alias("socket"),
         "connection", us("connection_ts").alias("conn_us"), us("request_ts").alias("req_us"),
         F.concat_ws(" ", "source_ip", "source_port", "dest_ip", "dest_port", "connection", "request_url").alias("line"),
-    ).where(F.col("socket").isNotNull())
+    )
     return sessions.http_connections(rows, "socket", "req_us", "connection", "seq")
 
 
 def flow_keys(tcp: DataFrame, flow_id: str = "flow_id") -> DataFrame:
     """TCP flows with the socket and start time they are matched by."""
-    return tcp.select(
-        F.col(flow_id).alias("flow_id"),
-        undirected_socket(F.col("client_ip"), F.col("client_port"), F.col("server_ip"), F.col("server_port")).alias("socket"),
+    ends = [F.col(c) for c in ("client_ip", "client_port", "server_ip", "server_port")]
+    return tcp.where(has_socket(*ends)).select(
+        F.col(flow_id).alias("flow_id"), undirected_socket(*ends).alias("socket"),
         F.floor(F.col("first_abs_time_ms") * 1000).alias("t_us"), F.col("client_ip").alias("src_ip"), F.col("server_ip").alias("dst_ip"),
         F.concat_ws(" ", "client_ip", "client_port", "server_ip", "server_port").alias("line"),
-    ).where(F.col("socket").isNotNull())
+    )
 
 
 def flow_merge(tcp: DataFrame, http: DataFrame, dpi: DataFrame, ip_spans: DataFrame, ap_spans: DataFrame, prefix: str = "111.186") -> DataFrame:

@@ -107,13 +107,17 @@ def parse_delimited(df: DataFrame, ddl: str, sep: str, line: str = "value", null
     """Typed columns from unquoted delimited lines; lines with a wrong number of fields are dropped."""
     n = len(schemas.names(ddl))
     parts = F.split(F.col(line), _quote(sep))
-    least = n if min_fields is None else min_fields
-    rows = df.where(F.size(parts) >= least)
+    good = F.size(parts) >= (n if min_fields is None else min_fields)
     if max_fields is not None or min_fields is None:
-        rows = rows.where(F.size(parts) <= (n if max_fields is None else max_fields))
+        good = good & (F.size(parts) <= (n if max_fields is None else max_fields))
     if null is not None:
         parts = F.transform(parts, lambda x: F.nullif(x, F.lit(null)))
-    return rows.select(*keep, *typed_fields(parts, ddl))
+    return split_once(df, F.when(good, parts), keep).select(*keep, *typed_fields(F.col("_f"), ddl))
+
+
+def split_once(df: DataFrame, fields: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows whose field array is not null, as ``_f``. A generator keeps the split from being repeated per column."""
+    return df.select(*keep, F.explode(F.array_compact(F.array(fields))).alias("_f"))
 
 
 def read_delimited(spark: SparkSession, path, ddl: str, sep: str) -> DataFrame:

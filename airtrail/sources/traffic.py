@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
-from .lines import parse_delimited, quoted_fields, read_lines, typed_fields
+from .lines import parse_delimited, quoted_fields, read_lines, split_once, typed_fields
 
 
 def parse_http(lines: DataFrame, line: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """38 typed columns from request-log lines; malformed lines are dropped."""
-    fields = lines.withColumn("_f", quoted_fields(F.col(line))).where(F.col("_f").isNotNull())
-    return fields.select(*keep, *typed_fields(F.col("_f"), schemas.HTTP))
+    return split_once(lines, quoted_fields(F.col(line)), keep).select(*keep, *typed_fields(F.col("_f"), schemas.HTTP))
 
 
 def bad_http(lines: DataFrame, line: str = "value") -> DataFrame:
