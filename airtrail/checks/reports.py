@@ -155,13 +155,13 @@ def _forest_rows(t):
 
 @check("g_referrer_forest")
 def _(t):
-    return forest.referrer_forest(_forest_rows(t), ["agent"])
+    return forest.referrer_forest(_forest_rows(t), ["source_ip", "agent"])
 
 
 @check("g_split_forest")
 def _(t):
     rows = _forest_rows(t)
-    edges = forest.referrer_forest(rows, ["agent"])
+    edges = forest.referrer_forest(rows, ["source_ip", "agent"])
     text = rows.where(F.col("ctype").contains("text")).select(F.concat(F.lit("n"), F.col("seq").cast("string")).alias("node"))
     return forest.split_forest(edges, text, 1)
 
@@ -171,11 +171,6 @@ def _(t):
     return jobs.activity(t["http"], timeout=900_000_000)
 
 
-@check("g_activity_by_address")
-def _(t):
-    return jobs.activity(t["http"], timeout=900_000_000, extra=["source_ip"])
-
-
 @check("g_tree_measures", f"""WITH e AS ({ENTRY}), x AS ({gap_sql('SELECT * FROM e', 'agent', 't', 900_000_000)}) SELECT coalesce(agent, '-') AS agent, CAST(session_start AS STRING) AS tree, min(t) AS start,
     max(CAST(floor(e * 1e6) AS BIGINT)) AS "end", count(*) AS nodes, count(*) AS requests FROM x GROUP BY 1, 2""")
 def _(t):

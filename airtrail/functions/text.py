@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 
 def clean_field(text: Column) -> Column:
     """Field without quotes; ``N/A`` becomes null."""
-    return F.nullif(F.regexp_replace(text, '"', ""), F.lit("N/A"))
+    return F.nullif(F.replace(text, F.lit('"'), F.lit("")), F.lit("N/A"))
 
 
 def crc32_text(text: Column) -> Column:

@@ -92,24 +92,20 @@ def registered_domain(url: Column, suffixes=COMMON_SUFFIXES, wildcards=(), excep
     ``wildcards`` holds the parents of rules such as ``*.ck``, ``exceptions`` the hosts that rules such as
     ``!www.ck`` take out. The lists become hash sets in the expression, so the cost does not grow with them.
     """
-    def of_labels(labels: Column) -> Column:
-        n = F.size(labels)
-
-        def tail(i: Column) -> Column:
-            return F.lower(F.array_join(F.slice(labels, i, n), "."))
-
-        def is_suffix(i: Column) -> Column:
-            known = tail(i).isin(*suffixes)
-            if wildcards:
-                known = known | (tail(i + 1).isin(*wildcards) & (i < n))
-            if exceptions:
-                known = known & ~tail(i).isin(*exceptions)
-            return known
-
-        first = F.array_min(F.filter(F.sequence(F.lit(1), n), is_suffix))
-        return F.array_join(F.when(first > 1, F.slice(labels, first - 1, n)).otherwise(labels), ".")
-
-    return let(F.split(url_host(url), r"\."), of_labels)
+    host = url_host(url)
+    low = F.lower(host)
+    deepest = max([s.count(".") + 1 for s in suffixes] + [w.count(".") + 2 for w in wildcards])
+    out = host
+    for n in range(1, deepest + 1):
+        tail = F.substring_index(low, ".", -n)
+        known = tail.isin(*suffixes)
+        if wildcards and n > 1:
+            parent = F.substring_index(low, ".", 1 - n)
+            known = known | (parent.isin(*wildcards) & (tail != parent))
+        if exceptions:
+            known = known & ~tail.isin(*exceptions)
+        out = F.when(known, F.substring_index(host, ".", -n - 1)).otherwise(out)
+    return out
 
 
 def url_equal(a: Column, b: Column, loose: bool = False) -> Column:

@@ -69,7 +69,7 @@ def attach_account(sessions: DataFrame, auths: DataFrame) -> DataFrame:
 
 
 def locate_requests(http: DataFrame, sessions: DataFrame, tol: int = 300_000, span_days: bool = False,
-                    chunk: int = 900_000) -> DataFrame:
+                    chunk: int = HOUR_MS) -> DataFrame:
     """Requests (ip, stime, host, ...) with location and account of the session of the same address and UTC day of start
     that contains the start: the earliest-started one, exactly or else within ``tol``. Unmatched requests are left
     out. The host becomes its registered domain. ``span_days`` lets a session count on every day it touches.

@@ -54,7 +54,7 @@ def first_within(points: DataFrame, events: DataFrame, keys: list[str], t: str,
 
 
 def first_cover(points: DataFrame, spans: DataFrame, keys: list[str], t: str, lo: str, hi: str, tie: list[str],
-                payload: list[str], tolerance: int = 0, chunk: int = 900_000, into: str = "hit",
+                payload: list[str], tolerance: int = 0, chunk: int = 3_600_000, into: str = "hit",
                 exact_first: bool = True) -> DataFrame:
     """Left lookup: struct ``into`` holds the payload of the earliest-started span with ``lo <= t <= hi``; when no
     span covers the point and ``tolerance`` is given, of the earliest-started one that does within the tolerance.

@@ -94,7 +94,11 @@ def entries(http: DataFrame, seq: str = "seq") -> DataFrame:
     )
 
 
-def activity(http: DataFrame, seq: str = "seq", timeout: int = 60_000_000, cut_gap: float = 3.0, extra: list[str] = []) -> DataFrame:
-    """Request log to activity trees per user agent (or domain) and session."""
+def activity(http: DataFrame, seq: str = "seq", timeout: int = 60_000_000, cut_gap: float = 3.0, extra: list[str] = ["source_ip"]) -> DataFrame:
+    """Request log to activity trees per device, user agent (or domain) and session.
+
+    A session is followed row by row with its trees in memory, so the key must be one device: a user agent alone is
+    shared by many.
+    """
     marked = sessions.ua_sessions(settle(entries(http, seq), "entries"), "agent", "domain", "t", timeout, extra)
     return forest.activity_forest(marked, ["has_ua", "activity", *extra, "session_start"], cut_gap)

@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # a generated method over 8000 bytes is never compiled by the JVM; smaller pieces are
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas
-from ..functions.text import clean_field
+from ..functions.url import let
 
 
 def read_lines(spark: SparkSession, path, name_regex: str | None = None, match: bool = True,
@@ -94,12 +94,17 @@ def _quote(sep: str) -> str:
     return "".join(f"\\{c}" if c in r".^$*+?()[]{}|\\" else c for c in sep)
 
 
-def typed_fields(fields: Column, ddl: str) -> list[Column]:
-    """Columns of a layout from an array of field texts; a field that does not parse becomes null."""
-    return [
-        (F.try_element_at(fields, F.lit(i + 1)) if kind == "STRING" else F.try_element_at(fields, F.lit(i + 1)).try_cast(kind.lower())).alias(name)
-        for i, (name, kind) in enumerate(zip(schemas.names(ddl), schemas.types(ddl)))
-    ]
+def typed_fields(fields: Column, ddl: str, null: str | None = None) -> list[Column]:
+    """Columns of a layout from an array of field texts; a field that does not parse, or is ``null``, becomes null."""
+    out = []
+    for i, (name, kind) in enumerate(zip(schemas.names(ddl), schemas.types(ddl))):
+        text = F.try_element_at(fields, F.lit(i + 1))
+        if kind != "STRING":
+            text = text.try_cast(kind.lower())
+        elif null is not None:
+            text = F.nullif(text, F.lit(null))
+        out.append(text.alias(name))
+    return out
 
 
 def parse_delimited(df: DataFrame, ddl: str, sep: str, line: str = "value", null: str | None = None,
@@ -110,9 +115,7 @@ def parse_delimited(df: DataFrame, ddl: str, sep: str, line: str = "value", null
     good = F.size(parts) >= (n if min_fields is None else min_fields)
     if max_fields is not None or min_fields is None:
         good = good & (F.size(parts) <= (n if max_fields is None else max_fields))
-    if null is not None:
-        parts = F.transform(parts, lambda x: F.nullif(x, F.lit(null)))
-    return split_once(df, F.when(good, parts), keep).select(*keep, *typed_fields(F.col("_f"), ddl))
+    return split_once(df, F.when(good, parts), keep).select(*keep, *typed_fields(F.col("_f"), ddl, null))
 
 
 def split_once(df: DataFrame, fields: Column, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -132,7 +135,10 @@ def read_avro(spark: SparkSession, path) -> DataFrame:
 
 def quoted_fields(line: Column) -> Column:
     """38 field texts of a request-log line: 18 before the first ``" "``, then 20 quoted ones; null when they differ."""
-    parts = F.split(line, r'"\s"')
-    head = F.split(F.element_at(parts, 1), " ")
-    good = (F.size(parts) == 21) & (F.size(head) == 18)
-    return F.when(good, F.transform(F.concat(head, F.slice(parts, 2, 20)), clean_field))
+    def of_parts(parts: Column) -> Column:
+        good = (F.size(parts) == 21) & (F.size(F.split(parts[0], " ")) == 18)
+        rest = F.array_join(F.slice(parts, 2, 20), "\x01")
+        whole = F.concat(F.translate(parts[0], " ", "\x01"), F.lit("\x01"), rest)
+        return F.when(good, F.split(F.replace(whole, F.lit('"'), F.lit("")), "\x01"))
+
+    return let(F.split(line, r'"\s"'), of_parts)

@@ -10,7 +10,7 @@ from .lines import parse_delimited, quoted_fields, read_lines, split_once, typed
 
 def parse_http(lines: DataFrame, line: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """38 typed columns from request-log lines; malformed lines are dropped."""
-    return split_once(lines, quoted_fields(F.col(line)), keep).select(*keep, *typed_fields(F.col("_f"), schemas.HTTP))
+    return split_once(lines, quoted_fields(F.col(line)), keep).select(*keep, *typed_fields(F.col("_f"), schemas.HTTP, "N/A"))
 
 
 def bad_http(lines: DataFrame, line: str = "value") -> DataFrame:
