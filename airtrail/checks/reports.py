@@ -528,7 +528,7 @@ def _closed(t, df, time_ms, ts, **fixed):
     rows = df.withColumn(ts, F.timestamp_millis(time_ms))
     marker = rows.limit(1).withColumns({ts: F.timestamp_millis(F.lit(FAR)), **{c: F.lit(v) for c, v in fixed.items()}})
     path = scratch(t.spark, "stream-in")
-    rows.unionByName(marker).coalesce(8).write.parquet(path)
+    rows.unionByName(marker).write.parquet(path)
     return t.spark.readStream.schema(rows.schema).parquet(path)
 
 

@@ -49,6 +49,7 @@ def http_session_stats(df: DataFrame, gap: int = 300_000, key: str = "ip", ts: s
     service = ["sp", "scat", "domain"]
     folded = df.groupBy(key, F.floor(F.col(ts) / gap).alias("_cell"), *service).agg(
         F.min(ts).alias("_lo"), F.max(ts).alias("_hi"), F.max("etime").alias("_end"), F.sum("size").alias("_bytes"), F.count("*").alias("_n"))
+    folded = settle(folded, "service-cells")
     cells = folded.groupBy(key, "_cell").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
     starts = _cell_starts(cells, key, gap)
     rows = folded.join(starts, [key, "_cell"])
