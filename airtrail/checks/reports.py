@@ -85,9 +85,12 @@ def _(t):
     return stats.socket_multiplicity(t["tcp"], F.when(F.col("flow_id") % 23 != 0, sock))
 
 
-@check("a_metric_rollup", """SELECT CAST(extract('year' FROM l_shipdate) AS BIGINT) * 100 + extract('month' FROM l_shipdate) AS month, count(*) AS rows FROM {lineitem} GROUP BY 1""")
+@check("a_metric_rollup", """SELECT t_ms - t_ms % 3600000 AS bucket_ms, count(value) AS value_hit, min(value) AS value_min, max(value) AS value_max, quantile_disc(value, 0.9) AS value_prc90,
+    count(*) FILTER (k = 1) AS k_idx1, count(*) FILTER (k <> 1) AS k_idxother FROM {ev} GROUP BY 1""")
 def _(t):
-    return t["lineitem"].groupBy((F.year("l_shipdate").cast("long") * 100 + F.month("l_shipdate")).alias("month")).agg(F.count("*").alias("rows"))
+    rows = t["ev"].withColumn("at", F.timestamp_millis("t_ms"))
+    out = stats.metric_rollup(rows, "at", "1 hour", {"value": ["hit", "min", "max", "prc:90"], "k": ["idx:1,other"]})
+    return out.withColumn("bucket_ms", F.unix_millis("bucket")).drop("bucket")
 
 
 @check("a_metric_rollup_days", """SELECT epoch_ms(date_trunc('day', l_shipdate)) AS bucket_ms, round(avg(l_quantity), 6) AS l_quantity_avg, round(stddev_samp(l_quantity), 6) AS l_quantity_stdev, min(l_quantity) AS l_quantity_min,

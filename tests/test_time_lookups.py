@@ -69,3 +69,26 @@ def test_gap_sessions(points, strict):
                 start = t
             last = t
             assert got[i] == start
+
+
+@pytest.fixture
+def uncoalesced(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_hot_key_is_spread(spark, uncoalesced):
+    rows = spark.range(4000).select(F.lit("hot").alias("k"), F.col("id").alias("t"), F.col("id"))
+    events = spark.range(0, 4000, 7).select(F.lit("hot").alias("k"), F.col("id").alias("a"), F.col("id").alias("o"))
+    spans = events.select("k", F.col("a").alias("s"), (F.col("a") + 3).alias("e"), "o")
+    for out in (
+        with_islands(rows, ["k"], ["t", "id"], ["t"], lambda p: F.col("t") - p["t"] > 10, 100, "run"),
+        first_within(rows, events, ["k"], "t", "a", ["o"], [], 20, 20),
+        first_cover(rows, spans, ["k"], "t", "s", "e", ["o"], ["o"], 0, 100),
+    ):
+        used = F.max(F.hash(out.columns[-1]))  # keeps the optimizer from dropping the work
+        sizes = [r.n for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), used).collect()]
+        assert sum(sizes) == 4000 and len(sizes) >= 8 and max(sizes) < 1600
