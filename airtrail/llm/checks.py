@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import langid, minhash, packing, ppm, quality, substrings
+from . import decontaminate, langid, minhash, packing, ppm, quality, substrings
 from .common import fold, read
 
 SIZE = 4096
@@ -35,6 +35,11 @@ def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.rate(docs, model).select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contaminated(read(configure(spark), folder, "documents"), read(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
 def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     left = substrings.remove(read(configure(spark), folder, "documents"))
     removed = F.aggregate("repeats", F.lit(0).cast("long"), lambda a, r: a + r["last"] - r["first"])
@@ -49,5 +54,5 @@ def op10_ppm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return ppm.score(read(configure(spark), folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op6_quality_classifier, op8_substring_dedup, op9_near_duplicates, op10_ppm_scores)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op6_quality_classifier, op7_decontamination, op8_substring_dedup, op9_near_duplicates, op10_ppm_scores)}
 ORACLE: dict[str, str] = {}
