@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import decontaminate, langid, minhash, packing, ppm, quality, substrings
+from . import decontaminate, langid, minhash, neighbours, packing, ppm, quality, substrings
 from .common import fold, read
 
 SIZE = 4096
@@ -28,6 +28,11 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op4_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read(configure(spark), folder, "embeddings")
+    return neighbours.nearest(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = read(configure(spark), folder, "documents"), read(spark, folder, "labels")
     learn = labels.filter(fold(F.col("doc_id"), 3) != 1)
@@ -54,5 +59,5 @@ def op10_ppm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return ppm.score(read(configure(spark), folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op6_quality_classifier, op7_decontamination, op8_substring_dedup, op9_near_duplicates, op10_ppm_scores)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op4_nearest_neighbours, op6_quality_classifier, op7_decontamination, op8_substring_dedup, op9_near_duplicates, op10_ppm_scores)}
 ORACLE: dict[str, str] = {}
