@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import configure
-from . import decontaminate, langid, minhash, neighbours, packing, ppm, quality, substrings
+from ..session import configure, scratch
+from . import decontaminate, langid, minhash, neighbours, packing, ppm, quality, secretscan, substrings, tokenfiles
 from .common import fold, read
 
 SIZE = 4096
@@ -28,11 +28,24 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    # id 124 stands for the byte C0, which no UTF-8 text holds
+    path = scratch(configure(spark), "token-files")
+    tokenfiles.write(read(spark, folder, "documents"), path, tokenizer_path(), 124)
+    return tokenfiles.scan(spark, path, 124).select(F.regexp_extract("file", "([^/]+)$", 1).alias("file"), "document", "start", F.col("length").alias("n_tokens"))
+
+
 def op4_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     vectors = read(configure(spark), folder, "embeddings")
     return neighbours.nearest(vectors, vectors.filter("vec_id % 100 = 0"))
 
 
+def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(configure(spark), folder, "documents")
+    found = secretscan.scan(docs, secretscan.fit(secretscan.findings(docs)))
+    return found.select("doc_id", "start", "length", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), "score", "secret")
+
+
 def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = read(configure(spark), folder, "documents"), read(spark, folder, "labels")
     learn = labels.filter(fold(F.col("doc_id"), 3) != 1)
@@ -59,5 +72,5 @@ def op10_ppm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return ppm.score(read(configure(spark), folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op4_nearest_neighbours, op6_quality_classifier, op7_decontamination, op8_substring_dedup, op9_near_duplicates, op10_ppm_scores)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_token_counts, op4_nearest_neighbours, op5_secret_scan, op6_quality_classifier, op7_decontamination, op8_substring_dedup, op9_near_duplicates, op10_ppm_scores)}
 ORACLE: dict[str, str] = {}
