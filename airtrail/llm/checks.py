@@ -73,4 +73,40 @@ def op10_ppm_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_token_counts, op4_nearest_neighbours, op5_secret_scan, op6_quality_classifier, op7_decontamination, op8_substring_dedup, op9_near_duplicates, op10_ppm_scores)}
-ORACLE: dict[str, str] = {}
+BIG, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORDS_7 = f"regexp_extract_all(translate(coalesce(text, ''), '{BIG}', '{SMALL}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+
+ORACLE: dict[str, str] = {
+    "op7_decontamination": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_7} AS w FROM documents),
+        b AS (SELECT item_id, {WORDS_7} AS w FROM benchmark WHERE item_id IS NOT NULL),
+        bw AS (SELECT DISTINCT item_id, w[i:i + 9] AS win FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(i) WHERE len(w) > 0),
+        sizes AS (SELECT DISTINCT len(win) AS l FROM bw),
+        dw AS (SELECT r, i, l, w[i:i + l - 1] AS win FROM d, sizes, unnest(range(1, len(w) - l + 2)) AS t(i)),
+        m AS (SELECT r, i, l, item_id FROM dw JOIN bw USING (win)),
+        hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM m, unnest(range(i, i + l)) AS q(p) GROUP BY r),
+        it AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+            coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)""",
+    "op8_substring_dedup": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+        win AS (SELECT r, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM d, unnest(range(1, len(w) - 48)) AS t(i)),
+        f AS (SELECT h, min(doc_id) AS least FROM win GROUP BY h),
+        gone AS (SELECT DISTINCT r, p FROM win JOIN f USING (h), unnest(range(i, i + 50)) AS q(p) WHERE doc_id > least),
+        each AS (SELECT r, p, w[p] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(p)),
+        kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS words FROM each ANTI JOIN gone USING (r, p) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (r)""",
+    "op9_near_duplicates": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {WORDS.format(f"translate(coalesce(text, ''), '{BIG}', '{SMALL}')")} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS h FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+        link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+        edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+        reach AS (SELECT a AS x, b AS y FROM edge UNION SELECT x, b FROM reach JOIN edge ON y = a),
+        least AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(y, d.doc_id)) AS component_id, d.doc_id <= coalesce(y, d.doc_id) AS kept
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least ON x = d.doc_id""",
+}

@@ -106,11 +106,18 @@ def bytes_of(text: str | None) -> bytes:
 
 
 def smallest_by_hash(rows: DataFrame, by: list[str], limit: int, *of: str) -> DataFrame:
-    """At most ``limit`` rows of each group, the ones whose hashed columns ``of`` are smallest; cut before the shuffle."""
+    """About the ``limit`` rows of each group whose hashed columns ``of`` are smallest, no more than these.
+
+    The group's size tells below which hash about so many rows lie; the others go before any shuffle, so that a large group does
+    not meet in one task. Groups are labels or languages: their sizes are few rows and are sent to all tasks.
+    """
     from pyspark.sql import Window
 
-    order = Window.partitionBy(*by).orderBy(F.xxhash64(*of), *of)
-    return rows.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= limit).drop("_place")
+    share = F.pmod(F.xxhash64(*of), F.lit(1 << 40)) / float(1 << 40)
+    sizes = rows.groupBy(*by).agg(((limit + 8 * limit**0.5 + 8) / F.count("*")).alias("_share"))
+    near = rows.join(F.broadcast(sizes), by).filter(share < F.col("_share")).drop("_share")
+    order = Window.partitionBy(*by).orderBy(share, *of)
+    return near.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= limit).drop("_place")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

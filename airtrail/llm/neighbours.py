@@ -111,7 +111,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = T
     few = short.join(points.select("point", "embedding"), "point").select("point", "embedding").distinct()
     parts = max(1, -(-total // BLOCK))
     spread = few.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    held = points.select("point", "embedding").withColumn("block", F.pmod(F.xxhash64("point"), F.lit(parts)).cast("int"))
+    held = points.select(F.col("point").alias("point"), F.col("embedding").alias("embedding"), F.pmod(F.xxhash64("point"), F.lit(parts)).cast("int").alias("block"))
     found = spread.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(compare, "query long, point long, score double")
     return near.join(short, "query_id", "left_anti").union(answers(found, short, points, k))
 

@@ -135,13 +135,12 @@ def scan(docs: DataFrame, model, threshold: float = 0.5) -> DataFrame:
 
 def redact(docs: DataFrame, model, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` with each secret in ``text`` put out by ``MASK``; ``n_chars``, if there, follows the new text."""
-    secrets = scan(docs, model, threshold).filter("secret").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_list("number").alias("_numbers"))
-    joined = docs.withColumn("_text_key", F.xxhash64("text")).join(secrets, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
+    secrets = scan(docs, model, threshold).filter("secret").groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(F.collect_list("number").alias("numbers"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), "doc_id", "text", F.xxhash64("text").alias("text_key"))
+    joined = whole.join(secrets, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left")
     values, gaps = F.regexp_extract_all("text", F.lit(FOUND), F.lit(0)), F.split("text", FOUND, -1)
-    parts = F.transform(gaps, lambda g, i: F.concat(g, F.when(F.array_contains("_numbers", i), F.lit(MASK)).otherwise(F.coalesce(F.get(values, i), F.lit("")))))
-    new = F.when(F.col("_numbers").isNull(), F.col("text")).otherwise(F.array_join(parts, ""))
-    length = F.when(F.col("_numbers").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")) if "n_chars" in docs.columns else None
-    out = joined.withColumn("text", new)
-    if length is not None:
-        out = out.withColumn("n_chars", length)
-    return out.select(*docs.columns)
+    parts = F.transform(gaps, lambda g, i: F.concat(g, F.when(F.array_contains("numbers", i), F.lit(MASK)).otherwise(F.coalesce(F.get(values, i), F.lit("")))))
+    hit = F.col("numbers").isNotNull()
+    out = joined.select("whole", hit.alias("hit"), F.when(hit, F.array_join(parts, "")).otherwise(F.col("text")).alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("hit"), F.length("text").cast("long")).otherwise(F.col("whole").getField("n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*[new.get(c, F.col("whole").getField(c)).alias(c) for c in docs.columns])

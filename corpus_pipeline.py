@@ -2,13 +2,64 @@
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from airtrail.llm import decontaminate, minhash, packing, quality, secretscan
+from airtrail.llm.checks import SIZE, tokenizer_path
+from airtrail.llm.common import fold, read
+from airtrail.session import configure, settle
 
-def run(spark, sf_dir):
-    """All stages in order over the documents of a folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject; it learns from labels of the training folds."""
+    configure(spark)
+    learn = read(spark, sf_dir, "labels").filter(fold(F.col("doc_id"), 3) != 1)
+    return quality.select_good(docs, quality.fit(quality.sample(docs, learn), quality.shares(learn)))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near-duplicates."""
+    configure(spark)
+    return without(docs, minhash.near_duplicates(docs).filter("NOT kept"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    configure(spark)
+    return without(docs, decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark")).filter("contaminated"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts put out."""
+    configure(spark)
+    return secretscan.redact(docs, secretscan.fit(secretscan.findings(docs)))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents and their places in sequences."""
+    configure(spark)
+    return packing.digests(docs, tokenizer_path(), SIZE)
+
+
+def without(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows whose doc_id is not among the found ones; a null doc_id stays."""
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("MinHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secret_scan),
+    ("best-fit packing", best_fit_packing),
+]
+ORACLE_SQL = None  # learned scores and tokenizers are not SQL
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order over the documents of a folder; what each one keeps is written before the next reads it."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,0 +1,470 @@
+"""The training-data operators against plain versions on small tables with every awkward row."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from airtrail.llm import common, decontaminate, langid, minhash, neighbours, packing, ppm, quality, secretscan, substrings, tokenfiles
+
+VOCABULARY = ["the", "a", "of", "red", "blue", "green", "house", "tree", "Water", "stone", "été", "über", "x1", "don't", "end.", "rare"]
+SCHEMA = "doc_id long, text string, lang string, words string, id long, start int, row string"
+
+
+def documents(seed=1, n=60, longest=80):
+    """Rows with copies, shared passages, null and empty texts, null ids, repeated rows and a long text."""
+    rng = random.Random(seed)
+    passage = [rng.choice(VOCABULARY) for _ in range(25)]
+    texts = []
+    for _ in range(n):
+        words = [rng.choice(VOCABULARY) for _ in range(rng.randrange(longest))]
+        if rng.random() < 0.4:
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = passage[rng.randrange(5) :]
+        if texts and rng.random() < 0.3:
+            words = rng.choice(texts).split(" ")
+            if len(words) > 3 and rng.random() < 0.6:
+                words[rng.randrange(len(words))] = "changed"
+        texts.append(rng.choice([" ", "  ", "\n", "\t"]).join(words) if rng.random() < 0.1 else " ".join(words))
+    rows = [(i * 3, t) for i, t in enumerate(texts)]
+    rows += [(1, None), (4, ""), (7, " \n"), (None, texts[0]), (None, "alone and new"), rows[2], (10, " ".join(rng.choice(VOCABULARY) for _ in range(3000)))]
+    return rows
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(d, t, "en", "w", 5, 1, "r") for d, t in rows], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return documents()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return frame(spark, rows)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return frame(spark, [])
+
+
+@pytest.fixture(scope="module")
+def path():
+    tokenizers = pytest.importorskip("public_tokenizers")
+    return tokenizers.path("word_bpe_49k.json")
+
+
+def lower(text):
+    return (text or "").translate(str.maketrans(common.UPPER, common.LOWER))
+
+
+# packing and token files
+
+
+def plain_ids(path, text):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
+
+
+def test_encoder_equals_whole_texts(path):
+    from airtrail.llm.tokens import Encoder
+
+    rng = random.Random(3)
+    signs = list("aZé ß\n\t\r.,'s!?0189\x01́  \x85İΣς<|endoftext|>") + ["don't", " The", "THE.,", "é", "it's ", "<|endoftext|>", "日本"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(400)] + ["", None]
+    got = list(Encoder(path).encode(texts))
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [plain_ids(path, t) for t in texts]
+
+
+def test_packing(docs, rows, none, path):
+    size = 64
+    got = packing.pack(docs, path, size).collect()
+    want = collections.Counter()
+    for doc, text in rows:
+        ids = [*plain_ids(path, text), 1]
+        for k, at in enumerate(range(0, len(ids), size)):
+            want[doc, k, at, len(ids[at : at + size]), np.array(ids[at : at + size], "<u4").tobytes()] += 1
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, bytes(r.ids)) for r in got) == want
+    filled = collections.defaultdict(list)
+    for r in got:
+        filled[r.sequence_id].append((r.offset, r.length))
+    for spans in filled.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= size
+    total = sum(r.length for r in got)
+    assert len(filled) <= math.ceil(total / size) + 1
+    digests = packing.digests(docs, path, size).select("doc_id", "piece", "ids_crc32").collect()
+    assert collections.Counter((r.doc_id, r.piece, r.ids_crc32) for r in digests) == collections.Counter((r.doc_id, r.piece, zlib.crc32(bytes(r.ids))) for r in got)
+    assert packing.pack(none, path, size).count() == 0
+
+
+def test_fullest_is_the_best_sum():
+    rng = random.Random(5)
+    for _ in range(200):
+        most = rng.randrange(1, 40)
+        counts = np.array([0] + [rng.choice([0, 0, 1, 2, 3]) for _ in range(most)])
+        used = packing.fullest(counts, most)
+        assert all(n <= counts[x] for x, n in collections.Counter(used).items())
+        sums = {0}
+        for x in range(1, most + 1):
+            for _ in range(counts[x]):
+                sums |= {s + x for s in sums if s + x <= most}
+        assert sum(used) == max(sums)
+
+
+def test_token_files(spark, docs, rows, none, path, tmp_path):
+    for width in (2, 4):
+        folder = str(tmp_path / str(width))
+        tokenfiles.write(docs, folder, path, 124, width)
+        for block in (7, 1 << 20):
+            got = tokenfiles.scan(spark, folder, 124, width, block).collect()
+            assert sorted(r.length for r in got) == sorted(len(plain_ids(path, t)) for _, t in rows)
+            assert all(r.closed for r in got)
+            for file, mine in [(f, sorted((r.document, r.start, r.length) for r in got if r.file == f)) for f in {r.file for r in got}]:
+                at = 0
+                for i, (number, start, length) in enumerate(mine):
+                    assert (number, start) == (i, at), file
+                    at += length + 1
+    tokenfiles.write(none, str(tmp_path / "none"), path, 124)
+    assert tokenfiles.scan(spark, str(tmp_path / "none"), 124).count() == 0
+
+
+def test_open_document(spark, tmp_path):
+    (tmp_path / "flat").mkdir()
+    (tmp_path / "flat" / "a.bin").write_bytes(np.array([5, 6, 9, 9, 1, 2, 3, 4, 5], "<u2").tobytes())
+    for block in (1, 2, 4, 100):
+        got = sorted((r.document, r.start, r.length, r.closed) for r in tokenfiles.scan(spark, str(tmp_path / "flat"), 9, 2, block).collect())
+        assert got == [(0, 0, 2, True), (1, 3, 0, True), (2, 4, 5, False)]
+
+
+# passages, near-duplicates, benchmark
+
+
+@pytest.mark.parametrize("length,gram", [(8, 3), (5, 5), (12, 2)])
+def test_substrings(docs, rows, length, gram):
+    first, split = {}, []
+    for doc, text in rows:
+        words = (text or "").encode().split()
+        split.append((doc, words))
+        for i in range(len(words) - length + 1):
+            key = tuple(words[i : i + length])
+            first[key] = min(first.get(key, math.inf), math.inf if doc is None else doc)
+    want = collections.Counter()
+    for doc, words in split:
+        gone = [False] * len(words)
+        for i in range(len(words) - length + 1):
+            if first[tuple(words[i : i + length])] < (math.inf if doc is None else doc):
+                gone[i : i + length] = [True] * length
+        want[doc, len(words), sum(gone), b" ".join(w for w, g in zip(words, gone) if not g).decode()] += 1
+    got = substrings.remove(docs, length, gram).collect()
+    assert collections.Counter((r.doc_id, r.n_words, sum(s.last - s.first for s in r.repeats), r.kept_text) for r in got) == want
+
+
+def near_groups(rows, k=5, percent=75):
+    sets = []
+    for doc, text in rows:
+        words = lower(text).encode().split()
+        sets.append((doc, frozenset(tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))) if words else frozenset()))
+    parent = {d: d for d, _ in sets if d is not None}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[:i]:
+            if a is not None and b is not None and x and y and 100 * len(x & y) >= percent * len(x | y):
+                u, v = root(a), root(b)
+                parent[max(u, v)] = min(u, v)
+    return collections.Counter((d, len(s), None if d is None else root(d), d is None or root(d) == d) for d, s in sets)
+
+
+def test_near_duplicates(spark, docs, rows, none):
+    got = minhash.near_duplicates(docs).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == near_groups(rows)
+    assert minhash.near_duplicates(none).count() == 0
+
+
+def test_near_duplicate_chain(spark):
+    """Copies of copies: most are too far from the smallest id of their bucket and are linked through others."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(80):
+        rows.append((i, " ".join(words)))
+        words = list(words)
+        for _ in range(4):
+            words[rng.randrange(400)] = f"n{rng.random()}"
+    rng.shuffle(rows)
+    got = minhash.near_duplicates(frame(spark, rows)).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == near_groups(rows)
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        u, v = root(a), root(b)
+        parent[max(u, v)] = min(u, v)
+    got = {r.id: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def test_estimate_is_close(spark):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(2000)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 8):
+        rows.append((i, " ".join(base[: 2000 - 120 * i] + [f"z{i}.{rng.random()}" for _ in range(120 * i)])))
+    s = minhash.sketch(frame(spark, rows))
+    pair = s.filter("doc_id = 0").select(F.col("packed").alias("pa")).crossJoin(s.select("doc_id", F.col("packed").alias("pb")))
+    for r in pair.select("doc_id", minhash.estimate("pa", "pb").alias("e")).collect():
+        common_part = 1996 - 120 * r.doc_id
+        assert abs(r.e - common_part / (2 * 1996 - common_part)) < 0.2
+
+
+def test_decontamination(spark, docs, rows, none):
+    rng = random.Random(6)
+    texts = [t for _, t in rows if t and len(t.split()) > 8]
+    items = [(i, " ".join(rng.choice(texts).split()[1 : rng.randrange(2, 14)])) for i in range(14)] + [(20, "house tree"), (21, None), (22, "..."), (None, "the a of"), (9, "red, BLUE")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    size = 5
+    windows = collections.defaultdict(set)
+    for item, text in items:
+        w = word.findall(lower(text))
+        for i in range(max(1, len(w) - size + 1) if w and item is not None else 0):
+            windows[tuple(w[i : i + size])].add(str(item))
+    want = collections.Counter()
+    for doc, text in rows:
+        w = word.findall(lower(text))
+        hit, found = [False] * len(w), set()
+        for n in {len(x) for x in windows}:
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in windows:
+                    hit[i : i + n] = [True] * n
+                    found |= windows[tuple(w[i : i + n])]
+        want[doc, len(w), sum(hit), ",".join(sorted(found)), any(hit)] += 1
+    got = decontaminate.contaminated(docs, benchmark, size).collect()
+    assert collections.Counter((r.doc_id, r.n_words, r.n_hit, ",".join(r["items"]), r.contaminated) for r in got) == want
+    assert decontaminate.contaminated(none, benchmark).count() == 0
+    assert not decontaminate.contaminated(docs, benchmark.limit(0), size).filter("contaminated").count()
+    near = {(r.doc_id, r.item_id) for r in decontaminate.proximity(docs, benchmark, size, 2).filter("doc_id IS NOT NULL").collect()}
+    expected = set()
+    for doc, text in rows:
+        w = word.findall(lower(text))
+        for terms, of in windows.items():
+            if doc is not None and any(set(terms) <= set(w[i : i + len(terms) + 2]) for i in range(len(w))):
+                expected |= {(doc, item) for item in of}
+    assert near == expected
+
+
+# vectors
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 24)).astype(np.float32)
+    x[50:90] = x[50]
+    x[100] *= 1e-3
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, []), (1002, [0.0] * 24), (1003, [float("nan")] * 24), (1004, [None] * 24), (None, x[3].tolist()), (5, x[5].tolist())]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = neighbours.nearest(vectors, vectors.filter("vec_id % 10 = 0 OR vec_id > 999"), 5).collect()
+    found = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
+        found[r.query_id].append((r.vec_id, r.score))
+    assert set(found) == set(range(0, 400, 10))
+    hits = 0
+    y = x.astype(np.float64)
+    for q, near in found.items():
+        far = np.sqrt(((y - y[q]) ** 2).sum(1))
+        order = [i for i in np.lexsort((np.arange(400), far)) if i != q][:5]
+        assert len(near) == 5 and all(abs(s - far[v]) < 1e-9 for v, s in near)
+        assert near == sorted(near, key=lambda p: (p[1], p[0]))
+        hits += len({v for v, _ in near} & set(order))
+    assert hits >= 0.9 * 5 * len(found)
+    few = vectors.filter("vec_id < 4")
+    assert sorted((r.query_id, r["rank"]) for r in neighbours.nearest(few, few, 10).collect()) == [(q, r) for q in range(4) for r in (1, 2, 3)]
+    assert neighbours.nearest(vectors.limit(0), vectors.limit(0)).count() == 0
+
+
+def test_copies_tie_to_the_smallest_ids(spark):
+    vectors = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(50)] + [(60, [1.0, 3.0])], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in neighbours.nearest(vectors, vectors.filter("vec_id IN (2, 60)"), 4).collect())
+    assert got == [(2, 1, 0), (2, 2, 1), (2, 3, 3), (2, 4, 4), (60, 1, 0), (60, 2, 1), (60, 3, 2), (60, 4, 3)]
+
+
+# learned labels
+
+
+def spoken(seed=0, n=160):
+    rng = random.Random(seed)
+    syllables = {"aa": ["ka", "to", "mi", "ra"], "bb": ["str", "ung", "ech", "pf"], "cc": ["oui", "eau", "que", "les"]}
+    out = []
+    for i in range(n):
+        lang = rng.choice(sorted(syllables))
+        out.append((i, " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(5, 60))), lang))
+    return out
+
+
+def test_language(spark, none):
+    rows = spoken()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(langid.sample(docs.filter("doc_id < 120"), 30), rounds=15)
+    assert model.languages == ["aa", "bb", "cc"]
+    extra = [(500, None, None), (501, "", "aa"), (502, "12 . 34", "bb"), (None, rows[0][1], None), (503, "katomi rakato mika ungech strpf ungungstr pfech", None)]
+    tested = spark.createDataFrame(rows[120:] + extra + rows[120:121], "doc_id long, text string, lang string")
+    got = langid.identify(tested, model, runs=True).collect()
+    assert len(got) == len(rows) - 120 + len(extra) + 1
+    right = {i: lang for i, _, lang in rows}
+    assert all(r.lang_pred == right[r.doc_id] and 0 <= r.score <= 1 for r in got if r.doc_id is not None and r.doc_id < 500)
+    by_id = {r.doc_id: r for r in got}
+    assert [(by_id[i].lang_pred, by_id[i].score) for i in (500, 501, 502)] == [("und", 0.0)] * 3
+    assert [(x.lang, x.words) for x in by_id[503].runs] == [("aa", 3), ("bb", 4)]
+    empty = langid.fit(langid.sample(none.filter("doc_id > 0")))
+    assert {r.lang_pred for r in langid.identify(docs, empty).collect()} == {"und"}
+    assert langid.identify(none, model).count() == 0
+
+
+def test_chain_equals_plain_forward_backward():
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 600):
+        scores, moves = rng.normal(size=(n, 3)), rng.normal(size=(3, 3))
+        first = rng.random(n) < 0.02
+        first[0] = True
+        each, pairs = langid.chain(scores, moves, first, pairs=True)
+        want, want_pairs = np.zeros((n, 3)), np.zeros((3, 3))
+        starts = [*np.flatnonzero(first).tolist(), n]
+        for a, b in zip(starts, starts[1:]):
+            ahead, back = np.zeros((b - a, 3)), np.zeros((b - a, 3))
+            for t in range(b - a):
+                ahead[t] = scores[a + t] + (np.logaddexp.reduce(ahead[t - 1][:, None] + moves, axis=0) if t else 0)
+            for t in range(b - a - 2, -1, -1):
+                back[t] = np.logaddexp.reduce(moves + scores[a + t + 1] + back[t + 1], axis=1)
+            total = np.logaddexp.reduce(ahead[-1])
+            want[a:b] = np.exp(ahead + back - total)
+            for t in range(1, b - a):
+                want_pairs += np.exp(ahead[t - 1][:, None] + moves + scores[a + t] + back[t] - total)
+        assert np.allclose(each, want) and np.allclose(pairs, want_pairs)
+
+
+def test_quality(spark, none):
+    rng = random.Random(9)
+    good = [" ".join(rng.choice(VOCABULARY) + str(rng.randrange(50)) for _ in range(60)) + "." for _ in range(80)]
+    bad = ["BUY NOW!! " * rng.randrange(5, 30) for _ in range(80)]
+    rows = [(i, t, "x") for i, t in enumerate(good + bad)] + [(900, None, "x"), (901, "", "x"), (None, good[0], "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality string")
+    labels = spark.createDataFrame([(i, int(i < 80)) for i in range(160) if i % 2] + [(None, 1), (3, None), (5, 0), (7, 5)], "doc_id long, quality int")
+    model = quality.fit(quality.sample(docs, labels, 50), quality.shares(labels))
+    got = {r.doc_id: r for r in quality.rate(docs, model).collect()}
+    assert all(got[i].predicted == int(i < 80) and 0 <= got[i].score <= 1 for i in range(160))
+    assert got[900].score == got[901].score
+    kept = quality.select_good(docs, model)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= set(range(80)) | {None}
+    flat = quality.fit(quality.sample(docs, labels.limit(0)), quality.shares(labels.limit(0)))
+    assert {r.score for r in quality.rate(docs, flat).collect()} == {0.5}
+    assert quality.rate(none, model).count() == 0
+
+
+def test_secrets(spark, none):
+    rng = random.Random(12)
+    key = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(40)]
+    rows = []
+    for i in range(20):
+        words = " ".join(rng.choice(VOCABULARY) for _ in range(12))
+        rows.append((i, f'{words} token = "{key[i]}" {words} commit {key[i + 20]} and 4929111122223333 {words}', 1, "s"))
+    rows += [(100, None, None, "s"), (101, "", 0, "s"), (None, f'password = "{key[0]}"', 5, "s"), rows[3], (102, "word " * 5000, 3, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, numbers string")
+    model = secretscan.fit(secretscan.findings(docs.filter("doc_id < 20"), 200))
+    got = secretscan.scan(docs, model).collect()
+    for r in got:
+        text = next(t for d, t, *_ in rows if d == r.doc_id)
+        assert text[r.start : r.start + r.length] == r.value
+    secret = collections.Counter((r.doc_id, r.value) for r in got if r.secret)
+    assert secret == collections.Counter([(i, key[i]) for i in range(20)] + [(None, key[0])])
+    assert {(r.doc_id, r.value) for r in got} >= {(i, key[i + 20]) for i in range(20)}
+    done = secretscan.redact(docs, model)
+    assert done.columns == docs.columns
+    want = collections.Counter()
+    for d, t, n, s in rows:
+        new = t
+        if d is None or d < 20:
+            new = t.replace(key[d or 0], secretscan.MASK)
+        want[d, new, n if new == t else len(new), s] += 1
+    assert collections.Counter(map(tuple, done.collect())) == want
+    assert secretscan.scan(none, model).count() == 0 and secretscan.redact(none, model).count() == 0
+
+
+# language model
+
+
+def plain_ppm(train, text, order):
+    """Log10 probability with counts in dictionaries, one byte after another."""
+    counts = collections.defaultdict(collections.Counter)
+    for t in train:
+        s = b"\xff" * order + t + b"\xff"
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                counts[s[i - k : i]][s[i]] += 1
+    total, s = 0.0, b"\xff" * order + text + b"\xff"
+    for i in range(order, len(s)):
+        out = set()
+        for k in range(order, -1, -1):
+            here = {c: n for c, n in counts[s[i - k : i]].items() if c not in out}
+            mass = sum(here.values())
+            if s[i] in here:
+                total += math.log10((2 * here[s[i]] - 1) / (2 * mass))
+                break
+            if here:
+                total += math.log10(len(here) / (2 * mass))
+            out |= set(here)
+        else:
+            total -= math.log10(256 - len(out))
+    return total
+
+
+def seen_bytes(text):
+    return b" ".join((text or "").encode().lower().split())
+
+
+@pytest.mark.parametrize("order", [2, 5])
+def test_scores(docs, rows, order):
+    def held(doc):
+        return zlib.crc32(("" if doc is None else str(doc)).encode()) % 7 == 2
+
+    train = [seen_bytes(t) for d, t in rows if not held(d)]
+    c = collections.Counter(w for t in train for w in t.split())
+    n, v = sum(c.values()) + len(train), len(c) + 1
+    want = collections.Counter()
+    for d, t in rows:
+        words = seen_bytes(t).split()
+        base = sum(math.log10((x + 1) / (n + v + 1)) for x in [*(c[w] for w in words), len(train)])
+        want[d, held(d), len(words) + 1, sum(c[w] > 0 for w in words) + 1, n, round(base, 6), round(plain_ppm(train, seen_bytes(t), order), 6)] += 1
+    got = ppm.score(docs, order=order).collect()
+    assert collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == want
+
+
+def test_scores_of_odd_tables(spark, none):
+    assert ppm.score(none).count() == 0
+    alone = ppm.score(spark.createDataFrame([(i, "ab") for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id long, text string")).collect()
+    assert {(r.train_tokens, r.n_known, round(r.score, 6), round(r.base_score, 6)) for r in alone} == {(0, 0, round(-3 * math.log10(256), 6), 0.0)}
