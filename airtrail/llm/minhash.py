@@ -14,6 +14,9 @@ HASHES = 128
 BITS = 4  # kept of each minimum; 16 minima share a 64-bit word
 ROWS, BANDS = 3, 42  # a pair at the threshold 0.75 meets in no band with chance (1 - 0.75 ** 3) ** 42, about 1e-10
 MARGIN = 0.25  # six standard deviations of the estimate below the threshold
+RELATED = 0.4  # estimates from here on put two classes into one group
+BLOCK = 2048  # classes of a group that others are compared with in one task
+CHUNK = 200_000  # shingles on either side of one exact comparison
 FACTORS = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 LOW = np.uint64((1 << BITS) - 1)
 ONES = 0x1111111111111111
@@ -102,18 +105,14 @@ def estimate(one: str, other: str) -> Column:
 
 
 def likely(threshold: float) -> Column:
-    """Pairs ``na, pa, nb, pb`` that sizes and the estimate don't rule out."""
+    """Pairs ``na, nb, e`` (sizes and estimate) that can reach the threshold."""
     fits = (F.col("na") >= F.lit(threshold - 1e-9) * F.col("nb")) & (F.col("nb") >= F.lit(threshold - 1e-9) * F.col("na"))
-    return fits & (estimate("pa", "pb") >= threshold - MARGIN)
+    return fits & (F.col("e") >= threshold - MARGIN)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of classes whose full sets overlap by ``percent`` of their union.
-
-    Only the texts of classes that stand in a pair are read into sets; each set is made once and written.
-    """
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    named = classes.join(wanted, "node").select("node", F.col("rep").alias("doc_id"), "k1", "k2")
+def full_sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """``node, members``: the full shingle sets of classes, in order; only their texts are read into sets."""
+    named = classes.join(nodes, "node").select("node", F.col("rep").alias("doc_id"), "k1", "k2")
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(named.select("doc_id").distinct(), "doc_id", "left_semi")
 
     def sets(batches):
@@ -126,7 +125,12 @@ def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, perce
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(k1), pa.array(k2), pa.array(raw, pa.binary())], names=["doc_id", "k1", "k2", "members"])
 
     made = texts.mapInArrow(sets, "doc_id long, k1 long, k2 long, members binary")
-    made = settle(made.join(named, ["doc_id", "k1", "k2"]).dropDuplicates(["node"]).select("node", "members"), "sets")
+    return settle(made.join(named, ["doc_id", "k1", "k2"]).dropDuplicates(["node"]).select("node", "members"), "sets")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of classes whose full sets overlap by ``percent`` of their union; each set is made once and written."""
+    made = full_sets(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), docs, classes, k)
 
     def compare(batches):
         for batch in batches:
@@ -146,14 +150,92 @@ def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, perce
     return both.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
 
 
+def linked(one: list[np.ndarray], other: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets of one list overlap which of another by ``percent`` of their union: a product of memberships of shared shingles."""
+    def spread(sets):
+        return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+
+    (x, i), (y, j) = spread(one), spread(other)
+    common = np.intersect1d(x, y)
+    counts = np.zeros((len(one), len(other)), np.float32)
+    for at in range(0, len(common), 4096):
+        part = common[at : at + 4096]
+        sides = []
+        for values, owner, n in ((x, i, len(one)), (y, j, len(other))):
+            place = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            hit = part[place] == values
+            table = np.zeros((n, len(part)), np.float32)
+            table[owner[hit], place[hit]] = 1
+            sides.append(table)
+        counts += sides[0] @ sides[1].T
+    sizes = np.add.outer([len(a) for a in one], [len(b) for b in other])
+    return 100 * counts >= percent * (sizes - counts)
+
+
+def chunks(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of at most 256 sets with about ``CHUNK`` shingles; a larger set is a range of its own."""
+    out, start, total = [], 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and (total + n > CHUNK or i - start == 256):
+            out.append((start, i))
+            start, total = i, 0
+        total += n
+    return [*out, (start, len(sizes))] if len(sizes) else out
+
+
+def across(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` between different components inside groups ``grp, node, component``, in blocks.
+
+    In a group the classes outside its largest component are compared with all others, block by block on full sets; a block
+    sends at most one link for each class and each component that it meets.
+    """
+    sizes = groups.groupBy("grp", "component").agg(F.count("*").alias("c")).groupBy("grp").agg(
+        F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("size"), F.count("*").alias("kinds"))
+    open_ = sizes.filter("kinds > 1 AND size > 2").select("grp", "main", "size")
+    rows = groups.join(open_, "grp").join(sets, "node")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    # small groups share a task
+    part = F.when(blocks > 1, F.col("grp")).otherwise(-1 - F.pmod(F.xxhash64("grp"), F.lit(4096)))
+    rows = rows.select("grp", "node", "component", "main", "members", blocks.alias("blocks"), part.alias("part"))
+    held = rows.select("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "grp", "node", "component", "members")
+    asking = rows.filter("component <> main").select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "grp", "node", "component", "members")
+    asking = asking.select(*[F.col(c).alias(c) for c in asking.columns])
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        def sorted_rows(table):
+            grp, node, component = (table.column(c).to_numpy() for c in ("grp", "node", "component"))
+            members = [np.frombuffer(m.as_buffer(), np.uint64) for m in table.column("members")]
+            order = np.argsort(grp, kind="stable")
+            return grp[order], node[order], component[order], [members[i] for i in order]
+
+        lg, ln, lc, lm = sorted_rows(left)
+        rg, rn, rc, rm = sorted_rows(right)
+        a, b = [], []
+        for g in np.unique(lg).tolist():
+            (l0, l1), (r0, r1) = np.searchsorted(lg, [g, g + 1]), np.searchsorted(rg, [g, g + 1])
+            for p, q in chunks(np.array([len(m) for m in lm[l0:l1]])):
+                for u, v in chunks(np.array([len(m) for m in rm[r0:r1]])):
+                    mine, theirs = slice(l0 + p, l0 + q), slice(r0 + u, r0 + v)
+                    hit = linked(lm[mine], rm[theirs], percent) & (lc[mine][:, None] != rc[theirs][None])
+                    x, y = np.nonzero(hit)
+                    _, first = np.unique(np.stack([ln[mine][x], rc[theirs][y]]), axis=1, return_index=True)
+                    a.append(ln[mine][x[first]])
+                    b.append(rn[theirs][y[first]])
+        return pa.table({"a": pa.array(np.concatenate([np.zeros(0, np.int64), *a])), "b": pa.array(np.concatenate([np.zeros(0, np.int64), *b]))})
+
+    return asking.groupBy("part", "block").cogroup(held.groupBy("part", "block")).applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs (doc_id, text)``.
 
     Documents with 100 * intersection >= ``percent`` * union of their shingle sets are linked; a component is named by its
     smallest doc_id and that document is kept. Equal sets form one class at once, and only classes are compared. In every band
-    bucket all classes are compared with the smallest one; where a bucket then still spans several components, its other
-    pairs across components are compared too, so a group of n alike costs about n comparisons instead of n * n / 2. Every
-    link is confirmed on the full sets. A pair is missed only if it meets in no band or its estimate is off by ``MARGIN``.
+    bucket all classes are compared with the smallest one and with one more, so a group of n alike costs about n comparisons a
+    bucket instead of n * n / 2. Classes that these comparisons find related (estimate ``RELATED``) form groups; where a group
+    still spans several components, the classes outside the largest are compared with all others of the group, in blocks. Every
+    link is confirmed on the full sets. A link is missed only if its classes meet in no band, or are found related to none of
+    the compared classes in all their buckets (less than one in a billion for unrelated ones, which share few minima).
 
     Rows without words are linked with nothing. Rows of one doc_id are one document. A null doc_id is linked with nothing, has a
     null component and is kept. No input gives no row.
@@ -171,27 +253,37 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     bands = classes.select("node", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("_most")).filter("least <> _most")
     shared = settle(bands.join(shared.drop("_most"), "band"), "buckets")
-    star = shared.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    star = settle(star.join(side("a"), "a").join(side("b"), "b").filter(likely(threshold)).select("a", "b"), "pairs")
-    links = settle(confirm(star, docs, classes, k, percent), "links")
+    def rated(pairs: DataFrame) -> DataFrame:
+        whole = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("e", estimate("pa", "pb"))
+        return settle(whole.filter(F.col("e") >= RELATED).select("a", "b", likely(threshold).alias("fits")), "pairs")
+
+    star = rated(shared.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
+    links = settle(confirm(star.filter("fits"), docs, classes, k, percent), "links")
     # rows of one doc_id with different texts belong together
     members = sketches.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "k1", "k2", "n").join(classes.select("k1", "k2", "n", "node", "rep"), ["k1", "k2", "n"])
     twice = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("_most")).filter("a <> _most")
     twice = members.join(twice, "doc_id").select("a", F.col("node").alias("b")).filter("a <> b")
-    found = components(links.union(twice), "stars")
-
-    # buckets that span several components: pairs across components that were not compared yet
-    placed = shared.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = placed.groupBy("band").agg(F.min("component").alias("main"), F.max("component").alias("_most")).filter("main <> _most").drop("_most")
-    placed = settle(placed.join(open_, "band").join(marks, "node").select("band", "node", "component", "main", "n", "packed"), "open")
-    x = placed.filter("component <> main").select("band", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("packed").alias("pa"))
-    y = placed.select("band", F.col("node").alias("b"), F.col("component").alias("cb"), "main", F.col("n").alias("nb"), F.col("packed").alias("pb"))
-    across = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b")))
-    rest = x.join(y, (x["band"] == y["band"]) & across & likely(threshold)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = settle(rest.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        more = settle(confirm(rest, docs, classes, k, percent), "links")
-        found = components(links.union(twice).union(more), "stars")
+    links = settle(links.union(twice), "links")
+    found = components(links, "stars")
+
+    # in buckets that span several components another class is compared with the others
+    placed = shared.select("band", "node").join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    other = placed.groupBy("band").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", "band")).alias("_z"), F.min("component").alias("_least"), F.max("component").alias("_most"))
+    other = other.filter("_least <> _most").select("band", "_z")
+    turn = placed.join(other, "band").filter("component <> _z.component").select(F.least("_z.node", "node").alias("a"), F.greatest("_z.node", "node").alias("b")).distinct()
+    turn = rated(turn.join(star.select("a", "b"), ["a", "b"], "left_anti"))
+    links = settle(links.union(confirm(turn.filter("fits"), docs, classes, k, percent)), "links")
+    found = components(links, "stars")
+
+    # what is left: related classes in different components
+    related = components(star.select("a", "b").union(turn.select("a", "b")), "groups").select(F.col("component").alias("grp"), F.col("id").alias("node"))
+    groups = related.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    groups = settle(groups.select("grp", "node", "component"), "groups")
+    spans = groups.groupBy("grp").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count("*").alias("_n")).filter("_a <> _b AND _n > 2")
+    sets = full_sets(groups.join(spans, "grp").select("node"), docs, classes, k)
+    more = settle(across(groups, sets, percent), "links")
+    if not more.isEmpty():
+        found = components(links.union(more), "stars")
 
     rooted = classes.select("node", "rep").join(found.withColumnRenamed("id", "node"), "node")
     named = rooted.groupBy("component").agg(F.min("rep").alias("component_id")).join(found, "component").select(F.col("id").alias("node"), "component_id")
