@@ -17,6 +17,7 @@ from .common import bytes_of, fold, mix, pieces, word_hashes
 ORDER = 5  # bytes of context
 END = 0xFF  # never a byte of UTF-8: closes a text, and stands before it as the context of its first bytes
 GRAM, WORD = 0, 1
+PIECE = 400_000  # characters that are counted or scored in one step
 
 
 class Lookup:
@@ -62,7 +63,7 @@ def pack(docs: DataFrame, parts: int, rest: int) -> DataFrame:
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             held = batch.column("held").to_pylist()
-            for a, b in pieces(texts):
+            for a, b in pieces(texts, PIECE):
                 bodies = [b" ".join(bytes_of(t).lower().split()) + b"\xff" for t in texts[a:b]]
                 row = [block], [ids[a:b]], [held[a:b]], [list(map(len, bodies))], [squeeze.compress(b"".join(bodies))]
                 kinds = pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary()
@@ -72,13 +73,12 @@ def pack(docs: DataFrame, parts: int, rest: int) -> DataFrame:
     return marked.mapInArrow(run, "block int, ids array<long>, held array<boolean>, sizes array<int>, body binary")
 
 
-def unpack(table) -> list[tuple]:
-    """Rows of ``pack`` as (ids, held, sizes, body bytes)."""
-    open_, out = zstandard.ZstdDecompressor(), []
+def unpack(table):
+    """Rows of ``pack`` as (block, ids, held, sizes, body bytes), one at a time."""
+    squeeze = zstandard.ZstdDecompressor()
     for i in range(table.num_rows):
-        one = [table.column(c)[i] for c in ("ids", "held", "sizes", "body")]
-        out.append((one[0].as_py(), np.array(one[1].as_py(), bool), np.array(one[2].as_py(), np.int64), open_.decompress(one[3].as_py())))
-    return out
+        block, ids, held, sizes, body = (table.column(c)[i] for c in ("block", "ids", "held", "sizes", "body"))
+        yield block.as_py(), ids.as_py(), np.array(held.as_py(), bool), np.array(sizes.as_py(), np.int64), squeeze.decompress(body.as_py())
 
 
 def grams(body: bytes, sizes: np.ndarray, order: int) -> np.ndarray:
@@ -110,7 +110,7 @@ def count(packed: DataFrame, order: int) -> DataFrame:
     def run(batches):
         had: dict[tuple[int, int], list] = {}
         for batch in batches:
-            for block, (_, held, sizes, body) in zip(batch.column("block").to_pylist(), unpack(batch)):
+            for block, _, held, sizes, body in unpack(batch):
                 words, at = word_hashes(body[:-1].split(b"\xff"))
                 for kind, keys, spread in ((GRAM, grams(body, sizes, order), sizes), (WORD, words.view(np.int64), np.diff(at))):
                     weight = np.repeat(~held, spread).astype(np.int64)
@@ -208,7 +208,7 @@ def score(docs: DataFrame, parts: int = 7, rest: int = 2, order: int = ORDER) ->
         kind, keys, value = (given.column(c).to_numpy() for c in ("kind", "key", "value"))
         tables = [Lookup(keys[kind == k], value[kind == k]) for k in (GRAM, WORD)]
         columns: list[list] = [[], [], [], [], [], []]
-        for ids, held, sizes, body in unpack(texts):
+        for _, ids, held, sizes, body in unpack(texts):
             model = np.add.reduceat(tables[GRAM](grams(body, sizes, order)), np.cumsum(sizes) - sizes)
             words, at = word_hashes(body[:-1].split(b"\xff"))
             c = tables[WORD](words.view(np.int64)) if len(words) else np.zeros(0)
