@@ -13,7 +13,7 @@ from ..session import scratch
 from ..sources import catalog, lines, sinks, tables, traffic, wifi
 from ..streaming import jobs as streams
 from .columns import _CLASS, CLEAN, STRICT
-from .sessions import (ENTRY, GAP, HOUR, IP_SQL, LOCATED_SQL, MERGE_SQL, PLACE_SQL, TAG_SQL, WIFI_SQL, _aps, _dpi, _flows, _transfers,
+from .sessions import (ENTRY, GAP, HOUR, IP_SQL, LINE_SQL, LOCATED_SQL, MERGE_SQL, PLACE_SQL, TAG_SQL, WIFI_SQL, _aps, _dpi, _flows, _transfers, tcp_line,
                        attach_account_sql, attach_ip_sql, gap_sql)
 from .tables import RULES, check
 
@@ -55,10 +55,11 @@ def _(t):
 
 
 def _pivot_sql(names, test):
-    return ", ".join(f"CAST(sum({unit}) FILTER ({test} = '{n}') AS BIGINT) AS \"{n}_{unit}\"" for n in names for unit in ("flows", "packets", "bytes"))
+    of = {n: f"{test} = '{n}'" for n in names} | {"other": test + " NOT IN (" + ", ".join(f"'{n}'" for n in names) + ")"}
+    return ", ".join(f"CAST(sum({unit}) FILTER ({mine}) AS BIGINT) AS \"{n}_{unit}\"" for n, mine in of.items() for unit in ("flows", "packets", "bytes"))
 
 
-NAMES = sorted([f"P{i}" for i in range(1, 12)] + ["TCP-Unknown", "UDP-Unknown"])
+NAMES = sorted([f"P{i}" for i in range(1, 9)] + ["TCP-Unknown"])  # the rest are other protocols
 LABEL_SQL = "CASE WHEN lower(l7) = 'unknown' THEN l4 || '-' || l7 ELSE l7 END"
 
 
@@ -246,10 +247,8 @@ def _(t):
 
 @check("s_tcp_log", "SELECT client_ip, client_port, c_packets AS client_packets, c_bytes AS client_data_bytes, server_ip, server_port, s_packets AS server_packets, s_bytes AS server_data_bytes, f_us // 1000 AS start_ms FROM {tcp}")
 def _(t):
-    put = {0: "client_ip", 1: "client_port", 2: "c_packets", 8: "c_bytes", 44: "server_ip", 45: "server_port", 46: "s_packets", 52: "s_bytes"}
-    cells = [F.coalesce(F.col(put[i]).cast("string"), F.lit("-")) if i in put else F.format_string("%.3f", "first_abs_time_ms") if i == 97 else F.lit("0") for i in range(111)]
     path = scratch(t.spark, "tcp")
-    t["tcp"].select(F.concat_ws(" ", *cells).alias("value")).unionByName(t["tcp"].select(F.lit("1.2.3.4 80 1").alias("value"))).write.text(path)
+    t["tcp"].select(tcp_line().alias("value")).unionByName(t["tcp"].select(F.lit("1.2.3.4 80 1").alias("value"))).write.text(path)
     return traffic.read_tcp_log(t.spark, path).select("client_ip", "client_port", "client_packets", "client_data_bytes", "server_ip", "server_port", "server_packets", "server_data_bytes",
                                                       F.floor("first_abs_time_ms").alias("start_ms"))
 
@@ -278,8 +277,8 @@ def _(t):
 def _(t):
     at = F.date_format(F.timestamp_millis("t_ms"), "MMM d HH:mm:ss yyyy")
     mac = F.concat_ws(":", *[F.substring("mac", i, 2) for i in range(1, 12, 2)])
-    head = F.concat(F.col("t_ms").cast("string"), F.lit(" <141>"), at, F.lit(" 10.192.28.15 stm[681]: <"))
-    ap = F.concat(F.lit(" AP 10.192.28.15-6c:f3:7f:36:57:21-"), F.col("ap_name"), F.lit(" done"))
+    head = F.concat(F.col("t_ms").cast("string"), F.lit(" <141>"), at, F.lit(" 192.0.2.7 stm[12]: <"))
+    ap = F.concat(F.lit(" AP 192.0.2.7-02:00:5e:00:53:01-"), F.col("ap_name"), F.lit(" done"))
     body = (
         F.when(F.col("code") == 0, F.concat(head, F.lit("501091> <NOTI>  Auth request: "), mac, F.lit(": "), ap))
         .when(F.col("code") == 1, F.concat(head, F.lit("501106> <NOTI>  Deauth to sta: "), mac, F.lit(": Ageout"), ap))
@@ -314,12 +313,14 @@ def _(t):
     return wifi.read_location_log(t.spark, path)
 
 
-@check("s_named_files", "SELECT k % 2 = 1 AS odd, count(*) AS n FROM {ev} WHERE k % 3 = 1 GROUP BY 1")
+@check("s_named_files", "SELECT k, count(*) AS n FROM {ev} WHERE k % 3 = 1 GROUP BY 1")
 def _(t):
     path = scratch(t.spark, "named")
-    t["ev"].select(F.concat(F.lit("part"), (F.col("k") % 3).cast("string")).alias("name"), F.col("k").cast("string").alias("value")).write.partitionBy("name").text(path)
-    found = lines.read_lines(t.spark, path + "/name=part1", name_regex=r"PART-\d+")
-    return found.groupBy((F.col("value").cast("int") % 2 == 1).alias("odd")).agg(F.count("*").alias("n"))
+    # three folders; the names of the files in one of them match, the others' differ by their suffix
+    for i, codec in enumerate(("bzip2", "gzip", "none")):
+        t["ev"].where(F.col("k") % 3 == i).select(F.col("k").cast("string").alias("value")).write.option("compression", codec).text(f"{path}/{codec}")
+    found = lines.read_lines(t.spark, path, name_regex=r"PART-\d+.*\.gz$")
+    return found.groupBy(F.col("value").cast("int").alias("k")).agg(F.count("*").alias("n"))
 
 
 @check("s_tolerant_gzip", "SELECT CAST(event_id AS STRING) AS value FROM {ev}")
@@ -370,11 +371,11 @@ def _(t):
     return wifi.read_wifi_sessions(t.spark, path)
 
 
-@check("k_by_month", "SELECT 'SET' || strftime(l_shipdate, '%y%m') AS \"set\", count(*) AS n FROM {lineitem} GROUP BY 1")
+@check("k_by_month", "SELECT 'SET' || strftime(l_shipdate, '%y%m') AS \"set\", l_orderkey, l_linenumber FROM {lineitem}")
 def _(t):
     path = scratch(t.spark, "months")
-    sinks.write_by_month(t["lineitem"].select("l_orderkey", F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("stime")), path)
-    return t.spark.read.parquet(path).groupBy("set").agg(F.count("*").alias("n"))
+    sinks.write_by_month(t["lineitem"].select("l_orderkey", "l_linenumber", F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("stime")), path)
+    return t.spark.read.parquet(path).select("set", "l_orderkey", "l_linenumber")
 
 
 @check("k_hourly", BREAKDOWN_SQL)
@@ -386,13 +387,13 @@ def _(t):
     return t.spark.read.parquet(path).withColumn("hour", F.unix_millis("hour")).drop("at")
 
 
-@check("k_location_db", "SELECT 'ip' AS side, count(*) AS n, CAST(sum(rtime - atime) AS BIGINT) AS span FROM {ip_spans} UNION ALL SELECT 'ap', count(*), CAST(sum(end_ms - start_ms) AS BIGINT) FROM {ap_spans}")
+@check("k_location_db", "SELECT 'ip' AS side, mac, ip AS name, atime AS lo, rtime AS hi FROM {ip_spans} UNION ALL SELECT 'ap', mac, ap, start_ms, end_ms FROM {ap_spans}")
 def _(t):
     path = scratch(t.spark, "places")
     sinks.save_location_db(t["ip_spans"], _aps(t), path)
     ip, ap = sinks.load_location_db(t.spark, path)
-    return ip.agg(F.lit("ip").alias("side"), F.count("*").alias("n"), F.sum(F.col("rtime") - F.col("atime")).alias("span")).unionByName(
-        ap.agg(F.lit("ap").alias("side"), F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("span")))
+    return ip.select(F.lit("ip").alias("side"), "mac", F.col("ip").alias("name"), F.col("atime").alias("lo"), F.col("rtime").alias("hi")).unionByName(
+        ap.select(F.lit("ap").alias("side"), "mac", F.col("ap").alias("name"), F.col("start").alias("lo"), F.col("end").alias("hi")))
 
 
 @check("k_recompress", "SELECT CAST(event_id AS STRING) AS value FROM {ev}")
@@ -403,22 +404,11 @@ def _(t):
     return lines.read_lines(t.spark, b)
 
 
-@check("k_flow_blocks", f"""WITH {MERGE_SQL}, c AS (SELECT block, count(*) FILTER (side = 'tcp') AS n_tcp, count(*) FILTER (side = 'http') AS n_http FROM merged GROUP BY 1)
-    SELECT CAST(sum(greatest(n_tcp, 1)) AS BIGINT) AS tcp_lines, CAST(sum(greatest(n_http, 1)) AS BIGINT) AS http_lines, CAST(sum(CASE WHEN n_tcp = 0 THEN 1 ELSE 0 END) AS BIGINT) AS lone_http,
-    CAST(sum(CASE WHEN n_http = 0 THEN 1 ELSE 0 END) AS BIGINT) AS lone_tcp FROM c""")
-def _(t):
-    path = scratch(t.spark, "blocks")
-    sinks.write_flow_blocks(matching.merge_flows(_flows(t), _transfers(t)), path)
-    v = F.col("value")
-    return lines.read_lines(t.spark, path).agg(F.count_if(v.startswith("TCP: ")).alias("tcp_lines"), F.count_if(v.startswith("HTTP: ")).alias("http_lines"),
-                                               F.count_if(v == "TCP: -").alias("lone_http"), F.count_if(v == "HTTP: -").alias("lone_tcp"))
-
-
 @check("w_flow_blocks", f"""WITH {MERGE_SQL}, c AS (SELECT block, count(*) FILTER (side = 'tcp') AS n_tcp, count(*) FILTER (side = 'http') AS n_http FROM merged GROUP BY 1)
     SELECT n, CAST(sum(m) AS BIGINT) AS blocks FROM (SELECT 2 + n_http - 1 AS n, 1 AS m FROM c WHERE n_http > 0 UNION ALL SELECT 2, 1 FROM c WHERE n_http = 0 UNION ALL SELECT 1, greatest(n_tcp - 1, 0) FROM c) x WHERE m > 0 GROUP BY 1""")
 def _(t):
     path = scratch(t.spark, "blocks")
-    sinks.write_flow_blocks(matching.merge_flows(_flows(t), _transfers(t)), path)
+    sinks.write_flow_blocks(matching.with_lines(matching.merge_flows(_flows(t), _transfers(t)), _flows(t), _transfers(t)), path)
     numbered = sessions.flow_blocks(lines.ordered_lines(t.spark, path))
     sizes = numbered.groupBy("file", "block").agg(F.count("*").cast("int").alias("n"))
     return sizes.groupBy("n").agg(F.count("*").alias("blocks"))
@@ -501,14 +491,27 @@ def _(t):
     return jobs.wifi_sessions(both, None, GAP, 2 * HOUR)
 
 
-_JOB_FLOW = f"""WITH {MERGE_SQL}, {TAG_SQL.split('flows AS', 1)[1].split('), d AS', 1)[1].join(['d AS', ''])}, lf AS (SELECT flow_id, CASE WHEN client_ip LIKE '10.184%' THEN client_ip ELSE server_ip END AS ip, t_us // 1000 AS t_ms FROM flows),
-    asked AS (SELECT ip, t_ms FROM lf), {PLACE_SQL} SELECT m.block, m.side, m.pos, m.matched, tag.protocol, CASE WHEN m.side = 'tcp' THEN coalesce(p.mac, 'N/A') END AS device, CASE WHEN m.side = 'tcp' THEN coalesce(p.ap, 'N/A') END AS place
-    FROM merged m LEFT JOIN tag ON m.side = 'tcp' AND tag.flow_id = m.pos LEFT JOIN lf ON m.side = 'tcp' AND lf.flow_id = m.pos LEFT JOIN place p ON p.ip = lf.ip AND p.t_ms = lf.t_ms"""
+ENDS_SQL = """r AS (SELECT m.block, 0 AS rank, m.pos, f.client_ip AS src_ip, f.server_ip AS dst_ip, f.t_us // 1000 AS t_ms FROM merged m JOIN flows f ON m.side = 'tcp' AND f.flow_id = m.pos
+    UNION ALL SELECT m.block, 1, m.pos, h.source_ip, h.dest_ip, coalesce(y.conn_us, y.req_us) // 1000 FROM merged m JOIN y ON m.side = 'http' AND y.seq = m.pos JOIN {http} h ON h.seq = m.pos),
+    ends AS (SELECT block, arg_min(src_ip, (rank, pos)) AS src_ip, arg_min(dst_ip, (rank, pos)) AS dst_ip, arg_min(t_ms, (rank, pos)) AS t_ms FROM r GROUP BY 1)"""
+_TAGGED = f"""{MERGE_SQL}, {TAG_SQL.split('flows AS', 1)[1].split('), d AS', 1)[1].join(['d AS', ''])}, {ENDS_SQL}, {LINE_SQL}, lf AS (SELECT block, CASE WHEN src_ip LIKE '10.184%' THEN src_ip ELSE dst_ip END AS ip, t_ms FROM ends),
+    asked AS (SELECT ip, t_ms FROM lf), {PLACE_SQL}, tagged AS (SELECT m.block, m.side, m.pos, m.matched, tag.protocol, coalesce(p.mac, 'N/A') AS device, coalesce(p.ap, 'N/A') AS place, line
+    FROM merged m LEFT JOIN tag ON m.side = 'tcp' AND tag.flow_id = m.pos JOIN lf ON lf.block = m.block JOIN all_lines l ON l.side = m.side AND l.pos = m.pos LEFT JOIN place p ON p.ip = lf.ip AND p.t_ms = lf.t_ms)"""
+_JOB_FLOW = f"WITH {_TAGGED} SELECT * FROM tagged"
 
 
 @check("job_flow_merge", _JOB_FLOW)
 def _(t):
-    return jobs.flow_merge(_flows(t), _transfers(t), _dpi(t), t["ip_spans"], _aps(t), "10.184").select("block", "side", "pos", "matched", "protocol", "device", "place")
+    return jobs.flow_merge(_flows(t), _transfers(t), _dpi(t), t["ip_spans"], _aps(t), "10.184").select("block", "side", "pos", "matched", "protocol", "device", "place", "line")
+
+
+@check("k_flow_blocks", f"""WITH {_TAGGED} SELECT CASE WHEN side = 'tcp' THEN 'TCP: ' || device || ' ' || place || ' ' || protocol || ' ' || line ELSE 'HTTP: ' || line END AS value FROM tagged
+    UNION ALL SELECT 'TCP: ' || min(device) || ' ' || min(place) || ' -' FROM tagged GROUP BY block HAVING count(*) FILTER (side = 'tcp') = 0
+    UNION ALL SELECT 'HTTP: -' FROM tagged GROUP BY block HAVING count(*) FILTER (side = 'http') = 0""")
+def _(t):
+    path = scratch(t.spark, "blocks")
+    sinks.write_flow_blocks(jobs.flow_merge(_flows(t), _transfers(t), _dpi(t), t["ip_spans"], _aps(t), "10.184"), path)
+    return lines.read_lines(t.spark, path)
 
 
 @check("j_block_endpoints", f"""WITH {MERGE_SQL}, r AS (SELECT m.block, 0 AS rank, m.pos, f.client_ip AS src_ip, f.server_ip AS dst_ip, f.t_us // 1000 AS t_ms FROM merged m JOIN flows f ON m.side = 'tcp' AND f.flow_id = m.pos
@@ -516,9 +519,7 @@ def _(t):
     SELECT block, arg_min(src_ip, (rank, pos)) AS src_ip, arg_min(dst_ip, (rank, pos)) AS dst_ip, arg_min(t_ms, (rank, pos)) AS t_ms FROM r GROUP BY 1""")
 def _(t):
     blocks = matching.merge_flows(_flows(t), _transfers(t)).withColumn("t_ms", F.floor(F.col("t_us") / 1000))
-    ends = _flows(t).select(F.lit("tcp").alias("side"), F.col("flow_id").alias("pos"), "src_ip", "dst_ip").unionByName(
-        t["http"].select(F.lit("http").alias("side"), F.col("seq").alias("pos"), F.col("source_ip").alias("src_ip"), F.col("dest_ip").alias("dst_ip")))
-    return matching.block_endpoints(blocks.join(ends, ["side", "pos"]))
+    return matching.block_endpoints(blocks)
 
 
 # ---- streams: what is there is processed once; a marker far ahead closes the last windows
@@ -547,9 +548,9 @@ def _(t):
     return _run(t, streams.stream_protocol_hours(source)).withColumn("hour", F.unix_millis("hour"))
 
 
-@check("t_direction_hours", f"""SELECT hour, l4, count(*) AS flows, CAST(sum({_UP.format('c_packets', 's_packets')}) AS BIGINT) AS packets_up, CAST(sum({_UP.format('s_packets', 'c_packets')}) AS BIGINT) AS packets_down,
-    CAST(sum({_UP.format('c_bytes', 's_bytes')}) AS BIGINT) AS bytes_up, CAST(sum({_UP.format('s_bytes', 'c_bytes')}) AS BIGINT) AS bytes_down
-    FROM (SELECT 'tcp' AS l4, {_COUNTERS} FROM {{tcp}} UNION ALL SELECT 'udp', {_COUNTERS} FROM {{udp}}) x GROUP BY 1, 2""")
+@check("t_direction_hours", f"""WITH b AS (SELECT hour, {_dir_sql('tcp')}, {_dir_sql('udp')} FROM (SELECT 'tcp' AS l4, {_COUNTERS} FROM {{tcp}} UNION ALL SELECT 'udp', {_COUNTERS} FROM {{udp}}) x GROUP BY 1)
+    SELECT hour, 'tcp' AS l4, tcp_flows AS flows, tcp_packets_up AS packets_up, tcp_packets_down AS packets_down, tcp_bytes_up AS bytes_up, tcp_bytes_down AS bytes_down FROM b WHERE tcp_flows > 0
+    UNION ALL SELECT hour, 'udp', udp_flows, udp_packets_up, udp_packets_down, udp_bytes_up, udp_bytes_down FROM b WHERE udp_flows > 0""")
 def _(t):
     names = ["t_ms", "client_ip", "c_packets", "c_bytes", "s_packets", "s_bytes"]
     both = t["tcp"].select(*names, F.lit("tcp").alias("l4")).unionByName(t["udp"].select(*names, F.lit("udp").alias("l4")))
@@ -562,17 +563,28 @@ def _(t):
     return _run(t, streams.stream_sessionize(source, "ip", gap="6 hours")).select("ip", F.unix_millis("start").alias("start"), F.unix_millis("last").alias("last"), "requests", "bytes")
 
 
-@check("t_merge_flows", """WITH f AS (SELECT flow_id, user_id % 40 AS socket, f_us // 1000 AS t FROM {tcp} JOIN {ev} ON event_id = flow_id), h AS (SELECT event_id AS seq, user_id % 40 AS socket, t_ms AS t FROM {ev} WHERE event_type = 'view')
+@check("t_merge_flows", """WITH f AS (SELECT flow_id, user_id % 40 AS socket, f_us // 1000 AS t FROM {tcp} JOIN {ev} ON event_id = flow_id), h AS (SELECT event_id AS seq, user_id % 40 AS socket, t_ms AS t FROM {ev})
     SELECT f.flow_id, h.seq FROM f FULL JOIN h ON f.socket = h.socket AND abs(f.t - h.t) < 180000""")
 def _(t):
     users = t["ev"].select(F.col("event_id").alias("flow_id"), (F.col("user_id") % 40).alias("socket"))
     flows = t["tcp"].select("flow_id", F.floor(F.col("f_us") / 1000).alias("f_ms")).join(users, "flow_id")
-    sent = t["ev"].where("event_type = 'view'").select(F.col("event_id").alias("seq"), (F.col("user_id") % 40).alias("socket"), "t_ms")
+    sent = t["ev"].select(F.col("event_id").alias("seq"), (F.col("user_id") % 40).alias("socket"), "t_ms")
     a = _closed(t, flows, "f_ms", "flow_ts", flow_id=-1, socket=-1)
     b = _closed(t, sent, "t_ms", "http_ts", seq=-1, socket=-2)
     return _run(t, streams.stream_merge_flows(a, b)).where("coalesce(flow_id, 0) >= 0 AND coalesce(seq, 0) >= 0").select("flow_id", "seq")
 
 
+@check("t_best_matches", f"WITH {MERGE_SQL} SELECT block, side, pos, matched FROM merged")
+def _(t):
+    flows = _flows(t).select("flow_id", "socket", "t_us", F.floor(F.col("t_us") / 1000).alias("f_ms"))
+    sent = _transfers(t).select("seq", "socket", "connection", "conn_us", "req_us", F.floor(F.col("req_us") / 1000).alias("t_ms"))
+    a = _closed(t, flows, "f_ms", "flow_ts", flow_id=-1, socket="-")
+    b = _closed(t, sent, "t_ms", "http_ts", seq=-1, socket="+")
+    # a connection may have begun long before its first request: the stream only gathers, the blocks come from all rows
+    pairs = _run(t, streams.stream_merge_flows(a, b)).where("coalesce(flow_id, 0) >= 0 AND coalesce(seq, 0) >= 0")
+    return streams.best_matches(pairs).select("block", "side", "pos", "matched")
+
+
 @check("t_stream_logs", "SELECT event_type AS kind, count(*) AS n FROM {ev} GROUP BY 1")
 def _(t):
     path = scratch(t.spark, "landing")

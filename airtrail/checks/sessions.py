@@ -89,14 +89,14 @@ def _(t):
     return sessions.ip_sessions(t["addr"], GAP)
 
 
-@check("w_context_sessions", f"""WITH c AS (SELECT seq, 'u' || CAST(user_id % 50 AS STRING) AS account, 'B' || CAST(k % 3 AS STRING) AS location, t_ms AS stime, t_ms // 86400000 AS d
+@check("w_context_sessions", f"""WITH c AS (SELECT seq, CASE WHEN k % 4 = 0 THEN 'no account ' || CAST(user_id % 200 AS STRING) ELSE 'u' || CAST(user_id % 50 AS STRING) END AS account, 'B' || CAST(k % 3 AS STRING) AS location, t_ms AS stime, t_ms // 86400000 AS d
         FROM (SELECT *, event_id AS seq FROM {{ev}}) e),
     f AS (SELECT *, CASE WHEN stime - lag(stime) OVER w <= {HOUR} AND lag(location) OVER w = location THEN 0 ELSE 1 END AS fresh FROM c WINDOW w AS (PARTITION BY account, d ORDER BY stime, seq)),
     n AS (SELECT *, sum(fresh) OVER (PARTITION BY account, d ORDER BY stime, seq) AS no FROM f)
     SELECT seq, min(stime) OVER (PARTITION BY account, d, no) AS start, count(*) OVER (PARTITION BY account, d, no) AS n FROM n""")
 def _(t):
-    rows = t["ev"].select(F.col("event_id").alias("seq"), F.concat(F.lit("u"), (F.col("user_id") % 50).cast("string")).alias("account"),
-                          F.concat(F.lit("B"), (F.col("k") % 3).cast("string")).alias("location"), F.col("t_ms").alias("stime"))
+    rows = t["ev"].select(F.col("event_id").alias("seq"), F.when(F.col("k") % 4 != 0, F.concat(F.lit("u"), (F.col("user_id") % 50).cast("string"))).alias("account"),
+                          (F.col("user_id") % 200).cast("string").alias("ip"), F.concat(F.lit("B"), (F.col("k") % 3).cast("string")).alias("location"), F.col("t_ms").alias("stime"))
     marked = sessions.context_sessions(rows, HOUR)
     sizes = marked.groupBy("sid").agg(F.min("stime").alias("start"), F.count("*").alias("n"))
     return marked.join(sizes, "sid").select("seq", "start", "n")
@@ -125,8 +125,33 @@ def _transfers(t):
     return jobs.transfers(t["http"])
 
 
+TCP_FIELDS = {0: "client_ip", 1: "client_port", 2: "c_packets", 8: "c_bytes", 44: "server_ip", 45: "server_port", 46: "s_packets", 52: "s_bytes"}
+
+
+def tcp_line():
+    """A flow record of 111 fields from the tcp view."""
+    return F.concat_ws(" ", *[F.coalesce(F.col(TCP_FIELDS[i]).cast("string"), F.lit("-")) if i in TCP_FIELDS else F.format_string("%.3f", "first_abs_time_ms") if i == 97 else F.lit("0") for i in range(111)])
+
+
 def _flows(t):
-    return jobs.flow_keys(t["tcp"])
+    return jobs.flow_keys(t["tcp"].withColumn("line", tcp_line()))
+
+
+def _line_sql(http_columns) -> str:
+    """Both records as SQL: the flow's from its 111 fields, the request's from its 38."""
+    from .. import schemas
+
+    cells = [f"coalesce(CAST({TCP_FIELDS[i]} AS VARCHAR), '-')" if i in TCP_FIELDS else "printf('%.3f', first_abs_time_ms)" if i == 97 else "'0'" for i in range(111)]
+    asked = []
+    for i, (name, kind) in enumerate(zip(schemas.names(schemas.HTTP), schemas.types(schemas.HTTP))):
+        text = "'N/A'" if name not in http_columns else f"coalesce(printf('%.6f', {name}), 'N/A')" if kind == "DOUBLE" else f"coalesce(CAST({name} AS VARCHAR), 'N/A')"
+        asked.append(f"'\"' || {text} || '\"'" if i >= 17 else text)
+    return (f"tcp_lines AS (SELECT flow_id AS pos, 'tcp' AS side, {' || chr(32) || '.join(cells)} AS line FROM {{tcp}}), "
+            f"http_lines AS (SELECT seq AS pos, 'http' AS side, {' || chr(32) || '.join(asked)} AS line FROM {{http}}), all_lines AS (SELECT * FROM tcp_lines UNION ALL SELECT * FROM http_lines)")
+
+
+LINE_SQL = _line_sql({"source_ip", "source_port", "dest_ip", "dest_port", "connection", "connection_ts", "request_ts", "request_time", "response_ts", "response_time_begin", "response_time_end",
+                      "request_size", "response_size", "request_url", "request_protocol", "request_host", "request_user_agent", "request_referer", "response_content_type"})
 
 
 def _dpi(t):
@@ -271,21 +296,21 @@ def _(t):
 
 
 @check("j_click_match", f"""WITH e AS ({ENTRY}), tree AS (SELECT seq, agent, t, session_start AS tree FROM ({gap_sql('SELECT * FROM e', 'agent', 't', 300_000_000)}) x),
-    clicks AS (SELECT t_us FROM {{ev}} WHERE event_type = 'click' AND k < 30),
+    clicks AS (SELECT t_us FROM {{ev}} WHERE event_type = 'click'),
     live AS (SELECT DISTINCT agent, tree FROM tree r WHERE EXISTS (SELECT 1 FROM clicks c WHERE r.t - c.t_us >= 0 AND r.t - c.t_us < 60000000))
     SELECT seq FROM tree r WHERE EXISTS (SELECT 1 FROM live l WHERE l.agent IS NOT DISTINCT FROM r.agent AND l.tree = r.tree)""")
 def _(t):
     trees = sessions.truth_trees(jobs.entries(t["http"]), "agent", "t", 300_000_000).withColumn("trace", F.lit(0))
-    clicks = t["ev"].where("event_type = 'click' AND k < 30").select(F.lit(0).alias("trace"), F.col("t_us").alias("click"))
+    clicks = t["ev"].where("event_type = 'click'").select(F.lit(0).alias("trace"), F.col("t_us").alias("click"))
     return matching.click_match(trees, clicks, ["trace"], ["agent", "tree"], "t", "click", 60_000_000).select("seq")
 
 
-@check("j_pair_by_period", """WITH a AS (SELECT DISTINCT date_trunc('hour', make_timestamp(t_ms * 1000)) AS h FROM {tcp} WHERE flow_id % 3 = 0), b AS (SELECT DISTINCT date_trunc('hour', make_timestamp(t_ms * 1000)) AS h FROM {udp})
+@check("j_pair_by_period", """WITH a AS (SELECT DISTINCT date_trunc('hour', make_timestamp(t_ms * 1000)) AS h FROM {tcp}), b AS (SELECT DISTINCT date_trunc('hour', make_timestamp(t_ms * 1000)) AS h FROM {udp})
     SELECT epoch_ms(coalesce(a.h, b.h)) AS period_ms, a.h IS NOT NULL AS has_tcp, b.h IS NOT NULL AS has_udp FROM a FULL JOIN b ON a.h = b.h""")
 def _(t):
     def hours(df, name):
         return df.select(F.date_trunc("hour", F.timestamp_millis("t_ms")).alias(name)).distinct()
-    a, b = hours(t["tcp"].where("flow_id % 3 = 0"), "tcp_file"), hours(t["udp"], "udp_file")
+    a, b = hours(t["tcp"], "tcp_file"), hours(t["udp"], "udp_file")
     both = matching.pair_by_period(a, b, "tcp_file", "udp_file")
     return both.select(F.unix_millis("period").alias("period_ms"), F.col("tcp_file").isNotNull().alias("has_tcp"), F.col("udp_file").isNotNull().alias("has_udp"))
 
@@ -298,5 +323,4 @@ def _(t):
         WHEN ov <= 0 AND abs(ov) < 10 THEN 4 ELSE 9 END AS pair_class FROM m""")
 def _(t):
     marked = sessions.ua_sessions(jobs.entries(t["http"]), "agent", "domain", "t", 900_000_000)
-    keyed = marked.withColumn("activity", F.coalesce("activity", F.lit("")))
-    return sessions.classify_against_previous(keyed, ["has_ua", "activity", "session_start"], ["t", "seq"], 3_600_000_000).select("seq", "pair_class")
+    return sessions.classify_against_previous(marked, ["has_ua", "activity", "session_start"], ["t", "seq"]).select("seq", "pair_class")

@@ -31,11 +31,11 @@ VIEWS = {
     # movement sessions with address and account
     "moves": """SELECT '00' || lpad(CAST(user_id AS STRING), 10, '0') AS mac, t_ms AS s_ms, t_ms + k * 600000 AS e_ms,
         'B' || CAST(k % 4 AS STRING) AS ap, '10.184.' || CAST(user_id % 200 AS STRING) || '.' || CAST(event_id % 3 AS STRING) AS ip,
-        'u' || CAST(user_id % 50 AS STRING) AS account FROM {ev} WHERE event_id % 2 = 0""",
+        'u' || CAST(user_id % 50 AS STRING) AS account FROM {ev}""",
     "ip_spans": """SELECT '10.184.' || CAST(user_id % 20 AS STRING) || '.' || CAST(k % 3 AS STRING) AS ip,
-        '00' || lpad(CAST(user_id AS STRING), 10, '0') AS mac, t_ms AS atime, t_ms + k * 300000 AS rtime FROM {ev} WHERE event_id % 2 = 1""",
+        '00' || lpad(CAST(user_id AS STRING), 10, '0') AS mac, t_ms AS atime, t_ms + k * 300000 AS rtime FROM {ev}""",
     "ap_spans": """SELECT '00' || lpad(CAST(user_id AS STRING), 10, '0') AS mac, 'B' || CAST(k % 4 AS STRING) AS ap, t_ms AS start_ms,
-        t_ms + k * 900000 AS end_ms FROM {ev} WHERE event_id % 5 < 3""",
+        t_ms + k * 900000 AS end_ms FROM {ev}""",
     "asks": """SELECT event_id AS seq, '10.184.' || CAST(user_id % 20 AS STRING) || '.' || CAST(k % 3 AS STRING) AS ip,
         '00' || lpad(CAST(user_id AS STRING), 10, '0') AS mac, t_ms FROM {ev}""",
     "req": """SELECT *, event_id % (SELECT count(*) FROM {pages}) AS page, (event_id + 999999 - k % 3) % (SELECT count(*) FROM {pages}) AS ref_page,
@@ -72,7 +72,7 @@ VIEWS = {
         CASE WHEN k % 12 = 0 THEN 'Unknown' ELSE 'P' || CAST(k % 12 AS STRING) END AS proto_name, CAST(k + 1 AS BIGINT) AS packets,
         CAST(floor(value * 7) AS BIGINT) AS bytes, t_ms, CASE WHEN event_id % 2 = 0 THEN event_id ELSE -event_id END AS dpi_no FROM {req}""",
     "profiles": """SELECT 'u' || CAST(c_custkey % 60 AS STRING) AS account, 'p' || CAST(c_custkey AS STRING) AS id,
-        CASE WHEN c_nationkey % 2 = 0 THEN 'F' ELSE 'M' END AS sex, CAST(1980 + c_nationkey AS STRING) AS birth, '2013' AS eduy FROM {customer} WHERE c_custkey % 3 = 0""",
+        CASE WHEN c_nationkey % 2 = 0 THEN 'F' ELSE 'M' END AS sex, CAST(1980 + c_nationkey AS STRING) AS birth, '2013' AS eduy FROM {customer}""",
 }
 
 # Small lookups of our own for the checked queries.

@@ -23,9 +23,11 @@ def ms_to_iso(ms: Column) -> Column:
 
 
 def syslog_ms(text: Column, default_year: int = 2013) -> Column:
-    """``Jan 31 00:06:12 2014`` to epoch milliseconds; the year may be missing."""
+    """``Jan 31 00:06:12 2014`` to epoch milliseconds; a missing year is ``default_year``, on 29 February the last leap year up to it."""
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    full = F.when(flat.rlike(r"\d{4}$"), flat).otherwise(F.concat(flat, F.lit(f" {default_year}")))
+    leap = next(y for y in range(default_year, 0, -1) if y % 4 == 0 and (y % 100 or y % 400 == 0))
+    year = F.when(flat.rlike(r"(?i)^feb 29 "), F.lit(f" {leap}")).otherwise(F.lit(f" {default_year}"))
+    full = F.when(flat.rlike(r"\d{4}$"), flat).otherwise(F.concat(flat, year))
     return F.unix_millis(F.try_to_timestamp(full, F.lit("MMM d H:m:s yyyy")))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, functions as F
 
 # Device words looked for in a user agent, first match wins (case-sensitive).
@@ -13,13 +15,16 @@ MOBILE_WORDS = (
     r"vodafone|wap|webos|windows (ce|phone)|wireless|xda|xiino|zune"
 )
 
-# Public suffixes known without a user-supplied list.
-COMMON_SUFFIXES = (
-    "com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "io", "me", "tv", "cc", "mobi",
-    "cn", "com.cn", "net.cn", "org.cn", "edu.cn", "gov.cn", "hk", "com.hk", "tw", "com.tw", "jp", "co.jp",
-    "kr", "co.kr", "uk", "co.uk", "ac.uk", "org.uk", "de", "fr", "es", "it", "nl", "ru", "us", "ca", "au",
-    "com.au", "br", "com.br", "in", "co.in", "eu",
-)
+class Suffixes(NamedTuple):
+    """Public suffix rules: plain suffixes, parents of wildcard rules (``*.ck``), hosts that exception rules (``!www.ck``) take out."""
+
+    plain: tuple[str, ...]
+    wildcards: tuple[str, ...] = ()
+    exceptions: tuple[str, ...] = ()
+
+
+# A few suffixes for work without a list; jobs take the user's full list, see ``read_lookup(kind="suffixes")``.
+SOME_SUFFIXES = Suffixes(("com", "org", "net", "edu", "gov", "info", "cn", "com.cn", "edu.cn", "jp", "co.jp", "uk", "co.uk", "ac.uk", "de", "fr", "es", "it"))
 
 
 def let(value: Column, body) -> Column:
@@ -73,32 +78,27 @@ def url_params(url: Column) -> Column:
     """Query parameters as a map; a repeated name keeps its last value."""
     query = F.regexp_extract(url, r"^(?:\w+://)?(?:[^\?&]+)(\?.*)?$", 1)
     pairs = F.regexp_extract_all(query, F.lit(r"([^?=&]+=[^?&=]+)"), F.lit(1))
-    names = F.transform(pairs, lambda p: F.substring_index(p, "=", 1))
-    values = F.transform(pairs, lambda p: F.substring_index(p, "=", -1))
-    last = F.filter(
-        F.transform(names, lambda n, i: F.struct(n.alias("n"), i.alias("i"), F.try_element_at(values, i + 1).alias("v"))),
-        lambda e: ~F.exists(
-            F.transform(names, lambda m, j: F.struct(m.alias("m"), j.alias("j"))),
-            lambda o: (o["m"] == e["n"]) & (o["j"] > e["i"]),
-        ),
-    )
-    built = F.map_from_entries(F.transform(last, lambda e: F.struct(e["n"], e["v"])))
+    # from the last pair on, the first of each name stays
+    back = F.reverse(F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1).alias("n"), F.substring_index(p, "=", -1).alias("v"))))
+    names = F.transform(back, lambda e: e["n"])
+    last = F.filter(back, lambda e, i: F.array_position(names, e["n"]) == i + 1)
+    built = F.map_from_entries(F.reverse(last))
     return F.when(url.isNotNull(), built)
 
 
-def registered_domain(url: Column, suffixes=COMMON_SUFFIXES, wildcards=(), exceptions=()) -> Column:
+def registered_domain(url: Column, suffixes: Suffixes = SOME_SUFFIXES) -> Column:
     """Longest known public suffix plus one label; the host itself when there is none.
 
-    ``wildcards`` holds the parents of rules such as ``*.ck``, ``exceptions`` the hosts that rules such as
-    ``!www.ck`` take out. The lists become hash sets in the expression, so the cost does not grow with them.
+    The rules become hash sets in the expression, so the cost does not grow with their number.
     """
+    plain, wildcards, exceptions = suffixes
     host = url_host(url)
     low = F.lower(host)
-    deepest = max([s.count(".") + 1 for s in suffixes] + [w.count(".") + 2 for w in wildcards])
+    deepest = max([1, *(s.count(".") + 1 for s in plain), *(w.count(".") + 2 for w in wildcards)])
     out = host
     for n in range(1, deepest + 1):
         tail = F.substring_index(low, ".", -n)
-        known = tail.isin(*suffixes)
+        known = tail.isin(*plain)
         if wildcards and n > 1:
             parent = F.substring_index(low, ".", 1 - n)
             known = known | (parent.isin(*wildcards) & (tail != parent))

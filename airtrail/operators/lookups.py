@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import file_suffix
-from ..functions.url import registered_domain, url_host
+from ..functions.url import SOME_SUFFIXES, Suffixes, registered_domain, url_host
 
 
 def _plain_text(pattern: str) -> str | None:
@@ -17,8 +17,14 @@ def _plain_text(pattern: str) -> str | None:
     return bare if pattern and not re.search(r"[\\^$.|?*+()\[\]{}]", rest) else None
 
 
-def substrings(text: Column, sizes: list[int]) -> Column:
-    """Distinct substrings of a text that have one of the given lengths."""
+def substrings(text: Column, sizes: list[int] | Column) -> Column:
+    """Distinct substrings of a text that have one of the given lengths, a list or an array column."""
+    if isinstance(sizes, Column):
+        def of(n: Column) -> Column:
+            return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, n))
+
+        return F.array_distinct(F.flatten(F.transform(F.filter(sizes, lambda n: n <= F.length(text)), of)))
+
     def pieces(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
         return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))).otherwise(
@@ -79,8 +85,8 @@ def add_building(df: DataFrame, ap: str, buildings: DataFrame, fields=("name", "
     info = F.struct(*[F.col(f) for f in fields])
     if full_name:
         keys = df.select(building_key(F.col(ap)).alias("_key")).where(F.col("_key").isNotNull()).distinct()
-        sizes = sorted(r[0] for r in buildings.select(F.length("code")).distinct().collect() if r[0])
-        spread = keys.select("_key", F.explode(substrings(F.col("_key"), sizes)).alias("code"))
+        lengths = buildings.where(F.length("code") > 0).agg(F.array_sort(F.collect_set(F.length("code"))).alias("n")).scalar()
+        spread = keys.withColumn("_sizes", lengths).select("_key", F.explode(substrings(F.col("_key"), F.col("_sizes"))).alias("code"))
         best = spread.join(buildings, "code").groupBy("_key").agg(F.max_by(info, F.struct(F.length("code"), F.col("code"))).alias("_b"))
         marked = df.withColumn("_key", building_key(F.col(ap)))
     else:
@@ -110,9 +116,9 @@ def add_country(df: DataFrame, suffix: Column, countries: DataFrame) -> DataFram
         *df.columns, F.coalesce("_country", F.lit("unknown")).alias("country"))
 
 
-def host_parts(df: DataFrame, url: str) -> DataFrame:
+def host_parts(df: DataFrame, url: str, suffixes: Suffixes = SOME_SUFFIXES) -> DataFrame:
     """Add subdomain, domain and suffix of an address."""
-    host, reg = url_host(F.col(url)), registered_domain(F.col(url))
+    host, reg = url_host(F.col(url)), registered_domain(F.col(url), suffixes)
     dots = reg.contains(".")
     rest = F.length(host) - F.length(reg)
     return df.withColumns({

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.net import local_side_ip
 from ..functions.times import DAY_MS, day_of_ms
-from ..functions.url import registered_domain
+from ..functions.url import SOME_SUFFIXES, Suffixes, registered_domain
 from ..session import settle
 from .nearest import first_cover, first_within
 from .ordered import null_safe
@@ -69,17 +69,25 @@ def attach_account(sessions: DataFrame, auths: DataFrame) -> DataFrame:
 
 
 def locate_requests(http: DataFrame, sessions: DataFrame, tol: int = 300_000, span_days: bool = False,
-                    chunk: int = HOUR_MS) -> DataFrame:
+                    chunk: int = HOUR_MS, suffixes: Suffixes = SOME_SUFFIXES) -> DataFrame:
     """Requests (ip, stime, host, ...) with location and account of the session of the same address and UTC day of start
     that contains the start: the earliest-started one, exactly or else within ``tol``. Unmatched requests are left
-    out. The host becomes its registered domain. ``span_days`` lets a session count on every day it touches.
+    out. The host becomes its registered domain. ``span_days`` lets a session count on every day it touches on which
+    there are requests.
     """
     day = day_of_ms(F.col("s_ms"))
-    days = F.explode(F.sequence(day, F.greatest(day, day_of_ms(F.col("e_ms"))))) if span_days else day
+    days = day
+    if span_days:
+        asked = http.agg(F.struct(F.min("stime").alias("lo"), F.max("stime").alias("hi"))).scalar()
+        sessions = sessions.withColumn("_asked", asked)
+        first = F.greatest(day, day_of_ms(F.col("_asked.lo")))
+        last = F.least(F.greatest(day, day_of_ms(F.col("e_ms"))), day_of_ms(F.col("_asked.hi")))
+        days = F.explode(F.when(first <= last, F.sequence(first, last)))
     spans = sessions.select("ip", "s_ms", "e_ms", "mac", F.col("ap").alias("location"), "account", days.alias("_day"))
     rows = http.withColumn("_day", day_of_ms(F.col("stime")))
-    hit = first_cover(rows, spans, ["ip", "_day"], "stime", "s_ms", "e_ms", ["e_ms", "mac", "location"], ["location", "account"], tol, chunk)
-    cols = [F.col(c) if c != "host" else registered_domain(F.col("host")).alias("host") for c in http.columns]
+    hit = first_cover(rows, spans, ["ip", "_day"], "stime", "s_ms", "e_ms", ["e_ms", "mac", "location"], ["location", "account"], tol, chunk,
+                      bounds=(F.col("_day") * DAY_MS, (F.col("_day") + 1) * DAY_MS - 1))
+    cols = [F.col(c) if c != "host" else registered_domain(F.col("host"), suffixes).alias("host") for c in http.columns]
     return hit.where(F.col("hit").isNotNull()).select(*cols, "hit.location", "hit.account")
 
 
@@ -107,27 +115,38 @@ def connection_table(transfers: DataFrame) -> DataFrame:
 def merge_flows(tcp: DataFrame, transfers: DataFrame, tol: int = 180_000_000) -> DataFrame:
     """Full outer match of TCP flows and request transfers, as rows of blocks.
 
-    ``tcp`` has flow_id, socket, t_us, line; ``transfers`` the columns of ``connection_table`` plus line. Result:
-    block, side (``tcp``/``http``), pos, matched, socket, flow_id, seq, t_us, line. A matched block holds the flows and
-    the transfers of one connection; rows without partner keep a block of their own side, so no pair is ever built.
+    ``tcp`` has flow_id, socket, t_us; ``transfers`` the columns of ``connection_table``; both may have src_ip and dst_ip. Result:
+    block, side (``tcp``/``http``), pos, matched, socket, flow_id, seq, t_us, src_ip, dst_ip. A matched block holds the flows and
+    the transfers of one connection; rows without partner keep a block of their own side, so no pair is ever built. Only ids and
+    keys are shuffled; ``with_lines`` adds the records.
     """
-    transfers = settle(transfers, "transfers")
+    def ends(df: DataFrame) -> list[Column]:
+        return [(F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(c) for c in ("src_ip", "dst_ip")]
+
+    transfers = settle(transfers.select("socket", "conn_no", "seq", "connection", "conn_us", "req_us", *ends(transfers)), "transfers")
     conns = connection_table(transfers)
-    hits = settle(match_flows(tcp.select("flow_id", "socket", "t_us", "line"), conns, tol), "matched-flows")
+    hits = settle(match_flows(tcp.select("flow_id", "socket", "t_us", *ends(tcp)), conns, tol), "matched-flows")
     name = F.concat_ws("#", F.col("socket"), F.col("conn_no").cast("string"))
     flows = hits.select(
         F.when(F.col("conn_no").isNotNull(), name).otherwise(F.concat(F.lit("flow#"), F.col("flow_id").cast("string"))).alias("block"),
         F.lit("tcp").alias("side"), F.col("flow_id").cast("long").alias("pos"), F.col("conn_no").isNotNull().alias("matched"),
-        "socket", "flow_id", F.lit(None).cast("long").alias("seq"), "t_us", "line")
+        "socket", "flow_id", F.lit(None).cast("long").alias("seq"), "t_us", "src_ip", "dst_ip")
     taken = hits.where(F.col("conn_no").isNotNull()).select("socket", "conn_no").distinct().withColumn("_m", F.lit(True))
     wanted = transfers.join(taken, ["socket", "conn_no"], "left")
     sent = wanted.select(
         name.alias("block"), F.lit("http").alias("side"), F.col("seq").cast("long").alias("pos"),
         F.coalesce("_m", F.lit(False)).alias("matched"), "socket", F.lit(None).cast("long").alias("flow_id"),
-        F.col("seq").cast("long").alias("seq"), F.coalesce("conn_us", "req_us").alias("t_us"), "line")
+        F.col("seq").cast("long").alias("seq"), F.coalesce("conn_us", "req_us").alias("t_us"), "src_ip", "dst_ip")
     return flows.unionByName(sent)
 
 
+def with_lines(blocks: DataFrame, tcp: DataFrame, transfers: DataFrame) -> DataFrame:
+    """Add to rows of blocks the whole record (``line``) of their flow or transfer, each side joined by its own id."""
+    flows = blocks.where(F.col("side") == "tcp").join(tcp.select("flow_id", "line"), "flow_id")
+    sent = blocks.where(F.col("side") == "http").join(transfers.select("seq", "line"), "seq")
+    return flows.unionByName(sent).select(*blocks.columns, "line")
+
+
 def unmatched_transfers(merged: DataFrame) -> DataFrame:
     """How many transfers found no flow, out of all."""
     sent = F.col("side") == "http"

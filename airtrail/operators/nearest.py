@@ -7,7 +7,7 @@ Both cost one shuffle of the points and one sort; a key is cut into time blocks,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .ordered import with_running
 
@@ -55,7 +55,7 @@ def first_within(points: DataFrame, events: DataFrame, keys: list[str], t: str,
 
 def first_cover(points: DataFrame, spans: DataFrame, keys: list[str], t: str, lo: str, hi: str, tie: list[str],
                 payload: list[str], tolerance: int = 0, chunk: int = 3_600_000, into: str = "hit",
-                exact_first: bool = True) -> DataFrame:
+                exact_first: bool = True, bounds: tuple[Column, Column] | None = None) -> DataFrame:
     """Left lookup: struct ``into`` holds the payload of the earliest-started span with ``lo <= t <= hi``; when no
     span covers the point and ``tolerance`` is given, of the earliest-started one that does within the tolerance.
     ``exact_first=False`` applies the tolerance straight away. Times are whole numbers, spans' keys not null.
@@ -63,6 +63,10 @@ def first_cover(points: DataFrame, spans: DataFrame, keys: list[str], t: str, lo
     A span that ends before an earlier-started one does can never win. Of the rest both starts and ends grow, so span
     k wins from just after the end of span k-1 (a tolerance moves all ends alike). These pieces do not overlap; they
     are cut at time blocks, and inside (key, block) a point takes the newest piece at or before it.
+
+    Pieces are kept only between ``bounds``, expressions of the keys that hold all times of a key's points (a day, say); by
+    default between the first and the last point of all. So a span with a broken end or of many years fills no blocks in which no
+    point can lie.
     """
     spans = spans.where(F.col(lo).isNotNull() & F.col(hi).isNotNull() & (F.col(hi) >= F.col(lo))).dropna(subset=keys)
     named = spans.select(*keys, F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), *[F.col(c).alias(f"_t{i}") for i, c in enumerate(tie)],
@@ -74,7 +78,13 @@ def first_cover(points: DataFrame, spans: DataFrame, keys: list[str], t: str, lo
         F.struct(F.lit(i).alias("level"), F.greatest(F.col("_lo") - slack, F.col("_before") + (slack + 1)).alias("from"), (F.col("_hi") + slack).alias("to"))
         for i, slack in enumerate(levels)
     ]
-    pieces = kept.select(*keys, "_pay", F.explode(F.array(*reach)).alias("_r")).where("_r.from <= _r.to")
+    if bounds is None:
+        ends = points.agg(F.struct(F.min(t).alias("lo"), F.max(t).alias("hi"))).scalar()
+        kept = kept.withColumn("_ends", ends)
+        bounds = (F.col("_ends.lo"), F.col("_ends.hi"))
+    kept = kept.withColumns({"_first": bounds[0], "_last": bounds[1]})
+    pieces = kept.select(*keys, "_pay", "_first", "_last", F.explode(F.array(*reach)).alias("_r")).select(
+        *keys, "_pay", F.struct(F.greatest("_r.from", "_first").alias("from"), F.least("_r.to", "_last").alias("to"), "_r.level").alias("_r")).where("_r.from <= _r.to")
     blocks = F.sequence(F.floor(F.col("_r.from") / chunk), F.floor(F.col("_r.to") / chunk))
     marks = pieces.select("*", F.explode(blocks).alias("_c")).select(
         *keys, "_c", F.greatest(F.col("_r.from"), F.col("_c") * chunk).alias("_x"), F.col("_r.level").alias("_level"),

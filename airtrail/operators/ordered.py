@@ -21,7 +21,7 @@ def _chunk(order: list[str], width) -> Column:
 def with_previous(df: DataFrame, keys: list[str], order: list[str], fields: list[str], chunk, into: str = "prev") -> DataFrame:
     """Add a struct of the previous row's fields (null on a key's first row).
 
-    ``order`` starts with a number (time) and must be total inside a key; keys must not be null.
+    ``order`` starts with a number (time) and must be total inside a key; a null key is a key like any other.
     ``chunk`` is the width of a time chunk in the unit of ``order[0]``; None uses one window per key.
     """
     now = F.struct(*fields)
@@ -35,10 +35,7 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], fields: list
         *keys, CHUNK, F.lag("_last._now").over(Window.partitionBy(*keys).orderBy(CHUNK)).alias("_carry")
     )
     inside = Window.partitionBy(*keys, CHUNK).orderBy(*by_time)
-    return (
-        df.join(carry, [*keys, CHUNK], "left")
-        .select(*columns, F.coalesce(F.lag(now).over(inside), F.col("_carry")).alias(into))
-    )
+    return null_safe(df, carry, [*keys, CHUNK]).select(*columns, F.coalesce(F.lag(now).over(inside), F.col("_carry")).alias(into))
 
 
 def with_running(df: DataFrame, keys: list[str], order: list[str], value: Column, into: str, chunk,

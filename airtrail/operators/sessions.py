@@ -69,9 +69,13 @@ def ip_sessions(events: DataFrame, merge_gap: int = 10_000, tie: str = "seq", ch
 
 
 def context_sessions(df: DataFrame, gap: int = 300_000, tie: str = "seq", chunk: int = 3_600_000) -> DataFrame:
-    """Add ``sid``: per account and day a session ends after a silence over ``gap`` or when the location changes."""
+    """Add ``sid``: per account and day a session ends after a silence over ``gap`` or when the location changes.
+
+    Rows without account belong to their address (``ip``, where the rows have one), not to one common session.
+    """
+    other = F.coalesce(F.col("ip"), F.lit("")) if "ip" in df.columns else F.lit("")
     rows = df.withColumns({
-        "_acc": F.coalesce("account", F.lit("")), "_anon": F.col("account").isNull(),
+        "_acc": F.coalesce(F.col("account"), other), "_anon": F.col("account").isNull(),
         "_day": day_of_ms(F.col("stime")), "_loc": F.coalesce("location", F.lit("")),
     })
     numbered = with_islands(
@@ -128,10 +132,10 @@ def packet_bursts(packets: DataFrame, trace: str, t: str, tie: str, gap: int = 5
     return seen.withColumn("burst", near.cast("int")).drop("_prev")
 
 
-def classify_against_previous(http: DataFrame, keys: list[str], order: list[str], chunk: int = 3_600_000) -> DataFrame:
+def classify_against_previous(http: DataFrame, keys: list[str], order: list[str], chunk: int = 3_600_000_000) -> DataFrame:
     """Add ``pair_class`` of each request against the one before it in its session (null on the first).
 
-    ``http`` has start, end, duration (seconds) and domain.
+    ``http`` has start, end, duration (seconds) and domain; ``chunk`` is in the unit of the first order column (microseconds).
     """
     names = ["start", "end", "duration", "domain"]
     seen = with_previous(http, keys, order, names, chunk, "_prev")

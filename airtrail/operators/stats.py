@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.net import is_local
 from ..functions.text import f_measure
 from ..session import settle
+from .ordered import gap_cells, null_safe
+
+
+OTHER = "other"  # all protocols that are not named
 
 
 def context_session_stats(df: DataFrame) -> DataFrame:
@@ -44,15 +48,13 @@ def flat_services(sessions: DataFrame) -> DataFrame:
 def http_session_stats(df: DataFrame, gap: int = 300_000, key: str = "ip", ts: str = "stime") -> DataFrame:
     """Sessions of a key: start, end, requests, bytes, and the service with most bytes (sp, scat, domain, its bytes).
 
-    Requests are folded to (key, time cell, service) on the map side; sessions are then made of cells.
+    Requests are folded to (key, time cell, service) on the map side; sessions are then made of cells. A null key is a key.
     """
     service = ["sp", "scat", "domain"]
-    folded = df.groupBy(key, F.floor(F.col(ts) / gap).alias("_cell"), *service).agg(
-        F.min(ts).alias("_lo"), F.max(ts).alias("_hi"), F.max("etime").alias("_end"), F.sum("size").alias("_bytes"), F.count("*").alias("_n"))
-    folded = settle(folded, "service-cells")
-    cells = folded.groupBy(key, "_cell").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
-    starts = _cell_starts(cells, key, gap)
-    rows = folded.join(starts, [key, "_cell"])
+    cell = F.floor(F.col(ts) / gap).alias("_cell")
+    folded = df.where(F.col(ts).isNotNull()).groupBy(key, cell, *service).agg(F.max("etime").alias("_end"), F.sum("size").alias("_bytes"), F.count("*").alias("_n"))
+    starts = gap_cells(df, [key], ts, gap, {}).select(key, "_cell", "session_start")
+    rows = null_safe(folded, starts, [key, "_cell"])
     per = rows.groupBy(key, "session_start", *service).agg(
         F.max("_end").alias("_end"), F.sum("_bytes").alias("_bytes"), F.sum("_n").alias("_n"))
     best = F.max(F.struct(F.col("_bytes").alias("bytes"), *service))
@@ -62,15 +64,6 @@ def http_session_stats(df: DataFrame, gap: int = 300_000, key: str = "ip", ts: s
              "_top.sp", "_top.scat", "_top.domain", F.col("_top.bytes").alias("bytes"))
 
 
-def _cell_starts(cells: DataFrame, key: str, gap: int) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(key).orderBy("_cell")
-    opened = F.when(F.coalesce(F.col("_lo") - F.lag("_hi").over(w) > gap, F.lit(True)), F.col("_lo"))
-    return cells.withColumn("_opened", opened).select(
-        key, "_cell", F.last("_opened", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("session_start"))
-
-
 def protocol_breakdown(dpi: DataFrame, hour: Column) -> DataFrame:
     """Flows, packets and bytes per hour, transport and protocol name."""
     return dpi.groupBy(hour.alias("hour"), "l4", F.col("proto_name").alias("l7")).agg(
@@ -84,22 +77,26 @@ def direction_totals(tcp: DataFrame, udp: DataFrame, local: str = r"^111\.186.*"
     only. A local client sends up, otherwise the two sides are swapped.
     """
     both = tcp.withColumn("l4", F.lit("tcp")).unionByName(udp.withColumn("l4", F.lit("udp")))
-    whole = F.col("c_packets").isNotNull() & F.col("c_bytes").isNotNull() & F.col("s_packets").isNotNull() & F.col("s_bytes").isNotNull()
     inside = is_local(F.col("client_ip"), local)
-
-    def side(l4: str, near: str, far: str) -> Column:
-        return F.coalesce(F.sum(F.when(whole & (F.col("l4") == l4), F.when(inside, F.col(near)).otherwise(F.col(far)))), F.lit(0))
-
     out = []
     for l4 in ("tcp", "udp"):
-        out += [
-            F.count_if(F.col("l4") == l4).alias(f"{l4}_flows"),
-            side(l4, "c_packets", "s_packets").alias(f"{l4}_packets_up"), side(l4, "s_packets", "c_packets").alias(f"{l4}_packets_down"),
-            side(l4, "c_bytes", "s_bytes").alias(f"{l4}_bytes_up"), side(l4, "s_bytes", "c_bytes").alias(f"{l4}_bytes_down"),
-        ]
+        mine = F.col("l4") == l4
+        out += [value.alias(f"{l4}_{name}") for name, value in direction_counts(inside, mine).items()]
     return both.groupBy("hour").agg(*out)
 
 
+def direction_counts(inside: Column, of: Column | None = None) -> dict[str, Column]:
+    """Flows, packets and bytes up and down of the rows ``of``: a flow with a missing number counts as a flow only."""
+    of = F.lit(True) if of is None else of
+    whole = of & F.col("c_packets").isNotNull() & F.col("c_bytes").isNotNull() & F.col("s_packets").isNotNull() & F.col("s_bytes").isNotNull()
+
+    def side(near: str, far: str) -> Column:
+        return F.coalesce(F.sum(F.when(whole, F.when(inside, F.col(near)).otherwise(F.col(far)))), F.lit(0))
+
+    return {"flows": F.count_if(of), "packets_up": side("c_packets", "s_packets"), "packets_down": side("s_packets", "c_packets"),
+            "bytes_up": side("c_bytes", "s_bytes"), "bytes_down": side("s_bytes", "c_bytes")}
+
+
 def protocol_label(layer4: bool = False) -> Column:
     """Name a protocol goes by in a wide table; unknown ones keep their transport."""
     if layer4:
@@ -108,9 +105,14 @@ def protocol_label(layer4: bool = False) -> Column:
 
 
 def protocol_pivot(breakdown: DataFrame, names: list[str] | None = None, layer4: bool = False) -> DataFrame:
-    """Hours by protocols, three counters each, columns in name order."""
+    """Hours by protocols, three counters each, columns in name order.
+
+    With ``names`` all protocols beside them add up in the columns of ``other``; without, Spark reads the names that occur.
+    """
     rows = breakdown.withColumn("proto", protocol_label(layer4))
-    wide = rows.groupBy("hour").pivot("proto", sorted(names)) if names else rows.groupBy("hour").pivot("proto")
+    if names:
+        rows = rows.withColumn("proto", F.when(F.col("proto").isin(*names), F.col("proto")).otherwise(OTHER))
+    wide = rows.groupBy("hour").pivot("proto", [*sorted(names), OTHER]) if names else rows.groupBy("hour").pivot("proto")
     return wide.agg(F.sum("flows").alias("flows"), F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"))
 
 
@@ -130,9 +132,12 @@ def socket_multiplicity(flows: DataFrame, socket: Column) -> DataFrame:
         F.count_if(known & (F.col("n") > 2)).alias("more"))
 
 
-def metric_rollup(df: DataFrame, ts: str, bucket: str, specs: dict[str, list[str]]) -> DataFrame:
+def metric_rollup(df: DataFrame, ts: str, bucket: str, specs: dict[str, list[str]], accuracy: int = 100_000) -> DataFrame:
     """Measures per time bucket. A spec is a list of ``avg``, ``stdev``, ``min``, ``max``, ``hit``, ``prc:50,95`` and
-    ``idx:40,1500,other`` (rows with a listed value, and all the rest)."""
+    ``idx:40,1500,other`` (rows with a listed value, and all the rest).
+
+    Percentiles are exact up to about ``accuracy`` different values in a bucket and within 1 / ``accuracy`` of the rank beyond.
+    """
     simple = {"avg": F.avg, "stdev": F.stddev_samp, "min": F.min, "max": F.max, "hit": F.count}
     out = []
     for name, rules in specs.items():
@@ -142,7 +147,7 @@ def metric_rollup(df: DataFrame, ts: str, bucket: str, specs: dict[str, list[str
                 out.append(simple[kind](name).alias(f"{name}_{kind}"))
             elif kind == "prc":
                 for p in args.split(","):
-                    out.append(F.percentile_approx(name, int(p) / 100.0, 100_000).alias(f"{name}_prc{p}"))
+                    out.append(F.percentile_approx(name, int(p) / 100.0, accuracy).alias(f"{name}_prc{p}"))
             elif kind == "idx":
                 listed = [float(a) for a in args.split(",") if a != "other"]
                 for a in args.split(","):

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,15 +41,36 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder the cluster names in ``spark.checkpoint.dir``.
+    """A new path below the shared folder the cluster names in ``spark.checkpoint.dir``, inside the open run folder if there is one.
 
-    Only a session without that setting (a local test) gets a temporary folder.
+    Executors must all see that folder, so there is no default for it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="airtrail-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return "/".join([root.rstrip("/"), *_runs[-1:], f"{name}-{uuid.uuid4().hex}"])
+
+
+_runs: list[str] = []
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables made inside the block lie in one folder of the run, which is deleted at its end.
+
+    Results must be written before the block ends: they read those tables.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    name = f"run-{uuid.uuid4().hex}"
+    _runs.append(name)
+    try:
+        yield f"{root.rstrip('/')}/{name}"
+    finally:
+        _runs.remove(name)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

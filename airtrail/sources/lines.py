@@ -137,8 +137,6 @@ def quoted_fields(line: Column) -> Column:
     """38 field texts of a request-log line: 18 before the first ``" "``, then 20 quoted ones; null when they differ."""
     def of_parts(parts: Column) -> Column:
         good = (F.size(parts) == 21) & (F.size(F.split(parts[0], " ")) == 18)
-        rest = F.array_join(F.slice(parts, 2, 20), "\x01")
-        whole = F.concat(F.translate(parts[0], " ", "\x01"), F.lit("\x01"), rest)
-        return F.when(good, F.split(F.replace(whole, F.lit('"'), F.lit("")), "\x01"))
+        return F.when(good, F.transform(F.concat(F.split(parts[0], " "), F.slice(parts, 2, 20)), lambda x: F.replace(x, F.lit('"'), F.lit(""))))
 
     return let(F.split(line, r'"\s"'), of_parts)

@@ -7,6 +7,7 @@ import csv
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
+from ..functions.url import Suffixes
 
 
 def read_profiles(spark: SparkSession, path) -> DataFrame:
@@ -21,19 +22,21 @@ def load_ap_table(spark: SparkSession, path) -> DataFrame:
 
 
 def read_lookup(spark: SparkSession, kind: str, path: str):
-    """Lookup files of a few thousand lines, read on the driver.
+    """Lookup files of a few thousand lines, from any file system that Spark reads.
 
     ``buildings`` (YAML), ``protocols`` (tab separated) and ``countries`` (YAML) give a DataFrame; ``services``
-    (YAML) gives the ordered host rules as a list plus two DataFrames of classes and class names.
+    (YAML) gives the ordered host rules as a list plus two DataFrames of classes and class names; ``suffixes`` (one rule a
+    line, ``*.`` and ``!`` in front of wildcards and exceptions, ``//`` comments) gives ``Suffixes``.
     """
+    text = "".join(r[0] for r in spark.read.text(path, wholetext=True).limit(1).collect())
+    if kind == "suffixes":
+        rules = [line.split()[0].lower() for line in text.splitlines() if line.strip() and not line.startswith("//")]
+        return Suffixes(tuple(r for r in rules if r[0] not in "*!"), tuple(r[2:] for r in rules if r.startswith("*.")), tuple(r[1:] for r in rules if r[0] == "!"))
     if kind == "protocols":
-        with open(path, encoding="utf-8") as file:
-            rows = [r for r in csv.reader(file, delimiter="\t", quoting=csv.QUOTE_NONE) if r][1:]
+        rows = [r for r in csv.reader(text.splitlines(), delimiter="\t", quoting=csv.QUOTE_NONE) if r][1:]
         return spark.createDataFrame([(int(r[0]), r[1], r[2]) for r in rows], "id INT, name STRING, category STRING")
     import yaml
 
-    with open(path, encoding="utf-8") as file:
-        text = file.read()
     if text.startswith("%"):
         text = text.split("---", 1)[1]
     data = yaml.safe_load(text)

@@ -18,9 +18,10 @@ def bad_http(lines: DataFrame, line: str = "value") -> DataFrame:
     return lines.where(quoted_fields(F.col(line)).isNull())
 
 
-def read_http_log(spark: SparkSession, path) -> DataFrame:
-    """Request log, 38 columns: space separated, texts quoted, ``N/A`` is null."""
-    return parse_http(read_lines(spark, path))
+def read_http_log(spark: SparkSession, path, line: bool = False) -> DataFrame:
+    """Request log, 38 columns: space separated, texts quoted, ``N/A`` is null; ``line`` keeps the whole record in a column of that name."""
+    rows = read_lines(spark, path).withColumnRenamed("value", "line")
+    return parse_http(rows, "line", ("line",) if line else ())
 
 
 def read_http_csv(spark: SparkSession, path) -> DataFrame:
@@ -38,14 +39,18 @@ def read_http_light(spark: SparkSession, path) -> DataFrame:
     return parse_http_light(read_lines(spark, path))
 
 
-def parse_tcp(lines: DataFrame, line: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
-    """111 typed columns from flow lines; lines with fewer than 110 fields are dropped."""
-    return parse_delimited(lines, schemas.TCP, " ", line, keep=keep, min_fields=110)
+def parse_tcp(lines: DataFrame, line: str = "value", keep: tuple[str, ...] = (), min_fields: int = 110) -> DataFrame:
+    """111 typed columns from flow lines; lines with fewer than ``min_fields`` fields are dropped, missing fields are null.
 
+    Hourly counts of flows take all lines (``min_fields=1``): a line without the numbers counts as a flow only.
+    """
+    return parse_delimited(lines, schemas.TCP, " ", line, keep=keep, min_fields=min_fields)
 
-def read_tcp_log(spark: SparkSession, path) -> DataFrame:
-    """TCP flow log, 111 columns."""
-    return parse_tcp(read_lines(spark, path))
+
+def read_tcp_log(spark: SparkSession, path, min_fields: int = 110, line: bool = False) -> DataFrame:
+    """TCP flow log, 111 columns; ``line`` keeps the whole record in a column of that name."""
+    rows = read_lines(spark, path).withColumnRenamed("value", "line")
+    return parse_tcp(rows, "line", ("line",) if line else (), min_fields)
 
 
 def parse_udp(lines: DataFrame, line: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -49,20 +49,21 @@ def _forms(ip_range: str) -> dict[int, tuple[str, str]]:
     }
 
 
-def parse_wifi_syslog(lines: DataFrame, line: str = "value", ip_range: str = CAMPUS_IP, keep: tuple[str, ...] = ()) -> DataFrame:
+def parse_wifi_syslog(lines: DataFrame, line: str = "value", ip_range: str = CAMPUS_IP, keep: tuple[str, ...] = (), default_year: int = 2013) -> DataFrame:
     """Controller messages as clean events: mac, t_ms, code, ap, account, ip.
 
     The message number stands behind the second ``<`` and starts with 5; other lines give no row. A line is matched
-    once, by the pattern of its number, and all groups come out of that match.
+    once, by the pattern of its number, and all groups come out of that match. Allocations and recycles of addresses outside
+    ``ip_range`` give no row. ``default_year`` is the year of times without one.
     """
-    mark = "\x01"
+    mark = "\n"  # never inside a line
     number = F.regexp_extract(line, r"^[^<]*<[^<]*<(5\d*)>", 1).try_cast("int")
     numbered = lines.select(*keep, F.col(line).alias("_line"), number.alias("_n"))
     found = F.lit(None).cast("string")
     for event, (pattern, groups) in _forms(ip_range).items():
         flag, body = ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
         cells = mark.join("" if g == "-" else f"${g}" for g in groups.split())
-        taken = F.regexp_replace("_line", f"{flag}^.*?{body}.*$", f"{event}{mark}{cells}")
+        taken = F.regexp_replace("_line", f"(?s){flag}^.*?{body}.*$", f"{event}{mark}{cells}")
         found = F.when(F.col("_n").isin(*CODES[event]), taken).otherwise(found)
     fields = numbered.where(F.col("_n").isNotNull()).select(*keep, F.split(found, mark).alias("_f"))
 
@@ -70,7 +71,7 @@ def parse_wifi_syslog(lines: DataFrame, line: str = "value", ip_range: str = CAM
         return F.nullif(F.col("_f")[i], F.lit(""))
 
     event = F.struct(
-        mac_plain(text(2)).alias("mac"), syslog_ms(text(1)).alias("t_ms"), F.col("_f")[0].cast("int").alias("code"),
+        mac_plain(text(2)).alias("mac"), syslog_ms(text(1), default_year).alias("t_ms"), F.col("_f")[0].cast("int").alias("code"),
         text(3).alias("ap"), text(4).alias("account"), text(5).alias("ip"),
     )
     return fields.select(*keep, F.inline(F.when(F.size("_f") == 6, F.array(event)))).where(F.col("t_ms").isNotNull())

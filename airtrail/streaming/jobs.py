@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators.stats import protocol_breakdown
+from ..operators.matching import merge_flows
+from ..operators.sessions import http_connections
+from ..operators.stats import direction_counts, protocol_breakdown
 
 
 def stream_logs(spark: SparkSession, path: str, schema: str | None = None, sep: str = " ", files_per_trigger: int | None = None) -> DataFrame:
@@ -18,21 +20,26 @@ def stream_logs(spark: SparkSession, path: str, schema: str | None = None, sep:
 def stream_merge_flows(tcp: DataFrame, http: DataFrame, tol: str = "180 seconds", delay: str = "5 minutes") -> DataFrame:
     """Full outer match of flows and transfers by socket and time.
 
-    ``tcp`` has flow_id, socket, flow_ts; ``http`` seq, socket, http_ts (timestamps). State is held only as long as a
-    partner can still come; a row without one is sent once the watermark has passed it.
+    ``tcp`` has flow_id, socket, flow_ts; ``http`` seq, socket, http_ts (timestamps), either may hold more columns. State is held
+    only as long as a partner can still come; a row without one is sent once the watermark has passed it.
     """
-    left = tcp.select("flow_id", F.col("socket").alias("tcp_socket"), "flow_ts").withWatermark("flow_ts", delay)
-    right = http.select("seq", F.col("socket").alias("http_socket"), "http_ts").withWatermark("http_ts", delay)
+    left = tcp.withColumnRenamed("socket", "tcp_socket").withWatermark("flow_ts", delay)
+    right = http.withColumnRenamed("socket", "http_socket").withWatermark("http_ts", delay)
     span = F.expr(f"INTERVAL {tol}")
     near = (F.col("flow_ts") > F.col("http_ts") - span) & (F.col("flow_ts") < F.col("http_ts") + span)
     return left.join(right, (F.col("tcp_socket") == F.col("http_socket")) & near, "full_outer")
 
 
-def best_matches(pairs: DataFrame) -> DataFrame:
-    """Finished pairs of the stream, one transfer per flow: the earliest. Rows without partner stay."""
-    pair = F.col("flow_id").isNotNull() & F.col("seq").isNotNull()
-    best = pairs.where(pair).groupBy("flow_id").agg(F.min(F.struct("http_ts", "seq")).alias("_b"))
-    return best.select("flow_id", F.col("_b.seq").alias("seq")).unionByName(pairs.where(~pair).select("flow_id", "seq"))
+def best_matches(pairs: DataFrame, tol: int = 180_000_000) -> DataFrame:
+    """Blocks of the finished hours of ``stream_merge_flows``, as the batch makes them: every flow and every transfer once.
+
+    A pair says only that two rows can belong together; the rows are taken apart again, transfers are numbered into
+    connections, and a flow goes to the connection the batch would choose. ``pairs`` carries t_us of the flow and connection,
+    conn_us and req_us of the transfer.
+    """
+    tcp = pairs.where(F.col("flow_id").isNotNull()).select("flow_id", F.col("tcp_socket").alias("socket"), "t_us").dropDuplicates(["flow_id"])
+    sent = pairs.where(F.col("seq").isNotNull()).select("seq", F.col("http_socket").alias("socket"), "connection", "conn_us", "req_us").dropDuplicates(["seq"])
+    return merge_flows(tcp, http_connections(sent, "socket", "req_us", "connection", "seq"), tol)
 
 
 def stream_protocol_hours(dpi: DataFrame, ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
@@ -42,14 +49,10 @@ def stream_protocol_hours(dpi: DataFrame, ts: str = "ts", delay: str = "10 minut
 
 
 def stream_direction_hours(flows: DataFrame, inside: Column, ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
-    """Hourly flows, packets and bytes up and down of a stream (l4, c_packets, c_bytes, s_packets, s_bytes)."""
-    def side(near: str, far: str) -> Column:
-        return F.sum(F.when(inside, F.col(near)).otherwise(F.col(far)))
-
-    return flows.withWatermark(ts, delay).groupBy(F.window(ts, "1 hour").alias("_w"), "l4").agg(
-        F.count("*").alias("flows"), side("c_packets", "s_packets").alias("packets_up"), side("s_packets", "c_packets").alias("packets_down"),
-        side("c_bytes", "s_bytes").alias("bytes_up"), side("s_bytes", "c_bytes").alias("bytes_down"),
-    ).select(F.col("_w.start").alias("hour"), "l4", "flows", "packets_up", "packets_down", "bytes_up", "bytes_down")
+    """Hourly flows, packets and bytes up and down of a stream (l4, c_packets, c_bytes, s_packets, s_bytes), counted as in a batch."""
+    counts = [value.alias(name) for name, value in direction_counts(inside).items()]
+    hours = flows.withWatermark(ts, delay).groupBy(F.window(ts, "1 hour").alias("_w"), "l4").agg(*counts)
+    return hours.select(F.col("_w.start").alias("hour"), "l4", "flows", "packets_up", "packets_down", "bytes_up", "bytes_down")
 
 
 def stream_sessionize(requests: DataFrame, key: str, ts: str = "ts", gap: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:

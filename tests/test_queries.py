@@ -8,10 +8,7 @@ import pytest
 from airtrail import checks
 
 FOLDER = os.environ.get("AIRTRAIL_TABLES", "/root/testdata/sf0.001")
-# AIRTRAIL_ALL=1 runs every query; by default one of each kind
-SOME = ["f_strip_url", "f_registered_domain", "p_clean_http", "j_service", "j_building", "w_sessionize", "w_association_sessions", "w_location_intervals", "j_locate_requests",
-        "j_attach_ip", "j_tag_protocol", "a_direction_totals", "s_http_log", "t_sessionize", "job_http_sessions"]
-NAMES = sorted(checks.all_oracles()) if os.environ.get("AIRTRAIL_ALL") else SOME
+NAMES = sorted(checks.all_oracles())
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no given tables")
 

@@ -8,21 +8,21 @@ from pyspark.sql import functions as F
 from airtrail.functions import net, text, times, url
 from airtrail.sources import catalog, lines, sinks, tables, traffic, wifi
 
-HEAD = "1391097986162 <141>Jan 31 00:06:12 2014 10.0.0.1 stm[6]: "
-AP = "AP 10.0.0.1-6c:f3:7f:36:57:21-FH-NL-4F-04"
-JAN = 1391126772000
+HEAD = "1420416245000 <13>Jan  5 00:04:05 2015 192.0.2.1 stm[3]: "
+AP = "AP 192.0.2.1-02:00:5e:10:00:01-LAB-2F-07"
+JAN = 1420416245000
 
 
 @pytest.mark.parametrize("line,want", [
-    (HEAD + f"<501106> <NOTI> |AP x|  Deauth to sta: b8:78:2e:b8:27:35: Ageout {AP} handle", ("b8782eb82735", JAN, 1, "FH-NL-4F-04", None, None)),
-    (HEAD + f"<501091> <NOTI>  Auth request: b8:78:2e:b8:27:35: {AP}", ("b8782eb82735", JAN, 0, "FH-NL-4F-04", None, None)),
-    (HEAD + f"<501113> <NOTI>  Disassoc from sta: b8:78:2e:b8:27:35: {AP}", ("b8782eb82735", JAN, 3, "FH-NL-4F-04", None, None)),
-    (HEAD + "<522008> <NOTI> ok: username=ann MAC=b8:78:2e:b8:27:35 IP=10.1.2.3 AP=q role", ("b8782eb82735", JAN, 4, None, "ann", "10.1.2.3")),
-    (HEAD + "<522005> <INFO> MAC=b8:78:2e:b8:27:35 IP=10.184.2.3 x", ("b8782eb82735", JAN, 6, None, None, "10.184.2.3")),
-    (HEAD + "<500010> <NOTI> Station b8:78:2e:b8:27:35, 10.1.2.3: moved to AP FH-1, net/d8:c7:c8:28:ff:b9/a", ("b8782eb82735", JAN, 7, "FH-1", None, "10.1.2.3")),
-    (HEAD + "<522035> <INFO> MAC=b8:78:2e:b8:27:35 Station UP: BSSID=d8:c7:c8:28:ff:b9 ESSID=net VLAN=1 AP-name=FH-2", ("b8782eb82735", JAN, 8, "FH-2", None, None)),
-    (HEAD + "<522005> <INFO> MAC=b8:78:2e:b8:27:35 IP=10.1.2.3 x", None),
-    (HEAD + "<404400> other", None), ("no marks", None), (HEAD + f"<501999> Auth request: b8:78:2e:b8:27:35: {AP}", None), (HEAD + "<5x1> y", None),
+    (HEAD + f"<501106> <NOTI> |AP x|  Deauth to sta: 02:00:5e:10:00:aa: Ageout {AP} handle", ("02005e1000aa", JAN, 1, "LAB-2F-07", None, None)),
+    (HEAD + f"<501091> <NOTI>  Auth request: 02:00:5e:10:00:aa: {AP}", ("02005e1000aa", JAN, 0, "LAB-2F-07", None, None)),
+    (HEAD + f"<501113> <NOTI>  Disassoc from sta: 02:00:5e:10:00:aa: {AP}", ("02005e1000aa", JAN, 3, "LAB-2F-07", None, None)),
+    (HEAD + "<522008> <NOTI> ok: username=ann MAC=02:00:5e:10:00:aa IP=10.1.2.3 AP=q role", ("02005e1000aa", JAN, 4, None, "ann", "10.1.2.3")),
+    (HEAD + "<522005> <INFO> MAC=02:00:5e:10:00:aa IP=10.184.2.3 x", ("02005e1000aa", JAN, 6, None, None, "10.184.2.3")),
+    (HEAD + "<500010> <NOTI> Station 02:00:5e:10:00:aa, 10.1.2.3: moved to AP HALL-1, net/02:00:5e:10:00:02/a", ("02005e1000aa", JAN, 7, "HALL-1", None, "10.1.2.3")),
+    (HEAD + "<522035> <INFO> MAC=02:00:5e:10:00:aa Station UP: BSSID=02:00:5e:10:00:02 ESSID=net VLAN=1 AP-name=HALL-2", ("02005e1000aa", JAN, 8, "HALL-2", None, None)),
+    (HEAD + "<522005> <INFO> MAC=02:00:5e:10:00:aa IP=10.1.2.3 x", None),
+    (HEAD + "<404400> other", None), ("no marks", None), (HEAD + f"<501999> Auth request: 02:00:5e:10:00:aa: {AP}", None), (HEAD + "<5x1> y", None),
 ])
 def test_syslog(spark, line, want):
     got = [tuple(r) for r in wifi.parse_wifi_syslog(spark.createDataFrame([(line,)], "value STRING")).collect()]
@@ -53,11 +53,11 @@ def test_named_files(spark, tmp_path):
 
 
 def test_http_line(spark):
-    row = ('10.0.0.1 530 1.2.3.4 80 unique 1.5 N/A N/A N/A 1382755576.136901 0.0 N/A N/A N/A N/A 356 380 "GET" "/get?a=1" "HTTP/1.1" "h.com" "ua "q" x" "N/A" "K" "N/A" '
+    row = ('192.0.2.9 4711 198.51.100.4 80 unique 1.5 N/A N/A N/A 1420416246.250001 0.0 N/A N/A N/A N/A 120 640 "GET" "/list?page=2" "HTTP/1.1" "shop.example" "ua "q" x" "N/A" "K" "N/A" '
            '"HTTP/1.1" "200" "n" "N/A" "text/html" "gzip" "N/A" "N/A" "N/A" "N/A" "N/A" "close" "N/A"')
     df = spark.createDataFrame([(row,), ("short",)], "value STRING")
     got = traffic.parse_http(df).collect()
-    assert len(got) == 1 and got[0].request_user_agent == "ua q x" and got[0].response_ts is None and got[0].request_ts == 1382755576.136901
+    assert len(got) == 1 and got[0].request_user_agent == "ua q x" and got[0].response_ts is None and got[0].request_ts == 1420416246.250001
     assert traffic.bad_http(df).count() == 1 and [c.count() for c in lines.split_good_bad(df, 1)] == [1, 1]
 
 
@@ -83,7 +83,7 @@ def test_catalog_and_lookups(spark, tmp_path):
 def test_month_sets(spark, tmp_path):
     df = spark.createDataFrame([(JAN, 1), (JAN + 40 * times.DAY_MS, 2)], "stime LONG, x INT")
     sinks.write_by_month(df, str(tmp_path / "m"))
-    assert sorted(p.name for p in (tmp_path / "m").iterdir() if p.is_dir()) == ["set=SET1401", "set=SET1403"]
+    assert sorted(p.name for p in (tmp_path / "m").iterdir() if p.is_dir()) == ["set=SET1501", "set=SET1502"]
 
 
 def test_columns(spark):
@@ -91,7 +91,7 @@ def test_columns(spark):
     got = row.select(
         url.url_host(F.col("u")).alias("host"), url.registered_domain(F.col("u")).alias("dom"), url.url_params(F.col("u")).alias("par"),
         url.strip_url(F.col("u")).alias("bare"), url.mobile_type(F.col("ua")).alias("dev"), url.registered_domain(F.lit("co.uk")).alias("whole"),
-        url.registered_domain(F.lit("a.b.ck"), ("com",), ("ck",), ("www.ck",)).alias("wild"), url.has_proto(F.lit(None).cast("string")).alias("none"),
+        url.registered_domain(F.lit("a.b.ck"), url.Suffixes(("com",), ("ck",), ("www.ck",))).alias("wild"), url.has_proto(F.lit(None).cast("string")).alias("none"),
         net.direction(F.lit("10.0.0.1"), F.lit("20.0.0.1"), ["10.0.0.0/8"], ["20.0.0.0/8"]).alias("side"), text.crc32_text(F.lit("abc")).alias("crc"),
         text.f_measure(F.lit(0.5), F.lit(0.5)).alias("f"), times.syslog_ms(F.lit("Jan  1 00:00:00")).alias("y13"), net.long_to_ip(F.lit(16909060)).alias("ip"),
     ).first()

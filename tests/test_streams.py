@@ -20,5 +20,9 @@ def test_sessions_and_late_rows(spark, tmp_path):
 
 
 def test_best_matches(spark):
-    rows = spark.createDataFrame([(1, 5, 20), (1, 6, 10), (2, None, None), (None, 9, 30)], "flow_id LONG, seq LONG, s LONG").withColumn("http_ts", F.timestamp_seconds("s"))
-    assert sorted(((r.flow_id or 0), (r.seq or 0)) for r in jobs.best_matches(rows).collect()) == [(0, 9), (1, 6), (2, 0)]
+    """All transfers of a finished hour stay; each connection takes its flow."""
+    rows = [(1, "s", 1_000_000, 5, "s", "start", 900_000, 1_000_000), (1, "s", 1_000_000, 6, "s", "continue", None, 1_100_000), (1, "s", 1_000_000, 7, "s", "last", None, 1_200_000),
+            (2, "t", 5_000_000, None, None, None, None, None), (None, None, None, 9, "u", "unique", 1_000_000, 1_000_000)]
+    pairs = spark.createDataFrame(rows, "flow_id LONG, tcp_socket STRING, t_us LONG, seq LONG, http_socket STRING, connection STRING, conn_us LONG, req_us LONG")
+    got = sorted((r.block, r.side, r.pos, r.matched) for r in jobs.best_matches(pairs).collect())
+    assert got == [("flow#2", "tcp", 2, False), ("s#1", "http", 5, True), ("s#1", "http", 6, True), ("s#1", "http", 7, True), ("s#1", "tcp", 1, True), ("u#1", "http", 9, False)]
