@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import scratch, settle
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 M64 = (1 << 64) - 1
@@ -120,6 +120,19 @@ def smallest_by_hash(rows: DataFrame, by: list[str], limit: int, *of: str) -> Da
     return near.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= limit).drop("_place")
 
 
+def by_key(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Rows written once in as many buckets of ``key`` as there are shuffle partitions: grouping and joining by it shuffle them no more.
+
+    The files lie in the shared folder; the table's name stays in the session's catalog.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(n, key).write.option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(table)
+    return spark.table(table)
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Smallest reachable id of every id in ``edges (a, b)``: rows ``id, component``.
 

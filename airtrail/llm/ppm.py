@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .common import bytes_of, fold, mix, pieces, word_hashes
+from .common import by_key, bytes_of, fold, mix, pieces, word_hashes
 
 ORDER = 5  # bytes of context
 END = 0xFF  # never a byte of UTF-8: closes a text, and stands before it as the context of its first bytes
-GRAM, WORD = 0, 1
-PIECE = 400_000  # characters that are counted or scored in one step
+WORD = np.int64(-1 << 63)  # the sign bit marks keys of words; keys of contexts have at most 56 bits
+PIECE = 200_000  # characters that are counted or scored in one step
 
 
 class Lookup:
@@ -102,34 +102,29 @@ def counted(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count(packed: DataFrame, order: int) -> DataFrame:
-    """``kind, key, block, n``: for each block its distinct byte contexts with their next byte, and its words; n in training texts.
+    """``key, block, n``: for each block its distinct byte contexts with their next byte, and its words; n in training texts.
 
-    Keys that only held-out texts hold have n 0: they are asked for, not learned from. Words are named by 64-bit hashes; among
-    a billion different words two share one with a chance of about 3 in 100.
+    Keys that only held-out texts hold have n 0: they are asked for, not learned from. Words are named by 63-bit hashes; among
+    a billion different words two share one with a chance of about 5 in 100.
     """
     def run(batches):
-        had: dict[tuple[int, int], list] = {}
+        had: dict[int, list] = {}
         for batch in batches:
             for block, _, held, sizes, body in unpack(batch):
                 words, at = word_hashes(body[:-1].split(b"\xff"))
-                for kind, keys, spread in ((GRAM, grams(body, sizes, order), sizes), (WORD, words.view(np.int64), np.diff(at))):
-                    weight = np.repeat(~held, spread).astype(np.int64)
-                    uniques = counted(keys, weight)
-                    if (block, kind) in had:
-                        old = had[block, kind]
-                        old.append(uniques)
-                        if sum(len(x[0]) for x in old[1:]) > len(old[0][0]) + 500_000:
-                            had[block, kind] = [counted(*(np.concatenate(x) for x in zip(*old)))]
-                    else:
-                        had[block, kind] = [uniques]
-        for (block, kind), parts in had.items():
+                keys = np.concatenate([grams(body, sizes, order), words.view(np.int64) | WORD])
+                weight = np.concatenate([np.repeat(~held, sizes), np.repeat(~held, np.diff(at))]).astype(np.int64)
+                old = had.setdefault(block, [])
+                old.append(counted(keys, weight))
+                if len(old) > 1 and sum(len(x[0]) for x in old[1:]) > len(old[0][0]) + 300_000:
+                    had[block] = [counted(*(np.concatenate(x) for x in zip(*old)))]
+        for block, parts in had.items():
             keys, n = counted(*(np.concatenate(x) for x in zip(*parts)))
             for i in range(0, len(keys), 100_000):
                 k, m = keys[i : i + 100_000], n[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(np.full(len(k), block, np.int32)), pa.array(m)], names=["kind", "key", "block", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), block, np.int32)), pa.array(m)], names=["key", "block", "n"])
 
-    return packed.mapInArrow(run, "kind byte, key long, block int, n long")
+    return packed.mapInArrow(run, "key long, block int, n long")
 
 
 def low(key: Column, symbols: int) -> Column:
@@ -189,29 +184,28 @@ def score(docs: DataFrame, parts: int = 7, rest: int = 2, order: int = ORDER) ->
     all training texts. ``base_score`` sums log10((c + 1) / (N + V + 1)) over words and one end. A null text is empty: its
     only token is the end. A null doc_id counts as empty text in the fold. Without training texts all symbols are alike.
 
-    Texts are packed once. Each block asks for the keys it holds and gets their values back, so a task holds the part of
+    Texts are packed once. The keys are written once in buckets, so that counting them and giving their values back shuffles them no
+    more. Each block asks for the keys it holds and gets their values back, so a task holds the part of
     the trie that its block needs, however large the whole is; nothing is broadcast.
     """
     packed = settle(pack(docs, parts, rest), "packed")
-    asked = settle(count(packed, order), "asked")
-    total = settle(asked.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    words = total.filter(F.col("kind") == WORD)
+    asked = by_key(count(packed, order), "key", "asked")
+    total = settle(asked.groupBy("key").agg(F.sum("n").alias("n")), "counts")
+    words = total.filter("key < 0")
     size = words.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
     learned = packed.agg(F.sum(F.aggregate("held", F.lit(0).cast("long"), lambda a, h: a + (~h).cast("long"))).alias("n")).first()["n"] or 0
     n_train, kinds = (size["n"] or 0) + learned, size["v"] + (learned > 0)
-    values = words.select("kind", "key", F.col("n").cast("double").alias("value")).union(
-        code_lengths(total.filter(F.col("kind") == GRAM).select("key", "n"), order).select(F.lit(GRAM).cast("byte").alias("kind"), "key", "value"))
-    given = asked.select("kind", "key", "block").join(values, ["kind", "key"]).select("block", "kind", "key", "value")
+    values = words.select("key", F.col("n").cast("double").alias("value")).union(code_lengths(total.filter("key >= 0"), order))
+    given = asked.select("key", "block").join(values, "key").select("block", "key", "value")
     bottom = math.log10(n_train + kinds + 1)
 
     def rate(texts: pa.Table, given: pa.Table) -> pa.Table:
-        kind, keys, value = (given.column(c).to_numpy() for c in ("kind", "key", "value"))
-        tables = [Lookup(keys[kind == k], value[kind == k]) for k in (GRAM, WORD)]
+        value_of = Lookup(given.column("key").to_numpy(), given.column("value").to_numpy())
         columns: list[list] = [[], [], [], [], [], []]
         for _, ids, held, sizes, body in unpack(texts):
-            model = np.add.reduceat(tables[GRAM](grams(body, sizes, order)), np.cumsum(sizes) - sizes)
+            model = np.add.reduceat(value_of(grams(body, sizes, order)), np.cumsum(sizes) - sizes)
             words, at = word_hashes(body[:-1].split(b"\xff"))
-            c = tables[WORD](words.view(np.int64)) if len(words) else np.zeros(0)
+            c = value_of(words.view(np.int64) | WORD) if len(words) else np.zeros(0)
             sums = np.concatenate([[0.0], np.cumsum(np.log10(c + 1) - bottom)])
             known = np.concatenate([[0], np.cumsum(c > 0)])
             columns[0] += ids
