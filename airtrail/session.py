@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # a generated method over 8000 bytes is never compiled by the JVM; smaller pieces are
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # batches for Python are cut by rows; whole documents are long
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     # streams: session pieces are merged before the shuffle, state lives on disk instead of the heap
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
