@@ -10,7 +10,7 @@ from ..functions.url import registered_domain
 from ..operators import cleaning, forest, lookups, matching, sessions, stats
 from ..plans import jobs
 from ..session import scratch
-from ..sources import catalog, lines, sinks, tables, traffic, wifi
+from ..sources import catalog, landing, lines, sinks, tables, traffic, wifi
 from ..streaming import jobs as streams
 from .columns import _CLASS, CLEAN, STRICT
 from .sessions import (ENTRY, GAP, HOUR, IP_SQL, LINE_SQL, LOCATED_SQL, MERGE_SQL, PLACE_SQL, TAG_SQL, WIFI_SQL, _aps, _dpi, _flows, _transfers, tcp_line,
@@ -338,6 +338,25 @@ def _(t):
     return lines.read_delimited(t.spark, path, schemas.MOBILITY, ",").select("user_id", F.unix_millis("time").alias("ms"), "loc")
 
 
+@check("s_land", """SELECT event_id, event_type FROM {ev} WHERE make_timestamp(t_ms * 1000) >= (SELECT date_trunc('day', make_timestamp(min(t_ms) * 1000)) + INTERVAL 6 HOUR FROM {ev})
+    AND make_timestamp(t_ms * 1000) < (SELECT date_trunc('day', make_timestamp(min(t_ms) * 1000)) + INTERVAL 101 HOUR FROM {ev})""")
+def _(t):
+    path = scratch(t.spark, "landed")
+    landing.land(t["ev"].select("event_id", "event_type", "t_ms"), path, F.timestamp_millis("t_ms"))
+    first = t["ev"].agg(F.date_trunc("day", F.timestamp_millis(F.min("t_ms"))).alias("d")).select(
+        F.date_format(F.col("d") + F.expr("INTERVAL 6 HOURS"), "yyyy-MM-dd HH").alias("a"), F.date_format(F.col("d") + F.expr("INTERVAL 101 HOURS"), "yyyy-MM-dd HH").alias("b")).first()
+    return landing.read_period(t.spark, path, first["a"], first["b"]).select("event_id", "event_type")
+
+
+@check("s_lookup", "SELECT page_id, regexp_extract(regexp_extract(url, '^https?://([^/]+)', 1), '([^.]+\\.[^.]+)$', 1) AS \"domain\" FROM {pages}")
+def _(t):
+    # every last label of the given hosts as a rule of its own, read back as a user's file
+    path = scratch(t.spark, "suffixes")
+    t["pages"].select(F.regexp_extract("url", r"^https?://[^/]*\.([^./]+)(/|$)", 1).alias("value")).distinct().coalesce(1).write.text(path)
+    rules = tables.read_lookup(t.spark, "suffixes", path + "/part-*")
+    return t["pages"].select("page_id", registered_domain(F.col("url"), rules).alias("domain"))
+
+
 @check("s_touch_log", "SELECT CAST(t_ms AS STRING) AS time, CAST(k AS STRING) AS x, CAST(user_id AS STRING) AS y FROM {ev} WHERE event_type = 'click'")
 def _(t):
     line = F.when(F.col("event_type") == "click", F.concat_ws(" ", F.lit("touch"), "t_ms", F.concat_ws(":", "k", "user_id"))).when(F.col("event_type") == "view", "# note").otherwise("one two")

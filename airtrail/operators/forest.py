@@ -6,6 +6,8 @@ has partitioned and sorted; rows stream through in Arrow batches and only live t
 
 from __future__ import annotations
 
+from bisect import insort
+
 from bisect import insort
 from collections.abc import Iterator
 
@@ -149,8 +151,9 @@ class _Activity:
         self.columns, self.keys, self.cut_gap = columns, keys, cut_gap
         self.key = None
         self.nodes: dict[str, dict] = {}
-        self.trees: list[list[str]] = []       # node names, oldest first; the first is the root
-        self.known: list[dict[str, str]] = []  # url -> newest node, per tree
+        self.trees: list[dict[str, None]] = []       # node names in order; the first is the root
+        self.known: list[dict[str, list[str]]] = []  # url -> its nodes in order, per tree
+        self.places: dict[str, list[int]] = {}       # url -> trees that hold it, in order
         self.last = None
 
     def take(self, row):
@@ -169,16 +172,33 @@ class _Activity:
 
     def _add(self, tree: int, node, parent: str | None):
         self.nodes[node["name"]] = node
-        node["parent"], node["tree"] = parent, tree
+        node["parent"], node["kids"], node["place"] = parent, {}, len(self.nodes)
         if parent is not None:
             self.nodes[parent]["children"] += 1
-        self.trees[tree].append(node["name"])
+            self.nodes[parent]["kids"][node["name"]] = None
+        self._enter(tree, node)
+
+    def _enter(self, tree: int, node):
+        node["tree"] = tree
+        self.trees[tree][node["name"]] = None
+        if node["url"] is not None:
+            names = self.known[tree].setdefault(node["url"], [])
+            if not names:
+                insort(self.places.setdefault(node["url"], []), tree)
+            names.append(node["name"])
+
+    def _leave(self, tree: int, node):
+        del self.trees[tree][node["name"]]
         if node["url"] is not None:
-            self.known[tree][node["url"]] = node["name"]
+            names = self.known[tree][node["url"]]
+            names.remove(node["name"])
+            if not names:
+                del self.known[tree][node["url"]]
+                self.places[node["url"]].remove(tree)
 
     def _plant(self, node):
         tree = len(self.trees)
-        self.trees.append([])
+        self.trees.append({})
         self.known.append({})
         parent = None
         if node["ref"] is not None:
@@ -196,14 +216,15 @@ class _Activity:
         return True
 
     def _follow(self, node) -> bool:
-        tree = next((i for i in reversed(range(len(self.trees))) if node["ref"] in self.known[i]), None)
-        if tree is None:
+        holders = self.places.get(node["ref"])
+        if not holders:
             return False
-        page = self.nodes[self.known[tree][node["ref"]]]
+        tree = holders[-1]
+        page = self.nodes[self.known[tree][node["ref"]][-1]]
         node["fake"] = False
         node["pred_class"] = _pair_class(page, node)
         self._add(tree, node, page["name"])
-        inner = page["name"] != self.trees[tree][0] and not page["fake"]
+        inner = page["name"] != next(iter(self.trees[tree])) and not page["fake"]
         if inner and "text" in (page["ctype"] or ""):
             full = page["children"] >= FAT_PAGE
             left = page["children"] >= SLIM_PAGE and (node["last_class"] == SERIAL or node["pred_class"] == UNCLASSIFIED)
@@ -212,29 +233,31 @@ class _Activity:
         return True
 
     def _cut(self, tree: int, root: str):
-        """Make the part of a tree under a node a tree of its own."""
-        self.nodes[self.nodes[root]["parent"]]["children"] -= 1
-        self.nodes[root]["parent"] = None
-        inside = {root}
-        for name in self.trees[tree]:
-            if self.nodes[name]["parent"] in inside:
-                inside.add(name)
-        parts = ([n for n in self.trees[tree] if n not in inside], [root] + [n for n in self.trees[tree] if n in inside and n != root])
-        self.trees[tree] = parts[0]
-        self.trees.append(parts[1])
+        """Make the part of a tree under a node a tree of its own; only that part is touched."""
+        top = self.nodes[root]
+        above = self.nodes[top["parent"]]
+        above["children"] -= 1
+        del above["kids"][root]
+        top["parent"] = None
+        inside, left = [], [root]
+        while left:
+            name = left.pop()
+            inside.append(self.nodes[name])
+            left += self.nodes[name]["kids"]
+        new = len(self.trees)
+        self.trees.append({root: None})
         self.known.append({})
-        for i, names in ((tree, parts[0]), (len(self.trees) - 1, parts[1])):
-            self.known[i] = {}
-            for name in sorted(names, key=lambda n: (self.nodes[n]["start"], int(n[1:]), not self.nodes[n]["dummy"])):
-                self.nodes[name]["tree"] = i
-                if self.nodes[name]["url"] is not None:
-                    self.known[i][self.nodes[name]["url"]] = name
+        for node in inside:
+            self._leave(tree, node)
+        for node in sorted(inside, key=lambda n: n["place"]):
+            self._enter(new, node)
 
     def close(self):
         for names in self.trees:
+            first = next(iter(names), None)
             for name in names:
                 n = self.nodes[name]
-                yield (*self.key, names[0], name, n["parent"], n["dummy"], n["t"], n["url"],
+                yield (*self.key, first, name, n["parent"], n["dummy"], n["t"], n["url"],
                        n["last_class"], n["pred_class"], n["fake"])
 
 
@@ -263,17 +286,21 @@ def split_forest(edges: DataFrame, text_nodes: DataFrame, min_children: int = 3)
     edges = settle(edges, "edges")
     wide = edges.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("_c")).where(
         F.col("_c") > min_children).join(text_nodes.select("node").distinct(), "node", "left_semi")
-    tops = edges.join(wide, "node", "left").withColumn("_top", F.col("parent").isNull() | F.col("_c").isNotNull())
+    tops = edges.join(wide, "node", "left").select("node", "parent", (F.col("parent").isNull() | F.col("_c").isNotNull()).alias("_top"))
     tops = settle(tops, "tops")
-    steps = tops.select("node", F.when(F.col("_top"), F.col("node")).otherwise(F.col("parent")).alias("up"))
+    # nodes whose way up has ended; only the others are carried into the next round
+    done = tops.where("_top").select("node", F.col("node").alias("up"))
+    moving = tops.where("NOT _top").select("node", F.col("parent").alias("up"))
     while True:
-        steps = settle(steps, "steps")
-        above = steps.where(F.col("up") != F.col("node")).select(F.col("node").alias("up"), F.col("up").alias("_next"))
-        moved = steps.join(above, "up", "left")
-        if moved.where(F.col("_next").isNotNull()).isEmpty():
+        known = done.select(F.col("node").alias("up"), F.col("up").alias("_next"), F.lit(True).alias("_end")).unionByName(
+            moving.select(F.col("node").alias("up"), F.col("up").alias("_next"), F.lit(False).alias("_end")))
+        moved = moving.join(known, "up", "left")
+        moved = settle(moved.select("node", F.coalesce("_next", "up").alias("up"), F.coalesce("_end", F.lit(True)).alias("_end")), "steps")
+        done = done.unionByName(moved.where("_end").select("node", "up"))
+        moving = moved.where("NOT _end").select("node", "up")
+        if moving.isEmpty():
             break
-        steps = moved.select("node", F.coalesce("_next", "up").alias("up"))
-    return edges.join(steps, "node").join(tops.select("node", "_top"), "node").select(
+    return edges.join(done, "node").join(tops.select("node", "_top"), "node").select(
         *[c for c in edges.columns if c not in ("tree", "parent")], F.col("up").alias("tree"),
         F.when(~F.col("_top"), F.col("parent")).alias("parent"))
 
