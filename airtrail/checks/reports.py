@@ -524,6 +524,12 @@ def _(t):
     return jobs.flow_merge(_flows(t), _transfers(t), _dpi(t), t["ip_spans"], _aps(t), "10.184").select("block", "side", "pos", "matched", "protocol", "device", "place", "line")
 
 
+@check("job_activity_scores")
+def _(t):
+    clicks = t["ev"].where("event_type = 'click'").select(F.concat(F.lit("10.184."), (F.col("user_id") % 200).cast("string"), F.lit("."), (F.col("k") % 3).cast("string")).alias("source_ip"), F.col("t_us").alias("click"))
+    return jobs.evaluate_activity(t["http"], clicks, ["source_ip"], burst=300_000_000, within=60_000_000)
+
+
 @check("k_flow_blocks", f"""WITH {_TAGGED} SELECT CASE WHEN side = 'tcp' THEN 'TCP: ' || device || ' ' || place || ' ' || protocol || ' ' || line ELSE 'HTTP: ' || line END AS value FROM tagged
     UNION ALL SELECT 'TCP: ' || min(device) || ' ' || min(place) || ' -' FROM tagged GROUP BY block HAVING count(*) FILTER (side = 'tcp') = 0
     UNION ALL SELECT 'HTTP: -' FROM tagged GROUP BY block HAVING count(*) FILTER (side = 'http') = 0""")

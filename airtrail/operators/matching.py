@@ -170,8 +170,8 @@ def tag_protocol(flows: DataFrame, dpi: DataFrame, tol: int = 60_000_000, order:
 def cover_all(points: DataFrame, spans: DataFrame, keys: list[str], t: str, lo: str, hi: str, tol: int = 0) -> DataFrame:
     """Every span of equal keys that covers a point within ``tol``.
 
-    A span lies on the grid whose cells fit its length (five cells at most); a point looks into one cell per grid, so
-    neither long spans nor busy keys multiply, and only true matches are joined.
+    A span lies on the grid whose cells fit its length (five cells at most); a point looks into one cell of each grid that
+    holds spans, so neither long spans nor busy keys multiply, and only true matches are joined.
     """
     wide = spans.withColumns({"_lo": F.col(lo) - tol, "_hi": F.col(hi) + tol}).where(F.col("_hi") >= F.col("_lo"))
     level = F.lit(len(CELLS) - 1)
@@ -180,9 +180,11 @@ def cover_all(points: DataFrame, spans: DataFrame, keys: list[str], t: str, lo:
     size = F.element_at(F.array(*[F.lit(c) for c in CELLS]), F.col("_level") + 1)
     grid = wide.withColumn("_level", level).withColumn(
         "_cell", F.explode(F.sequence(F.floor(F.col("_lo") / size), F.floor(F.col("_hi") / size))))
-    looks = points.where(F.col(t).isNotNull()).select("*", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("level"), F.floor(F.col(t) / c).alias("cell")) for i, c in enumerate(CELLS)])).alias("_g")
-    ).select("*", F.col("_g.level").alias("_level"), F.col("_g.cell").alias("_cell")).drop("_g")
+    used = wide.agg(F.collect_set(level)).scalar()  # twelve numbers at most
+    cells = F.array(*[F.struct(F.lit(i).alias("level"), F.floor(F.col(t) / c).alias("cell")) for i, c in enumerate(CELLS)])
+    looks = points.where(F.col(t).isNotNull()).withColumn("_used", used).select(
+        "*", F.explode(F.filter(cells, lambda g: F.array_contains(F.col("_used"), g["level"]))).alias("_g")
+    ).select("*", F.col("_g.level").alias("_level"), F.col("_g.cell").alias("_cell")).drop("_g", "_used")
     met = looks.join(grid, [*keys, "_level", "_cell"]).where((F.col(t) >= F.col("_lo")) & (F.col(t) <= F.col("_hi")))
     return met.drop("_level", "_cell", "_lo", "_hi")
 

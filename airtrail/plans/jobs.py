@@ -123,3 +123,25 @@ def activity(http: DataFrame, seq: str = "seq", timeout: int = 60_000_000, cut_g
     """
     marked = sessions.ua_sessions(settle(entries(http, seq, suffixes), "entries"), "agent", "domain", "t", timeout, extra)
     return forest.activity_forest(marked, ["has_ua", "activity", *extra, "session_start"], cut_gap)
+
+
+def evaluate_activity(http: DataFrame, clicks: DataFrame, keys: list[str], seq: str = "seq", timeout: int = 60_000_000, cut_gap: float = 8.0,
+                      burst: int = 3_000_000, within: int = 2_000_000, extra: list[str] = ["source_ip"], suffixes: Suffixes = SOME_SUFFIXES) -> DataFrame:
+    """How well activity trees find the requests that belong to clicks: one row with agents, score, agents with a score
+    above 0 and their mean score.
+
+    Truth are the bursts of a user agent in which a request follows a click by less than ``within``; ``clicks`` has ``keys``
+    (columns of ``entries``) and click (microseconds). Requests are told apart by begin, end and address.
+    """
+    rows = entries(http, seq, suffixes)
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("start", "end", "url")]
+    rows = settle(rows.withColumn("entity", F.concat_ws("|", *parts)).withColumn("node", F.concat(F.lit("n"), F.col("seq").cast("string"))), "entries")
+    marked = sessions.ua_sessions(rows, "agent", "domain", "t", timeout, extra)
+    edges = forest.activity_forest(marked, ["has_ua", "activity", *extra, "session_start"], cut_gap)
+    whole = F.concat_ws("#", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("tree", *extra, "session_start")])
+    predicted = edges.where(F.col("has_ua") & ~F.col("dummy")).select(F.col("activity").alias("agent"), whole.alias("tree"), "node").join(rows.select("node", "entity"), "node")
+    bursts = sessions.truth_trees(rows.where(F.col("agent").isNotNull()), "agent", "t", burst)
+    truth = matching.click_match(bursts, clicks, keys, ["agent", "tree"], "t", "click", within)
+    scores = stats.evaluate_forest(predicted, truth.withColumn("tree", F.col("tree").cast("string")))
+    above = F.col("score") > 0
+    return scores.agg(F.count("*").alias("agents"), F.avg("score").alias("score"), F.count_if(above).alias("agents_above_0"), F.avg(F.when(above, F.col("score"))).alias("score_above_0"))

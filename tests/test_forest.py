@@ -101,3 +101,27 @@ def test_evaluation_means(spark):
     p = spark.createDataFrame([("u", 1, "x"), ("u", 1, "y"), ("u", 2, "z"), ("w", 1, "q")], "agent STRING, tree INT, entity STRING")
     t = spark.createDataFrame([("u", 9, "x"), ("u", 9, "y"), ("u", 8, "q"), ("v", 1, "x")], "agent STRING, tree INT, entity STRING")
     assert [(r.agent, r.score, r.trees) for r in stats.evaluate_forest(p, t).collect()] == [("u", 0.5, 2)]
+
+
+def test_activity_scores(spark):
+    """Two pages of one agent with their pictures, a click before each: both bursts are found whole; a burst without click does not count."""
+    from airtrail import schemas
+    from airtrail.plans import jobs
+
+    names = schemas.names(schemas.HTTP)
+    rows = []
+
+    def ask(seq, at, path, referrer, agent="browser"):
+        row = dict.fromkeys(names)
+        row.update(source_ip="10.0.0.1", source_port=1, dest_ip="192.0.2.1", dest_port=80, connection="unique", request_ts=at, request_time=0.01, response_ts=at + 0.05,
+                   response_time_end=0.1, request_host="site.example", request_url=path, request_referer=referrer, request_user_agent=agent, response_content_type="text/html")
+        rows.append((*[row[n] for n in names], seq))
+
+    for base, page in ((100.0, "/a"), (200.0, "/b"), (300.0, "/c")):
+        ask(len(rows), base, page, None)
+        for i in range(2):
+            ask(len(rows), base + 0.3 + i / 10, f"{page}/{i}.png", f"http://site.example{page}")
+    http = spark.createDataFrame(rows, schemas.HTTP + ", seq LONG")
+    clicks = spark.createDataFrame([("10.0.0.1", 99_500_000), ("10.0.0.1", 199_000_000)], "source_ip STRING, click LONG")
+    got = jobs.evaluate_activity(http, clicks, ["source_ip"]).first()
+    assert (got.agents, got.score, got.agents_above_0, got.score_above_0) == (1, 1.0, 1, 1.0)

@@ -92,3 +92,18 @@ def test_hot_key_is_spread(spark, uncoalesced):
         used = F.max(F.hash(out.columns[-1]))  # keeps the optimizer from dropping the work
         sizes = [r.n for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), used).collect()]
         assert sum(sizes) == 4000 and len(sizes) >= 8 and max(sizes) < 1600
+
+
+def test_broken_and_very_long_spans(spark):
+    """A span whose end is far beyond any time, and one of ten years, fill only the blocks between the points."""
+    from airtrail.operators import matching
+    from airtrail.operators.nearest import first_cover
+
+    year = 365 * 86_400_000
+    points = spark.createDataFrame([(1, "k", 1_000), (2, "k", 5 * year), (3, "j", 2_000)], "seq LONG, k STRING, t LONG")
+    spans = spark.createDataFrame([("k", 0, 9_000_000_000_000_000_000 // 1000, "broken"), ("j", 0, 10 * year, "long")], "k STRING, lo LONG, hi LONG, v STRING")
+    got = {r.seq: r.hit.v for r in first_cover(points, spans, ["k"], "t", "lo", "hi", ["hi"], ["v"]).collect()}
+    assert got == {1: "broken", 2: "broken", 3: "long"}
+    sessions = spark.createDataFrame([("m", 0, 10 * year, "A", "i", "acc")], "mac STRING, s_ms LONG, e_ms LONG, ap STRING, ip STRING, account STRING")
+    asks = spark.createDataFrame([(1, "i", 3 * year + 5, "h.example"), (2, "i", 3 * year + 86_400_000, "h.example")], "seq LONG, ip STRING, stime LONG, host STRING")
+    assert {r.seq: r.location for r in matching.locate_requests(asks, sessions, span_days=True).collect()} == {1: "A", 2: "A"}
