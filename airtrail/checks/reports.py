@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.net import is_local, undirected_socket
-from ..functions.spans import response_end
 from ..functions.url import registered_domain
-from ..operators import cleaning, forest, lookups, matching, sessions, stats
+from ..operators import cleaning, forest, matching, sessions, stats
 from ..plans import jobs
 from ..session import scratch
 from ..sources import catalog, landing, lines, sinks, tables, traffic, wifi

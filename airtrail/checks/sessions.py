@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import spans
 from ..functions.net import undirected_socket
 from ..operators import cleaning, matching, sessions
 from ..plans import jobs
