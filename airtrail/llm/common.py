@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..session import scratch, settle
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-M64 = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 SPACE = np.zeros(256, bool)
