@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .common import smallest_by_hash
 
 # a run of at least 16 signs of keys and encodings with a digit in it
@@ -107,7 +108,7 @@ def findings(docs: DataFrame, limit: int = 300) -> DataFrame:
 def fit(labelled: DataFrame, trees: int = 24, depth: int = 7, seed: int = 5, most: int = 50_000):
     """A forest over the features of at most ``most`` labelled findings ``text, label`` (label 1: a secret).
 
-    A text with several candidates speaks for its longest one. Needs findings of both labels.
+    A text with several candidates speaks for its longest one. Without findings of both labels there is no forest: None.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
@@ -115,22 +116,28 @@ def fit(labelled: DataFrame, trees: int = 24, depth: int = 7, seed: int = 5, mos
 
     rows = features(candidates(labelled.limit(most), "text", "label")).withColumn(
         "_n", F.row_number().over(Window.partitionBy("text").orderBy(F.desc("length"), "start"))).filter("_n = 1")
+    rows = settle(rows.select("label", *FEATURES), "findings")
+    if rows.select("label").distinct().count() < 2:
+        return None
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird")
-    return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), forest]).fit(rows.select("label", *FEATURES))
+    return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), forest]).fit(rows)
 
 
 def scan(docs: DataFrame, model, threshold: float = 0.5) -> DataFrame:
     """``doc_id, text_key, number, start, length, value, score, secret`` of every candidate in the whole texts.
 
-    ``score`` is the share of the trees' votes for a secret. Null and empty texts have no candidates; a null doc_id stays. Rows
+    ``score`` is the share of the trees' votes for a secret; without a forest it is null and nothing counts as a secret. Null and empty texts have no candidates; a null doc_id stays. Rows
     with the same doc_id and text give their candidates once. Other columns are not read.
     """
     from pyspark.ml.functions import vector_to_array
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    rated = model.transform(features(candidates(keyed, "doc_id", "text_key")))
-    score = F.round(vector_to_array("probability")[1], 9)
-    return rated.select("doc_id", "text_key", "number", "start", "length", "value", score.alias("score"), (score >= threshold).alias("secret"))
+    rated = features(candidates(keyed, "doc_id", "text_key"))
+    score = F.lit(None).cast("double")
+    if model is not None:
+        rated, score = model.transform(rated), F.round(vector_to_array("probability")[1], 9)
+    return rated.select(
+        "doc_id", "text_key", "number", "start", "length", "value", score.alias("score"), F.coalesce(score >= threshold, F.lit(False)).alias("secret"))
 
 
 def redact(docs: DataFrame, model, threshold: float = 0.5) -> DataFrame:

@@ -413,6 +413,10 @@ def test_secrets(spark, none):
         want[d, new, n if new == t else len(new), s] += 1
     assert collections.Counter(map(tuple, done.collect())) == want
     assert secretscan.scan(none, model).count() == 0 and secretscan.redact(none, model).count() == 0
+    assert secretscan.fit(secretscan.findings(none)) is None
+    unknown = secretscan.scan(docs, None).collect()
+    assert len(unknown) == len(got) and not any(r.secret for r in unknown)
+    assert collections.Counter(map(tuple, secretscan.redact(docs, None).collect())) == collections.Counter(rows)
 
 
 # language model

@@ -71,3 +71,17 @@ def test_held_out_accuracy(spark):
     assert sum(r.lang == r.lang_pred for r in lang) >= 0.97 * len(lang)
     rated = checks.op6_quality_classifier(spark, FOLDER.replace("0.001", "0.01")).filter("held_out").join(labels.select("doc_id", "quality"), "doc_id").collect()
     assert sum(r.quality == r.predicted for r in rated) >= 0.95 * len(rated)
+
+
+def test_empty_documents(spark, tmp_path):
+    """No document: every query and the pipeline give no row."""
+    import corpus_pipeline
+    from airtrail.llm import checks
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    for name, query in checks.QUERIES.items():
+        assert query(spark, str(tmp_path)).count() == 0, name
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
