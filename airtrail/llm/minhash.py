@@ -14,9 +14,9 @@ HASHES = 128
 BITS = 4  # kept of each minimum; 16 minima share a 64-bit word
 ROWS, BANDS = 3, 42  # a pair at the threshold 0.75 meets in no band with chance (1 - 0.75 ** 3) ** 42, about 1e-10
 MARGIN = 0.25  # six standard deviations of the estimate below the threshold
-RELATED = 0.4  # estimates from here on put two classes into one group
-BLOCK = 2048  # classes of a group that others are compared with in one task
-CHUNK = 200_000  # shingles on either side of one exact comparison
+BLOCK = 2048  # classes of a bucket on either side of the comparisons of one task
+TILE = 256  # classes on either side of one comparison of packed bits
+CHUNK = 2_000_000  # shingles on either side of the exact comparisons of one task
 FACTORS = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 LOW = np.uint64((1 << BITS) - 1)
 ONES = 0x1111111111111111
@@ -150,80 +150,120 @@ def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, perce
     return both.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
 
 
-def linked(one: list[np.ndarray], other: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which sets of one list overlap which of another by ``percent`` of their union: a product of memberships of shared shingles."""
-    def spread(sets):
-        return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-
-    (x, i), (y, j) = spread(one), spread(other)
-    common = np.intersect1d(x, y)
-    counts = np.zeros((len(one), len(other)), np.float32)
-    for at in range(0, len(common), 4096):
-        part = common[at : at + 4096]
-        sides = []
-        for values, owner, n in ((x, i, len(one)), (y, j, len(other))):
-            place = np.minimum(np.searchsorted(part, values), len(part) - 1)
-            hit = part[place] == values
-            table = np.zeros((n, len(part)), np.float32)
-            table[owner[hit], place[hit]] = 1
-            sides.append(table)
-        counts += sides[0] @ sides[1].T
-    sizes = np.add.outer([len(a) for a in one], [len(b) for b in other])
-    return 100 * counts >= percent * (sizes - counts)
-
-
-def chunks(sizes: np.ndarray) -> list[tuple[int, int]]:
-    """Ranges of at most 256 sets with about ``CHUNK`` shingles; a larger set is a range of its own."""
-    out, start, total = [], 0, 0
-    for i, n in enumerate(sizes.tolist()):
-        if i > start and (total + n > CHUNK or i - start == 256):
-            out.append((start, i))
-            start, total = i, 0
-        total += n
-    return [*out, (start, len(sizes))] if len(sizes) else out
-
-
-def across(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links ``a, b`` between different components inside groups ``grp, node, component``, in blocks.
-
-    In a group the classes outside its largest component are compared with all others, block by block on full sets; a block
-    sends at most one link for each class and each component that it meets.
+def agree(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Estimates of all rows of packed bits against all others, as ``estimate`` gives them."""
+    unlike = np.zeros((len(one), len(other)), np.uint8)
+    for i in range(HASHES * BITS // 64):
+        x = one[:, i][:, None] ^ other[:, i][None]
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        unlike += np.bitwise_count(x & np.uint64(ONES)).astype(np.uint8)
+    chance = 1 / (1 << BITS)
+    return ((1 - unlike / np.float32(HASHES)) - chance) / (1 - chance)
+
+
+def alike(asking: tuple, held: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of two lists ``n, component, packed`` in order of n that lie in different components and can reach the threshold."""
+    (n, c, p), (m, d, q) = asking, held
+    one, other = [], []
+    for i in range(0, len(n), TILE):
+        rows = slice(i, i + TILE)
+        low, high = np.searchsorted(m, [(threshold - 1e-9) * n[rows][0], n[rows][-1] / (threshold - 1e-9) + 1])
+        for j in range(low, high, TILE):
+            to = slice(j, min(j + TILE, high))
+            small, large = np.minimum.outer(n[rows], m[to]), np.maximum.outer(n[rows], m[to])
+            hit = (small >= (threshold - 1e-9) * large) & (c[rows][:, None] != d[to][None])
+            if hit.any():
+                x, y = np.nonzero(hit & (agree(p[rows], q[to]) >= threshold - MARGIN))
+                one.append(x + i)
+                other.append(y + j)
+    empty = np.zeros(0, np.int64)
+    return np.concatenate([empty, *one]), np.concatenate([empty, *other])
+
+
+def every_pair(placed: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``a, b`` that can reach the threshold among all pairs of a bucket ``band, node, component`` in different components.
+
+    In a bucket the classes outside its largest component ask all its classes. Both sides are cut into blocks of about ``BLOCK``
+    classes, a task compares the packed bits of one block of askers with one block of the others; small buckets share a task. No
+    pair is left out, and no task holds more than two blocks or the rows of about ``BLOCK`` small buckets.
     """
-    sizes = groups.groupBy("grp", "component").agg(F.count("*").alias("c")).groupBy("grp").agg(
-        F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("size"), F.count("*").alias("kinds"))
-    open_ = sizes.filter("kinds > 1 AND size > 2").select("grp", "main", "size")
-    rows = groups.join(open_, "grp").join(sets, "node")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    # small groups share a task
-    part = F.when(blocks > 1, F.col("grp")).otherwise(-1 - F.pmod(F.xxhash64("grp"), F.lit(4096)))
-    rows = rows.select("grp", "node", "component", "main", "members", blocks.alias("blocks"), part.alias("part"))
-    held = rows.select("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "grp", "node", "component", "members")
-    asking = rows.filter("component <> main").select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "grp", "node", "component", "members")
-    asking = asking.select(*[F.col(c).alias(c) for c in asking.columns])
+    kinds = placed.groupBy("band", "component").agg(F.count("*").alias("c")).groupBy("band").agg(
+        F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("size"), F.max("c").alias("most"), F.count("*").alias("kinds"))
+    kinds = kinds.filter("kinds > 1 AND size > 2").select(
+        "band", "main", F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("ask_blocks"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    rows = settle(placed.join(kinds, "band").join(marks, "node"), "open")
+    parts = max(1, rows.count() // (4 * BLOCK))
+    part = F.when(F.col("blocks") > 1, F.col("band")).otherwise(F.pmod(F.xxhash64("band"), F.lit(parts)))
+    columns = ["band", "node", "n", "component", "packed", (F.col("component") == F.col("main")).alias("held")]
+
+    def block(count: str) -> Column:
+        return F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
+
+    def to_all(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    big = F.col("blocks") > 1
+    asks = rows.filter("component <> main").select(part.alias("part"), big.alias("big"), block("ask_blocks").alias("i"), to_all("blocks").alias("j"), F.lit(True).alias("asks"), *columns)
+    asked = rows.select(part.alias("part"), big.alias("big"), to_all("ask_blocks").alias("i"), block("blocks").alias("j"), F.lit(False).alias("asks"), *columns)
+
+    def compare(table: pa.Table) -> pa.Table:
+        band, node, n, component = (table.column(c).to_numpy() for c in ("band", "node", "n", "component"))
+        packed = table.column("packed").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+        asking, held = (table.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "held"))
+        order = np.lexsort((node, n, held, ~asking, band))
+        starts = np.flatnonzero(np.diff(band[order], prepend=band[order[0]] - 1))
+        found = []
+        for at, to in zip(starts, [*starts[1:], len(order)]):
+            here = order[at:to]
+            mine, others, main = here[asking[here]], here[~asking[here] & ~held[here]], here[held[here]]
+            for theirs, both in ((others, True), (main, False)):
+                x, y = alike((n[mine], component[mine], packed[mine]), (n[theirs], component[theirs], packed[theirs]), threshold)
+                x, y = node[mine[x]], node[theirs[y]]
+                # two askers meet twice
+                keep = x < y if both else np.ones(len(x), bool)
+                found.append(np.stack([np.minimum(x, y)[keep], np.maximum(x, y)[keep]]))
+        a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pa.table({"a": a, "b": b})
+
+    return asks.union(asked).groupBy("part", "big", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
+def confirm_all(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """As ``confirm``, for any number of pairs: classes are dealt into blocks of about ``CHUNK`` shingles, and a task gets each set
+    of its two blocks once, for all its pairs. Pairs that links of the task already join are not compared."""
+    nodes = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    total = nodes.join(classes, "node").agg(F.sum("n")).first()[0] or 0
+    made = full_sets(nodes, docs, classes, k)
+    blocks = max(8, -(-total // CHUNK))
+    dealt = pairs.select(*[F.pmod(F.xxhash64(c), F.lit(blocks)).alias(f"_{c}") for c in "ab"], "a", "b")
+    wanted = dealt.select(F.col("_a").alias("_c"), F.col("_b").alias("_d"), F.explode(F.array("a", "b")).alias("node")).distinct().join(made, "node")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        def sorted_rows(table):
-            grp, node, component = (table.column(c).to_numpy() for c in ("grp", "node", "component"))
-            members = [np.frombuffer(m.as_buffer(), np.uint64) for m in table.column("members")]
-            order = np.argsort(grp, kind="stable")
-            return grp[order], node[order], component[order], [members[i] for i in order]
-
-        lg, ln, lc, lm = sorted_rows(left)
-        rg, rn, rc, rm = sorted_rows(right)
-        a, b = [], []
-        for g in np.unique(lg).tolist():
-            (l0, l1), (r0, r1) = np.searchsorted(lg, [g, g + 1]), np.searchsorted(rg, [g, g + 1])
-            for p, q in chunks(np.array([len(m) for m in lm[l0:l1]])):
-                for u, v in chunks(np.array([len(m) for m in rm[r0:r1]])):
-                    mine, theirs = slice(l0 + p, l0 + q), slice(r0 + u, r0 + v)
-                    hit = linked(lm[mine], rm[theirs], percent) & (lc[mine][:, None] != rc[theirs][None])
-                    x, y = np.nonzero(hit)
-                    _, first = np.unique(np.stack([ln[mine][x], rc[theirs][y]]), axis=1, return_index=True)
-                    a.append(ln[mine][x[first]])
-                    b.append(rn[theirs][y[first]])
-        return pa.table({"a": pa.array(np.concatenate([np.zeros(0, np.int64), *a])), "b": pa.array(np.concatenate([np.zeros(0, np.int64), *b]))})
-
-    return asking.groupBy("part", "block").cogroup(held.groupBy("part", "block")).applyInArrow(compare, "a long, b long")
+        sets = {x: np.frombuffer(m.as_buffer(), np.uint64) for x, m in zip(right.column("node").to_pylist(), right.column("members"))}
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            return x
+
+        links = []
+        for a, b in sorted(zip(left.column("a").to_pylist(), left.column("b").to_pylist())):
+            u, v = find(a), find(b)
+            if u == v:
+                continue
+            x, y = sorted((sets[a], sets[b]), key=len)
+            place = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            common = int((y[place] == x).sum())
+            if 100 * common >= percent * (len(x) + len(y) - common):
+                root[u] = v
+                links.append((a, b))
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("_a", "_b").cogroup(wanted.groupBy("_c", "_d")).applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
@@ -232,10 +272,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     Documents with 100 * intersection >= ``percent`` * union of their shingle sets are linked; a component is named by its
     smallest doc_id and that document is kept. Equal sets form one class at once, and only classes are compared. In every band
     bucket all classes are compared with the smallest one and with one more, so a group of n alike costs about n comparisons a
-    bucket instead of n * n / 2. Classes that these comparisons find related (estimate ``RELATED``) form groups; where a group
-    still spans several components, the classes outside the largest are compared with all others of the group, in blocks. Every
-    link is confirmed on the full sets. A link is missed only if its classes meet in no band, or are found related to none of
-    the compared classes in all their buckets (less than one in a billion for unrelated ones, which share few minima).
+    bucket instead of n * n / 2. Where a bucket still spans several components, all its pairs in different components are
+    compared, in blocks. Every link is confirmed on the full sets. A link is missed only if its classes meet in no band or the
+    estimate of 128 minima is six standard deviations too low. A bucket of n classes that are not linked costs n * n / 2
+    comparisons of packed bits, spread over tasks of two blocks.
 
     Rows without words are linked with nothing. Rows of one doc_id are one document. A null doc_id is linked with nothing, has a
     null component and is kept. No input gives no row.
@@ -255,10 +295,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     shared = settle(bands.join(shared.drop("_most"), "band"), "buckets")
     def rated(pairs: DataFrame) -> DataFrame:
         whole = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("e", estimate("pa", "pb"))
-        return settle(whole.filter(F.col("e") >= RELATED).select("a", "b", likely(threshold).alias("fits")), "pairs")
+        return settle(whole.filter(likely(threshold)).select("a", "b"), "pairs")
 
     star = rated(shared.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
-    links = settle(confirm(star.filter("fits"), docs, classes, k, percent), "links")
+    links = settle(confirm(star, docs, classes, k, percent), "links")
     # rows of one doc_id with different texts belong together
     members = sketches.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "k1", "k2", "n").join(classes.select("k1", "k2", "n", "node", "rep"), ["k1", "k2", "n"])
     twice = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("_most")).filter("a <> _most")
@@ -271,17 +311,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     other = placed.groupBy("band").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", "band")).alias("_z"), F.min("component").alias("_least"), F.max("component").alias("_most"))
     other = other.filter("_least <> _most").select("band", "_z")
     turn = placed.join(other, "band").filter("component <> _z.component").select(F.least("_z.node", "node").alias("a"), F.greatest("_z.node", "node").alias("b")).distinct()
-    turn = rated(turn.join(star.select("a", "b"), ["a", "b"], "left_anti"))
-    links = settle(links.union(confirm(turn.filter("fits"), docs, classes, k, percent)), "links")
+    turn = rated(turn.join(star, ["a", "b"], "left_anti"))
+    links = settle(links.union(confirm(turn, docs, classes, k, percent)), "links")
     found = components(links, "stars")
 
-    # what is left: related classes in different components
-    related = components(star.select("a", "b").union(turn.select("a", "b")), "groups").select(F.col("component").alias("grp"), F.col("id").alias("node"))
-    groups = related.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    groups = settle(groups.select("grp", "node", "component"), "groups")
-    spans = groups.groupBy("grp").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count("*").alias("_n")).filter("_a <> _b AND _n > 2")
-    sets = full_sets(groups.join(spans, "grp").select("node"), docs, classes, k)
-    more = settle(across(groups, sets, percent), "links")
+    # what is left: all other pairs of buckets that still span several components
+    judged = star.union(turn)
+    placed = shared.select("band", "node").join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rest = settle(every_pair(placed, marks, threshold).join(judged, ["a", "b"], "left_anti"), "pairs")
+    more = settle(confirm_all(rest, docs, classes, k, percent), "links")
     if not more.isEmpty():
         found = components(links.union(more), "stars")
 

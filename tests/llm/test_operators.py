@@ -213,6 +213,56 @@ def test_near_duplicate_chain(spark):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == near_groups(rows)
 
 
+def pooled(n, planted, sections=60, variants=3, seed=21):
+    """Documents that take each section from a few passages; planted ones differ from another document in a few sections."""
+    rng = random.Random(seed)
+    pool = [[" ".join(f"s{s}v{v}w{i}" for i in range(40)) for v in range(variants)] for s in range(sections)]
+    picks = [[rng.randrange(variants) for _ in range(sections)] for _ in range(n)]
+    for i in range(planted):
+        pick = list(picks[i])
+        for s in rng.sample(range(sections), sections * 7 // 100):
+            pick[s] = (pick[s] + 1) % variants
+        picks.append(pick)
+    order = list(range(len(picks)))
+    rng.shuffle(order)
+    picks = [picks[i] for i in order]
+    return [(i, " ".join(pool[s][v] for s, v in enumerate(pick))) for i, pick in enumerate(picks)], np.array(picks)
+
+
+def pooled_groups(rows, picks):
+    """``near_groups`` of pooled documents: only pairs with most sections in common can be linked."""
+    sets = [frozenset(zip(*[t.split()[i:] for i in range(5)])) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in (np.flatnonzero((picks[a + 1 :] == picks[a]).mean(1) >= 0.7) + a + 1).tolist():
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                u, v = root(a), root(b)
+                parent[max(u, v)] = min(u, v)
+    return {i: root(i) for i in range(len(rows))}
+
+
+def test_near_duplicates_of_common_passages(spark):
+    """Buckets full of documents that share some passages: a pair in them need not be like the classes that all are compared with."""
+    rows, picks = pooled(2500, 150)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == pooled_groups(rows, picks)
+
+
+def test_every_pair_in_blocks(spark, monkeypatch):
+    """Blocks much smaller than the buckets find the same links."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "CHUNK", 3000)
+    rows, picks = pooled(300, 40, variants=2, seed=22)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == pooled_groups(rows, picks)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
