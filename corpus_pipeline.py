@@ -21,13 +21,20 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near-duplicates."""
     configure(spark)
-    return without(docs, minhash.near_duplicates(docs).filter("NOT kept"))
+    rows = keyed(docs)
+    found = minhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).filter("n_shingles > 0")
+    placed = settle(found.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", "doc_id"), "_row"), "placed")
+    # a null id comes last
+    first = placed.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("_least"))
+    return without(rows, placed.join(first, "component_id").filter("_row <> _least._row")).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
     configure(spark)
-    return without(docs, decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark")).filter("contaminated"))
+    rows = keyed(docs)
+    found = decontaminate.contaminated(rows.select(F.col("_row").alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
+    return without(rows, found.filter("contaminated").select(F.col("doc_id").alias("_row"))).select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +49,14 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.digests(docs, tokenizer_path(), SIZE)
 
 
-def without(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows whose doc_id is not among the found ones; a null doc_id stays."""
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def keyed(docs: DataFrame) -> DataFrame:
+    """Rows with a key ``_row`` of their own, written once; a doc_id may be null or stand in several rows."""
+    return settle(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
+def without(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows whose key ``_row`` is not among the found ones."""
+    return rows.join(found.select("_row"), "_row", "left_anti")
 
 
 STAGES = [

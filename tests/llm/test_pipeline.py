@@ -45,6 +45,29 @@ def test_pipeline_keeps_the_clean(spark, tmp_path):
     assert {r.doc_id for r in packed} == good | {400}
 
 
+def test_rows_of_null_and_repeated_ids(spark, tmp_path):
+    """Copies and passages of rows without an id go; a clean row stays where another one of its id goes."""
+    import corpus_pipeline
+
+    def text(seed):
+        return " ".join(f"{w}{seed}" for w in "a b c d e f g h i j k l m n o p q r s t u v w x y z".split())
+
+    item = text("item")
+    rows = [(None, text(1)), (None, text(1)), (2, text(2)), (2, text(2)), (None, text(2)), (3, text(3)), (3, "x " + item), (None, "y " + item), (4, None), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def left(df):
+        assert df.columns == docs.columns
+        return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+    lone = [(2, text(2)), (3, text(3)), (4, None), (None, "")]
+    near = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
+    assert left(near) == sorted([*lone, (None, ""), (None, text(1)), (3, "x " + item)], key=str)
+    clean = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert left(clean) == sorted([r for r in rows if item not in (r[1] or "")], key=str)
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no given tables")
 @pytest.mark.parametrize("name", ["op7_decontamination", "op8_substring_dedup", "op9_near_duplicates"])
 def test_sql(spark, name):
