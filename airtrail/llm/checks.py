@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, scratch
-from . import decontaminate, langid, minhash, neighbours, packing, ppm, quality, secretscan, substrings, tokenfiles
+from . import bytebpe, decontaminate, langid, minhash, neighbours, packing, ppm, quality, secretscan, substrings, tokenfiles
 from .common import fold, read
 
 SIZE = 4096
@@ -72,7 +72,16 @@ def op10_ppm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return ppm.score(read(configure(spark), folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_token_counts, op4_nearest_neighbours, op5_secret_scan, op6_quality_classifier, op7_decontamination, op8_substring_dedup, op9_near_duplicates, op10_ppm_scores)}
+def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    found, signs = bytebpe.encode(read(configure(spark), folder, "documents"), path, public_tokenizers.PATTERN), F.col("signs")
+    return found.select("doc_id", F.length(signs).cast("long").alias("n_tokens"), F.sha2(bytebpe.packed(signs), 256).alias("ids_sha256"),
+                        F.sha2(bytebpe.decode(signs, bytebpe.Codec(path)), 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_token_counts, op4_nearest_neighbours, op5_secret_scan, op6_quality_classifier, op7_decontamination, op8_substring_dedup, op9_near_duplicates, op10_ppm_scores, op11_byte_bpe)}
 BIG, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS_7 = f"regexp_extract_all(translate(coalesce(text, ''), '{BIG}', '{SMALL}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
