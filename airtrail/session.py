@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
     # batches for Python are cut by rows; whole documents are long
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # plans with tables as literals are not written out whole into the logs
+    "spark.sql.maxPlanStringLength": "100000",
     # streams: session pieces are merged before the shuffle, state lives on disk instead of the heap
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
