@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, scratch
-from . import bytebpe, decontaminate, langid, minhash, neighbours, packing, ppm, quality, secretscan, substrings, tokenfiles
+from . import bytebpe, centroids, decontaminate, langid, lexical, minhash, neighbours, packing, ppm, quality, secretscan, substrings, tokenfiles
 from .common import fold, read
 
 SIZE = 4096
@@ -75,18 +75,59 @@ def op10_ppm_scores(spark: SparkSession, folder: str) -> DataFrame:
 def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    found, signs = bytebpe.encode(read(configure(spark), folder, "documents"), path, public_tokenizers.PATTERN), F.col("signs")
+    codec = bytebpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    found, signs = bytebpe.encode(read(configure(spark), folder, "documents"), codec, public_tokenizers.PATTERN), F.col("signs")
     return found.select("doc_id", F.length(signs).cast("long").alias("n_tokens"), F.sha2(bytebpe.packed(signs), 256).alias("ids_sha256"),
-                        F.sha2(bytebpe.decode(signs, bytebpe.Codec(path)), 256).alias("decoded_sha256"))
+                        F.sha2(bytebpe.decode(signs, codec), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_token_counts, op4_nearest_neighbours, op5_secret_scan, op6_quality_classifier, op7_decontamination, op8_substring_dedup, op9_near_duplicates, op10_ppm_scores, op11_byte_bpe)}
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(read(configure(spark), folder, "documents"), read(spark, folder, "benchmark"))
+
+
+def op13_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    found, final, _ = centroids.cluster(read(configure(spark), folder, "embeddings"))
+    return centroids.described(found, final)
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_token_counts, op4_nearest_neighbours, op5_secret_scan, op6_quality_classifier, op7_decontamination, op8_substring_dedup, op9_near_duplicates, op10_ppm_scores, op11_byte_bpe, op12_ranked_search, op13_centroid_clusters)}
 BIG, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS_7 = f"regexp_extract_all(translate(coalesce(text, ''), '{BIG}', '{SMALL}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
 
+WORDS_12 = f"regexp_extract_all(translate(coalesce(text, ''), '{BIG}', '{SMALL}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+def rounds_sql(k: int = 8, rounds: int = 10) -> str:
+    """The clustering round by round: ``a`` assigns, ``c`` holds the centroids."""
+    parts = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), x) - 1 AS j, x AS y FROM v ORDER BY j LIMIT {k})"""]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (SELECT r, min(struct_pack(d := d, j := j)) AS n FROM (
+            SELECT r, j, list_sum(list_transform(range(1, 65), lambda i: (x[i] - y[i]) * (x[i] - y[i]))) AS d FROM v, c{i}) GROUP BY r)""")
+        if i < rounds:
+            parts.append(f"""s{i} AS (SELECT n.j AS j, p, sum(x[p]) AS s, count(*) AS m FROM v JOIN a{i} USING (r), unnest(range(1, 65)) AS t(p) GROUP BY ALL),
+            m{i} AS (SELECT j, list(CAST((s - ((s % m) + m) % m) // m AS BIGINT) ORDER BY p) AS y FROM s{i} GROUP BY j),
+            c{i + 1} AS MATERIALIZED (SELECT j, coalesce(m.y, c.y) AS y FROM c{i} c LEFT JOIN m{i} m USING (j))""")
+    return f"""WITH {", ".join(parts)}
+        SELECT vec_id, CAST(n.j AS INTEGER) AS cluster, CAST(n.d AS BIGINT) AS distance, CAST(sum(n.d) OVER (PARTITION BY n.j) AS BIGINT) AS cluster_inertia,
+            CAST(sum(n.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(y, ',')) AS centroid_sha256
+        FROM v JOIN a{rounds} USING (r) JOIN c{rounds} ON j = n.j"""
+
+
 ORACLE: dict[str, str] = {
+    "op12_ranked_search": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_12} AS w FROM documents),
+        s AS (SELECT count(*) FILTER (len(w) > 0) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d),
+        q AS (SELECT DISTINCT item_id, unnest({WORDS_12}) AS t FROM benchmark),
+        p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+        f AS (SELECT t, CAST(floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, s GROUP BY t, n),
+        x AS (SELECT item_id, r, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(w) * n) // l)))) AS BIGINT) AS score
+            FROM q JOIN p USING (t) JOIN f USING (t) JOIN d USING (r), s GROUP BY ALL),
+        o AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM x JOIN d USING (r) WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 10""",
+    "op13_centroid_clusters": rounds_sql(),
     "op7_decontamination": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_7} AS w FROM documents),
         b AS (SELECT item_id, {WORDS_7} AS w FROM benchmark WHERE item_id IS NOT NULL),
