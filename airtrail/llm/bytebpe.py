@@ -1,14 +1,19 @@
-"""Byte-level BPE in Spark expressions: ranked merges folded over the bytes of words by a literal rank map, decoding by literal pieces.
+"""Byte-level BPE: ranked merges folded by Spark expressions over the bytes of distinct words, with a literal rank map; decoding by pieces.
 
-Inside, a token is one sign: the character of its id, with the surrogates left out (``sign``); the ids of a text are a string of signs.
+Inside the fold a token is one sign: the character of its id, with the surrogates left out (``sign``); the tokens of a word are a string of signs.
 Merging a pair is then cutting and joining strings, and the map from a pair (two signs) to the merged token (one sign) is at the same
-time its rank, as ids are ranks. The map is a literal: an array of small maps, found by the pair's crc32.
-
-The most frequent words of the corpus (``KEPT``, counted over all rows) are folded once and become a second literal; every other word
-is folded where it stands. That second literal changes the work, never a result. No text is shuffled, so no key can be hot.
-
-A null text counts as empty and has no ids. Repeated rows give repeated rows, an empty table an empty one; only ``doc_id`` and ``text``
-are read, so further columns do not matter. A word of more than ``CHUNK`` bytes is folded chunk by chunk, see ``fold_long``.
+time its rank, as ids are ranks. The map is a literal: an array of short strings of entries, found by the pair's crc32, since a lookup in a
+map column would go through all keys.
+
+Texts are cut into words by Spark's regular expressions and taken in blocks of about ``BLOCK`` words, stretches of rows of an input partition.
+A block sends its distinct words once; all blocks' words meet by word, where each distinct word is folded once; its tokens go back to the
+blocks that hold it, which meet their texts as numbers of words, not as texts. A word's rows are as many as the blocks that hold it; no
+vocabulary is gathered anywhere.
+
+``docs`` is read twice and must give the same rows in the same partitions both times, as files and tables do; a block that
+differs raises an error. A null text counts as empty and has no ids. Repeated rows give repeated rows, an empty table an empty one; only ``doc_id``
+and ``text`` are read, so further columns do not matter. A text of more than ``BLOCK`` words is a block of its own. A word of more
+than ``CHUNK`` bytes is folded chunk by chunk, see ``fold_long``.
 """
 
 from __future__ import annotations
@@ -17,21 +22,22 @@ import base64
 import json
 import re
 import zlib
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import settle
-
-KEPT = 150_000  # frequent words whose ids stand in the plan; none is longer than LONGEST bytes
-LONGEST = 64
+BLOCK = 4_000_000  # words of a block
+STEP = 500_000  # words that are turned into ids at once
 CHUNK, BACK = 64, 8  # bytes of a chunk of a long word; tokens before it that are looked at again
-BUCKETS = 1 << 16
+PAIRS = 1 << 15  # buckets of the rank map
 SURROGATES, GAP = 0xD800, 0x800
-NONE = "\U0010ffff"  # no token: greater than every sign
-ALL = F.lit(1 << 30)
+NONE, BESIDE = "\U0010ffff", "\U0010fffe"  # no tokens: greater than every sign; between entries, and between key and value, of a bucket
+ALL = 1 << 30
 
 
 def sign(token: int) -> str:
@@ -56,21 +62,18 @@ def halves(token: bytes, known: dict[bytes, int]) -> list[bytes]:
     return parts
 
 
-def literal_map(entries: Iterable[tuple[str, str]]) -> Column:
-    """A literal array of small maps; ``find`` reads it in constant time, which a plain map column would not."""
-    buckets: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
+def bucketed(entries: Iterable[tuple[str, str]], buckets: int) -> list[str]:
+    """A map from strings to strings as an array for ``find``: every entry is written behind its key in the bucket of the key's crc32."""
+    out: list[list[str]] = [[] for _ in range(buckets)]
     for key, value in entries:
-        buckets[zlib.crc32(key.encode()) % BUCKETS][key] = value
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,string>>")
+        out[zlib.crc32(key.encode()) % buckets] += [NONE, key, BESIDE, value]
+    return ["".join([*parts, NONE]) for parts in out]
 
 
-def literal_array(values: list[str]) -> Column:
-    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), "array<string>")
-
-
-def find(table: Column, key: Column) -> Column:
-    """The value of a key, null if there is none."""
-    return F.get(table, (F.crc32(key.cast("binary")) % BUCKETS).cast("int"))[key]
+def find(table: Column, buckets: int, key: Column) -> Column:
+    """The value of a key, an empty string if there is none; only the key's bucket is read."""
+    bucket = F.get(table, (F.crc32(key.cast("binary")) % buckets).cast("int"))
+    return F.substring_index(F.split_part(bucket, F.concat(F.lit(NONE), key, F.lit(BESIDE)), F.lit(2)), NONE, 1)
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -79,23 +82,30 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 class Codec:
-    """The literals of a rank file: merges of pairs, signs of single bytes, bytes of tokens (each byte one character)."""
+    """What a rank file says: merges of pairs (a literal), signs of single bytes (a literal), bytes of tokens (each byte one character; a literal)."""
 
     def __init__(self, path: str):
         known = ranks(path)
         # a token that merges cannot build has no pair: no text ever holds it
         parts = [(halves(token, known), rank) for token, rank in known.items() if len(token) > 1]
-        self.pairs = literal_map((sign(known[p[0]]) + sign(known[p[1]]), sign(rank)) for p, rank in parts if len(p) == 2)
-        self.single = literal_array([sign(known[bytes([i])]) for i in range(256)])
+        pairs = bucketed(((sign(known[p[0]]) + sign(known[p[1]]), sign(rank)) for p, rank in parts if len(p) == 2), PAIRS)
         by_rank = {rank: token.decode("latin-1") for token, rank in known.items()}
-        self.pieces = literal_array([by_rank.get(i, "") for i in range(max(by_rank) + 1)])
+        self.pairs = literal(pairs)
+        self.single = literal([sign(known[bytes([i])]) for i in range(256)])
+        self.texts = [by_rank.get(i, "") for i in range(max(by_rank) + 1)]
+        self.pieces = literal(self.texts)
+
+    def literals(self) -> Column:
+        return F.struct(self.pairs.alias("pairs"), self.single.alias("single"), self.pieces.alias("pieces"))
 
-    def literals(self, frequent: Iterable[tuple[str, str]] = ()) -> Column:
-        return F.struct(self.pairs.alias("pairs"), self.single.alias("single"), literal_map(frequent).alias("frequent"))
+
+def literal(values: list[str]) -> Column:
+    """An array of strings that becomes one literal when the plan is optimised."""
+    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"), ensure_ascii=False)), "array<string>")
 
 
 def rank(at: Column, pair: Column) -> Column:
-    return F.coalesce(find(at["pairs"], pair), F.lit(NONE))
+    return F.coalesce(F.nullif(find(at["pairs"], PAIRS, pair), F.lit("")), F.lit(NONE))
 
 
 def fold(at: Column, raw: Column) -> Column:
@@ -108,12 +118,12 @@ def fold(at: Column, raw: Column) -> Column:
 
         def merge(m: Column) -> Callable[[Column], Column]:
             return lambda k: F.struct(
-                F.concat(F.substring(p, F.lit(1), k - 1), m, F.substring(p, k + 2, ALL)).alias("p"),
+                F.concat(F.substring(p, F.lit(1), k - 1), m, F.substring(p, k + 2, F.lit(ALL))).alias("p"),
                 F.concat(
                     F.substring(r, F.lit(1), k - 2),
                     F.when(k > 1, rank(at, F.concat(F.substring(p, k - 1, F.lit(1)), m))).otherwise(""),
                     F.when(k < F.length(r), rank(at, F.concat(m, F.substring(p, k + 2, F.lit(1))))).otherwise(""),
-                    F.substring(r, k + 2, ALL),
+                    F.substring(r, k + 2, F.lit(ALL)),
                 ).alias("r"))
 
         least = F.coalesce(F.array_min(F.split(r, "")), F.lit(NONE))
@@ -149,11 +159,9 @@ def fold_long(at: Column, raw: Column, pieces: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1 + CHUNK), F.length(raw), F.lit(CHUNK)), fold(at, F.substring(raw, F.lit(1), F.lit(CHUNK))), chunk)
 
 
-def word_signs(at: Column, word: Column, codec: Codec) -> Column:
-    def by_length(raw: Column) -> Column:
-        return F.when(F.length(raw) <= CHUNK, fold(at, raw)).otherwise(let(codec.pieces, lambda pieces: fold_long(at, raw, pieces)))
-
-    return let(F.decode(word.cast("binary"), "ISO-8859-1"), by_length)
+def word_signs(at: Column, word: Column) -> Column:
+    """Signs of a word; ``at`` has the fields ``pairs``, ``single`` and ``pieces`` of a codec."""
+    return let(F.decode(word.cast("binary"), "ISO-8859-1"), lambda raw: F.when(F.length(raw) <= CHUNK, fold(at, raw)).otherwise(fold_long(at, raw, at["pieces"])))
 
 
 @lru_cache(maxsize=None)
@@ -178,11 +186,14 @@ def spans(characters: str) -> str:
 
 
 def java_pattern(spark: SparkSession, pattern: str) -> str:
-    """The pattern for Java: white space by Unicode, and the letters and numbers that the JVM's older tables do not know."""
-    classes = {"\\s": spans(members("\\s"))}
+    """The pattern for Java: white space by Unicode, and the letters and numbers that the JVM's older tables do not know.
+
+    Those are few and rare; a character below the first of them is not compared with them.
+    """
+    classes = {"\\s": "\\p{IsWhite_Space}"}
     for kind in ("\\p{L}", "\\p{N}"):
         rest = spark.range(1).select(F.regexp_replace(F.lit(members(kind)), kind, "")).first()[0]
-        classes[kind] = kind + spans(rest)
+        classes[kind] = kind + (f"[\\x{{{ord(min(rest)):X}}}-\\x{{10FFFF}}&&[{spans(rest)}]]" if rest else "")
     known = r"\\p\{[LN]\}|\\s"
 
     def inside(match: re.Match) -> str:
@@ -190,7 +201,7 @@ def java_pattern(spark: SparkSession, pattern: str) -> str:
 
     def outside(match: re.Match) -> str:
         found = match[0]
-        return inside(match) if found[0] == "[" else f"[^{classes['\\s']}]" if found == "\\S" else f"[{classes[found]}]"
+        return inside(match) if found[0] == "[" else "\\P{IsWhite_Space}" if found == "\\S" else f"[{classes[found]}]"
 
     return re.sub(rf"\[[^\]]*\]|{known}|\\S", outside, pattern)
 
@@ -200,47 +211,117 @@ def words(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
 
 
-def frequent(docs: DataFrame, codec: Codec, pattern: str, limit: int = KEPT) -> list[tuple[str, str]]:
-    """The words that stand most often in all texts and their signs, at most ``limit``.
-
-    Numbers of occurrences are put into steps of an eighth of a doubling; the steps whose words fit go to the driver.
-    """
-    each = docs.select(F.explode(words(F.col("text"), pattern)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    counted = settle(each.filter((F.col("n") > 1) & (F.octet_length("word") <= LONGEST)).select("word", F.floor(F.log2("n") * 8).alias("step")), "words")
-    room, least = limit, None
-    for step, n in sorted(counted.groupBy("step").count().collect(), reverse=True):
-        if n > room:
-            break
-        room, least = room - n, step
-    if least is None:
-        return []
-    chosen = counted.filter(F.col("step") >= least).repartition(docs.sparkSession.sparkContext.defaultParallelism, "word")
-    return [tuple(row) for row in chosen.select("word", let(codec.literals(), lambda at: word_signs(at, F.col("word"), codec))).collect()]
-
-
-def encode(docs: DataFrame, path: str, pattern: str, kept: int = KEPT) -> DataFrame:
-    """``doc_id, signs``: the ids of every whole text; ``ids``, ``packed`` and ``decode`` read them."""
-    codec, java = Codec(path), java_pattern(docs.sparkSession, pattern)
-    docs = docs.select("doc_id", "text")
-    literals = codec.literals(frequent(docs, codec, java, kept) if kept else ())
-
-    def each(at: Column) -> Column:
-        return F.array_join(F.transform(words(F.col("text"), java), lambda w: F.coalesce(find(at["frequent"], w), word_signs(at, w, codec))), "")
-
-    return docs.select("doc_id", let(literals, each).alias("signs"))
-
-
-def ids(signs: Column) -> Column:
-    """Ids as an array of int."""
-    return F.transform(F.filter(F.split(signs, ""), lambda c: c != ""), lambda c: F.ascii(c) - F.when(F.ascii(c) >= SURROGATES, GAP).otherwise(0))
-
-
-def packed(signs: Column) -> Column:
-    """Ids below ``SURROGATES`` as little-endian unsigned 32-bit numbers: each sign is a 16-bit number, an empty one follows it."""
-    return F.encode(F.when(signs == "", "").otherwise(F.concat(F.array_join(F.split(signs, ""), "\0"), F.lit("\0"))), "UTF-16LE")
-
-
-def decode(signs: Column, codec: Codec) -> Column:
-    """The bytes of a text: the pieces of its tokens joined."""
-    text = let(codec.pieces, lambda pieces: F.array_join(F.transform(ids(signs), lambda i: F.get(pieces, i)), ""))
-    return F.encode(text, "ISO-8859-1")
+def in_blocks(docs: DataFrame, pattern: str, schema: str, each: Callable, block: int) -> DataFrame:
+    """``each(number, doc_ids, word counts, distinct words in order, their numbers in the texts)`` of every block of ``block`` words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, held, n = TaskContext.get().partitionId() << 32, [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            ids = [i for part in held for i in part.column(0).to_pylist()]
+            counts = np.concatenate([pc.list_value_length(part.column(1)).to_numpy() for part in held])
+            coded = pa.concat_arrays([part.column(1).flatten() for part in held]).dictionary_encode()
+            order = pc.sort_indices(coded.dictionary).to_numpy()
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
+            yield from each(number, ids, counts, coded.dictionary.take(pa.array(order)), place[coded.indices.to_numpy()] if len(order) else np.zeros(0, np.int32))
+
+        for batch in batches:
+            upto = np.cumsum(pc.list_value_length(batch.column(1)).to_numpy())
+            start = 0
+            while start < batch.num_rows:
+                before = upto[start - 1] if start else 0
+                fit = int(np.searchsorted(upto, before + block - n, "right"))
+                if fit <= start and n:  # no row fits beside those held
+                    yield from flush()
+                    number, held, n = number + 1, [], 0
+                    continue
+                stop = max(fit, start + 1)
+                held.append(batch.slice(start, stop - start))
+                n += int(upto[stop - 1] - before)
+                start = stop
+        if held:
+            yield from flush()
+
+    return docs.select(F.col("doc_id").cast("long"), words(F.col("text"), pattern).alias("words")).mapInArrow(run, schema)
+
+
+def words_of_block(number: int, ids: list, counts: np.ndarray, known: pa.Array, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A block's distinct words."""
+    for i in range(0, len(known), 50_000):
+        some = known[i : i + 50_000]
+        yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(some), number)), "code": pa.array(np.arange(i, i + len(some), dtype=np.int32)), "word": some})
+
+
+def texts_of_block(number: int, ids: list, counts: np.ndarray, known: pa.Array, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A block's texts as numbers of words: the bytes of one place of all numbers together, as they compress better so."""
+    planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    yield pa.RecordBatch.from_pydict({
+        "block": pa.array([number], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64())), "counts": pa.array([counts.tolist()], pa.list_(pa.int32())),
+        "codes": pa.array([pa.compress(planes, "zstd", asbytes=True)], pa.binary()), "known": pa.array([len(known)], pa.int64())})
+
+
+def spread(flat: np.ndarray, start: np.ndarray, length: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` that the chosen entries name, one behind the other."""
+    size = length[chosen]
+    ends = np.cumsum(size)
+    return flat[np.repeat(start[chosen] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def encode(docs: DataFrame, codec: Codec, pattern: str, block: int = BLOCK) -> DataFrame:
+    """``doc_id, ids``: the ids of every whole text, packed as little-endian unsigned 32-bit numbers."""
+    java = java_pattern(docs.sparkSession, pattern)
+    by_word = in_blocks(docs, java, "block long, code int, word string", words_of_block, block).repartition("word")
+    first = F.row_number().over(Window.partitionBy("word").orderBy("block")) == 1
+    folded = by_word.withColumn("_first", first).withColumn("_once", F.when(F.col("_first"), let(codec.literals(), lambda at: word_signs(at, F.col("word")))))
+    tokens = folded.select("block", "code", F.max("_once").over(Window.partitionBy("word")).alias("signs"))
+    texts = in_blocks(docs, java, "block long, ids array<long>, counts array<int>, codes binary, known long", texts_of_block, block)
+
+    def joined(left: pa.Table, right: pa.Table) -> pa.Table:
+        if len(left) != 1 or left["known"][0].as_py() != len(right):
+            raise RuntimeError("the documents gave other rows when they were read again; write them to a table first")
+        signs = right["signs"].take(pa.array(np.argsort(right["code"].to_numpy())))
+        length = pc.utf8_length(signs).to_numpy().astype(np.int64)
+        flat = np.frombuffer("".join(signs.to_pylist()).encode("utf-32-le"), "<u4")
+        flat = (flat - np.where(flat >= SURROGATES, GAP, 0)).astype("<u4")
+        start = np.cumsum(length) - length
+        codes = np.frombuffer(pa.decompress(left["codes"][0].as_py(), 4 * sum(left["counts"][0].as_py()), "zstd"), np.uint8)
+        codes = np.ascontiguousarray(codes.reshape(4, -1).T).view("<u4").ravel()
+        upto = np.concatenate([[0], np.cumsum(left["counts"][0].as_py())])
+        out, i = [], 0
+        while i < len(upto) - 1:
+            j = max(i + 1, int(np.searchsorted(upto, upto[i] + STEP, "right")) - 1)
+            chosen = codes[upto[i] : upto[j]]
+            raw = spread(flat, start, length, chosen).tobytes()
+            ends = 4 * np.concatenate([[0], np.cumsum(length[chosen])])[upto[i : j + 1] - upto[i]]
+            out += [raw[a:b] for a, b in zip(ends[:-1], ends[1:])]
+            i = j
+        return pa.table({"doc_id": pa.array(left["ids"][0].as_py(), pa.int64()), "ids": pa.array(out, pa.binary())})
+
+    renamed = tokens.select(F.col("block").alias("of"), "code", "signs")
+    return texts.groupBy("block").cogroup(renamed.groupBy("of")).applyInArrow(joined, "doc_id long, ids binary")
+
+
+def ids(packed: Column) -> Column:
+    """Packed ids as an array of long."""
+    byte = lambda i, k: F.conv(F.hex(F.substring(packed, 4 * i + k + 1, F.lit(1))), 16, 10).cast("long")
+    numbers = F.sequence(F.lit(0), F.greatest((F.octet_length(packed) / 4).cast("int") - 1, F.lit(0)))
+    each = F.transform(numbers, lambda i: byte(i, 0) + 256 * byte(i, 1) + 65536 * byte(i, 2) + 16777216 * byte(i, 3))
+    return F.when(F.octet_length(packed) > 0, each).otherwise(F.array().cast("array<bigint>"))
+
+
+def decode(encoded: DataFrame, codec: Codec) -> DataFrame:
+    """Add ``bytes``: the pieces of a text's tokens joined."""
+    pieces = [t.encode("latin-1") for t in codec.texts]
+    flat, length = np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces], np.int64)
+    start = np.cumsum(length) - length
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 100):
+                part = batch.slice(i, 100)
+                texts = [spread(flat, start, length, np.frombuffer(b, "<u4")).tobytes() for b in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.binary())], names=["doc_id", "ids", "bytes"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, bytes binary")
