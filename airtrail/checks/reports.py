@@ -11,6 +11,7 @@ from ..plans import jobs
 from ..session import scratch
 from ..sources import catalog, landing, lines, sinks, tables, traffic, wifi
 from ..streaming import jobs as streams
+from ..streaming.flows import stream_merge_blocks
 from .columns import _CLASS, CLEAN, STRICT
 from .sessions import (ENTRY, GAP, HOUR, IP_SQL, LINE_SQL, LOCATED_SQL, MERGE_SQL, PLACE_SQL, TAG_SQL, WIFI_SQL, _aps, _dpi, _flows, _transfers, tcp_line,
                        attach_account_sql, attach_ip_sql, gap_sql)
@@ -609,6 +610,16 @@ def _(t):
     return streams.best_matches(pairs).select("block", "side", "pos", "matched")
 
 
+@check("t_merge_blocks", f"WITH {MERGE_SQL} SELECT block, side, pos, matched FROM merged")
+def _(t):
+    names = ["seq", "socket", "connection", "conn_us", "req_us"]
+    a = _closed(t, _flows(t).select("flow_id", "socket", "t_us", F.floor(F.col("t_us") / 1000).alias("f_ms")), "f_ms", "flow_ts", socket="-")
+    b = _closed(t, _transfers(t).select(*names, F.floor(F.col("req_us") / 1000).alias("t_ms")), "t_ms", "http_ts", socket="-")
+    # the batch knows no end of a silent connection
+    blocks = stream_merge_blocks(a, b, idle=10**15)
+    return _run(t, blocks).where("socket <> '-'").select("block", "side", "pos", "matched")
+
+
 @check("t_stream_logs", "SELECT event_type AS kind, count(*) AS n FROM {ev} GROUP BY 1")
 def _(t):
     path = scratch(t.spark, "landing")

@@ -8,8 +8,8 @@ from ..functions.net import local_side_ip
 from ..functions.times import DAY_MS, day_of_ms
 from ..functions.url import SOME_SUFFIXES, Suffixes, registered_domain
 from ..session import settle
-from .nearest import first_cover, first_within
-from .ordered import null_safe
+from .nearest import first_cover, first_within, last_around, last_cover
+from .ordered import null_safe, with_running
 
 MISSING = "N/A"
 HOUR_MS = 3_600_000
@@ -19,37 +19,43 @@ CELLS = [900_000 * 4**k for k in range(12)]  # widths of the grids of cover_all,
 def attach_ip(sessions: DataFrame, addresses: DataFrame, shift: int = 300_000, cell: int = HOUR_MS) -> DataFrame:
     """Add the address of wireless sessions (mac, s_ms, e_ms, ...) from address sessions of the same device and UTC day
     of start: the latest-started one that overlaps; else, with the address sessions widened by ``shift`` on both
-    sides, the earliest-started one that does; else null.
+    sides, the earliest-started one that does; else null. An address session that ends before it begins overlaps nothing; a
+    session that does (cut by an earlier one) overlaps what covers both its times.
 
-    Both sides are laid on cells inside the day, and a pair counts in the cell where its overlap begins, so it is
-    met once and a busy device-day is spread over its cells. Equal sessions are counted, joined once and repeated.
+    No pair is built. The latest-started one begins inside the session, then it is the last one begun by the session's end; or it covers
+    the session's start (``last_cover``). The earliest-started one in reach is the earliest of all that end late enough, if
+    that begins early enough: later ones begin later still. Both are running folds over chunks of ``cell``, so a busy device-day is
+    spread out. Equal sessions are counted, looked up once and repeated.
     """
     cols = [c for c in sessions.columns if c != "ip"]
     left = sessions.groupBy(*cols).agg(F.count("*").alias("_n")).withColumn("_day", day_of_ms(F.col("s_ms")))
-    day_end = (F.col("_day") + 1) * DAY_MS
-
-    def cells(lo: Column, hi: Column) -> Column:
-        last = F.floor(F.least(hi, day_end) / cell)
-        first = F.floor(lo / cell)
-        return F.explode(F.sequence(first, F.greatest(first, last)))
-
-    spread = left.select("*", cells(F.col("s_ms"), F.col("e_ms")).alias("_cell"))
-    right = addresses.withColumn("_day", day_of_ms(F.col("s_ms"))).select(
-        "mac", "_day", F.col("s_ms").alias("_s"), F.col("e_ms").alias("_e"), F.col("ip").alias("_ip"),
-        cells(F.col("s_ms") - shift, F.col("e_ms") + shift).alias("_cell"))
-    begins = F.floor(F.greatest(spread["s_ms"], right["_s"] - shift) / cell)
-    on = (
-        (spread["mac"] == right["mac"]) & (spread["_day"] == right["_day"]) & (spread["_cell"] == right["_cell"])
-        & (right["_s"] - shift <= spread["e_ms"]) & (right["_e"] + shift >= spread["s_ms"]) & (begins == spread["_cell"])
-    )
-    pairs = spread.join(right, on, "left").select(*[spread[c] for c in [*cols, "_n"]], "_s", "_e", "_ip")
-    exact = (F.col("_s") <= F.col("e_ms")) & (F.col("_e") >= F.col("s_ms"))
-    best = pairs.groupBy(*cols, "_n").agg(
-        F.max(F.when(exact, F.struct("_s", "_e", "_ip"))).alias("_x"),
-        F.min(F.when(F.col("_s").isNotNull(), F.struct("_s", "_e", "_ip"))).alias("_y"),
-    )
-    whole = best.select(*cols, F.coalesce("_x._ip", "_y._ip").alias("ip"), F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i"))
-    return whole.drop("_i")
+    held = addresses.where((F.col("e_ms") >= F.col("s_ms")) & F.col("mac").isNotNull()).select(
+        "mac", day_of_ms(F.col("s_ms")).alias("_day"), F.col("s_ms").alias("_s"), F.col("e_ms").alias("_e"), F.col("ip").alias("_ip"))
+    keys, sound = ["mac", "_day"], F.col("mac").isNotNull() & F.col("e_ms").isNotNull() & F.col("s_ms").isNotNull()
+
+    def folded(rows: DataFrame, at: Column, ends: Column, how: str, into: str) -> DataFrame:
+        """Rows with the fold of the address sessions that stand at or before them."""
+        asked = rows.select(*keys, at.alias("_x"), F.lit(1).alias("_kind"), F.struct(*rows.columns).alias("_p"))
+        known = held.select(*keys, ends.alias("_x"), F.lit(0).alias("_kind"), F.struct("_s", "_e", "_ip").alias("_a"))
+        ran = with_running(asked.unionByName(known, allowMissingColumns=True), keys, ["_x", "_kind"], F.col("_a"), into, cell, how)
+        return ran.where(F.col("_kind") == 1).select("_p.*", into)
+
+    begun = folded(left.where(sound), F.col("e_ms"), F.col("_s"), "max", "_last")
+    found = settle(folded(begun, shift - F.col("s_ms"), -F.col("_e"), "min", "_early"), "address-folds")
+    inner, near = F.col("_last._s") >= F.col("s_ms"), F.col("_early._s") - shift <= F.col("e_ms")
+    direct = found.where(inner).select(*cols, "_n", F.col("_last._ip").alias("ip"))
+    # a session without any address session in reach has none that overlaps either
+    reach = found.where(~F.coalesce(inner, F.lit(False)) & near)
+    order, turned = ["_e", "_ip"], F.col("e_ms") < F.col("s_ms")
+    covered = last_cover(reach.where(~turned), held, keys, "s_ms", "_s", "_e", order, until=(F.col("_day") + 1) * DAY_MS)
+    asked = reach.where(turned)
+    around = last_around(asked, held.join(asked.select(*keys).distinct(), keys, "left_semi"), keys, "e_ms", "s_ms", "_s", "_e", order, F.col("_day") * DAY_MS, chunk=cell)
+    rest = covered.unionByName(around).select(*cols, "_n", F.when(F.col("hit").isNotNull(), F.col("hit._ip")).otherwise(F.col("_early._ip")).alias("ip"))
+    none = F.lit(None).cast(addresses.schema["ip"].dataType).alias("ip")
+    without = found.where(~F.coalesce(inner, F.lit(False)) & ~F.coalesce(near, F.lit(False))).select(*cols, "_n", none)
+    broken = left.where(~F.coalesce(sound, F.lit(False))).select(*cols, "_n", none)
+    whole = direct.unionByName(rest).unionByName(without).unionByName(broken)
+    return whole.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_i", "_n")
 
 
 def attach_account(sessions: DataFrame, auths: DataFrame) -> DataFrame:

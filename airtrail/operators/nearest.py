@@ -2,7 +2,9 @@
 
 ``first_within``: the best event no further than a tolerance from a point, for any order of preference.
 ``first_cover``: the earliest-started span that covers a point, exactly or within a tolerance.
-Both cost one shuffle of the points and one sort; a key is cut into time blocks, so a hot key is spread out.
+``last_cover``: the latest-started span that covers a point.
+``last_around``: the latest-started span that covers two points.
+They cost one shuffle of the points and one sort; a key is cut into time blocks, so a hot key is spread out.
 """
 
 from __future__ import annotations
@@ -97,3 +99,63 @@ def first_cover(points: DataFrame, spans: DataFrame, keys: list[str], t: str, lo
         both = both.withColumn(f"_s{i}", F.last(F.when(F.col("_level") == i, F.col("_seg")), ignorenulls=True).over(inside))
     hits = [F.when(F.col(f"_s{i}.to") >= F.col("_x"), F.col(f"_s{i}.pay")) for i in range(len(levels))]
     return both.where(is_point).select("_p.*", F.coalesce(*hits).alias(into))
+
+
+STARTS, ENDS, WHOLE = 100, 101, 102  # groups of the cells of ``last_cover``, beside the levels inside a cell
+
+
+def last_cover(points: DataFrame, spans: DataFrame, keys: list[str], t: str, lo: str, hi: str, order: list[str], until: Column | None = None,
+               bits: int = 22, into: str = "hit") -> DataFrame:
+    """Left lookup: struct ``into`` holds ``lo`` and the columns ``order`` of the greatest span (by them) with ``lo <= t <= hi``. Equal
+    rows of ``points`` give one row; times are whole numbers, and a span with a null end or key, or one that ends before it begins, takes no part.
+
+    Time is cut into cells of 2^bits. A span that crosses cells counts as a start in its first, as an end in its last and as a whole
+    one between. A span inside one cell stands at the level of the highest bit in which its ends differ: its start in the lower half there, its
+    end in the upper. So a point reads, in the one half it lies in at every level, either the starts up to it or the ends from it on, by a
+    running maximum: whatever stands there covers it. A span takes two rows and a point one for each level that occurs; no pair is built.
+    ``until``, an expression of the keys, is a time after all points of a key: longer spans fill no cells beyond it.
+    """
+    known = spans.where(F.col(lo).isNotNull() & (F.col(hi) >= F.col(lo))).dropna(subset=keys)
+    end = F.col(hi) if until is None else F.greatest(F.col(lo), F.least(F.col(hi), until))
+    named = known.select(*keys, F.struct(F.col(lo).alias(lo), *order).alias("_best"), F.col(lo).alias("_lo"), end.alias("_hi")).withColumns({
+        "_a": F.shiftright("_lo", bits), "_z": F.shiftright("_hi", bits), "_level": F.length(F.bin(F.col("_lo").bitwiseXOR(F.col("_hi"))))})
+    inside = F.array(
+        F.struct(F.col("_level").alias("level"), F.expr("shiftright(_lo, _level - 1)").alias("half"), F.col("_lo").alias("x")),
+        F.struct(F.col("_level").alias("level"), F.expr("shiftright(_hi, _level - 1)").alias("half"), (-F.col("_hi")).alias("x")))
+    across = F.array(
+        F.struct(F.lit(STARTS).alias("level"), F.col("_a").alias("half"), F.col("_lo").alias("x")),
+        F.struct(F.lit(ENDS).alias("level"), F.col("_z").alias("half"), (-F.col("_hi")).alias("x")))
+    ends = named.select(*keys, "_best", F.explode(F.when(F.col("_a") == F.col("_z"), inside).otherwise(across)).alias("_e")).select(*keys, "_best", "_e.*")
+    whole = named.where(F.col("_z") > F.col("_a") + 1).select(*keys, "_best", F.explode(F.sequence(F.col("_a") + 1, F.col("_z") - 1)).alias("half"))
+    whole = whole.groupBy(*keys, "half").agg(F.max("_best").alias("_best")).select(*keys, "_best", F.lit(WHOLE).alias("level"), "half", F.lit(0).cast("long").alias("x"))
+    used = named.agg(F.collect_set(F.when(F.col("_a") == F.col("_z"), F.col("_level")))).scalar()
+    levels = F.explode(F.array_union(used, F.array(F.lit(STARTS), F.lit(ENDS), F.lit(WHOLE))))
+    asked = points.select(*keys, F.col(t).alias("_t"), F.struct(*points.columns).alias("_p"), levels.alias("level"))
+    half = F.when(F.col("level") >= STARTS, F.shiftright("_t", bits)).otherwise(F.expr("shiftright(_t, level - 1)"))
+    at = asked.withColumn("half", half)
+    forward = F.when(F.col("level") >= STARTS, F.col("level") == STARTS).otherwise(F.pmod("half", F.lit(2)) == 0)
+    at = at.withColumn("x", F.when(F.col("level") == WHOLE, F.lit(0)).when(forward, F.col("_t")).otherwise(-F.col("_t"))).drop("_t")
+    both = at.unionByName(ends.unionByName(whole), allowMissingColumns=True)
+    upto = Window.partitionBy(*keys, "level", "half").orderBy(F.col("x"), F.col("_p").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    read = both.withColumn("_hit", F.max("_best").over(upto)).where(F.col("_p").isNotNull())
+    return read.groupBy("_p").agg(F.max("_hit").alias(into)).select("_p.*", into)
+
+
+def last_around(points: DataFrame, spans: DataFrame, keys: list[str], first: str, last: str, lo: str, hi: str, order: list[str], origin: Column,
+                bits: int = 28, chunk: int = 3_600_000, into: str = "hit") -> DataFrame:
+    """Left lookup: struct ``into`` holds ``lo`` and the columns ``order`` of the greatest span (by them) with ``lo <= first`` and ``hi >= last``.
+    Equal rows of ``points`` give one row; ``origin``, an expression of the keys, is no later than any time, and 2^bits - 1 after it none is asked for.
+
+    A span stands at every bit of its end that is 1, under the bits above it; a point asks at every bit of ``last`` that is 0 for the ends that
+    agree above it and have a 1 there: together these are the later ends, each once. Of them it reads the greatest begun so far. So both
+    sides take up to ``bits`` rows each, and no pair is built.
+    """
+    ends = F.least(F.col(hi) - origin + 1, F.lit((1 << bits) - 1))
+    numbers = F.explode(F.array(*[F.lit(i) for i in range(bits)])).alias("_bit")
+    known = spans.where(F.col(lo).isNotNull() & F.col(hi).isNotNull()).dropna(subset=keys).select(
+        *keys, F.struct(F.col(lo).alias(lo), *order).alias("_best"), F.col(lo).alias("_x"), ends.cast("long").alias("_end"), numbers)
+    known = known.select(*keys, "_best", "_x", "_bit", F.expr("shiftright(_end, _bit)").alias("_node"), F.lit(0).alias("_kind")).where("_node % 2 = 1")
+    asked = points.select(*keys, F.col(first).alias("_x"), (F.col(last) - origin).cast("long").alias("_end"), F.struct(*points.columns).alias("_p"), numbers)
+    asked = asked.where("shiftright(_end, _bit) % 2 = 0").select(*keys, "_x", "_p", "_bit", F.expr("shiftright(_end, _bit) + 1").alias("_node"), F.lit(1).alias("_kind"))
+    ran = with_running(asked.unionByName(known, allowMissingColumns=True), [*keys, "_bit", "_node"], ["_x", "_kind"], F.col("_best"), "_hit", chunk, "max")
+    return ran.where(F.col("_kind") == 1).groupBy("_p").agg(F.max("_hit").alias(into)).select("_p.*", into)

@@ -12,17 +12,39 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 CHUNK = "_chunk"
+FAN = 4096  # chunks (or cells) that one window of summaries holds where ``levels`` asks for more than one level
+
+
+FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
 def _chunk(order: list[str], width) -> Column:
     return F.floor(F.col(order[0]) / F.lit(width))
 
 
-def with_previous(df: DataFrame, keys: list[str], order: list[str], fields: list[str], chunk, into: str = "prev") -> DataFrame:
+def _chunk_before(summary: DataFrame, keys: list[str], column: str, into: str, levels: int) -> DataFrame:
+    """Add to one row per chunk the column of the key's chunk before; with more levels the chunks are chunked again."""
+    if levels <= 1:
+        return summary.withColumn(into, F.lag(column).over(Window.partitionBy(*keys).orderBy(CHUNK)))
+    named = with_previous(summary.withColumnRenamed(CHUNK, "_at"), keys, ["_at"], [column], FAN, "_before", levels - 1)
+    return named.withColumn(into, F.col("_before")[column]).withColumnRenamed("_at", CHUNK).drop("_before")
+
+
+def _chunks_before(summary: DataFrame, keys: list[str], column: str, into: str, how: str, levels: int) -> DataFrame:
+    """Add to one row per chunk the fold of a column over all the key's chunks before (null, or 0 for a sum, on the first)."""
+    if levels <= 1:
+        before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+        return summary.withColumn(into, FOLDS[how](column).over(before))
+    named = with_running(summary.withColumnRenamed(CHUNK, "_at"), keys, ["_at"], F.col(column), into, FAN, how, False, levels - 1)
+    return named.withColumnRenamed("_at", CHUNK)
+
+
+def with_previous(df: DataFrame, keys: list[str], order: list[str], fields: list[str], chunk, into: str = "prev", levels: int = 1) -> DataFrame:
     """Add a struct of the previous row's fields (null on a key's first row).
 
     ``order`` starts with a number (time) and must be total inside a key; a null key is a key like any other.
-    ``chunk`` is the width of a time chunk in the unit of ``order[0]``; None uses one window per key.
+    ``chunk`` is the width of a time chunk in the unit of ``order[0]``; None uses one window per key. The summaries of a key's chunks
+    meet in one window; ``levels`` builds a tree of summaries instead, ``FAN`` chunks a node, for keys of very many chunks.
     """
     now = F.struct(*fields)
     by_time = [F.col(c) for c in order]
@@ -31,24 +53,22 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], fields: list
     columns = df.columns
     df = df.withColumn(CHUNK, _chunk(order, chunk))
     last = df.groupBy(*keys, CHUNK).agg(F.max(F.struct(*order, now.alias("_now"))).alias("_last"))
-    carry = last.select(
-        *keys, CHUNK, F.lag("_last._now").over(Window.partitionBy(*keys).orderBy(CHUNK)).alias("_carry")
-    )
+    carry = _chunk_before(last.select(*keys, CHUNK, F.col("_last._now").alias("_now")), keys, "_now", "_carry", levels).drop("_now")
     inside = Window.partitionBy(*keys, CHUNK).orderBy(*by_time)
     return null_safe(df, carry, [*keys, CHUNK]).select(*columns, F.coalesce(F.lag(now).over(inside), F.col("_carry")).alias(into))
 
 
 def with_running(df: DataFrame, keys: list[str], order: list[str], value: Column, into: str, chunk,
-                 how: str = "sum", inclusive: bool = True) -> DataFrame:
-    """Add a running sum or maximum of ``value``; ``inclusive=False`` leaves the current row out."""
-    fold = {"sum": F.sum, "max": F.max}[how]
+                 how: str = "sum", inclusive: bool = True, levels: int = 1) -> DataFrame:
+    """Add a running sum, maximum or minimum of ``value``; ``inclusive=False`` leaves the current row out. A null key is a key like any other."""
+    fold = FOLDS[how]
     by_time = [F.col(c) for c in order]
     stop = Window.currentRow if inclusive else -1
     columns = df.columns
     df = df.withColumn("_value", value)
 
     def merge(a: Column, b: Column) -> Column:
-        return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)) if how == "sum" else F.greatest(a, b)
+        return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)) if how == "sum" else (F.greatest if how == "max" else F.least)(a, b)
 
     if chunk is None:
         whole = Window.partitionBy(*keys).orderBy(*by_time).rowsBetween(Window.unboundedPreceding, stop)
@@ -56,17 +76,13 @@ def with_running(df: DataFrame, keys: list[str], order: list[str], value: Column
         return df.withColumn(into, F.coalesce(run, F.lit(0)) if how == "sum" else run).drop("_value")
     df = df.withColumn(CHUNK, _chunk(order, chunk))
     total = df.groupBy(*keys, CHUNK).agg(fold("_value").alias("_total"))
-    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    base = total.select(*keys, CHUNK, fold("_total").over(before).alias("_base"))
+    base = _chunks_before(total, keys, "_total", "_base", how, levels).drop("_total")
     inside = Window.partitionBy(*keys, CHUNK).orderBy(*by_time).rowsBetween(Window.unboundedPreceding, stop)
-    return (
-        df.join(base, [*keys, CHUNK], "left")
-        .select(*columns, merge(F.col("_base"), fold("_value").over(inside)).alias(into))
-    )
+    return null_safe(df, base, [*keys, CHUNK]).select(*columns, merge(F.col("_base"), fold("_value").over(inside)).alias(into))
 
 
-def with_islands(df: DataFrame, keys: list[str], order: list[str], fields: list[str], opens, chunk, into: str) -> DataFrame:
-    """Number the runs of rows inside a key; ``opens(prev)`` says where a new run starts (a first row always does).
+def with_islands(df: DataFrame, keys: list[str], order: list[str], fields: list[str], opens, chunk, into: str, levels: int = 1) -> DataFrame:
+    """Number the runs of rows inside a key; ``opens(prev)`` says where a new run starts (a first row always does). A null key is a key like any other.
 
     ``opens`` may use the row's own ``fields`` by name and the previous row's through ``prev``. Runs are counted inside
     a chunk, and a chunk's first and last row and its count decide what the later chunks add.
@@ -82,13 +98,14 @@ def with_islands(df: DataFrame, keys: list[str], order: list[str], fields: list[
         ends = rows.groupBy(*keys, CHUNK).agg(
             F.min(F.struct(at.alias("at"), now.alias("row"))).alias("_head"), F.max(F.struct(at.alias("at"), now.alias("row"))).alias("_tail"),
             F.sum("_open").alias("_n"))
-        by_chunk = Window.partitionBy(*keys).orderBy(CHUNK)
         own = [f for f in fields if f not in keys]
-        ends = ends.withColumn("_before", F.lag("_tail.row").over(by_chunk)).select(*keys, CHUNK, "_n", "_before", *[F.col(f"_head.row.{f}").alias(f) for f in own])
+        ends = _chunk_before(ends.withColumn("_row", F.col("_tail.row")), keys, "_row", "_before_row", levels)
+        ends = ends.select(*keys, CHUNK, "_n", F.col("_before_row").alias("_before"), *[F.col(f"_head.row.{f}").alias(f) for f in own])
         fresh = F.col("_before").isNull() | F.coalesce(opens(F.col("_before")), F.lit(False))
-        ends = ends.withColumn("_fresh", fresh.cast("long"))
-        base = F.coalesce(F.sum(F.col("_n") + F.col("_fresh")).over(by_chunk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_fresh")
-        rows = rows.join(ends.select(*keys, CHUNK, base.alias("_base")), [*keys, CHUNK], "left")
+        ends = ends.select(*keys, CHUNK, fresh.cast("long").alias("_fresh"), (F.col("_n") + fresh.cast("long")).alias("_opened"))
+        ends = _chunks_before(ends, keys, "_opened", "_passed", "sum", levels)
+        base = F.coalesce(F.col("_passed"), F.lit(0)) + F.col("_fresh")
+        rows = null_safe(rows, ends.select(*keys, CHUNK, base.alias("_base")), [*keys, CHUNK])
     else:
         rows = rows.withColumn("_base", F.lit(1))
     run = F.sum("_open").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -96,12 +113,13 @@ def with_islands(df: DataFrame, keys: list[str], order: list[str], fields: list[
 
 
 def gap_cells(df: DataFrame, keys: list[str], ts: str, gap: int, folds: dict[str, tuple[Column, str]],
-              strict: bool = False) -> DataFrame:
+              strict: bool = False, levels: int = 1) -> DataFrame:
     """Fold rows into cells one gap wide and give every cell its session start.
 
     Rows in one cell lie closer than the gap, so a session is a run of whole cells. The fold is partial on the
     map side: a key sends at most (time span / gap) rows per map task, however many rows it holds. ``folds`` maps a
-    name to (value, ``sum``/``min``/``max``/``count``).
+    name to (value, ``sum``/``min``/``max``/``count``). No window holds more than ``FAN`` cells of a key, or one row for each ``FAN`` of
+    them; further ``levels`` cut those rows again.
     """
     apply = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.count}
     cells = (
@@ -110,12 +128,22 @@ def gap_cells(df: DataFrame, keys: list[str], ts: str, gap: int, folds: dict[str
         .agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"),
              *[apply[how](value).alias(name) for name, (value, how) in folds.items()])
     )
-    by_cell = Window.partitionBy(*keys).orderBy("_cell")
-    silence = F.col("_lo") - F.lag("_hi").over(by_cell)
-    apart = silence >= gap if strict else silence > gap
-    opened = F.when(F.coalesce(apart, F.lit(True)), F.col("_lo"))
-    start = F.last("_opened", ignorenulls=True).over(by_cell.rowsBetween(Window.unboundedPreceding, 0))
-    return cells.withColumn("_opened", opened).withColumn("session_start", start).drop("_opened")
+    # a key's cells meet in blocks of FAN cells; one row a block carries what later blocks need
+    cells = cells.withColumn(CHUNK, F.floor(F.col("_cell") / F.lit(FAN)))
+    by_cell = Window.partitionBy(*keys, CHUNK).orderBy("_cell")
+
+    def apart(lo: Column, hi: Column) -> Column:
+        return lo - hi >= gap if strict else lo - hi > gap
+
+    cells = cells.withColumn("_opened", F.when(apart(F.col("_lo"), F.lag("_hi").over(by_cell)), F.col("_lo")))
+    ends = cells.groupBy(*keys, CHUNK).agg(F.min("_lo").alias("_first"), F.max("_hi").alias("_last"), F.max("_opened").alias("_inner"))
+    ends = _chunk_before(ends, keys, "_last", "_before", levels)
+    head = F.when(F.coalesce(apart(F.col("_first"), F.col("_before")), F.lit(True)), F.col("_first"))
+    # starts grow with time, so the latest is the largest
+    ends = ends.withColumn("_head", head).withColumn("_newest", F.greatest("_head", "_inner"))
+    ends = _chunks_before(ends, keys, "_newest", "_running", "max", levels).select(*keys, CHUNK, F.coalesce("_head", "_running").alias("_base"))
+    start = F.coalesce(F.max("_opened").over(by_cell.rowsBetween(Window.unboundedPreceding, 0)), F.col("_base"))
+    return null_safe(cells, ends, [*keys, CHUNK]).withColumn("session_start", start).drop("_opened", "_base", CHUNK)
 
 
 def gap_sessions(df: DataFrame, keys: list[str], ts: str, gap: int, folds: dict[str, tuple[Column, str]],

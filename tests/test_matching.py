@@ -1,7 +1,10 @@
 """Joins by key and time: hand-made cases."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from airtrail.functions.times import DAY_MS
 from airtrail.operators import lookups, matching
 
 MOVE = "mac STRING, s_ms LONG, e_ms LONG, ap STRING"
@@ -82,3 +85,43 @@ def test_unmatched_blocks_as_text(spark, tmp_path):
     sinks.write_flow_blocks(spark.createDataFrame(rows, "block STRING, side STRING, pos LONG, line STRING").coalesce(1), path)
     read = flow_blocks(lines.ordered_lines(spark, path)).orderBy("file", "split", "pos").collect()
     assert [r.value for r in read] == ["TCP: t1", "HTTP: h4", "HTTP: h5", "TCP: t2", "HTTP: -", "TCP: -", "HTTP: h6"]
+
+
+def plain_addresses(sessions: list, addresses: list, shift: int) -> list:
+    """Every pair of a device and day."""
+    out = []
+    for mac, s, e, ap in sessions:
+        held = [(a, b, ip) for m, a, b, ip in addresses if mac is not None and m == mac and b >= a and a // DAY_MS == s // DAY_MS]
+        exact = [x for x in held if x[0] <= e and x[1] >= s]
+        near = [x for x in held if x[0] - shift <= e and x[1] + shift >= s]
+        out.append((mac, s, e, ap, max(exact)[2] if exact else min(near)[2] if near else None))
+    return sorted(out, key=str)
+
+
+def test_attach_ip_equals_pairs(spark):
+    """Nested, equal, broken and day-long address sessions, null devices, repeated rows."""
+    rng = random.Random(1)
+    moves, held = [], []
+    for _ in range(1500):
+        s = rng.randrange(0, 2 * DAY_MS)
+        e = s + int(rng.paretovariate(0.5) * 1000) % (DAY_MS // 2) if rng.random() > 0.2 else s - rng.randrange(2_000_000)
+        moves.append((rng.choice(["hot", "hot", "a", "b", None]), s, e, rng.choice(["x", "y"])))
+    for _ in range(800):
+        s = rng.randrange(0, 2 * DAY_MS)
+        e = s + int(rng.paretovariate(0.4) * 500) % (3 * DAY_MS) if rng.random() > 0.1 else s - 10 * rng.randrange(2)
+        held.append((rng.choice(["hot", "hot", "a", "b", None]), s, e, f"i{rng.randrange(9)}"))
+    moves, held = moves + moves[:20], held + held[:20]
+    left = spark.createDataFrame(moves, MOVE).repartition(3)
+    right = spark.createDataFrame(held, "mac STRING, s_ms LONG, e_ms LONG, ip STRING").repartition(3)
+    got = matching.attach_ip(left, right).select("mac", "s_ms", "e_ms", "ap", "ip").collect()
+    assert sorted((tuple(r) for r in got), key=str) == plain_addresses(moves, held, 300_000)
+
+
+def test_attach_ip_makes_no_pairs(spark):
+    """One device with 3,000 address sessions and 3,000 sessions that overlap all of them: rows stay linear."""
+    left = spark.range(3000).select(F.lit("hot").alias("mac"), F.col("id").alias("s_ms"), (F.col("id") + 40_000_000).alias("e_ms"), F.lit("A").alias("ap"))
+    right = spark.range(3000).select(F.lit("hot").alias("mac"), (F.col("id") * 2).alias("s_ms"), (F.col("id") * 2 + 50_000_000).alias("e_ms"), F.col("id").cast("string").alias("ip"))
+    found = matching.attach_ip(left, right)
+    assert found.select("ip").distinct().collect() == [("2999",)] and found.count() == 3000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan

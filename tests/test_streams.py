@@ -26,3 +26,44 @@ def test_best_matches(spark):
     pairs = spark.createDataFrame(rows, "flow_id LONG, tcp_socket STRING, t_us LONG, seq LONG, http_socket STRING, connection STRING, conn_us LONG, req_us LONG")
     got = sorted((r.block, r.side, r.pos, r.matched) for r in jobs.best_matches(pairs).collect())
     assert got == [("flow#2", "tcp", 2, False), ("s#1", "http", 5, True), ("s#1", "http", 6, True), ("s#1", "http", 7, True), ("s#1", "tcp", 1, True), ("u#1", "http", 9, False)]
+
+
+def test_merge_blocks_over_many_batches(spark, tmp_path):
+    """Blocks of streams that come in pieces equal the batch, whatever the pieces; nothing waits longer than it must."""
+    import random
+
+    from airtrail.operators.matching import merge_flows
+    from airtrail.operators.sessions import http_connections
+    from airtrail.streaming.flows import stream_merge_blocks
+
+    rng = random.Random(7)
+    second = 1_000_000
+    sent = [(i, f"s{rng.randrange(4)}", rng.choice(["start", "continue", "last", "unique", "other"]), rng.randrange(3600 * second)) for i in range(400)]
+    sent = [(i, s, k, r - rng.randrange(40 * second) if k in ("start", "unique") else None, r) for i, s, k, r in sent]
+    flows = [(i, f"s{rng.randrange(5)}", rng.randrange(3600 * second)) for i in range(300)]
+    tcp = spark.createDataFrame(flows, "flow_id LONG, socket STRING, t_us LONG")
+    http = spark.createDataFrame(sent, "seq LONG, socket STRING, connection STRING, conn_us LONG, req_us LONG")
+    want = merge_flows(tcp, http_connections(http, "socket", "req_us", "connection", "seq"), 30 * second)
+    names = ["block", "side", "pos", "matched"]
+    want = sorted(map(tuple, want.select(names).collect()))
+
+    inputs = {"tcp": (tcp, "t_us", "flow_ts"), "http": (http, "req_us", "http_ts")}
+    streams = {}
+    for name, (df, at, ts) in inputs.items():
+        (tmp_path / name).mkdir()
+        rows = df.withColumn(ts, F.timestamp_micros(at))
+        streams[name] = spark.readStream.schema(rows.schema).parquet(str(tmp_path / name))
+    out = stream_merge_blocks(streams["tcp"], streams["http"], 30 * second, "10 seconds", 60 * second, 7200 * second)
+    for piece in range(4):
+        for name, (df, at, ts) in inputs.items():
+            part = df.where(F.floor(F.col(at) / (900 * second)) == piece).withColumn(ts, F.timestamp_micros(at))
+            if piece == 3:
+                marker = part.limit(1).withColumns({ts: F.timestamp_seconds(F.lit(4_000_000_000)), "socket": F.lit("marker")})
+                part = part.unionByName(marker)
+            part.coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        jobs.run_available(out, str(tmp_path / "out"), str(tmp_path / "state"))
+        if piece == 1:
+            early = spark.read.parquet(str(tmp_path / "out")).count()
+    got = spark.read.parquet(str(tmp_path / "out")).where("socket <> 'marker'")
+    assert sorted(map(tuple, got.select(names).collect())) == want
+    assert early > 100
