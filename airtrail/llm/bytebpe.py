@@ -2,8 +2,8 @@
 
 Inside the fold a token is one sign: the character of its id, with the surrogates left out (``sign``); the tokens of a word are a string of signs.
 Merging a pair is then cutting and joining strings, and the map from a pair (two signs) to the merged token (one sign) is at the same
-time its rank, as ids are ranks. The map is a literal: an array of short strings of entries, found by the pair's crc32, since a lookup in a
-map column would go through all keys.
+time its rank, as ids are ranks. The map is a literal: an array of small maps, found by the pair's crc32, since a lookup in one
+large map would go through all keys; pairs of bytes, with which every word begins, are a plain array.
 
 Texts are cut into words by Spark's regular expressions and taken in blocks of about ``BLOCK`` words, stretches of rows of an input partition.
 A block sends its distinct words once; all blocks' words meet by word, where each distinct word is folded once; its tokens go back to the
@@ -36,7 +36,7 @@ STEP = 500_000  # words that are turned into ids at once
 CHUNK, BACK = 64, 8  # bytes of a chunk of a long word; tokens before it that are looked at again
 PAIRS = 1 << 15  # buckets of the rank map
 SURROGATES, GAP = 0xD800, 0x800
-NONE, BESIDE = "\U0010ffff", "\U0010fffe"  # no tokens: greater than every sign; between entries, and between key and value, of a bucket
+NONE = "\U0010ffff"  # no token: greater than every sign
 ALL = 1 << 30
 
 
@@ -62,18 +62,22 @@ def halves(token: bytes, known: dict[bytes, int]) -> list[bytes]:
     return parts
 
 
-def bucketed(entries: Iterable[tuple[str, str]], buckets: int) -> list[str]:
-    """A map from strings to strings as an array for ``find``: every entry is written behind its key in the bucket of the key's crc32."""
-    out: list[list[str]] = [[] for _ in range(buckets)]
+def literal(value: list, kind: str) -> Column:
+    """A value that becomes one literal when the plan is optimised."""
+    return F.from_json(F.lit(json.dumps(value, separators=(",", ":"), ensure_ascii=False)), kind)
+
+
+def literal_map(entries: Iterable[tuple[str, str]], buckets: int) -> Column:
+    """A map from strings to strings as an array of small maps for ``find``: an entry lies in the bucket of its key's crc32."""
+    out: list[dict[str, str]] = [{} for _ in range(buckets)]
     for key, value in entries:
-        out[zlib.crc32(key.encode()) % buckets] += [NONE, key, BESIDE, value]
-    return ["".join([*parts, NONE]) for parts in out]
+        out[zlib.crc32(key.encode()) % buckets][key] = value
+    return literal(out, "array<map<string,string>>")
 
 
 def find(table: Column, buckets: int, key: Column) -> Column:
-    """The value of a key, an empty string if there is none; only the key's bucket is read."""
-    bucket = F.get(table, (F.crc32(key.cast("binary")) % buckets).cast("int"))
-    return F.substring_index(F.split_part(bucket, F.concat(F.lit(NONE), key, F.lit(BESIDE)), F.lit(2)), NONE, 1)
+    """The value of a key, null if there is none; only the key's bucket is read."""
+    return F.get(table, (F.crc32(key.cast("binary")) % buckets).cast("int"))[key]
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -88,24 +92,19 @@ class Codec:
         known = ranks(path)
         # a token that merges cannot build has no pair: no text ever holds it
         parts = [(halves(token, known), rank) for token, rank in known.items() if len(token) > 1]
-        pairs = bucketed(((sign(known[p[0]]) + sign(known[p[1]]), sign(rank)) for p, rank in parts if len(p) == 2), PAIRS)
         by_rank = {rank: token.decode("latin-1") for token, rank in known.items()}
-        self.pairs = literal(pairs)
-        self.single = literal([sign(known[bytes([i])]) for i in range(256)])
+        self.pairs = literal_map(((sign(known[p[0]]) + sign(known[p[1]]), sign(rank)) for p, rank in parts if len(p) == 2), PAIRS)
+        self.single = literal([sign(known[bytes([i])]) for i in range(256)], "array<string>")
+        self.double = literal([sign(known[pair]) if (pair := bytes([i >> 8, i & 255])) in known else NONE for i in range(1 << 16)], "array<string>")
         self.texts = [by_rank.get(i, "") for i in range(max(by_rank) + 1)]
-        self.pieces = literal(self.texts)
+        self.pieces = literal(self.texts, "array<string>")
 
     def literals(self) -> Column:
-        return F.struct(self.pairs.alias("pairs"), self.single.alias("single"), self.pieces.alias("pieces"))
-
-
-def literal(values: list[str]) -> Column:
-    """An array of strings that becomes one literal when the plan is optimised."""
-    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"), ensure_ascii=False)), "array<string>")
+        return F.struct(self.pairs.alias("pairs"), self.single.alias("single"), self.double.alias("double"), self.pieces.alias("pieces"))
 
 
 def rank(at: Column, pair: Column) -> Column:
-    return F.coalesce(F.nullif(find(at["pairs"], PAIRS, pair), F.lit("")), F.lit(NONE))
+    return F.coalesce(find(at["pairs"], PAIRS, pair), F.lit(NONE))
 
 
 def fold(at: Column, raw: Column) -> Column:
@@ -126,14 +125,15 @@ def fold(at: Column, raw: Column) -> Column:
                     F.substring(r, k + 2, F.lit(ALL)),
                 ).alias("r"))
 
-        least = F.coalesce(F.array_min(F.split(r, "")), F.lit(NONE))
+        least = F.coalesce(F.nullif(F.array_min(F.split(r, "")), F.lit("")), F.lit(NONE))
         return let(least, lambda m: F.when(m < NONE, let(F.call_function("locate", m, r), merge(m))).otherwise(s))
 
-    signs = F.array_join(F.transform(F.split(raw, ""), lambda c: F.get(at["single"], F.ascii(c))), "")
-    steps = F.sequence(F.lit(2), F.greatest(F.length(raw), F.lit(2)))
-    return let(signs, lambda p: F.aggregate(steps, F.struct(p.alias("p"), F.array_join(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(p) - 1, F.lit(1))), lambda i: rank(at, F.substring(p, i, F.lit(2)))), "").alias("r")),
-        step, lambda s: s["p"]))
+    def start(codes: Column) -> Column:
+        p = F.array_join(F.transform(codes, lambda c: F.get(at["single"], c)), "")
+        r = F.array_join(F.transform(F.slice(codes, 2, F.lit(ALL)), lambda c, i: F.get(at["double"], 256 * F.get(codes, i) + c)), "")
+        return F.aggregate(F.sequence(F.lit(2), F.greatest(F.length(raw), F.lit(2))), F.struct(p.alias("p"), r.alias("r")), step, lambda s: s["p"])
+
+    return let(F.transform(F.split(raw, ""), lambda c: F.ascii(c)), start)
 
 
 def fold_long(at: Column, raw: Column, pieces: Column) -> Column:
@@ -212,7 +212,7 @@ def words(text: Column, pattern: str) -> Column:
 
 
 def in_blocks(docs: DataFrame, pattern: str, schema: str, each: Callable, block: int) -> DataFrame:
-    """``each(number, doc_ids, word counts, distinct words in order, their numbers in the texts)`` of every block of ``block`` words."""
+    """``each(number, doc_ids, word counts, distinct words in order, their numbers, the numbers in the texts)`` of every block of ``block`` words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -222,10 +222,11 @@ def in_blocks(docs: DataFrame, pattern: str, schema: str, each: Callable, block:
             ids = [i for part in held for i in part.column(0).to_pylist()]
             counts = np.concatenate([pc.list_value_length(part.column(1)).to_numpy() for part in held])
             coded = pa.concat_arrays([part.column(1).flatten() for part in held]).dictionary_encode()
-            order = pc.sort_indices(coded.dictionary).to_numpy()
+            codes, order = coded.indices.to_numpy(), pc.sort_indices(coded.dictionary).to_numpy()
+            # a word's number is its place by frequency: most numbers are small
             place = np.empty(len(order), np.int32)
-            place[order] = np.arange(len(order), dtype=np.int32)
-            yield from each(number, ids, counts, coded.dictionary.take(pa.array(order)), place[coded.indices.to_numpy()] if len(order) else np.zeros(0, np.int32))
+            place[order[np.argsort(-np.bincount(codes, minlength=len(order))[order], kind="stable")]] = np.arange(len(order), dtype=np.int32)
+            yield from each(number, ids, counts, coded.dictionary.take(pa.array(order)), place[order], place[codes])
 
         for batch in batches:
             upto = np.cumsum(pc.list_value_length(batch.column(1)).to_numpy())
@@ -247,14 +248,14 @@ def in_blocks(docs: DataFrame, pattern: str, schema: str, each: Callable, block:
     return docs.select(F.col("doc_id").cast("long"), words(F.col("text"), pattern).alias("words")).mapInArrow(run, schema)
 
 
-def words_of_block(number: int, ids: list, counts: np.ndarray, known: pa.Array, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+def words_of_block(number: int, ids: list, counts: np.ndarray, known: pa.Array, place: np.ndarray, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A block's distinct words."""
     for i in range(0, len(known), 50_000):
         some = known[i : i + 50_000]
-        yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(some), number)), "code": pa.array(np.arange(i, i + len(some), dtype=np.int32)), "word": some})
+        yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(some), number)), "code": pa.array(place[i : i + 50_000], pa.int32()), "word": some})
 
 
-def texts_of_block(number: int, ids: list, counts: np.ndarray, known: pa.Array, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+def texts_of_block(number: int, ids: list, counts: np.ndarray, known: pa.Array, place: np.ndarray, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A block's texts as numbers of words: the bytes of one place of all numbers together, as they compress better so."""
     planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
     yield pa.RecordBatch.from_pydict({
@@ -269,8 +270,21 @@ def spread(flat: np.ndarray, start: np.ndarray, length: np.ndarray, chosen: np.n
     return flat[np.repeat(start[chosen] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def encode(docs: DataFrame, codec: Codec, pattern: str, block: int = BLOCK) -> DataFrame:
-    """``doc_id, ids``: the ids of every whole text, packed as little-endian unsigned 32-bit numbers."""
+class Pieces:
+    """Joins the pieces of packed ids."""
+
+    def __init__(self, texts: list[str]):
+        pieces = [t.encode("latin-1") for t in texts]
+        self.flat, self.length = np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+
+    def join(self, packed: bytes) -> bytes:
+        ids = np.frombuffer(packed, "<u4")
+        return b"".join(spread(self.flat, self.start, self.length, ids[i : i + STEP]).tobytes() for i in range(0, len(ids), STEP))
+
+
+def encode(docs: DataFrame, codec: Codec, pattern: str, block: int = BLOCK, decoded: bool = False) -> DataFrame:
+    """``doc_id, ids``: the ids of every whole text, packed as little-endian unsigned 32-bit numbers; ``decoded`` adds ``bytes``, what the ids decode to."""
     java = java_pattern(docs.sparkSession, pattern)
     by_word = in_blocks(docs, java, "block long, code int, word string", words_of_block, block).repartition("word")
     first = F.row_number().over(Window.partitionBy("word").orderBy("block")) == 1
@@ -278,6 +292,8 @@ def encode(docs: DataFrame, codec: Codec, pattern: str, block: int = BLOCK) -> D
     tokens = folded.select("block", "code", F.max("_once").over(Window.partitionBy("word")).alias("signs"))
     texts = in_blocks(docs, java, "block long, ids array<long>, counts array<int>, codes binary, known long", texts_of_block, block)
 
+    pieces = Pieces(codec.texts) if decoded else None
+
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
         if len(left) != 1 or left["known"][0].as_py() != len(right):
             raise RuntimeError("the documents gave other rows when they were read again; write them to a table first")
@@ -297,10 +313,11 @@ def encode(docs: DataFrame, codec: Codec, pattern: str, block: int = BLOCK) -> D
             ends = 4 * np.concatenate([[0], np.cumsum(length[chosen])])[upto[i : j + 1] - upto[i]]
             out += [raw[a:b] for a, b in zip(ends[:-1], ends[1:])]
             i = j
-        return pa.table({"doc_id": pa.array(left["ids"][0].as_py(), pa.int64()), "ids": pa.array(out, pa.binary())})
+        columns = {"doc_id": pa.array(left["ids"][0].as_py(), pa.int64()), "ids": pa.array(out, pa.binary())}
+        return pa.table(columns | ({"bytes": pa.array([pieces.join(x) for x in out], pa.binary())} if pieces else {}))
 
     renamed = tokens.select(F.col("block").alias("of"), "code", "signs")
-    return texts.groupBy("block").cogroup(renamed.groupBy("of")).applyInArrow(joined, "doc_id long, ids binary")
+    return texts.groupBy("block").cogroup(renamed.groupBy("of")).applyInArrow(joined, "doc_id long, ids binary" + (", bytes binary" if decoded else ""))
 
 
 def ids(packed: Column) -> Column:
@@ -313,15 +330,13 @@ def ids(packed: Column) -> Column:
 
 def decode(encoded: DataFrame, codec: Codec) -> DataFrame:
     """Add ``bytes``: the pieces of a text's tokens joined."""
-    pieces = [t.encode("latin-1") for t in codec.texts]
-    flat, length = np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces], np.int64)
-    start = np.cumsum(length) - length
+    pieces = Pieces(codec.texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 100):
                 part = batch.slice(i, 100)
-                texts = [spread(flat, start, length, np.frombuffer(b, "<u4")).tobytes() for b in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.binary())], names=["doc_id", "ids", "bytes"])
+                texts = pa.array([pieces.join(x) for x in part.column(1).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts], names=["doc_id", "ids", "bytes"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, bytes binary")

@@ -76,7 +76,7 @@ def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     codec = bytebpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    found = bytebpe.decode(bytebpe.encode(read(configure(spark), folder, "documents"), codec, public_tokenizers.PATTERN), codec)
+    found = bytebpe.encode(read(configure(spark), folder, "documents"), codec, public_tokenizers.PATTERN, decoded=True)
     return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2("bytes", 256).alias("decoded_sha256"))
 
