@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import net, spans, text, times, url
 from ..operators import cleaning, lookups
+from ..session import scratch
+from ..sources import tables
 from .tables import RULES, check
 
 MOBILE = url.MOBILE_WORDS.replace(r"\/", "/")
@@ -44,6 +46,16 @@ def _(t):
     return t["pages"].select("page_id", url.registered_domain(F.col("url")).alias("domain"))
 
 
+@check("f_registered_domain_rules", r"""SELECT page_id, regexp_extract(url, '([a-z0-9-]+\.(com|net|org))(/|$)', 1) AS domain FROM {pages}""")
+def _(t):
+    # the last labels of the given hosts among ten thousand rules, in several files
+    path = scratch(t.spark, "suffix-rules")
+    ends = t["pages"].select(F.regexp_extract("url", r"^https?://[^/]*\.([^./]+)(/|$)", 1).alias("value")).distinct()
+    more = t.spark.range(10_000).select(F.concat(F.element_at(F.array(F.lit(""), F.lit("*."), F.lit("!www.")), (F.col("id") % 3 + 1).cast("int")), F.lit("zone"), F.col("id").cast("string")))
+    ends.union(more).repartition(4, "value").write.text(path)
+    return lookups.add_domain(t["pages"].select("page_id", "url"), "url", tables.read_suffix_rules(t.spark, path)).select("page_id", "domain")
+
+
 @check("f_url_equal", r"""SELECT p.page_id, regexp_replace(p.url, '^\w+://', '') = regexp_replace(q.url, '^\w+://', '') AS strict,
     regexp_extract(p.url, '^\w+://([^?&]+)', 1) = regexp_extract(q.url, '^\w+://([^?&]+)', 1) AS loose,
     list_contains(['/a', regexp_replace(q.url, '^\w+://', '')], regexp_replace(p.url, '^\w+://', '')) AS inside
@@ -147,7 +159,13 @@ def _(t):
                        text.file_suffix(F.col("request_url")).alias("suffix"))
 
 
-@check("f_crc32")
+# the checksum from its definition: eight steps for each of the 256 byte values, one table step a byte
+_CRC = """WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS m),
+    b AS (SELECT page_id, list_transform(range(1, CAST(octet_length(encode(url)) AS BIGINT) + 1), lambda i: CAST(('0x' || hex(encode(url))[2 * i - 1:2 * i]) AS BIGINT)) AS bytes FROM {pages})
+    SELECT page_id, xor(CASE WHEN len(bytes) = 0 THEN 4294967295 ELSE list_reduce(list_concat([4294967295], bytes), lambda c, x: xor(c >> 8, m[xor(c & 255, x) + 1])) END, 4294967295) AS crc FROM b, tab"""
+
+
+@check("f_crc32", _CRC)
 def _(t):
     return t["pages"].select("page_id", text.crc32_text(F.col("url")).alias("crc"))
 

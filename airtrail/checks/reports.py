@@ -157,12 +157,38 @@ def _forest_rows(t):
     return jobs.entries(t["http"]).select("source_ip", F.coalesce("agent", F.lit("-")).alias("agent"), "t", "seq", "url", "ref", "ctype", (F.floor(F.col("end") * 1_000_000)).alias("end_us"))
 
 
-@check("g_referrer_forest")
+# requests one by one: a request joins the newest tree that is not idle and holds its referrer, under the newest node there with that address
+FOREST_SQL = r"""
+    en AS (SELECT seq, source_ip, coalesce(request_user_agent, '-') AS agent, CAST(floor(request_ts * 1e6) AS BIGINT) AS t, regexp_replace(request_referer, '^\w+:?//', '') AS ref, response_content_type AS ctype,
+        CASE WHEN request_host IS NULL OR request_url IS NULL THEN NULL WHEN starts_with(request_url, 'http') THEN regexp_replace(request_url, '^\w+:?//', '') ELSE request_host || request_url END AS url
+        FROM {http} WHERE request_ts IS NOT NULL),
+    o AS (SELECT *, row_number() OVER (PARTITION BY source_ip, agent ORDER BY t, seq) AS i FROM en),
+    walk AS (SELECT DISTINCT source_ip, agent, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(tree BIGINT, url VARCHAR, node VARCHAR)[]) AS nodes, CAST([] AS BIGINT[]) AS last, CAST([] AS VARCHAR[]) AS names,
+            CAST(NULL AS VARCHAR) AS node, CAST(NULL AS VARCHAR) AS parent, CAST(NULL AS VARCHAR) AS tree, CAST(NULL AS BIGINT) AS t, CAST(NULL AS VARCHAR) AS url, CAST(NULL AS VARCHAR) AS planted FROM en
+        UNION ALL SELECT source_ip, agent, i,
+            nodes || CASE WHEN best IS NULL AND ref IS NOT NULL THEN [struct_pack(tree := spot, url := ref, node := 'd' || seq)] ELSE [] END || CASE WHEN url IS NOT NULL THEN [struct_pack(tree := spot, url := url, node := 'n' || seq)] ELSE [] END,
+            CASE WHEN best IS NULL THEN last || [t] ELSE last[1:best - 1] || [t] || last[best + 1:] END,
+            CASE WHEN best IS NULL THEN names || [root] ELSE names END,
+            'n' || seq, CASE WHEN best IS NULL THEN CASE WHEN ref IS NOT NULL THEN root END ELSE list_filter(nodes, lambda x: x.tree = best AND x.url = ref)[-1].node END,
+            CASE WHEN best IS NULL THEN root ELSE names[best] END, t, url, CASE WHEN best IS NULL THEN ref END
+        FROM (SELECT *, coalesce(best, len(last) + 1) AS spot, CASE WHEN ref IS NULL THEN 'n' ELSE 'd' END || seq AS root
+            FROM (SELECT w.source_ip, w.agent, o.i, w.nodes, w.last, w.names, o.seq, o.t, o.url, o.ref,
+                list_max(list_transform(list_filter(w.nodes, lambda x: x.url = o.ref AND o.t - w.last[x.tree] <= 900000000), lambda x: x.tree)) AS best
+                FROM walk w JOIN o ON o.source_ip IS NOT DISTINCT FROM w.source_ip AND o.agent = w.agent AND o.i = w.i + 1) a) b),
+    edges AS (SELECT source_ip, agent, tree, node, parent, false AS dummy, t, url FROM walk WHERE i > 0
+        UNION ALL SELECT source_ip, agent, tree, tree, NULL, true, t, planted FROM walk WHERE planted IS NOT NULL)"""
+
+
+@check("g_referrer_forest", f"WITH RECURSIVE {FOREST_SQL} SELECT * FROM edges")
 def _(t):
     return forest.referrer_forest(_forest_rows(t), ["source_ip", "agent"])
 
 
-@check("g_split_forest")
+@check("g_split_forest", f"""WITH RECURSIVE {FOREST_SQL},
+    wide AS (SELECT parent AS node FROM edges WHERE parent IS NOT NULL AND parent IN (SELECT 'n' || seq FROM en WHERE contains(ctype, 'text')) GROUP BY 1 HAVING count(*) > 1),
+    tops AS (SELECT *, parent IS NULL OR node IN (SELECT node FROM wide) AS top FROM edges),
+    down AS (SELECT node, node AS up FROM tops WHERE top UNION ALL SELECT x.node, d.up FROM down d JOIN tops x ON x.parent = d.node WHERE NOT x.top)
+    SELECT source_ip, agent, node, dummy, t, url, up AS tree, CASE WHEN NOT top THEN parent END AS parent FROM tops JOIN down USING (node)""")
 def _(t):
     rows = _forest_rows(t)
     edges = forest.referrer_forest(rows, ["source_ip", "agent"])
@@ -330,6 +356,27 @@ def _(t):
     return lines.read_lines(t.spark, path + "/*.gz", tolerant_gzip=True)
 
 
+@check("u_traces", "SELECT row_number() OVER (ORDER BY event_id) - 1 AS line_no, CAST(event_id AS STRING) AS value FROM {ev}")
+def _(t):
+    path = scratch(t.spark, "traces")
+    t["ev"].repartitionByRange(5, "event_id").sortWithinPartitions("event_id").select(F.col("event_id").cast("string")).write.text(path)
+    return lines.trace_lines(t.spark, path).select("line_no", "value")
+
+
+@check("s_ap_table", "SELECT 'B' || CAST(event_id AS STRING) AS code, 'name ' || CAST(k AS STRING) AS name FROM {ev} WHERE event_id % 7 <> 0 AND k % 5 <> 0")
+def _(t):
+    path = scratch(t.spark, "aps")
+    code, name = F.concat(F.lit("B"), F.col("event_id").cast("string")), F.concat(F.lit("name "), F.col("k").cast("string"))
+    cells = [F.when(F.col("event_id") % 7 == 0, "null").otherwise(code), F.when(F.col("k") % 5 == 0, "null").otherwise(name), F.lit("T"), F.lit("U"), F.lit("121.4"), F.lit("31.0")]
+    t["ev"].select(F.concat_ws(",", *cells)).write.text(path)
+    return tables.load_ap_table(t.spark, path).select("code", "name")
+
+
+@check("p_without_nulls", "SELECT seq FROM {http} WHERE request_host IS NOT NULL AND response_size IS NOT NULL")
+def _(t):
+    return cleaning.without_nulls(t["http"].select("seq", "request_host", "response_size"), ["request_host", "response_size"]).select("seq")
+
+
 @check("s_delimited", "SELECT CAST(user_id AS INT) AS user_id, t_ms - t_ms % 1000 AS ms, k AS loc FROM {ev}")
 def _(t):
     from .. import schemas
@@ -352,7 +399,7 @@ def _(t):
 def _(t):
     # every last label of the given hosts as a rule of its own, read back as a user's file
     path = scratch(t.spark, "suffixes")
-    t["pages"].select(F.regexp_extract("url", r"^https?://[^/]*\.([^./]+)(/|$)", 1).alias("value")).distinct().coalesce(1).write.text(path)
+    t["pages"].select(F.regexp_extract("url", r"^https?://[^/]*\.([^./]+)(/|$)", 1).alias("value")).distinct().repartition(3, "value").write.text(path)
     rules = tables.read_lookup(t.spark, "suffixes", path + "/part-*")
     return t["pages"].select("page_id", registered_domain(F.col("url"), rules).alias("domain"))
 
@@ -400,10 +447,10 @@ def _(t):
 @check("k_hourly", BREAKDOWN_SQL)
 def _(t):
     path = scratch(t.spark, "hourly")
-    for part in (0, 1):
+    for part in (0, 1, 0):  # the first hours are written again
         hours = stats.protocol_breakdown(t["dpi"], _hour()).where(F.floor(F.col("hour") / HOUR) % 2 == part)
         sinks.write_hourly(hours.withColumn("hour", F.timestamp_millis("hour")), path)
-    return t.spark.read.parquet(path).withColumn("hour", F.unix_millis("hour")).drop("at")
+    return t.spark.read.parquet(path).withColumn("hour", F.unix_millis("hour")).drop("at", "hh")
 
 
 @check("k_location_db", "SELECT 'ip' AS side, mac, ip AS name, atime AS lo, rtime AS hi FROM {ip_spans} UNION ALL SELECT 'ap', mac, ap, start_ms, end_ms FROM {ap_spans}")
@@ -610,6 +657,22 @@ def _(t):
     return streams.best_matches(pairs).select("block", "side", "pos", "matched")
 
 
+@check("t_land_once", "SELECT t_ms - t_ms % 3600000 AS hour_ms, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM {dpi} GROUP BY 1")
+def _(t):
+    source, path, notes = (scratch(t.spark, name) for name in ("land-in", "landed", "land-notes"))
+    t["dpi"].select("t_ms", "bytes").write.parquet(source)
+    rows = t.spark.readStream.schema("t_ms LONG, bytes LONG").option("maxFilesPerTrigger", 1).parquet(source)
+    streams.land_stream(rows, path, F.timestamp_millis("t_ms"), notes)
+    # the stream forgets that its batches ended, and once more with a lost ledger: both times they run again
+    for lost in ([f"{notes}/commits"], [f"{notes}/commits", f"{path}.ledger"]):
+        for folder in lost:
+            file = t.spark._jvm.org.apache.hadoop.fs.Path(folder)
+            file.getFileSystem(t.spark._jsc.hadoopConfiguration()).delete(file, True)
+        streams.land_stream(rows, path, F.timestamp_millis("t_ms"), notes)
+    landed = t.spark.read.parquet(path)
+    return landed.groupBy((F.col("t_ms") - F.col("t_ms") % HOUR).alias("hour_ms")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+
+
 @check("t_merge_blocks", f"WITH {MERGE_SQL} SELECT block, side, pos, matched FROM merged")
 def _(t):
     names = ["seq", "socket", "connection", "conn_us", "req_us"]

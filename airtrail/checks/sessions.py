@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.net import undirected_socket
 from ..operators import cleaning, matching, sessions
 from ..plans import jobs
+from ..session import settle
 from .columns import CLEAN, SOCKET
 from .tables import check
 
@@ -238,17 +239,35 @@ def _(t):
     return matching.tag_device(flows, t["ip_spans"], _aps(t), "10.184").select("flow_id", "device", "place")
 
 
-@check("w_location_intervals", """WITH f AS (SELECT *, CASE WHEN kind = 'alloc' AND lag(kind) OVER w = 'recycle' THEN 1 ELSE 0 END AS fresh FROM {loc} WINDOW w AS (PARTITION BY ip, mac ORDER BY t_ms, seq)),
+LOCATION_SQL = """WITH f AS (SELECT *, CASE WHEN kind = 'alloc' AND lag(kind) OVER w = 'recycle' THEN 1 ELSE 0 END AS fresh FROM {loc} WINDOW w AS (PARTITION BY ip, mac ORDER BY t_ms, seq)),
     n AS (SELECT *, sum(fresh) OVER (PARTITION BY ip, mac ORDER BY t_ms, seq) AS n FROM f),
     a AS (SELECT *, min(t_ms) FILTER (kind = 'alloc') OVER (PARTITION BY ip, mac, n) AS a0 FROM n),
     g AS (SELECT ip, mac, n, a0, max(t_ms) FILTER (kind = 'alloc') AS a1, max(t_ms) FILTER (kind = 'recycle' AND t_ms - a0 <= 86400000) AS closed, coalesce(min(t_ms) FILTER (kind = 'recycle') - a0 > 86400000, false) AS late
         FROM a WHERE a0 IS NOT NULL GROUP BY ip, mac, n, a0),
     b AS (SELECT *, min(CASE WHEN late THEN n END) OVER (PARTITION BY ip, mac) AS n_late FROM g)
-    SELECT ip, mac, min(a0) AS atime, CASE WHEN bool_or(late) THEN max(a1) ELSE max(coalesce(closed, a1)) END AS rtime FROM b GROUP BY ip, mac, least(n, coalesce(n_late, n))""")
+    SELECT ip, mac, min(a0) AS atime, CASE WHEN bool_or(late) THEN max(a1) ELSE max(coalesce(closed, a1)) END AS rtime FROM b GROUP BY ip, mac, least(n, coalesce(n_late, n))"""
+
+
+@check("w_location_intervals", LOCATION_SQL)
 def _(t):
     return sessions.location_intervals(t["loc"])
 
 
+@check("w_location_days", LOCATION_SQL)
+def _(t):
+    # the log in three periods, one after the other
+    log = t["loc"]
+    ends = log.agg(F.min("t_ms").alias("lo"), F.max("t_ms").alias("hi")).first()
+    if ends.lo is None:
+        return sessions.location_intervals(log)
+    third = (ends.hi - ends.lo) // 3 + 1
+    period = F.floor((F.col("t_ms") - ends.lo) / third)
+    state = settle(sessions.location_state(log.where(period == 0)), "locations")
+    for i in (1, 2):
+        state = settle(sessions.extend_locations(state, log.where(period == i)), "locations")
+    return state.select("ip", "mac", "atime", "rtime")
+
+
 def attach_ip_sql(moves: str, ips: str, shift: int) -> str:
     return f"""pair AS (SELECT m.mac, m.s_ms, m.e_ms, m.ap, i.s_ms AS s, i.e_ms AS e, i.ip, i.s_ms <= m.e_ms AND i.e_ms >= m.s_ms AS exact FROM {moves} m LEFT JOIN {ips} i
         ON i.mac = m.mac AND i.s_ms // 86400000 = m.s_ms // 86400000 AND i.s_ms - {shift} <= m.e_ms AND i.e_ms + {shift} >= m.s_ms),

@@ -142,10 +142,12 @@ def duck(body: str) -> str:
     parts = [f"{n} AS ({VIEWS[n].replace('T_US', 'epoch_us(ts)').format(**{d: d for d in needs(VIEWS[n])})})" for n in order]
     parts += [f"{n} AS {LOOKUPS_SQL[n]}" for n in needs(body) if n in LOOKUPS_SQL]
     text = re.sub(r"\{(\w+)\}", r"\1", body).strip()
-    if text[:5].upper() == "WITH ":
-        text = ("WITH " + ", ".join(parts) + ", " if parts else "WITH ") + text[5:]
-    elif parts:
-        text = "WITH " + ", ".join(parts) + " " + text
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if text.upper().startswith(start):
+            text = (start + ", ".join(parts) + ", " if parts else start) + text[len(start):]
+            break
+    else:
+        text = ("WITH " + ", ".join(parts) + " " if parts else "") + text
     return text
 
 

@@ -6,8 +6,6 @@ has partitioned and sorted; rows stream through in Arrow batches and only live t
 
 from __future__ import annotations
 
-from bisect import insort
-
 from bisect import insort
 from collections.abc import Iterator
 
@@ -68,9 +66,11 @@ class _Referrers:
         key = [row[i] for i in self.keys]
         t, seq, url, ref = (row[self.slots[c]] for c in ("t", "seq", "url", "ref"))
         node, parent, out = f"n{seq}", None, []
-        live = [n for n in self.places.get(ref, ()) if t - self.last[n] <= self.idle] if ref is not None else []
-        if live:
-            tree = live[-1]
+        held = self.places.get(ref, []) if ref is not None else []
+        while held and t - self.last[held[-1]] > self.idle:
+            held.pop()  # an idle tree never lives again
+        if held:
+            tree = held[-1]
             parent = self.nodes[tree, ref]
         else:
             tree = self.planted

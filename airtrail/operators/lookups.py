@@ -149,3 +149,23 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFr
     """First k rows of every key; Spark cuts each task's input to k rows per key before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
+
+
+def add_domain(df: DataFrame, url: str, rules: DataFrame, into: str = "domain") -> DataFrame:
+    """Add the registered domain of an address or host: its longest public suffix and one label more; the host itself when no rule fits.
+
+    ``rules`` is the table of ``read_suffix_rules``, of any size. Each different host is looked up once: its endings meet the rules
+    by equality, the longest wins, and an exception rule takes its own first label out of the suffix. Null stays null.
+    """
+    host = url_host(F.col(url))
+    hosts = df.select(host.alias("_host")).where(F.col("_host").isNotNull()).distinct()
+    labels = F.split(F.lower("_host"), r"\.")
+    ends = hosts.select("_host", F.size(labels).alias("_n"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, -k, k), "."))).alias("_k", "suffix"))
+    met = ends.join(rules, "suffix")
+    # how many labels the suffix has by this rule
+    depth = F.when(F.col("kind") == "plain", F.col("_k") + 1).when((F.col("kind") == "wildcard") & (F.col("_n") > F.col("_k") + 1), F.col("_k") + 2)
+    found = met.groupBy("_host").agg(F.max(depth).alias("_deep"), F.max(F.when(F.col("kind") == "exception", F.col("_k"))).alias("_but"))
+    parts = F.split("_host", r"\.")
+    size = F.least(F.coalesce("_but", "_deep") + 1, F.size(parts))
+    named = found.select("_host", F.when(size.isNotNull(), F.array_join(F.slice(parts, -size, size), ".")).alias("_domain"))
+    return df.withColumn("_host", host).join(named, "_host", "left").select(*df.columns, F.coalesce("_domain", "_host").alias(into))

@@ -26,8 +26,8 @@ def _chunk_before(summary: DataFrame, keys: list[str], column: str, into: str, l
     """Add to one row per chunk the column of the key's chunk before; with more levels the chunks are chunked again."""
     if levels <= 1:
         return summary.withColumn(into, F.lag(column).over(Window.partitionBy(*keys).orderBy(CHUNK)))
-    named = with_previous(summary.withColumnRenamed(CHUNK, "_at"), keys, ["_at"], [column], FAN, "_before", levels - 1)
-    return named.withColumn(into, F.col("_before")[column]).withColumnRenamed("_at", CHUNK).drop("_before")
+    named = with_previous(summary.withColumnRenamed(CHUNK, "_at"), keys, ["_at"], [column], FAN, "_chunk_before", levels - 1)
+    return named.withColumn(into, F.col("_chunk_before")[column]).withColumnRenamed("_at", CHUNK).drop("_chunk_before")
 
 
 def _chunks_before(summary: DataFrame, keys: list[str], column: str, into: str, how: str, levels: int) -> DataFrame:

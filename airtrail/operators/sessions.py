@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.spans import classify_pair
 from ..functions.times import DAY_MS, day_of_ms
 from ..session import settle
-from .ordered import gap_sessions, mark_gap_sessions, with_islands, with_previous, with_running
+from .ordered import gap_sessions, mark_gap_sessions, null_safe, with_islands, with_previous, with_running
 
 NO_AP = ""  # stands for an unknown access point while grouping
 
@@ -149,6 +149,12 @@ def location_intervals(log: DataFrame, tie: str = "seq", chunk: int = DAY_MS, li
     Allocations of an unrecycled span extend it. A recycle within ``limit`` of the span's start closes it, and the
     next allocation opens a new one. A span whose first recycle comes later than that is never closed again.
     """
+    return location_state(log, tie, chunk, limit).select("ip", "mac", "atime", "rtime")
+
+
+def location_state(log: DataFrame, tie: str = "seq", chunk: int = DAY_MS, limit: int = DAY_MS) -> DataFrame:
+    """Address spans as a table that later days extend: ip, mac, atime, rtime, and last (the address's newest span of the device), allocated (its
+    latest allocation), recycled (its first recycle), closed (its latest recycle in time)."""
     rows = log.where(F.col("kind").isin("alloc", "recycle")).select(
         "ip", "mac", "t_ms", F.col(tie).alias("seq"), (F.col("kind") == "alloc").alias("gives"))
     runs = with_islands(rows, ["ip", "mac"], ["t_ms", "seq"], ["gives"],
@@ -167,9 +173,28 @@ def location_intervals(log: DataFrame, tie: str = "seq", chunk: int = DAY_MS, li
         begun.select("ip", "mac", F.col("n").alias("_n"), "a0").join(in_time, ["ip", "mac", "_n"])
         .where(F.col("t_ms") - F.col("a0") <= limit).groupBy("ip", "mac", F.col("_n").alias("n")).agg(F.max("t_ms").alias("closed"))
     )
-    joined = spans.groupBy("ip", "mac", "n").agg(
-        F.min("a0").alias("atime"), F.max("a1").alias("_a1"), F.bool_or(F.coalesce("late", F.lit(False))).alias("_open"))
-    return joined.join(good, ["ip", "mac", "n"], "left").select(
+    newest = begun.groupBy("ip", "mac").agg(F.max("n").alias("_newest"))
+    joined = spans.groupBy("ip", "mac", "n", "n_late").agg(
+        F.min("a0").alias("atime"), F.max("a1").alias("_a1"), F.max("r0").alias("_r0"), F.bool_or(F.coalesce("late", F.lit(False))).alias("_open"))
+    return joined.join(good, ["ip", "mac", "n"], "left").join(newest, ["ip", "mac"]).select(
         "ip", "mac", "atime",
         F.when(F.col("_open"), F.col("_a1")).otherwise(F.coalesce("closed", "_a1")).alias("rtime"),
-    )
+        (F.col("n") == F.least("_newest", "n_late")).alias("last"), F.col("_a1").alias("allocated"),
+        F.when(F.col("_open"), F.greatest("_r0", "_a1")).otherwise(F.col("_r0")).alias("recycled"), F.when(~F.col("_open"), F.col("closed")).alias("closed"))
+
+
+def extend_locations(state: DataFrame, log: DataFrame, tie: str = "seq", chunk: int = DAY_MS, limit: int = DAY_MS) -> DataFrame:
+    """``location_state`` of all days from that of the days before and the rows of a new one, which are later than all of them.
+
+    Only the newest span of an address and device can still change. Its four known times stand in for its rows and meet the new
+    ones; all other spans, and those of addresses without new rows, stay as they are.
+    """
+    keys = log.where(F.col("kind").isin("alloc", "recycle")).select("ip", "mac").distinct().withColumn("_new", F.lit(True))
+    marked = null_safe(state, keys, ["ip", "mac"])
+    moving = F.col("last") & F.col("_new").isNotNull()
+    times = F.array(*[F.struct(F.col(c).alias("t_ms"), F.lit(kind).alias("kind"), F.lit(i - 4).alias("seq"))
+                      for i, (c, kind) in enumerate((("atime", "alloc"), ("allocated", "alloc"), ("recycled", "recycle"), ("closed", "recycle")))])
+    held = marked.where(moving).select("ip", "mac", F.explode(times).alias("_t")).select("ip", "mac", "_t.*").where(F.col("t_ms").isNotNull())
+    rows = log.select("ip", "mac", "t_ms", "kind", F.col(tie).alias("seq"))
+    after = location_state(held.select("ip", "mac", "t_ms", "kind", F.col("seq").cast(rows.schema["seq"].dataType).alias("seq")).unionByName(rows), "seq", chunk, limit)
+    return marked.where(~moving).drop("_new").unionByName(after)

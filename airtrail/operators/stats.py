@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.net import is_local
 from ..functions.text import f_measure
@@ -132,22 +132,21 @@ def socket_multiplicity(flows: DataFrame, socket: Column) -> DataFrame:
         F.count_if(known & (F.col("n") > 2)).alias("more"))
 
 
-def metric_rollup(df: DataFrame, ts: str, bucket: str, specs: dict[str, list[str]], accuracy: int = 100_000) -> DataFrame:
+def metric_rollup(df: DataFrame, ts: str, bucket: str, specs: dict[str, list[str]], accuracy: int = 1000) -> DataFrame:
     """Measures per time bucket. A spec is a list of ``avg``, ``stdev``, ``min``, ``max``, ``hit``, ``prc:50,95`` and
     ``idx:40,1500,other`` (rows with a listed value, and all the rest).
 
-    Percentiles are exact up to about ``accuracy`` different values in a bucket and within 1 / ``accuracy`` of the rank beyond.
+    Percentiles are exact, see ``exact_percentiles``; ``accuracy`` says only how evenly their work is dealt.
     """
     simple = {"avg": F.avg, "stdev": F.stddev_samp, "min": F.min, "max": F.max, "hit": F.count}
-    out = []
+    out, ranked = [], {}
     for name, rules in specs.items():
         for rule in rules:
             kind, _, args = rule.partition(":")
             if kind in simple:
                 out.append(simple[kind](name).alias(f"{name}_{kind}"))
             elif kind == "prc":
-                for p in args.split(","):
-                    out.append(F.percentile_approx(name, int(p) / 100.0, accuracy).alias(f"{name}_prc{p}"))
+                ranked[name] = [int(p) for p in args.split(",")]
             elif kind == "idx":
                 listed = [float(a) for a in args.split(",") if a != "other"]
                 for a in args.split(","):
@@ -155,7 +154,35 @@ def metric_rollup(df: DataFrame, ts: str, bucket: str, specs: dict[str, list[str
                     out.append(F.count_if(test).alias(f"{name}_idx{a}"))
             else:
                 raise ValueError(f"unknown measure {rule!r}")
-    return df.groupBy(F.window(ts, bucket).alias("_w")).agg(*out).withColumn("bucket", F.col("_w.start")).drop("_w")
+    rows = df.withColumn("bucket", F.window(ts, bucket)["start"]).where(F.col("bucket").isNotNull())
+    whole = rows.groupBy("bucket").agg(*out) if out else rows.select("bucket").distinct()
+    return whole.join(exact_percentiles(rows, ["bucket"], ranked, accuracy), "bucket", "left") if ranked else whole
+
+
+def exact_percentiles(df: DataFrame, by: list[str], ranked: dict[str, list[int]], accuracy: int = 1000, parts: int = 64) -> DataFrame:
+    """Per group the smallest values that at least p of 100 non-null values do not exceed, as columns ``<name>_prc<p>``. Groups (``by``) are not null.
+
+    Equal values are counted before they are shuffled. A sketch of the different values cuts a group into about ``parts`` ranges, each
+    range's number gives the rank its values begin with, and only ranges that hold a wanted rank are put in order. The sketch decides
+    who does the work, the result is exact for any of them.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in ranked])).alias("_e")
+    long = df.select(*by, each).select(*by, "_e.*").where(F.col("value").isNotNull())
+    counts = settle(long.groupBy(*by, "name", "value").agg(F.count("*").alias("n")), "value-counts")
+    group = [*by, "name"]
+    cuts = counts.groupBy(*group).agg(F.percentile_approx("value", [i / parts for i in range(1, parts)], accuracy).alias("_cuts"), F.sum("n").alias("_total"))
+    placed = counts.join(cuts, group).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col("value")))).drop("_cuts")
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = placed.groupBy(*group, "_part", "_total").agg(F.sum("n").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    asked = F.coalesce(*[F.when(F.col("name") == n, F.array(*[F.lit(p) for p in ps])) for n, ps in ranked.items()])
+    wanted = ranges.select(*group, "_part", "_n", "_before", "_total", F.explode(asked).alias("_p"))
+    wanted = wanted.withColumn("_rank", F.greatest(F.lit(1), F.ceil(F.col("_total") * F.col("_p") / F.lit(100)))).where("_rank > _before AND _rank <= _before + _n")
+    inside = Window.partitionBy(*group, "_part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    held = placed.join(wanted.select(*group, "_part").distinct(), [*group, "_part"], "left_semi").withColumn("_upto", F.sum("n").over(inside))
+    found = held.select(*group, "_part", "value", "_upto").join(wanted.select(*group, "_part", "_p", "_rank", "_before"), [*group, "_part"])
+    hits = found.where(F.col("_before") + F.col("_upto") >= F.col("_rank")).groupBy(*group, "_p").agg(F.min("value").alias("_v"))
+    columns = [F.max(F.when((F.col("name") == n) & (F.col("_p") == p), F.col("_v"))).cast(df.schema[n].dataType).alias(f"{n}_prc{p}") for n, ps in ranked.items() for p in ps]
+    return hits.groupBy(*by).agg(*columns)
 
 
 def evaluate_forest(predicted: DataFrame, truth: DataFrame, agent: str = "agent", tree: str = "tree", entity: str = "entity") -> DataFrame:

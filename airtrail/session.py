@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -86,3 +86,12 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settle_apart(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """``settle`` of what ``make()`` gives; all tables it has written on its way are deleted."""
+    path = scratch(spark, name)
+    with run_folder(spark):
+        df = make()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .. import schemas
 from ..functions.url import let
@@ -78,6 +78,21 @@ def ordered_lines(spark: SparkSession, path) -> DataFrame:
     )
 
 
+def trace_lines(spark: SparkSession, path, tie: Column | None = None) -> DataFrame:
+    """Lines of many trace files as one trace: file, line_no (from 0, going on over files in the order of their names, or of ``tie``, a
+    column of ``file``), value.
+
+    Lines are numbered inside each file split; one row a split carries how many stand before it, so no file and no trace goes through one task.
+    """
+    rows = ordered_lines(spark, path)
+    rows = rows.withColumn("_file", F.struct((tie if tie is not None else F.col("file")).alias("at"), F.col("file").alias("file")))
+    before = Window.orderBy("_file", "split").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_file", "split").agg(F.count("*").alias("n"), F.min("pos").alias("_first"))
+    # a split is read by one task in order, so positions inside it are consecutive
+    starts = counts.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).select("_file", "split", "_first", "_before")
+    return rows.join(starts, ["_file", "split"]).select("file", (F.col("_before") + F.col("pos") - F.col("_first")).alias("line_no"), "value")
+
+
 def split_good_bad(df: DataFrame, n_fields: int, sep: str = " ", line: str = "value") -> tuple[DataFrame, DataFrame]:
     """Lines with the right number of fields, and the others."""
     good = F.coalesce(F.size(F.split(F.col(line), _quote(sep))) == n_fields, F.lit(False))

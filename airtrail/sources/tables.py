@@ -21,14 +21,26 @@ def load_ap_table(spark: SparkSession, path) -> DataFrame:
     return rows.where(F.col("code").isNotNull() & F.col("name").isNotNull())
 
 
+def read_suffix_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Suffix rules of any number as a table: suffix (lower case, without ``*.`` and ``!``) and kind (``plain``, ``wildcard``, ``exception``)."""
+    rule = F.lower(F.element_at(F.split(F.trim("value"), r"\s+"), 1))
+    lines = spark.read.text(path).where((F.trim("value") != "") & ~F.col("value").startswith("//")).select(rule.alias("rule"))
+    kind = F.when(F.col("rule").startswith("*."), "wildcard").when(F.col("rule").startswith("!"), "exception").otherwise("plain")
+    return lines.select(F.regexp_replace("rule", r"^(\*\.|!)", "").alias("suffix"), kind.alias("kind")).distinct()
+
+
 def read_lookup(spark: SparkSession, kind: str, path: str):
-    """Lookup files of a few thousand lines, from any file system that Spark reads.
+    """Lookup files of a few thousand lines, from any file system that Spark reads. Line files may have several parts, which are read in
+    the order of their names; of YAML files the path must match one.
 
     ``buildings`` (YAML), ``protocols`` (tab separated) and ``countries`` (YAML) give a DataFrame; ``services``
     (YAML) gives the ordered host rules as a list plus two DataFrames of classes and class names; ``suffixes`` (one rule a
     line, ``*.`` and ``!`` in front of wildcards and exceptions, ``//`` comments) gives ``Suffixes``.
     """
-    text = "".join(r[0] for r in spark.read.text(path, wholetext=True).limit(1).collect())
+    parts = [r[0] for r in spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file")).orderBy("file").collect()]
+    if kind not in ("suffixes", "protocols") and len(parts) != 1:
+        raise ValueError(f"{path} matches {len(parts)} files, a {kind} lookup is one")
+    text = "".join(part if part.endswith("\n") else part + "\n" for part in parts)
     if kind == "suffixes":
         rules = [line.split()[0].lower() for line in text.splitlines() if line.strip() and not line.startswith("//")]
         return Suffixes(tuple(r for r in rules if r[0] not in "*!"), tuple(r[2:] for r in rules if r.startswith("*.")), tuple(r[1:] for r in rules if r[0] == "!"))

@@ -67,3 +67,28 @@ def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
     query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(
         availableNow=True).start()
     query.awaitTermination()
+
+
+def land_stream(stream: DataFrame, path: str, ts: Column, checkpoint: str, ledger: str | None = None) -> None:
+    """Land what is there of a stream below ``date=/hour=/batch=`` folders of its rows' time, each row once whatever fails, and stop.
+
+    A batch writes its own folders and replaces them when it is run again, so a batch that was written but not yet noted by the stream leaves no row twice. A
+    batch whose number stands in the ledger (a folder beside the data, by default) was finished and is not written again.
+    """
+    ledger = ledger or path.rstrip("/") + ".ledger"
+    spark = stream.sparkSession
+
+    def done(number: int):
+        file = spark._jvm.org.apache.hadoop.fs.Path(f"{ledger}/{number}")
+        return file, file.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def put(batch: DataFrame, number: int) -> None:
+        file, system = done(number)
+        if system.exists(file):
+            return
+        placed = batch.withColumns({"date": F.date_format(ts, "yyyy-MM-dd"), "hour": F.date_format(ts, "HH"), "batch": F.lit(number)})
+        writer = placed.hint("rebalance", "date", "hour").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("date", "hour", "batch").parquet(path)
+        system.mkdirs(file)
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
