@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..session import settle
 from .common import ascii_lower, bytes_of
 
-BLOCK = 16_000_000  # bytes of text of an index block; a longer text is a block of its own
+BLOCK = 6_000_000  # bytes of text of an index block; a longer text is a block of its own
 PART = 500  # items that are ranked together in a block
 SCALE = 1_000_000_000
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
