@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4_000_000  # words of a block
+BLOCK = 5_000_000  # words of a block
 STEP = 500_000  # words that are turned into ids at once
 CHUNK, BACK = 64, 8  # bytes of a chunk of a long word; tokens before it that are looked at again
 PAIRS = 1 << 15  # buckets of the rank map
@@ -221,12 +221,16 @@ def in_blocks(docs: DataFrame, pattern: str, schema: str, each: Callable, block:
         def flush() -> Iterator[pa.RecordBatch]:
             ids = [i for part in held for i in part.column(0).to_pylist()]
             counts = np.concatenate([pc.list_value_length(part.column(1)).to_numpy() for part in held])
-            coded = pa.concat_arrays([part.column(1).flatten() for part in held]).dictionary_encode()
-            codes, order = coded.indices.to_numpy(), pc.sort_indices(coded.dictionary).to_numpy()
+            # an empty array first, as a block may hold no word
+            none = pa.array([], held[0].column(1).type.value_type)
+            coded = pa.chunked_array([none, *(part.column(1).flatten() for part in held)]).dictionary_encode().unify_dictionaries()
+            codes = np.concatenate([np.zeros(0, np.int32), *(part.indices.to_numpy() for part in coded.chunks)])
+            known = coded.chunk(0).dictionary if coded.num_chunks else none
+            order = pc.sort_indices(known).to_numpy()
             # a word's number is its place by frequency: most numbers are small
             place = np.empty(len(order), np.int32)
             place[order[np.argsort(-np.bincount(codes, minlength=len(order))[order], kind="stable")]] = np.arange(len(order), dtype=np.int32)
-            yield from each(number, ids, counts, coded.dictionary.take(pa.array(order)), place[order], place[codes])
+            yield from each(number, ids, counts, known.take(pa.array(order)), place[order], place[codes])
 
         for batch in batches:
             upto = np.cumsum(pc.list_value_length(batch.column(1)).to_numpy())
@@ -260,7 +264,7 @@ def texts_of_block(number: int, ids: list, counts: np.ndarray, known: pa.Array,
     planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
     yield pa.RecordBatch.from_pydict({
         "block": pa.array([number], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64())), "counts": pa.array([counts.tolist()], pa.list_(pa.int32())),
-        "codes": pa.array([pa.compress(planes, "zstd", asbytes=True)], pa.binary()), "known": pa.array([len(known)], pa.int64())})
+        "codes": pa.array([pa.Codec("zstd", 6).compress(planes, asbytes=True)], pa.binary()), "known": pa.array([len(known)], pa.int64())})
 
 
 def spread(flat: np.ndarray, start: np.ndarray, length: np.ndarray, chosen: np.ndarray) -> np.ndarray:
