@@ -16,8 +16,10 @@ ROWS, BANDS = 3, 42  # a pair at the threshold 0.75 meets in no band with chance
 MARGIN = 0.25  # six standard deviations of the estimate below the threshold
 BLOCK = 2048  # classes of a bucket on either side of the comparisons of one task
 TILE = 256  # classes on either side of one comparison of packed bits
-CHUNK = 2_000_000  # shingles on either side of the exact comparisons of one task
-FACTORS = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
+CHUNK = 2_000_000  # shingles on either side of the comparisons of one task
+WIDE = 512  # minima of classes whose buckets stay open
+WIDE_MARGIN = 0.125  # six standard deviations of their estimate
+FACTORS = mix(np.arange(1, WIDE + 1, dtype=np.uint64)) | np.uint64(1)
 LOW = np.uint64((1 << BITS) - 1)
 ONES = 0x1111111111111111
 
@@ -53,6 +55,22 @@ def set_keys(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[0], keys[1]
 
 
+def minima_of(values: np.ndarray, at: np.ndarray, hashes: int) -> np.ndarray:
+    """The minima of sets that are not empty, a row a hash."""
+    minima = np.empty((hashes, len(at)), np.uint64)
+    for j in range(hashes if len(at) else 0):
+        minima[j] = np.minimum.reduceat(values * FACTORS[j], at)
+    return minima
+
+
+def pack_low(minima: np.ndarray) -> np.ndarray:
+    """The low bits of each set's minima, 16 minima a word."""
+    packed = np.zeros((minima.shape[1], len(minima) * BITS // 64), np.uint64)
+    for j, low in enumerate(mix(minima) & LOW):
+        packed[:, j // 16] |= low << np.uint64(BITS * (j % 16))
+    return packed
+
+
 def sketch(docs: DataFrame, k: int = 5) -> DataFrame:
     """``doc_id, n, k1, k2, packed, bands`` of every row: set size, set name, packed low bits of the minima, band hashes.
 
@@ -62,13 +80,8 @@ def sketch(docs: DataFrame, k: int = 5) -> DataFrame:
         values, at = shingle_sets([bytes_of(t) for t in texts], k)
         k1, k2 = set_keys(values, at)
         filled = np.flatnonzero(np.diff(at))
-        minima = np.empty((HASHES, len(filled)), np.uint64)
-        for j in range(HASHES if len(filled) else 0):
-            minima[j] = np.minimum.reduceat(values * FACTORS[j], at[filled])
-        low = mix(minima) & LOW
-        packed = np.zeros((len(filled), HASHES * BITS // 64), np.uint64)
-        for j in range(HASHES):
-            packed[:, j // 16] |= low[j] << np.uint64(BITS * (j % 16))
+        minima = minima_of(values, at[filled], HASHES)
+        packed = pack_low(minima)
         bands = np.empty((len(filled), BANDS), np.uint64)
         for b in range(BANDS):
             value = np.full(len(filled), b + 1, np.uint64)
@@ -110,8 +123,8 @@ def likely(threshold: float) -> Column:
     return fits & (F.col("e") >= threshold - MARGIN)
 
 
-def full_sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """``node, members``: the full shingle sets of classes, in order; only their texts are read into sets."""
+def full_sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame, k: int, wide: bool = False) -> DataFrame:
+    """``node, members``: the full shingle sets of classes, in order; only their texts are read into sets. ``wide`` adds the low bits of ``WIDE`` minima."""
     named = classes.join(nodes, "node").select("node", F.col("rep").alias("doc_id"), "k1", "k2")
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(named.select("doc_id").distinct(), "doc_id", "left_semi")
 
@@ -122,10 +135,17 @@ def full_sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame, k: int) ->
                 values, at = shingle_sets([bytes_of(t) for t in texts[a:b]], k)
                 k1, k2 = set_keys(values, at)
                 raw = [values[x:y].tobytes() for x, y in zip(at.tolist(), at[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(k1), pa.array(k2), pa.array(raw, pa.binary())], names=["doc_id", "k1", "k2", "members"])
+                columns = {"doc_id": pa.array(ids[a:b], pa.int64()), "k1": pa.array(k1), "k2": pa.array(k2), "members": pa.array(raw, pa.binary())}
+                if wide:
+                    filled = np.flatnonzero(np.diff(at))
+                    bits: list = [None] * (b - a)
+                    for i, row in zip(filled.tolist(), pack_low(minima_of(values, at[filled], WIDE))):
+                        bits[i] = row.tobytes()
+                    columns["wide"] = pa.array(bits, pa.binary())
+                yield pa.RecordBatch.from_pydict(columns)
 
-    made = texts.mapInArrow(sets, "doc_id long, k1 long, k2 long, members binary")
-    return settle(made.join(named, ["doc_id", "k1", "k2"]).dropDuplicates(["node"]).select("node", "members"), "sets")
+    made = texts.mapInArrow(sets, "doc_id long, k1 long, k2 long, members binary" + (", wide binary" if wide else ""))
+    return settle(made.join(named, ["doc_id", "k1", "k2"]).dropDuplicates(["node"]).drop("doc_id", "k1", "k2"), "sets")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -152,14 +172,14 @@ def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, perce
 
 def agree(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Estimates of all rows of packed bits against all others, as ``estimate`` gives them."""
-    unlike = np.zeros((len(one), len(other)), np.uint8)
-    for i in range(HASHES * BITS // 64):
+    unlike = np.zeros((len(one), len(other)), np.uint16)
+    for i in range(one.shape[1]):
         x = one[:, i][:, None] ^ other[:, i][None]
         x |= x >> np.uint64(1)
         x |= x >> np.uint64(2)
-        unlike += np.bitwise_count(x & np.uint64(ONES)).astype(np.uint8)
+        unlike += np.bitwise_count(x & np.uint64(ONES))
     chance = 1 / (1 << BITS)
-    return ((1 - unlike / np.float32(HASHES)) - chance) / (1 - chance)
+    return ((1 - unlike / np.float32(one.shape[1] * 64 // BITS)) - chance) / (1 - chance)
 
 
 def alike(asking: tuple, held: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -174,96 +194,128 @@ def alike(asking: tuple, held: tuple, threshold: float) -> tuple[np.ndarray, np.
             small, large = np.minimum.outer(n[rows], m[to]), np.maximum.outer(n[rows], m[to])
             hit = (small >= (threshold - 1e-9) * large) & (c[rows][:, None] != d[to][None])
             if hit.any():
-                x, y = np.nonzero(hit & (agree(p[rows], q[to]) >= threshold - MARGIN))
+                x, y = np.nonzero(hit & (agree(p[rows], q[to]) >= threshold - WIDE_MARGIN))
                 one.append(x + i)
                 other.append(y + j)
     empty = np.zeros(0, np.int64)
     return np.concatenate([empty, *one]), np.concatenate([empty, *other])
 
 
-def every_pair(placed: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``a, b`` that can reach the threshold among all pairs of a bucket ``band, node, component`` in different components.
+def open_tasks(placed: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Buckets ``band, node, component`` that hold several components, dealt into tasks: rows ``part, big, i, j, asks, held, band, node, n, component``, and their nodes.
 
     In a bucket the classes outside its largest component ask all its classes. Both sides are cut into blocks of about ``BLOCK``
-    classes, a task compares the packed bits of one block of askers with one block of the others; small buckets share a task. No
-    pair is left out, and no task holds more than two blocks or the rows of about ``BLOCK`` small buckets.
+    classes and ``CHUNK`` shingles; a task has one block of askers and one of the others, small buckets share a task. No
+    pair is left out.
     """
-    kinds = placed.groupBy("band", "component").agg(F.count("*").alias("c")).groupBy("band").agg(
-        F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("size"), F.max("c").alias("most"), F.count("*").alias("kinds"))
+    sized = placed.join(marks.select("node", "n"), "node")
+    kinds = sized.groupBy("band", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s")).groupBy("band").agg(
+        F.max_by("component", F.struct("c", "component")).alias("main"), F.max_by("s", F.struct("c", "component")).alias("main_s"), F.sum("c").alias("size"),
+        F.max("c").alias("most"), F.sum("s").alias("whole"), F.count("*").alias("kinds"))
+
+    def needed(classes: Column, shingles: Column) -> Column:
+        return F.greatest(F.ceil(classes / BLOCK), F.ceil(shingles / CHUNK)).cast("int")
+
     kinds = kinds.filter("kinds > 1 AND size > 2").select(
-        "band", "main", F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("ask_blocks"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = settle(placed.join(kinds, "band").join(marks, "node"), "open")
-    parts = max(1, rows.count() // (4 * BLOCK))
+        "band", "main", needed(F.col("size") - F.col("most"), F.col("whole") - F.col("main_s")).alias("ask_blocks"), needed(F.col("size"), F.col("whole")).alias("blocks"))
+    rows = settle(sized.join(kinds, "band"), "open")
+    count, shingles = rows.agg(F.count("*"), F.sum("n")).first()
+    parts = max(1, count // (4 * BLOCK), (shingles or 0) // (2 * CHUNK))
     part = F.when(F.col("blocks") > 1, F.col("band")).otherwise(F.pmod(F.xxhash64("band"), F.lit(parts)))
-    columns = ["band", "node", "n", "component", "packed", (F.col("component") == F.col("main")).alias("held")]
+    columns = ["band", "node", "n", "component", (F.col("component") == F.col("main")).alias("held")]
 
-    def block(count: str) -> Column:
-        return F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
+    def block(of: str) -> Column:
+        return F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
 
-    def to_all(count: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    def to_all(of: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
 
     big = F.col("blocks") > 1
     asks = rows.filter("component <> main").select(part.alias("part"), big.alias("big"), block("ask_blocks").alias("i"), to_all("blocks").alias("j"), F.lit(True).alias("asks"), *columns)
     asked = rows.select(part.alias("part"), big.alias("big"), to_all("ask_blocks").alias("i"), block("blocks").alias("j"), F.lit(False).alias("asks"), *columns)
-
-    def compare(table: pa.Table) -> pa.Table:
-        band, node, n, component = (table.column(c).to_numpy() for c in ("band", "node", "n", "component"))
-        packed = table.column("packed").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
-        asking, held = (table.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "held"))
-        order = np.lexsort((node, n, held, ~asking, band))
-        starts = np.flatnonzero(np.diff(band[order], prepend=band[order[0]] - 1))
-        found = []
-        for at, to in zip(starts, [*starts[1:], len(order)]):
-            here = order[at:to]
-            mine, others, main = here[asking[here]], here[~asking[here] & ~held[here]], here[held[here]]
-            for theirs, both in ((others, True), (main, False)):
-                x, y = alike((n[mine], component[mine], packed[mine]), (n[theirs], component[theirs], packed[theirs]), threshold)
-                x, y = node[mine[x]], node[theirs[y]]
-                # two askers meet twice
-                keep = x < y if both else np.ones(len(x), bool)
-                found.append(np.stack([np.minimum(x, y)[keep], np.maximum(x, y)[keep]]))
-        a, b = np.unique(np.concatenate(found, axis=1), axis=1)
-        return pa.table({"a": a, "b": b})
-
-    return asks.union(asked).groupBy("part", "big", "i", "j").applyInArrow(compare, "a long, b long").distinct()
-
-
-def confirm_all(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """As ``confirm``, for any number of pairs: classes are dealt into blocks of about ``CHUNK`` shingles, and a task gets each set
-    of its two blocks once, for all its pairs. Pairs that links of the task already join are not compared."""
-    nodes = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-    total = nodes.join(classes, "node").agg(F.sum("n")).first()[0] or 0
-    made = full_sets(nodes, docs, classes, k)
-    blocks = max(8, -(-total // CHUNK))
-    dealt = pairs.select(*[F.pmod(F.xxhash64(c), F.lit(blocks)).alias(f"_{c}") for c in "ab"], "a", "b")
-    wanted = dealt.select(F.col("_a").alias("_c"), F.col("_b").alias("_d"), F.explode(F.array("a", "b")).alias("node")).distinct().join(made, "node")
-
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        sets = {x: np.frombuffer(m.as_buffer(), np.uint64) for x, m in zip(right.column("node").to_pylist(), right.column("members"))}
+    return asks.union(asked), rows.select("node").distinct()
+
+
+def candidates(table: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a task's table of all pairs of its buckets in different components that can reach the threshold, each pair of classes once."""
+    band, node, n, component = (table.column(c).to_numpy() for c in ("band", "node", "n", "component"))
+    wide = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint64).reshape(len(node), -1)
+    asking, held = (table.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "held"))
+    order = np.lexsort((node, n, held, ~asking, band))
+    starts = np.flatnonzero(np.diff(band[order], prepend=band[order[0]] - 1))
+    one, other = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at, to in zip(starts, [*starts[1:], len(order)]):
+        here = order[at:to]
+        mine, others, main = here[asking[here]], here[~asking[here] & ~held[here]], here[held[here]]
+        for theirs in (others, main):
+            x, y = alike((n[mine], component[mine], wide[mine]), (n[theirs], component[theirs], wide[theirs]), threshold)
+            one.append(mine[x])
+            other.append(theirs[y])
+    x, y = np.concatenate(one), np.concatenate(other)
+    least, most = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+    _, first = np.unique(np.stack([least, most]), axis=1, return_index=True)
+    return x[first], y[first]
+
+
+def join_open(placed: DataFrame, marks: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links ``a, b`` that join components of the classes that share a bucket, found by judging every pair of an open bucket.
+
+    Pairs stay inside their task. A first pass over the tasks names the classes that have a candidate there; a second one gets their full
+    sets, confirms the candidates and sends a link only if it joins two components that no link of the task has joined: fewer links
+    than classes.
+    """
+    threshold = percent / 100
+    tasks, nodes = open_tasks(placed, marks)
+    made = full_sets(nodes, docs, classes, k, wide=True)
+    marked, place = tasks.join(made.select("node", "wide"), "node"), ["part", "big", "i", "j"]
+
+    def near(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        x, y = candidates(table, threshold)
+        found = np.unique(table.column("node").to_numpy()[np.concatenate([x, y])])
+        return pa.table({**{c: pa.array([table.column(c)[0].as_py()] * len(found), table.schema.field(c).type) for c in place}, "node": pa.array(found, pa.int64())})
+
+    wanted = settle(marked.groupBy(*place).applyInArrow(near, "part long, big boolean, i int, j int, node long"), "near")
+
+    def linked(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        x, y = candidates(table, threshold)
+        node, component, members = table.column("node").to_numpy(), table.column("component").to_numpy(), table.column("members")
         root: dict[int, int] = {}
 
-        def find(x: int) -> int:
-            while (up := root.get(x, x)) != x:
-                root[x] = root.get(up, up)
-                x = up
-            return x
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = root.get(up, up)
+                c = up
+            return c
+
+        def members_of(i: int) -> np.ndarray:
+            return np.frombuffer(members[i].as_buffer(), np.uint64)
 
         links = []
-        for a, b in sorted(zip(left.column("a").to_pylist(), left.column("b").to_pylist())):
-            u, v = find(a), find(b)
-            if u == v:
-                continue
-            x, y = sorted((sets[a], sets[b]), key=len)
-            place = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            common = int((y[place] == x).sum())
-            if 100 * common >= percent * (len(x) + len(y) - common):
-                root[u] = v
-                links.append((a, b))
+        order = np.argsort(x, kind="stable")
+        x, y = x[order], y[order]
+        for i, at, to in zip(*np.unique(x, return_index=True), [*np.unique(x, return_index=True)[1][1:], len(x)]):
+            mine = members_of(int(i))
+            for start in range(int(at), int(to), 64):
+                some = [j for j in y[start : min(start + 64, int(to))].tolist() if find(int(component[i])) != find(int(component[j]))]
+                if not some:
+                    continue
+                theirs = [members_of(j) for j in some]
+                sizes = np.array([len(t) for t in theirs])
+                values = np.concatenate(theirs)
+                equal = mine[np.minimum(np.searchsorted(mine, values), len(mine) - 1)] == values
+                common = np.add.reduceat(equal.astype(np.int64), np.cumsum(sizes) - sizes)
+                for j, hit in zip(some, 100 * common >= percent * (len(mine) + sizes - common)):
+                    u, v = find(int(component[i])), find(int(component[j]))
+                    if hit and u != v:
+                        root[u] = v
+                        links.append((min(node[i], node[j]), max(node[i], node[j])))
         a, b = zip(*links) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("_a", "_b").cogroup(wanted.groupBy("_c", "_d")).applyInArrow(compare, "a long, b long")
+    chosen = marked.join(wanted, [*place, "node"], "left_semi").join(made.select("node", "members"), "node")
+    return chosen.groupBy(*place).applyInArrow(linked, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
@@ -273,7 +325,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     smallest doc_id and that document is kept. Equal sets form one class at once, and only classes are compared. In every band
     bucket all classes are compared with the smallest one and with one more, so a group of n alike costs about n comparisons a
     bucket instead of n * n / 2. Where a bucket still spans several components, all its pairs in different components are
-    compared, in blocks. Every link is confirmed on the full sets. A link is missed only if its classes meet in no band or the
+    compared on ``WIDE`` minima, in blocks, inside tasks that send links only (``join_open``). Every link is confirmed on the full sets. A link is missed only if its classes meet in no band or the
     estimate of 128 minima is six standard deviations too low. A bucket of n classes that are not linked costs n * n / 2
     comparisons of packed bits, spread over tasks of two blocks.
 
@@ -315,11 +367,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     links = settle(links.union(confirm(turn, docs, classes, k, percent)), "links")
     found = components(links, "stars")
 
-    # what is left: all other pairs of buckets that still span several components
-    judged = star.union(turn)
+    # what is left: the other pairs of buckets that still span several components
     placed = shared.select("band", "node").join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rest = settle(every_pair(placed, marks, threshold).join(judged, ["a", "b"], "left_anti"), "pairs")
-    more = settle(confirm_all(rest, docs, classes, k, percent), "links")
+    more = settle(join_open(placed, marks, docs, classes, k, percent), "links")
     if not more.isEmpty():
         found = components(links.union(more), "stars")
 
