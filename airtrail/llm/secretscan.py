@@ -140,9 +140,18 @@ def scan(docs: DataFrame, model, threshold: float = 0.5) -> DataFrame:
         "doc_id", "text_key", "number", "start", "length", "value", score.alias("score"), F.coalesce(score >= threshold, F.lit(False)).alias("secret"))
 
 
+def secrets(docs: DataFrame, model, threshold: float = 0.5) -> DataFrame:
+    """``id, key, numbers``: the candidates of each text that are secrets."""
+    return scan(docs, model, threshold).filter("secret").groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(F.collect_list("number").alias("numbers"))
+
+
 def redact(docs: DataFrame, model, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` with each secret in ``text`` put out by ``MASK``; ``n_chars``, if there, follows the new text."""
-    secrets = scan(docs, model, threshold).filter("secret").groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(F.collect_list("number").alias("numbers"))
+    return put_out(docs, settle(secrets(docs, model, threshold), "secrets"))
+
+
+def put_out(docs: DataFrame, secrets: DataFrame) -> DataFrame:
+    """``redact`` with written ``secrets``: few findings are sent to the texts by Catalyst's own choice, as their size is known."""
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), "doc_id", "text", F.xxhash64("text").alias("text_key"))
     joined = whole.join(secrets, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left")
     values, gaps = F.regexp_extract_all("text", F.lit(FOUND), F.lit(0)), F.split("text", FOUND, -1)
