@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -13,8 +15,9 @@ from .tokens import encoder
 SPREAD = 1024  # rows of one length are counted in so many parts
 
 
-def cut(docs: DataFrame, tokenizer: str, size: int = 4096, end: int = 1, whole: bool = False) -> DataFrame:
-    """Pieces of at most ``size`` tokens: ``doc_id, piece, start, length, ids`` (ids packed as little-endian 32-bit numbers).
+def cut(docs: DataFrame, tokenizer: str, size: int = 4096, end: int = 1, whole: bool = False, checksum: bool = False) -> DataFrame:
+    """Pieces of at most ``size`` tokens: ``doc_id, piece, start, length, ids`` (ids packed as little-endian 32-bit numbers), or with
+    ``checksum`` the crc32 of the packed ids, ``ids_crc32``, in their place.
 
     A document is its ids and then ``end``; a null or empty text is ``end`` alone. Rows are documents: a repeated row is
     packed again, a null doc_id stays null. Other columns are not read.
@@ -30,7 +33,7 @@ def cut(docs: DataFrame, tokenizer: str, size: int = 4096, end: int = 1, whole:
                 raw += closing
                 for k, at in enumerate(range(0, len(raw), 4 * size)):
                     part = raw[at : at + 4 * size]
-                    for column, value in zip(rows, (doc, k, at // 4, len(part) // 4, part)):
+                    for column, value in zip(rows, (doc, k, at // 4, len(part) // 4, zlib.crc32(part) if checksum else part)):
                         column.append(value)
                     held += len(part)
                 if held > 8_000_000:
@@ -39,8 +42,10 @@ def cut(docs: DataFrame, tokenizer: str, size: int = 4096, end: int = 1, whole:
             if rows[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], names=names)
 
-    names, kinds = ["doc_id", "piece", "start", "length", "ids"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    names = ["doc_id", "piece", "start", "length", "ids_crc32" if checksum else "ids"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64() if checksum else pa.binary()]
+    last = "ids_crc32 long" if checksum else "ids binary"
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, piece int, start long, length long, {last}")
 
 
 def fullest(available: np.ndarray, most: int) -> list[int]:
@@ -142,5 +147,4 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end: int = 1) -> Dat
 
 def digests(docs: DataFrame, tokenizer: str, size: int = 4096, end: int = 1) -> DataFrame:
     """The same with the ids' crc32 in their place, so that ids are neither written nor shuffled."""
-    narrow = cut(docs, tokenizer, size, end).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return place(settle(narrow, "pieces"), size)
+    return place(settle(cut(docs, tokenizer, size, end, checksum=True), "pieces"), size)

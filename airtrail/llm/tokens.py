@@ -9,21 +9,22 @@ import numpy as np
 from .common import pieces, worker_store
 
 MARK = "\x01"  # stands between words encoded in one call
-KEPT = 400_000  # words whose ids a worker remembers
+KEPT = 250_000  # words of a generation; a worker remembers two
 
 
 class Encoder:
     """Ids of texts, word by word: the tokenizer cuts at white space before it merges, so a word's ids never depend on its neighbours.
 
     Words are remembered as packed little-endian 32-bit ids, so that a text is one join of byte strings. When ``KEPT`` words
-    are held they are forgotten and learnt again; that bounds the memory and changes no result. ``whole=True`` encodes whole
+    are held they become the old generation: those met again come back, the others go with the next change. That bounds the memory and
+    changes no result. ``whole=True`` encodes whole
     texts instead, for a tokenizer that merges across white space.
     """
 
     def __init__(self, path: str, whole: bool = False):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.whole, self.known = Tokenizer.from_file(path), whole, {}
+        self.tokenizer, self.whole, self.known, self.old = Tokenizer.from_file(path), whole, {}, {}
         mark = self.ids(MARK)
         self.mark = mark[0] if len(mark) == 1 else None
         # letters, their case and a closing sign are told apart before merging
@@ -54,16 +55,22 @@ class Encoder:
                 yield from (np.array(self.ids(t or ""), "<u4").tobytes() for t in texts[a:b])
                 continue
             if len(self.known) > KEPT:
-                self.known.clear()
+                self.known, self.old = {}, self.known
             split = [t.replace("\n", " ").split(" ") if t else [] for t in texts[a:b]]
-            fresh = {w for words in split for w in words}.difference(self.known)
+            fresh = set().union(*split).difference(self.known)
+            again = fresh.intersection(self.old)
+            self.known.update((w, self.old[w]) for w in again)
+            fresh -= again
             halves = {}
             if self.apart:
                 for w in fresh:
                     body = w.rstrip(".,")
                     if body.isascii() and body.isalpha() and not (body == w and w.islower()):
                         halves[w] = (body.lower(), w[len(body) :])
-            self.learn(fresh.difference(halves).union(*halves.values()).difference(self.known))
+            needed = fresh.difference(halves).union(*halves.values()).difference(self.known)
+            again = needed.intersection(self.old)
+            self.known.update((w, self.old[w]) for w in again)
+            self.learn(needed - again)
             for w, (body, tail) in halves.items():
                 self.known[w] = self.known[body] + self.known[tail]
             get = self.known.__getitem__
