@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import types
 from collections.abc import Iterator
@@ -15,6 +16,7 @@ from ..session import scratch, settle
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
+LONG_WORD = 64  # bytes; longer words are hashed one by one
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 BYTE_VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -96,6 +98,9 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     hashes = stretch(prefix(BYTE_VALUES[buffer]), start, end)
+    # sums of powers modulo 2^64 agree for some pairs of long words (letters in Thue-Morse order), so those get a hash of their bytes
+    for i in np.flatnonzero(end - start > LONG_WORD):
+        hashes[i] = int.from_bytes(hashlib.blake2b(buffer[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
     return hashes, np.searchsorted(start, ends_of_text)
 
 

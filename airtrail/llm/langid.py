@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import mix, pieces, smallest_by_hash, worker_store
 
-WORD = re.compile(r"[^\W\d_]+")
+# number signs (fractions, roman and circled numbers) are word signs to the pattern language, but no letters
+SIGNS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
+WORD = re.compile(rf"[^\W\d_{SIGNS}]+")
 BUCKETS = 1 << 18
 GRAMS = (1, 2, 3, 4, 5)
 STEPS = 256  # words walked one after another; stretches of so many words are walked side by side

@@ -524,3 +524,19 @@ def test_scores_of_odd_tables(spark, none):
     assert ppm.score(none).count() == 0
     alone = ppm.score(spark.createDataFrame([(i, "ab") for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id long, text string")).collect()
     assert {(r.train_tokens, r.n_known, round(r.score, 6), round(r.base_score, 6)) for r in alone} == {(0, 0, round(-3 * math.log10(256), 6), 0.0)}
+
+
+def test_long_words_of_equal_sums_are_told_apart(spark):
+    """Two words of 1,024 letters in Thue-Morse order, which every sum of powers modulo 2^64 takes for one."""
+    order = [bin(i).count("1") % 2 for i in range(1024)]
+    one, other = "".join("ab"[i] for i in order), "".join("ba"[i] for i in order)
+    hashes, _ = common.word_hashes([one.encode(), other.encode()])
+    assert hashes[0] != hashes[1]
+    rest = " ".join(f"w{i}" for i in range(60))
+    docs = frame(spark, [(1, f"{one} " * 60), (2, f"{other} " * 60), (3, f"{one} {one} x"), (4, f"{other} {other} x"), (5, rest)])
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == {i: i for i in range(1, 6)}
+    assert {r.doc_id: r.kept_text.split()[:1] for r in substrings.remove(docs).collect()}[2] == [other]
+
+
+def test_number_signs_are_no_letters():
+    assert langid.WORD.findall("½ ² Ⅷ ①Ⅸ x² a1b été 日本 一二") == ["x", "a", "b", "été", "日本", "一二"]
