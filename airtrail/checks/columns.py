@@ -8,7 +8,7 @@ from ..functions import net, spans, text, times, url
 from ..operators import cleaning, lookups
 from ..session import scratch
 from ..sources import tables
-from .tables import RULES, check
+from .tables import RULES, SUFFIXES, check
 
 MOBILE = url.MOBILE_WORDS.replace(r"\/", "/")
 
@@ -43,7 +43,7 @@ def _(t):
 
 @check("f_registered_domain", r"""SELECT page_id, regexp_extract(url, '([a-z0-9-]+\.(com|net|org))(/|$)', 1) AS domain FROM {pages}""")
 def _(t):
-    return t["pages"].select("page_id", url.registered_domain(F.col("url")).alias("domain"))
+    return t["pages"].select("page_id", url.registered_domain(F.col("url"), SUFFIXES).alias("domain"))
 
 
 @check("f_registered_domain_rules", r"""SELECT page_id, regexp_extract(url, '([a-z0-9-]+\.(com|net|org))(/|$)', 1) AS domain FROM {pages}""")
@@ -301,7 +301,7 @@ def _(t):
     FROM (SELECT page_id, regexp_extract(url, '://([^:/?&]+)', 1) AS host, regexp_extract(url, '([a-z0-9-]+\.(com|net|org))(/|$)', 1) AS reg FROM {pages}) h
     LEFT JOIN {countries} c ON c.suffix = regexp_extract(reg, '([^.]*)$', 1)""")
 def _(t):
-    parts = lookups.host_parts(t["pages"].select("page_id", "url"), "url").drop("url")
+    parts = lookups.host_parts(t["pages"].select("page_id", "url"), "url", SUFFIXES).drop("url")
     return lookups.add_country(parts, F.col("suffix"), t.lookup("countries"))
 
 

@@ -15,7 +15,7 @@ from ..streaming.flows import stream_merge_blocks
 from .columns import _CLASS, CLEAN, STRICT
 from .sessions import (ENTRY, GAP, HOUR, IP_SQL, LINE_SQL, LOCATED_SQL, MERGE_SQL, PLACE_SQL, TAG_SQL, WIFI_SQL, _aps, _dpi, _flows, _transfers, tcp_line,
                        attach_account_sql, attach_ip_sql, gap_sql)
-from .tables import RULES, check
+from .tables import RULES, SUFFIXES, check
 
 # ---- statistics
 
@@ -124,13 +124,13 @@ def _(t):
 
 
 def _predicted(t):
-    e = jobs.entries(t["http"])
+    e = jobs.entries(t["http"], SUFFIXES)
     rows = sessions.truth_trees(e, "agent", "t", 300_000_000).select(F.coalesce("agent", F.lit("-")).alias("agent"), F.col("tree"), "url", "seq")
     return rows.select("agent", "tree", F.concat_ws("|", "url", (F.col("seq") % 400).cast("string")).alias("entity"))
 
 
 def _truth(t):
-    e = jobs.entries(t["http"])
+    e = jobs.entries(t["http"], SUFFIXES)
     rows = sessions.truth_trees(e, "agent", "t", 900_000_000).select(F.coalesce("agent", F.lit("-")).alias("agent"), F.col("tree"), "url", "seq")
     return rows.select("agent", "tree", F.concat_ws("|", "url", (F.col("seq") % 400).cast("string")).alias("entity"))
 
@@ -154,7 +154,7 @@ def _(t):
 
 
 def _forest_rows(t):
-    return jobs.entries(t["http"]).select("source_ip", F.coalesce("agent", F.lit("-")).alias("agent"), "t", "seq", "url", "ref", "ctype", (F.floor(F.col("end") * 1_000_000)).alias("end_us"))
+    return jobs.entries(t["http"], SUFFIXES).select("source_ip", F.coalesce("agent", F.lit("-")).alias("agent"), "t", "seq", "url", "ref", "ctype", (F.floor(F.col("end") * 1_000_000)).alias("end_us"))
 
 
 # requests one by one: a request joins the newest tree that is not idle and holds its referrer, under the newest node there with that address
@@ -198,13 +198,13 @@ def _(t):
 
 @check("g_activity_forest")
 def _(t):
-    return jobs.activity(t["http"], timeout=900_000_000)
+    return jobs.activity(t["http"], SUFFIXES, timeout=900_000_000)
 
 
 @check("g_tree_measures", f"""WITH e AS ({ENTRY}), x AS ({gap_sql('SELECT * FROM e', 'agent', 't', 900_000_000)}) SELECT coalesce(agent, '-') AS agent, CAST(session_start AS STRING) AS tree, min(t) AS start,
     max(CAST(floor(e * 1e6) AS BIGINT)) AS "end", count(*) AS nodes, count(*) AS requests FROM x GROUP BY 1, 2""")
 def _(t):
-    e = jobs.entries(t["http"])
+    e = jobs.entries(t["http"], SUFFIXES)
     rows = sessions.truth_trees(e, "agent", "t", 900_000_000).select(
         F.coalesce("agent", F.lit("-")).alias("agent"), F.col("tree").cast("string").alias("tree"), "t", F.lit(False).alias("dummy"), F.floor(F.col("end") * 1_000_000).alias("end_us"))
     return forest.tree_measures(rows, ["agent"], "end_us")
@@ -212,7 +212,7 @@ def _(t):
 
 @check("g_tree_nodes", f"WITH e AS ({ENTRY}), x AS ({gap_sql('SELECT * FROM e', 'agent', 't', 900_000_000)}) SELECT CAST(session_start AS STRING) AS tree, seq, t FROM x")
 def _(t):
-    rows = sessions.truth_trees(jobs.entries(t["http"]), "agent", "t", 900_000_000).select(
+    rows = sessions.truth_trees(jobs.entries(t["http"], SUFFIXES), "agent", "t", 900_000_000).select(
         F.col("tree").cast("string").alias("tree"), "seq", "t", F.lit(False).alias("dummy"), F.col("seq").alias("node"))
     return forest.tree_nodes(rows).select("tree", "seq", "t")
 
@@ -510,7 +510,7 @@ CONTEXT_SQL = f"{_CLASS}, {LOCATED_SQL}, {_STATS}"
 
 
 def _context(t):
-    return jobs.http_context(t["http"], t["moves"], RULES, t.lookup("classes"), t.lookup("class_names"), tol=HOUR, gap=HOUR)
+    return jobs.http_context(t["http"], t["moves"], RULES, t.lookup("classes"), t.lookup("class_names"), t.lookup("suffixes"), tol=HOUR, gap=HOUR)
 
 
 @check("job_http_context", f"WITH {CONTEXT_SQL} SELECT * FROM ctx")
@@ -543,7 +543,7 @@ SESSION_SQL = f"""{_CLASS}, st AS ({STRICT}), ex AS (SELECT st.*, svc2.sp, svc2.
 
 @check("job_http_sessions", f"WITH {SESSION_SQL} SELECT ip, sstime, setime, total_requests, total_bytes, sp, scat, \"domain\", bytes FROM tot JOIN tp USING (ip, sstime) WHERE rn = 1 AND setime > 0 AND setime >= sstime")
 def _(t):
-    return jobs.http_sessions(t["http"], RULES, t.lookup("classes"), t.lookup("class_names"), GAP)
+    return jobs.http_sessions(t["http"], RULES, t.lookup("classes"), t.lookup("class_names"), t.lookup("suffixes"), GAP)
 
 
 _JOB_WIFI = f"""WITH {WIFI_SQL.replace('done AS', 'wdone AS')}, {IP_SQL.replace('p AS', 'ip_p AS').replace('FROM p ', 'FROM ip_p ').replace('r AS', 'ip_r AS', 1).replace('FROM r ', 'FROM ip_r ').replace('m AS (', 'ip_m AS (').replace('FROM m)', 'FROM ip_m)').replace('i AS (', 'ip_i AS (').replace('FROM i ', 'FROM ip_i ').replace('g AS (', 'ip_g AS (').replace('FROM g)', 'FROM ip_g)').replace('done AS', 'ipdone AS')},
@@ -574,7 +574,7 @@ def _(t):
 @check("job_activity_scores")
 def _(t):
     clicks = t["ev"].where("event_type = 'click'").select(F.concat(F.lit("10.184."), (F.col("user_id") % 200).cast("string"), F.lit("."), (F.col("k") % 3).cast("string")).alias("source_ip"), F.col("t_us").alias("click"))
-    return jobs.evaluate_activity(t["http"], clicks, ["source_ip"], burst=300_000_000, within=60_000_000)
+    return jobs.evaluate_activity(t["http"], clicks, ["source_ip"], SUFFIXES, burst=300_000_000, within=60_000_000)
 
 
 @check("k_flow_blocks", f"""WITH {_TAGGED} SELECT CASE WHEN side = 'tcp' THEN 'TCP: ' || device || ' ' || place || ' ' || protocol || ' ' || line ELSE 'HTTP: ' || line END AS value FROM tagged

@@ -9,7 +9,7 @@ from ..operators import cleaning, matching, sessions
 from ..plans import jobs
 from ..session import settle
 from .columns import CLEAN, SOCKET
-from .tables import check
+from .tables import SUFFIXES, check
 
 GAP = 6 * 3_600_000  # the given events are hours apart
 HOUR = 3_600_000
@@ -34,12 +34,12 @@ ENTRY = r"""SELECT seq, source_ip, request_user_agent AS agent, CAST(floor(reque
 @check("w_ua_sessions", "SELECT seq, activity, has_ua, session_start FROM (" + gap_sql(
     f"SELECT *, agent IS NOT NULL AS has_ua, coalesce(agent, dom) AS activity FROM ({ENTRY}) e", "has_ua, activity", "t", 900_000_000) + ") x")
 def _(t):
-    return sessions.ua_sessions(jobs.entries(t["http"]), "agent", "domain", "t", 900_000_000).select("seq", "activity", "has_ua", "session_start")
+    return sessions.ua_sessions(jobs.entries(t["http"], SUFFIXES), "agent", "domain", "t", 900_000_000).select("seq", "activity", "has_ua", "session_start")
 
 
 @check("w_truth_trees", "SELECT seq, agent, session_start AS tree FROM (" + gap_sql(ENTRY, "agent", "t", 300_000_000) + ") x")
 def _(t):
-    return sessions.truth_trees(jobs.entries(t["http"]), "agent", "t", 300_000_000).select("seq", "agent", "tree")
+    return sessions.truth_trees(jobs.entries(t["http"], SUFFIXES), "agent", "t", 300_000_000).select("seq", "agent", "tree")
 
 
 @check("w_screen_clicks", "SELECT kind AS trace, session_start AS click, count(*) AS events FROM (" + gap_sql(
@@ -303,14 +303,14 @@ LOCATED_SQL = f"""c AS ({CLEAN}), lk AS (SELECT c.*, m.ap AS location, m.account
 @check("j_locate_requests", f"WITH {LOCATED_SQL} SELECT seq, ip, stime, host, location, account FROM located")
 def _(t):
     rows = cleaning.clean_http(t["http"], keep=("seq",))
-    return matching.locate_requests(rows, t["moves"], HOUR).select("seq", "ip", "stime", "host", "location", "account")
+    return matching.locate_requests(rows, t["moves"], SUFFIXES, HOUR).select("seq", "ip", "stime", "host", "location", "account")
 
 
 @check("j_locate_requests_span_days", f"""WITH c AS ({CLEAN}) SELECT seq, location FROM (SELECT c.seq, m.ap AS location, row_number() OVER (PARTITION BY c.seq ORDER BY CASE WHEN c.stime BETWEEN m.s_ms AND m.e_ms THEN 0 ELSE 1 END,
     m.s_ms, m.e_ms, m.mac, m.ap) AS rn FROM c JOIN {{moves}} m ON m.ip = c.ip AND c.stime // 86400000 BETWEEN m.s_ms // 86400000 AND m.e_ms // 86400000 AND c.stime BETWEEN m.s_ms - {HOUR} AND m.e_ms + {HOUR}) x WHERE rn = 1""")
 def _(t):
     rows = cleaning.clean_http(t["http"], keep=("seq",))
-    return matching.locate_requests(rows, t["moves"], HOUR, span_days=True).select("seq", "location")
+    return matching.locate_requests(rows, t["moves"], SUFFIXES, HOUR, span_days=True).select("seq", "location")
 
 
 @check("j_click_match", f"""WITH e AS ({ENTRY}), tree AS (SELECT seq, agent, t, session_start AS tree FROM ({gap_sql('SELECT * FROM e', 'agent', 't', 300_000_000)}) x),
@@ -318,7 +318,7 @@ def _(t):
     live AS (SELECT DISTINCT agent, tree FROM tree r WHERE EXISTS (SELECT 1 FROM clicks c WHERE r.t - c.t_us >= 0 AND r.t - c.t_us < 60000000))
     SELECT seq FROM tree r WHERE EXISTS (SELECT 1 FROM live l WHERE l.agent IS NOT DISTINCT FROM r.agent AND l.tree = r.tree)""")
 def _(t):
-    trees = sessions.truth_trees(jobs.entries(t["http"]), "agent", "t", 300_000_000).withColumn("trace", F.lit(0))
+    trees = sessions.truth_trees(jobs.entries(t["http"], SUFFIXES), "agent", "t", 300_000_000).withColumn("trace", F.lit(0))
     clicks = t["ev"].where("event_type = 'click'").select(F.lit(0).alias("trace"), F.col("t_us").alias("click"))
     return matching.click_match(trees, clicks, ["trace"], ["agent", "tree"], "t", "click", 60_000_000).select("seq")
 
@@ -340,5 +340,5 @@ def _(t):
     SELECT seq, CASE WHEN pb IS NULL THEN NULL WHEN hd <= 0.5 AND td / md < 0.1 AND dom IS NOT DISTINCT FROM pdom THEN 1 WHEN ov > 0 THEN 2 WHEN ov <= 0 AND abs(ov) < 1 THEN 3
         WHEN ov <= 0 AND abs(ov) < 10 THEN 4 ELSE 9 END AS pair_class FROM m""")
 def _(t):
-    marked = sessions.ua_sessions(jobs.entries(t["http"]), "agent", "domain", "t", 900_000_000)
+    marked = sessions.ua_sessions(jobs.entries(t["http"], SUFFIXES), "agent", "domain", "t", 900_000_000)
     return sessions.classify_against_previous(marked, ["has_ua", "activity", "session_start"], ["t", "seq"]).select("seq", "pair_class")

@@ -7,8 +7,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.url import Suffixes
 from ..session import configure
 
+# suffixes of the given hosts, and a few others
+SUFFIXES = Suffixes(("com", "org", "net", "cn", "com.cn", "uk", "co.uk"))
+
 RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
        "pages", "benchmark", "labels", "conversations")
 
@@ -117,6 +121,7 @@ class Tables:
         """One of the small lookups."""
         rows, ddl = {"classes": (CLASSES, "category STRING, cls1 INT, cls2 INT"), "class_names": (CLASS_NAMES, "cls1 INT, name STRING"),
                      "buildings": (BUILDINGS, "code STRING, name STRING, type STRING, user STRING, lon DOUBLE, lat DOUBLE"),
+                     "suffixes": ([(s, "plain") for s in SUFFIXES.plain], "suffix STRING, kind STRING"),
                      "countries": (COUNTRIES, "suffix STRING, country STRING"), "protocols": (PROTOCOLS, "id INT, name STRING, category STRING")}[name]
         return self.spark.createDataFrame(rows, ddl)
 

@@ -23,9 +23,6 @@ class Suffixes(NamedTuple):
     exceptions: tuple[str, ...] = ()
 
 
-# A few suffixes for work without a list; jobs take the user's full list, see ``read_lookup(kind="suffixes")``.
-SOME_SUFFIXES = Suffixes(("com", "org", "net", "edu", "gov", "info", "cn", "com.cn", "edu.cn", "jp", "co.jp", "uk", "co.uk", "ac.uk", "de", "fr", "es", "it"))
-
 
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once per row, however often the body uses it."""
@@ -86,10 +83,11 @@ def url_params(url: Column) -> Column:
     return F.when(url.isNotNull(), built)
 
 
-def registered_domain(url: Column, suffixes: Suffixes = SOME_SUFFIXES) -> Column:
+def registered_domain(url: Column, suffixes: Suffixes) -> Column:
     """Longest known public suffix plus one label; the host itself when there is none.
 
-    The rules become hash sets in the expression, so the cost does not grow with their number.
+    The rules (``read_lookup(kind="suffixes")``) become hash sets in the expression, so the cost does not grow with their number; for a table of rules
+    see ``operators.lookups.add_domain``.
     """
     plain, wildcards, exceptions = suffixes
     host = url_host(url)

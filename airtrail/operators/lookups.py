@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import file_suffix
-from ..functions.url import SOME_SUFFIXES, Suffixes, registered_domain, url_host
+from ..functions.url import Suffixes, registered_domain, url_host
 
 
 def _plain_text(pattern: str) -> str | None:
@@ -116,7 +116,7 @@ def add_country(df: DataFrame, suffix: Column, countries: DataFrame) -> DataFram
         *df.columns, F.coalesce("_country", F.lit("unknown")).alias("country"))
 
 
-def host_parts(df: DataFrame, url: str, suffixes: Suffixes = SOME_SUFFIXES) -> DataFrame:
+def host_parts(df: DataFrame, url: str, suffixes: Suffixes) -> DataFrame:
     """Add subdomain, domain and suffix of an address."""
     host, reg = url_host(F.col(url)), registered_domain(F.col(url), suffixes)
     dots = reg.contains(".")
@@ -169,3 +169,10 @@ def add_domain(df: DataFrame, url: str, rules: DataFrame, into: str = "domain")
     size = F.least(F.coalesce("_but", "_deep") + 1, F.size(parts))
     named = found.select("_host", F.when(size.isNotNull(), F.array_join(F.slice(parts, -size, size), ".")).alias("_domain"))
     return df.withColumn("_host", host).join(named, "_host", "left").select(*df.columns, F.coalesce("_domain", "_host").alias(into))
+
+
+def with_domain(df: DataFrame, url: str, suffixes: Suffixes | DataFrame, into: str) -> DataFrame:
+    """Add the registered domain by a list of suffixes (an expression) or a table of rules (a join)."""
+    if isinstance(suffixes, DataFrame):
+        return add_domain(df, url, suffixes, into)
+    return df.withColumn(into, registered_domain(F.col(url), suffixes))

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.net import local_side_ip
 from ..functions.times import DAY_MS, day_of_ms
-from ..functions.url import SOME_SUFFIXES, Suffixes, registered_domain
+from ..functions.url import Suffixes
 from ..session import settle
+from .lookups import with_domain
 from .nearest import first_cover, first_within, last_around, last_cover
 from .ordered import null_safe, with_running
 
@@ -74,8 +75,8 @@ def attach_account(sessions: DataFrame, auths: DataFrame) -> DataFrame:
     return fits.unionByName(any_ip).unionByName(alone).distinct()
 
 
-def locate_requests(http: DataFrame, sessions: DataFrame, tol: int = 300_000, span_days: bool = False,
-                    chunk: int = HOUR_MS, suffixes: Suffixes = SOME_SUFFIXES) -> DataFrame:
+def locate_requests(http: DataFrame, sessions: DataFrame, suffixes: Suffixes | DataFrame, tol: int = 300_000, span_days: bool = False,
+                    chunk: int = HOUR_MS) -> DataFrame:
     """Requests (ip, stime, host, ...) with location and account of the session of the same address and UTC day of start
     that contains the start: the earliest-started one, exactly or else within ``tol``. Unmatched requests are left
     out. The host becomes its registered domain. ``span_days`` lets a session count on every day it touches on which
@@ -93,8 +94,8 @@ def locate_requests(http: DataFrame, sessions: DataFrame, tol: int = 300_000, sp
     rows = http.withColumn("_day", day_of_ms(F.col("stime")))
     hit = first_cover(rows, spans, ["ip", "_day"], "stime", "s_ms", "e_ms", ["e_ms", "mac", "location"], ["location", "account"], tol, chunk,
                       bounds=(F.col("_day") * DAY_MS, (F.col("_day") + 1) * DAY_MS - 1))
-    cols = [F.col(c) if c != "host" else registered_domain(F.col("host"), suffixes).alias("host") for c in http.columns]
-    return hit.where(F.col("hit").isNotNull()).select(*cols, "hit.location", "hit.account")
+    cols = [F.col(c) if c != "host" else F.col("_domain").alias("host") for c in http.columns]
+    return with_domain(hit.where(F.col("hit").isNotNull()), "host", suffixes, "_domain").select(*cols, "hit.location", "hit.account")
 
 
 def match_flows(flows: DataFrame, connections: DataFrame, tol: int = 180_000_000) -> DataFrame:

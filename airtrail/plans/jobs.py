@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import schemas
 from ..functions.net import has_socket, undirected_socket
 from ..functions.spans import entry_duration, request_end, response_end
-from ..functions.url import SOME_SUFFIXES, Suffixes, entry_url, registered_domain, strip_proto
+from ..functions.url import Suffixes, entry_url, strip_proto
 from ..session import settle
 from ..operators import cleaning, forest, lookups, matching, sessions, stats
 
@@ -24,12 +24,12 @@ def wifi_sessions(events: DataFrame, buildings: DataFrame | None = None, merge_g
     return matching.attach_account(placed, auths)
 
 
-def http_context(http: DataFrame, movement: DataFrame, rules, classes: DataFrame, names: DataFrame, seq: str = "seq",
-                 tol: int = 300_000, gap: int = 300_000, suffixes: Suffixes = SOME_SUFFIXES) -> DataFrame:
+def http_context(http: DataFrame, movement: DataFrame, rules, classes: DataFrame, names: DataFrame, suffixes: Suffixes | DataFrame, seq: str = "seq",
+                 tol: int = 300_000, gap: int = 300_000) -> DataFrame:
     """Request log and movement sessions to context sessions with their services."""
     clean = cleaning.clean_http(http, keep=(seq,)).withColumnRenamed(seq, "seq")
     known = cleaning.classified(lookups.add_service(settle(clean, "clean-http"), "host", rules, classes, names).drop("scat2"))
-    placed = settle(matching.locate_requests(known, movement, tol, suffixes=suffixes), "placed-http")
+    placed = settle(matching.locate_requests(known, movement, suffixes, tol), "placed-http")
     return stats.context_session_stats(sessions.context_sessions(placed, gap))
 
 
@@ -38,10 +38,10 @@ def publish_rows(context: DataFrame, profiles: DataFrame) -> DataFrame:
     return cleaning.published_columns(lookups.join_profiles(stats.flat_services(context), profiles))
 
 
-def http_sessions(http: DataFrame, rules, classes: DataFrame, names: DataFrame, gap: int = 300_000, suffixes: Suffixes = SOME_SUFFIXES) -> DataFrame:
+def http_sessions(http: DataFrame, rules, classes: DataFrame, names: DataFrame, suffixes: Suffixes | DataFrame, gap: int = 300_000) -> DataFrame:
     """Request log to sessions per address with their leading service."""
     clean = settle(cleaning.clean_http_strict(http), "clean-http")
-    full = lookups.add_service(clean, "host", rules, classes, names).withColumn("domain", registered_domain(F.col("host"), suffixes))
+    full = lookups.with_domain(lookups.add_service(clean, "host", rules, classes, names), "host", suffixes, "domain")
     return cleaning.sane_sessions(stats.http_session_stats(full, gap))
 
 
@@ -99,40 +99,40 @@ def flow_merge(tcp: DataFrame, http: DataFrame, dpi: DataFrame, ip_spans: DataFr
     return tagged.withColumns({c: F.coalesce(c, F.lit(matching.MISSING)) for c in ("device", "place")})
 
 
-def entries(http: DataFrame, seq: str = "seq", suffixes: Suffixes = SOME_SUFFIXES) -> DataFrame:
+def entries(http: DataFrame, suffixes: Suffixes | DataFrame, seq: str = "seq") -> DataFrame:
     """Requests as entries of the activity model: times in seconds, address and referrer without protocol."""
     begin = F.col("request_ts")
     stop = response_end(F.col("response_ts"), F.col("response_time_end"))
-    return http.where(begin.isNotNull()).select(
+    return lookups.with_domain(http.where(begin.isNotNull()), "request_host", suffixes, "_domain").select(
         F.col(seq).alias("seq"), F.col("source_ip"), F.col("request_user_agent").alias("agent"),
         F.floor(begin * 1_000_000).alias("t"), begin.alias("start"), stop.alias("end"),
         entry_duration(begin, request_end(begin, F.col("request_time")), stop).alias("duration"),
-        registered_domain(F.col("request_host"), suffixes).alias("domain"),
+        F.col("_domain").alias("domain"),
         strip_proto(entry_url(F.col("request_host"), F.col("request_url"))).alias("url"),
         strip_proto(F.col("request_referer")).alias("ref"), F.col("response_content_type").alias("ctype"),
     )
 
 
-def activity(http: DataFrame, seq: str = "seq", timeout: int = 60_000_000, cut_gap: float = 3.0, extra: list[str] = ["source_ip"],
-             suffixes: Suffixes = SOME_SUFFIXES) -> DataFrame:
+def activity(http: DataFrame, suffixes: Suffixes | DataFrame, seq: str = "seq", timeout: int = 60_000_000, cut_gap: float = 3.0,
+             extra: list[str] = ["source_ip"]) -> DataFrame:
     """Request log to activity trees per device, user agent (or domain) and session.
 
     A session is followed row by row with its trees in memory, so the key must be one device: a user agent alone is
     shared by many.
     """
-    marked = sessions.ua_sessions(settle(entries(http, seq, suffixes), "entries"), "agent", "domain", "t", timeout, extra)
+    marked = sessions.ua_sessions(settle(entries(http, suffixes, seq), "entries"), "agent", "domain", "t", timeout, extra)
     return forest.activity_forest(marked, ["has_ua", "activity", *extra, "session_start"], cut_gap)
 
 
-def evaluate_activity(http: DataFrame, clicks: DataFrame, keys: list[str], seq: str = "seq", timeout: int = 60_000_000, cut_gap: float = 8.0,
-                      burst: int = 3_000_000, within: int = 2_000_000, extra: list[str] = ["source_ip"], suffixes: Suffixes = SOME_SUFFIXES) -> DataFrame:
+def evaluate_activity(http: DataFrame, clicks: DataFrame, keys: list[str], suffixes: Suffixes | DataFrame, seq: str = "seq", timeout: int = 60_000_000, cut_gap: float = 8.0,
+                      burst: int = 3_000_000, within: int = 2_000_000, extra: list[str] = ["source_ip"]) -> DataFrame:
     """How well activity trees find the requests that belong to clicks: one row with agents, score, agents with a score
     above 0 and their mean score.
 
     Truth are the bursts of a user agent in which a request follows a click by less than ``within``; ``clicks`` has ``keys``
     (columns of ``entries``) and click (microseconds). Requests are told apart by begin, end and address.
     """
-    rows = entries(http, seq, suffixes)
+    rows = entries(http, suffixes, seq)
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("start", "end", "url")]
     rows = settle(rows.withColumn("entity", F.concat_ws("|", *parts)).withColumn("node", F.concat(F.lit("n"), F.col("seq").cast("string"))), "entries")
     marked = sessions.ua_sessions(rows, "agent", "domain", "t", timeout, extra)

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from airtrail.checks.tables import SUFFIXES
 from airtrail.functions.spans import classify_pair
 from airtrail.operators import forest, stats
 
@@ -123,5 +124,5 @@ def test_activity_scores(spark):
             ask(len(rows), base + 0.3 + i / 10, f"{page}/{i}.png", f"http://site.example{page}")
     http = spark.createDataFrame(rows, schemas.HTTP + ", seq LONG")
     clicks = spark.createDataFrame([("10.0.0.1", 99_500_000), ("10.0.0.1", 199_000_000)], "source_ip STRING, click LONG")
-    got = jobs.evaluate_activity(http, clicks, ["source_ip"]).first()
+    got = jobs.evaluate_activity(http, clicks, ["source_ip"], SUFFIXES).first()
     assert (got.agents, got.score, got.agents_above_0, got.score_above_0) == (1, 1.0, 1, 1.0)

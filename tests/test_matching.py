@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from airtrail.checks.tables import SUFFIXES
 from airtrail.functions.times import DAY_MS
 from airtrail.operators import lookups, matching
 
@@ -29,7 +30,7 @@ def test_attach_account_drops_mismatch(spark):
 def test_locate_requests_earliest_session(spark):
     http = spark.createDataFrame([(1, "i", 15 * MIN, "www.a.com"), (2, "i", 34 * MIN, "b.com"), (3, "i", 60 * MIN, "c.com")], "seq LONG, ip STRING, stime LONG, host STRING")
     moves = spark.createDataFrame([("m", 10 * MIN, 20 * MIN, "A", "i", "u"), ("n", 12 * MIN, 30 * MIN, "B", "i", "v")], MOVE + ", ip STRING, account STRING")
-    got = sorted((r.seq, r.location, r.host) for r in matching.locate_requests(http, moves).collect())
+    got = sorted((r.seq, r.location, r.host) for r in matching.locate_requests(http, moves, SUFFIXES).collect())
     assert got == [(1, "A", "a.com"), (2, "B", "b.com")]
 
 

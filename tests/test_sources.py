@@ -5,6 +5,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
+from airtrail.checks.tables import SUFFIXES
 from airtrail.functions import net, text, times, url
 from airtrail.sources import catalog, lines, sinks, tables, traffic, wifi
 
@@ -89,8 +90,8 @@ def test_month_sets(spark, tmp_path):
 def test_columns(spark):
     row = spark.createDataFrame([("http://www.a.co.uk:80/x?b=1&b=2&c=3", "1.2.3.256", "iPhone android 4")], "u STRING, ip STRING, ua STRING")
     got = row.select(
-        url.url_host(F.col("u")).alias("host"), url.registered_domain(F.col("u")).alias("dom"), url.url_params(F.col("u")).alias("par"),
-        url.strip_url(F.col("u")).alias("bare"), url.mobile_type(F.col("ua")).alias("dev"), url.registered_domain(F.lit("co.uk")).alias("whole"),
+        url.url_host(F.col("u")).alias("host"), url.registered_domain(F.col("u"), SUFFIXES).alias("dom"), url.url_params(F.col("u")).alias("par"),
+        url.strip_url(F.col("u")).alias("bare"), url.mobile_type(F.col("ua")).alias("dev"), url.registered_domain(F.lit("co.uk"), SUFFIXES).alias("whole"),
         url.registered_domain(F.lit("a.b.ck"), url.Suffixes(("com",), ("ck",), ("www.ck",))).alias("wild"), url.has_proto(F.lit(None).cast("string")).alias("none"),
         net.direction(F.lit("10.0.0.1"), F.lit("20.0.0.1"), ["10.0.0.0/8"], ["20.0.0.0/8"]).alias("side"), text.crc32_text(F.lit("abc")).alias("crc"),
         text.f_measure(F.lit(0.5), F.lit(0.5)).alias("f"), times.syslog_ms(F.lit("Jan  1 00:00:00")).alias("y13"), net.long_to_ip(F.lit(16909060)).alias("ip"),

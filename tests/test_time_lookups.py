@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from airtrail.checks.tables import SUFFIXES
 from airtrail.operators.matching import cover_all
 from airtrail.operators.nearest import first_cover, first_within
 from airtrail.operators.ordered import mark_gap_sessions, with_islands, with_previous, with_running
@@ -106,4 +107,4 @@ def test_broken_and_very_long_spans(spark):
     assert got == {1: "broken", 2: "broken", 3: "long"}
     sessions = spark.createDataFrame([("m", 0, 10 * year, "A", "i", "acc")], "mac STRING, s_ms LONG, e_ms LONG, ap STRING, ip STRING, account STRING")
     asks = spark.createDataFrame([(1, "i", 3 * year + 5, "h.example"), (2, "i", 3 * year + 86_400_000, "h.example")], "seq LONG, ip STRING, stime LONG, host STRING")
-    assert {r.seq: r.location for r in matching.locate_requests(asks, sessions, span_days=True).collect()} == {1: "A", 2: "A"}
+    assert {r.seq: r.location for r in matching.locate_requests(asks, sessions, SUFFIXES, span_days=True).collect()} == {1: "A", 2: "A"}
