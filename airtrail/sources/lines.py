@@ -13,7 +13,8 @@ def read_lines(spark: SparkSession, path, name_regex: str | None = None, match:
     """Lines of text files, compressed or not by suffix, as ``value``.
 
     ``name_regex`` walks folders and keeps files by name, ignoring case: from the start of the name, or anywhere
-    with ``match=False``. ``tolerant_gzip`` keeps what a gzip file with a wrong checksum or a cut end still holds.
+    with ``match=False``. ``tolerant_gzip`` keeps what gzip files with wrong checksums, cut ends or damaged members still hold; where the store
+    allows it a file is inflated as a stream, whatever its size.
     """
     reader = spark.read.format("binaryFile" if tolerant_gzip else "text")
     if name_regex is not None:
@@ -23,48 +24,47 @@ def read_lines(spark: SparkSession, path, name_regex: str | None = None, match:
         anchor = "^" if match else ""
         files = files.where(F.col("_metadata.file_name").rlike(f"(?i){anchor}(?:{name_regex})"))
     if tolerant_gzip:
+        if _scheme(spark, path) in STREAMED:
+            return files.select("path").repartition(max(1, min(files.count(), 10_000)), "path").mapInPandas(_inflate_path, "value STRING")
         return files.select("content").mapInPandas(_inflate, "value STRING")
     return files.select("value")
 
 
+STREAMED = ("file", "hdfs", "s3", "gs")  # stores that a Python worker opens by itself; of others a task reads a file as one value
+
+
+def _scheme(spark: SparkSession, path) -> str:
+    file = spark._jvm.org.apache.hadoop.fs.Path(path if isinstance(path, str) else path[0])
+    return file.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme()
+
+
+def _inflate_path(batches):
+    """Unpack files read from their store piece by piece."""
+    import pandas as pd
+    from pyarrow import fs
+
+    from . import members
+
+    for batch in batches:
+        for path in batch["path"]:
+            store, name = fs.FileSystem.from_uri(path)
+            with store.open_input_stream(name, compression=None) as file:
+                for some in members.lines(members.inflate(file.read)):
+                    yield pd.DataFrame({"value": some})
+
+
 def _inflate(batches):
-    """Unpack gzip members piece by piece; the checksum at the end is never looked at."""
-    import zlib
+    """Unpack whole files."""
+    from io import BytesIO
 
     import pandas as pd
 
-    step = 1 << 20
+    from . import members
+
     for batch in batches:
         for content in batch["content"]:
-            rest, held = bytes(content), b""
-            while rest:
-                unpack, todo = zlib.decompressobj(-zlib.MAX_WBITS), _after_header(rest)
-                while todo and not unpack.eof:
-                    try:
-                        held += unpack.decompress(todo, step)
-                    except zlib.error:
-                        todo = b""
-                        break
-                    todo = unpack.unconsumed_tail
-                    *lines, held = held.split(b"\n")
-                    if lines:
-                        yield pd.DataFrame({"value": [x.rstrip(b"\r").decode("utf-8", "replace") for x in lines]})
-                rest = unpack.unused_data[8:].lstrip(b"\0") if unpack.eof else b""
-            if held:
-                yield pd.DataFrame({"value": [held.decode("utf-8", "replace")]})
-
-
-def _after_header(data: bytes) -> bytes:
-    """Compressed body behind a gzip member header."""
-    if data[:2] != b"\x1f\x8b" or len(data) < 10:
-        return b""
-    flags, at = data[3], 10
-    if flags & 4:
-        at += 2 + int.from_bytes(data[at:at + 2], "little")
-    for bit in (8, 16):
-        if flags & bit:
-            at = data.index(b"\0", at) + 1
-    return data[at + 2 * bool(flags & 2):]
+            for some in members.lines(members.inflate(BytesIO(content).read)):
+                yield pd.DataFrame({"value": some})
 
 
 def ordered_lines(spark: SparkSession, path) -> DataFrame:
