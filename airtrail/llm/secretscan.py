@@ -1,4 +1,4 @@
-"""Secrets in documents: random strings found by pattern, false positives removed by a random forest. DataFrame functions only."""
+"""Secrets in documents: random strings and assigned values found by pattern, false positives removed by a random forest. DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from ..session import settle
 from .common import smallest_by_hash
 
-# a run of at least 16 signs of keys and encodings with a digit in it
-FOUND = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+"
+# a private key block; whatever is assigned to a password, secret, token or key; a run of at least 16 signs of keys and encodings with a digit in it
+BLOCK = r"-----BEGIN [A-Z ]*?PRIVATE KEY-----[^-]*+-----END [A-Z ]*?PRIVATE KEY-----"
+ASSIGNED = r"(?<=[:=\"' ])(?<=[:=] ?[\"']?)(?<=(?i:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']? ?[:=] ?[\"']?)[^\s\"'`,;<>(){}\[\]]++"
+RANDOM = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+"
+FOUND = f"{BLOCK}|{ASSIGNED}|{RANDOM}"
 MASK = "[SECRET]"
 LEFT, RIGHT = 48, 24  # characters of the neighbourhood
 WORDS = (
@@ -23,7 +26,7 @@ SECRET_WORDS = r"token|secret|passw|passwd|pwd|api.?key|access.?key|private.?key
 OTHER_WORDS = r"commit|sha-?[0-9]|md5|hash|digest|etag|integrity|checksum|uuid|guid|order|invoice|card|phone|isbn|serial|revision|version|build"
 FEATURES = (
     "size", "digits", "capitals", "signs", "distinct", "turns", "vowels", "hexadecimal", "covered", "slashes", "at_path", "address",
-    "secret_word", "other_word", "assigned", "quoted",
+    "secret_word", "other_word", "assigned", "quoted", "block",
 )
 
 
@@ -54,15 +57,16 @@ def features(found: DataFrame) -> DataFrame:
     def yes(column: Column) -> Column:
         return column.cast("double")
 
-    turns = r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[+/_-])(?=[^+/_-])"
+    turns = r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])"
     columns = {
-        "size": F.log2(size), "digits": share("[0-9]"), "capitals": share("[A-Z]"), "signs": share("[+/_-]"),
+        "size": F.log2(size), "digits": share("[0-9]"), "capitals": share("[A-Z]"), "signs": share("[^A-Za-z0-9]"),
         "distinct": F.size(F.array_distinct(F.split("value", ""))) / size, "turns": share(turns), "vowels": share("[aeiouAEIOU]"),
         "hexadecimal": yes(F.col("value").rlike("^([0-9a-f]+|[0-9A-F]+)$")),
         "covered": 1 - F.length(F.regexp_replace(low, "|".join(sorted(WORDS, key=lambda w: (-len(w), w))), "")) / size,
         "slashes": share("/"), "at_path": yes(F.col("before").rlike(r"[./@\\]$") | F.col("after").rlike(r"^[.@\\][A-Za-z]")),
         "address": yes(before.rlike(r"(://|www\.)\S*$")), "secret_word": yes(before.rlike(SECRET_WORDS)), "other_word": yes(before.rlike(OTHER_WORDS)),
         "assigned": yes(before.rlike(r"([=:]|=>|bearer)\s*[\"']?$")), "quoted": yes(F.col("before").rlike("[\"']$") & F.col("after").rlike("^=?[\"']")),
+        "block": yes(F.col("value").startswith("-----BEGIN")),
     }
     return found.withColumns({name: F.coalesce(columns[name], F.lit(0.0)) for name in FEATURES})
 
@@ -78,10 +82,16 @@ def findings(docs: DataFrame, limit: int = 300) -> DataFrame:
     digits = F.translate(F.substring(long, 1, 16), "abcdef", "123456")
     uuid = F.concat_ws("-", *[F.substring(long, a, b) for a, b in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     name = F.element_at(F.array(*[F.lit(w) for w in WORDS]), (F.crc32(seed.cast("binary")) % len(WORDS) + 1).cast("int"))
+    # a word of the document itself: the first of six letters or more, else a shorter or a listed one
+    own = F.coalesce(*[F.nullif(F.regexp_extract("text", rf"\b([a-z]{{{n},{n + 6}}})\b", 1), F.lit("")) for n in (6, 4, 3)], name)
     value = {
         "sha1": F.sha1(seed), "SHA1": F.upper(F.sha1(seed)), "sha256": long, "md5": F.md5(seed), "base64": base, "web64": web,
         "account": F.concat(F.lit("AK"), F.upper(F.translate(F.substring(F.md5(seed), 1, 18), "0189", "QRST")), F.lit("7")), "digits": digits, "uuid": uuid,
         "words": F.concat_ws("_", F.lit("your"), name, F.lit("example"), F.substring(digits, 1, 4)),
+        "short": F.concat(F.initcap(F.substring(F.md5(seed), 2, 3)), F.substring(base, 1, 5), F.substring(digits, 1, 2)),
+        "signed": F.concat(F.initcap(name), F.lit("$"), F.substring(F.md5(seed), 1, 4), F.lit("!"), F.substring(digits, 1, 1)),
+        "letters": F.translate(F.substring(long, 1, 24), "0123456789", "ghjkmpqrst"), "few_letters": F.translate(F.substring(long, 30, 6), "0123456789", "aelstnriou"), "word": name, "plain": own, "joined": F.concat(own, F.lit("_"), name), "two_words": F.concat(name, F.lit("-"), F.lower(name)),
+        "pem": F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), base, base, F.lit("\n"), base, F.lit("\n-----END RSA PRIVATE KEY-----")),
         "path": F.concat_ws("/", F.lit("images"), name, F.lit("2019/05"), digits),
     }
     random = ("sha1", "SHA1", "sha256", "md5", "base64", "web64", "account")
@@ -92,7 +102,10 @@ def findings(docs: DataFrame, limit: int = 300) -> DataFrame:
         "card {} or": ("digits",), "{}": ("digits", "path", "words", "uuid"), 'token = "{}"': ("words",), "password={}": ("words",), "api_key: '{}'": ("words",),
         'src="/{}.jpg"': ("path",), "version {}": ("digits", "sha1"), "hash {}": ("sha1", "md5", "sha256"),
     }
-    kinds = [(form, kind, 1.0) for form in yes for kind in random] + [(form, kind, 0.0) for form, of in no.items() for kind in of]
+    told = ("password={}", "passwd: {}", 'secret="{}",', "api_key: '{}'", 'token = "{}"')
+    kinds = [(form, kind, 1.0) for form in yes for kind in random] + [(form, kind, 1.0) for form in told for kind in ("short", "signed", "letters")] + [("{}", "pem", 1.0), ("key {}", "pem", 1.0)]
+    kinds += [(form, kind, 0.0) for form in told for kind in ("word", "two_words", "plain", "joined", "few_letters")]
+    kinds += [(form, kind, 0.0) for form, of in no.items() for kind in of]
     forms = docs.sparkSession.createDataFrame(kinds, "form string, kind string, label double")
     given = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in value.items()])
     spread = picked.select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("_turn"))
