@@ -23,7 +23,8 @@ def cut(docs: DataFrame, tokenizer: str, size: int = 4096, end: int = 1, whole:
     packed again, a null doc_id stays null. Other columns are not read.
     """
     def run(batches):
-        encode = encoder(tokenizer, whole).encode
+        words = encoder(tokenizer, whole)
+        encode = words.encode
         closing = np.array([end], "<u4").tobytes()
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
@@ -41,6 +42,7 @@ def cut(docs: DataFrame, tokenizer: str, size: int = 4096, end: int = 1, whole:
                     rows, held = [[], [], [], [], []], 0
             if rows[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], names=names)
+        words.rest()
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32" if checksum else "ids"]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64() if checksum else pa.binary()]
