@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heappop, heappush
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.net import local_side_ip
@@ -9,7 +12,7 @@ from ..functions.times import DAY_MS, day_of_ms
 from ..functions.url import Suffixes
 from ..session import settle
 from .lookups import with_domain
-from .nearest import first_cover, first_within, last_around, last_cover
+from .nearest import first_cover, first_within, last_around, last_cover, unbeaten
 from .ordered import null_safe, with_running
 
 MISSING = "N/A"
@@ -216,23 +219,79 @@ def ap_by_mac(points: DataFrame, ap_spans: DataFrame, mac: str = "mac", t: str =
     return hit.select(*points.columns, F.col("hit._ap").alias("found_ap"))
 
 
-def ap_by_ip(points: DataFrame, ip_spans: DataFrame, ap_spans: DataFrame, ip: str = "ip", t: str = "t_ms", tol: int = 120_000) -> DataFrame:
+def ap_by_ip(points: DataFrame, ip_spans: DataFrame, ap_spans: DataFrame, ip: str = "ip", t: str = "t_ms", tol: int = 120_000,
+             cell: int = 4 * HOUR_MS) -> DataFrame:
     """Add device and access point of an address: the first device (by allocation) that was on one; else the last
-    device and no access point; else nulls. Distinct (address, time) pairs are looked up once."""
-    asked = points.select(F.col(ip).alias("_q_ip"), F.col(t).alias("_q_t")).where(
-        F.col("_q_ip").isNotNull() & F.col("_q_t").isNotNull()).distinct()
-    held = mac_by_ip(asked, ip_spans, "_q_ip", "_q_t", tol)
-    placed = ap_by_mac(held.withColumnRenamed("mac", "_m"), ap_spans, "_m", "_q_t", tol)
-    on = F.col("found_ap").isNotNull()
-    order = F.struct("atime", "rtime", "_m")
-    best = placed.groupBy("_q_ip", "_q_t").agg(
-        F.min(F.when(on, F.struct("atime", "rtime", "_m", "found_ap"))).alias("_a"),
-        F.max(F.when(~on, order)).alias("_z"))
-    found = best.select(F.col("_q_ip").alias(ip), F.col("_q_t").alias(t), F.coalesce("_a._m", "_z._m").alias("found_mac"),
-                        F.col("_a.found_ap").alias("found_ap"))
+    device and no access point; else nulls. Distinct (address, time) pairs are looked up once.
+
+    No pair of a point and a device is built. Spans of addresses are cut at cells of time and once more at the pieces of the device's
+    access points; one pass in time order over (address, cell) holds the spans that can still win and answers each point.
+    """
+    asked = points.select(F.col(ip).alias("_ip"), F.col(t).alias("_x")).where(F.col("_ip").isNotNull() & F.col("_x").isNotNull()).distinct()
+    ends = asked.agg(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi"))).scalar()
+
+    def celled(spans: DataFrame, lo: Column, hi: Column, *cols: Column) -> DataFrame:
+        """Spans once in each cell they touch between the first and the last point, cut at its edges."""
+        cut = spans.withColumn("_ends", ends).select(*cols, F.greatest(lo, "_ends.lo").alias("_x"), F.least(hi, "_ends.hi").alias("_to"), "_ends")
+        cells = F.explode(F.sequence(F.floor(F.col("_x") / cell), F.floor(F.col("_to") / cell))).alias("_cell")
+        whole = cut.where("_ends IS NOT NULL AND _ends.lo IS NOT NULL AND _x <= _to").drop("_ends").select("*", cells)
+        return whole.withColumns({"_x": F.greatest("_x", F.col("_cell") * cell), "_to": F.least("_to", (F.col("_cell") + 1) * cell - 1)})
+
+    sound = ip_spans.where(F.col("ip").isNotNull() & (F.col("rtime") + tol >= F.col("atime") - tol))
+    held = celled(sound, F.col("atime") - tol, F.col("rtime") + tol, F.col("ip").alias("_ip"), F.col("mac").alias("_m"), F.col("atime"), F.col("rtime"))
+    on = unbeaten(ap_spans, ["mac"], "start", "end", ["end", "ap"], ["ap"], HOUR_MS).where(F.col("_pay.ap").isNotNull())
+    on = celled(on, F.greatest(F.col("_lo") - tol, F.col("_before") + (tol + 1)), F.col("_hi") + tol, F.col("mac").alias("_m"), F.col("_pay.ap").alias("_ap"))
+    seen = held.join(on.withColumnsRenamed({"_x": "_x2", "_to": "_to2"}), ["_m", "_cell"])
+    seen = seen.withColumns({"_x": F.greatest("_x", "_x2"), "_to": F.least("_to", "_to2")}).drop("_x2", "_to2").where("_x <= _to")
+    asked = asked.withColumn("_cell", F.floor(F.col("_x") / cell))
+    rows = held.withColumn("_kind", F.lit(HELD)).unionByName(seen.withColumn("_kind", F.lit(SEEN)), allowMissingColumns=True).unionByName(
+        asked.withColumn("_kind", F.lit(ASKED)), allowMissingColumns=True)
+    order = ["_ip", "_cell", "_x", "_kind", "atime", "rtime", "_m"]
+    placed = rows.select(*order, "_to", "_ap").fillna(0, ["atime", "rtime", "_to"]).repartition("_ip", "_cell").sortWithinPartitions(*order)
+    found = placed.mapInArrow(holders, "_ip string, _x long, found_mac string, found_ap string").withColumnsRenamed({"_ip": ip, "_x": t})
     return points.join(found, [ip, t], "left").select(*points.columns, "found_mac", "found_ap")
 
 
+HELD, SEEN, ASKED = 0, 1, 2  # rows of ``holders``
+
+
+def holders(batches: Iterator) -> Iterator:
+    """Answers of the points (``ASKED``) among spans (``HELD``) and their parts on an access point (``SEEN``), sorted by address, cell and time.
+
+    Spans come in the order of their allocation, so one that ends before a later one does can be the last device no more. A part waits
+    in a heap by allocation unless the first one there lasts as long.
+    """
+    import pyarrow as pa
+
+    def listed(column: pa.Array) -> list:
+        return column.to_numpy().tolist() if pa.types.is_integer(column.type) else column.to_pylist()
+
+    group, last, first = None, [], []
+    for batch in batches:
+        out: list[list] = [[], [], [], []]
+        for ip, cell, x, kind, begun, ended, mac, until, ap in zip(*[listed(c) for c in batch.columns]):
+            if group != (ip, cell):
+                group, last, first = (ip, cell), [], []
+            if kind == HELD:
+                while last and last[-1][0] <= until:
+                    last.pop()
+                last.append((until, mac))
+            elif kind == SEEN:
+                if not (first and first[0][3] >= until and first[0][:3] <= (begun, ended, mac)):
+                    heappush(first, (begun, ended, mac, until, ap))
+            else:
+                while first and first[0][3] < x:
+                    heappop(first)
+                while last and last[-1][0] < x:
+                    last.pop()
+                if first or last:
+                    for column, value in zip(out, (ip, x, first[0][2], first[0][4]) if first else (ip, x, last[-1][1], None)):
+                        column.append(value)
+        if out[0]:
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["_ip", "_x", "found_mac", "found_ap"])
+
+
 def tag_device(flows: DataFrame, ip_spans: DataFrame, ap_spans: DataFrame, prefix: str = "111.186", tol: int = 120_000) -> DataFrame:
     """Add device and access point of the local side of a flow (src_ip, dst_ip, t_ms, ...), N/A where unknown."""
     asked = flows.withColumn("_ip", local_side_ip(F.col("src_ip"), F.col("dst_ip"), prefix))

@@ -55,6 +55,16 @@ def first_within(points: DataFrame, events: DataFrame, keys: list[str], t: str,
     return found.select("_p.*", F.least("_tail", "_head").alias(into))
 
 
+def unbeaten(spans: DataFrame, keys: list[str], lo: str, hi: str, tie: list[str], payload: list[str], chunk: int) -> DataFrame:
+    """Spans that are the earliest-started one somewhere: keys, ``_lo``, ``_hi``, ``_before`` (where the one before it ends, null on the first) and the
+    struct ``_pay``. Such a span wins from its start, or just after ``_before`` if that is later, to its end."""
+    spans = spans.where(F.col(lo).isNotNull() & F.col(hi).isNotNull() & (F.col(hi) >= F.col(lo))).dropna(subset=keys)
+    named = spans.select(*keys, F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), *[F.col(c).alias(f"_t{i}") for i, c in enumerate(tie)],
+                         F.struct(*[F.col(c) for c in payload]).alias("_pay"))
+    ran = with_running(named, keys, ["_lo", *[f"_t{i}" for i in range(len(tie))]], F.col("_hi"), "_before", chunk, "max", inclusive=False)
+    return ran.where(F.col("_before").isNull() | (F.col("_hi") > F.col("_before")))
+
+
 def first_cover(points: DataFrame, spans: DataFrame, keys: list[str], t: str, lo: str, hi: str, tie: list[str],
                 payload: list[str], tolerance: int = 0, chunk: int = 3_600_000, into: str = "hit",
                 exact_first: bool = True, bounds: tuple[Column, Column] | None = None) -> DataFrame:
@@ -70,11 +80,7 @@ def first_cover(points: DataFrame, spans: DataFrame, keys: list[str], t: str, lo
     default between the first and the last point of all. So a span with a broken end or of many years fills no blocks in which no
     point can lie.
     """
-    spans = spans.where(F.col(lo).isNotNull() & F.col(hi).isNotNull() & (F.col(hi) >= F.col(lo))).dropna(subset=keys)
-    named = spans.select(*keys, F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), *[F.col(c).alias(f"_t{i}") for i, c in enumerate(tie)],
-                         F.struct(*[F.col(c) for c in payload]).alias("_pay"))
-    ran = with_running(named, keys, ["_lo", *[f"_t{i}" for i in range(len(tie))]], F.col("_hi"), "_before", chunk, "max", inclusive=False)
-    kept = ran.where(F.col("_before").isNull() | (F.col("_hi") > F.col("_before")))
+    kept = unbeaten(spans, keys, lo, hi, tie, payload, chunk)
     levels = [0] if tolerance == 0 else ([0, tolerance] if exact_first else [tolerance])
     reach = [
         F.struct(F.lit(i).alias("level"), F.greatest(F.col("_lo") - slack, F.col("_before") + (slack + 1)).alias("from"), (F.col("_hi") + slack).alias("to"))

@@ -57,6 +57,42 @@ def test_ap_by_ip_prefers_device_with_ap(spark):
     assert got == {1: ("n", "A"), 2: ("p", None), 3: (None, None)}
 
 
+def test_ap_by_ip_builds_no_pairs(spark):
+    # one address that many devices hold all the time: every point meets each of them, but no row stands for such a pair
+    n, day = 400, DAY_MS
+    ips = spark.range(n).select(F.lit("i").alias("ip"), F.concat(F.lit("m"), F.col("id").cast("string")).alias("mac"), F.col("id").alias("atime"), F.lit(day).alias("rtime"))
+    aps = spark.createDataFrame([("m7", "late", day // 2, day), ("m9", None, 0, day), ("m11", "A", 500, 700), ("m11", "B", 600, 900)], "mac STRING, ap STRING, start LONG, end LONG")
+    asks = spark.range(n).select(F.col("id").alias("seq"), F.lit("i").alias("ip"), (F.col("id") * (day // n) + 650).alias("t_ms"))
+    df = matching.ap_by_ip(asks, ips, aps, tol=0)
+    got = {r.seq: (r.found_mac, r.found_ap) for r in df.collect()}
+    assert got[0] == ("m11", "A") and got[1] == (f"m{n - 1}", None) and got[n - 1] == ("m7", "late") and len(got) == n
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert not any("_q_ip" in line or "_g" in line for line in joins) and "MapInArrow" in plan
+
+
+def test_ap_by_ip_against_all_pairs(spark):
+    rng = random.Random(5)
+    ips = [(f"i{rng.randrange(3)}", rng.choice([None, "a", "b", "c", "ab"]), s, s + rng.randrange(-3, 40)) for s in (rng.randrange(200) for _ in range(150))]
+    aps = [(rng.choice(["a", "b", "c", "ab"]), rng.choice([None, "P", "Q"]), s, s + rng.randrange(-3, 12)) for s in (rng.randrange(200) for _ in range(60))]
+    asks = [(k, rng.choice([None, "i0", "i1", "i2", "i3"]), rng.choice([None, *range(-5, 230)])) for k in range(400)]
+    least = lambda v: (v is not None, v or "")  # noqa: E731  nulls first
+
+    def place(mac, t):
+        met = [(s, e, least(p), p) for m, p, s, e in aps if m == mac and e >= s and s - 2 <= t <= e + 2]
+        return min(met)[3] if met else None
+
+    want = {}
+    for k, ip, t in asks:
+        met = [] if t is None else [(a, r, least(m), m, place(m, t)) for i, m, a, r in ips if i == ip and a - 2 <= t <= r + 2]
+        on = [h[:4] + (h[4],) for h in met if h[4] is not None]
+        want[k] = min(on)[3:] if on else (max(h[:4] for h in met)[3], None) if met else (None, None)
+    frames = [spark.createDataFrame(rows, ddl) for rows, ddl in ((asks, "seq LONG, ip STRING, t_ms LONG"), (ips, "ip STRING, mac STRING, atime LONG, rtime LONG"),
+                                                                (aps, "mac STRING, ap STRING, start LONG, end LONG"))]
+    for cell in (7, 1000):
+        assert {r.seq: (r.found_mac, r.found_ap) for r in matching.ap_by_ip(*frames, tol=2, cell=cell).collect()} == want
+
+
 def test_click_window(spark):
     rows = spark.createDataFrame([("x", 1, 0, 1000), ("x", 1, 0, 1500), ("x", 2, 0, 3000), ("y", 3, 0, 2999)], "agent STRING, tree LONG, trace INT, t LONG")
     clicks = spark.createDataFrame([(0, 1000)], "trace INT, click LONG")
