@@ -162,3 +162,12 @@ def test_attach_ip_makes_no_pairs(spark):
     assert found.select("ip").distinct().collect() == [("2999",)] and found.count() == 3000
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_profiles_spread_over_tasks(spark):
+    # one file of sessions and one account: the pairs are made by all tasks all the same
+    sessions = spark.range(40).coalesce(1).select(F.lit("u").alias("account"), "id")
+    profiles = spark.range(50).select(F.lit("u").alias("account"), F.col("id").alias("p"))
+    joined = lookups.join_profiles(sessions, profiles)
+    per_task = joined.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(per_task) == 4 and sum(r["count"] for r in per_task) == 2000
