@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import configure, scratch
+from ..session import configure, scratch, settle
 from . import bytebpe, centroids, decontaminate, langid, lexical, minhash, neighbours, packing, ppm, quality, secretscan, substrings, tokenfiles
 from .common import fold, read
 
@@ -49,6 +49,7 @@ def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = read(configure(spark), folder, "documents"), read(spark, folder, "labels")
     learn = labels.filter(fold(F.col("doc_id"), 3) != 1)
+    docs = settle(quality.measured(docs, "doc_id"), "measures")
     model = quality.fit(quality.sample(docs, learn), quality.shares(learn))
     return quality.rate(docs, model).select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
 

@@ -438,6 +438,21 @@ def test_quality(spark, none):
     assert quality.rate(none, model).count() == 0
 
 
+def test_quality_learns_from_all(spark):
+    # more labelled documents than were once drawn; the rare kind among the last decides the sign of a measure
+    rows = [(i, int(i % 2), [0.0] * 19 + [float(i % 2) if i >= 5990 else 0.0]) for i in range(6000)]
+    labelled = spark.createDataFrame([(q, [float(k % 7) / 7 if j == 3 else v for j, v in enumerate(m)]) for k, q, m in rows], "quality int, measures array<double>")
+    assert quality.sample(labelled.withColumn("doc_id", F.monotonically_increasing_id()),
+                          labelled.select(F.monotonically_increasing_id().alias("doc_id"), "quality")).count() == 6000
+    middle, scale = np.zeros(20), np.ones(20)
+    apart = quality.pairs_of(labelled, middle, scale, 3000, 3000, 3000)
+    assert apart.count() >= 3000
+    assert apart.filter("abs(apart[19]) > 0").count() >= 5  # each of the five rare rows is in a pair
+    scores = spark.createDataFrame([(i % 2, float(i)) for i in range(1000)], "quality int, score double")
+    assert quality.quantile(scores, 0.5, 500, 500, bins=7) == 499.5
+    assert quality.quantile(scores.withColumn("score", F.lit(2.0)), 0.5, 500, 500) == 2.0
+
+
 def test_secrets(spark, none):
     rng = random.Random(12)
     key = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(40)]
