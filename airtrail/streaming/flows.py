@@ -136,3 +136,79 @@ def stream_merge_blocks(tcp: DataFrame, http: DataFrame, tol: int = 3 * MINUTE_U
         "socket", F.col("http_ts").alias("ts"), none["long"].alias("flow_id"), none["long"].alias("t_us"), F.col("seq").cast("long").alias("seq"), "connection",
         F.col("conn_us").cast("long").alias("conn_us"), F.col("req_us").cast("long").alias("req_us"))
     return left.union(right).groupBy("socket").transformWithState(FlowBlocks(tol, lead, idle), BLOCK_ROWS, "append", "eventTime")
+
+
+class Pairs(StatefulProcessor):
+    """The state of a socket: rows of both sides for which a partner can still come. Both sides are walked in time order, so a row meets those near it only."""
+
+    def __init__(self, tol: int, left: list[tuple[str, str]], right: list[tuple[str, str]]):
+        self.tol, self.left, self.right = tol, left, right
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.states = [handle.getListState(name, ", ".join(f"`{c}` {k}" for c, k in fields) + ", _at LONG, _met BOOLEAN")
+                       for name, fields in (("left", self.left), ("right", self.right))]
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        fresh: tuple[list, list] = ([], [])
+        for r in rows:
+            fields = self.right if r._right else self.left
+            fresh[r._right].append([r._at, False, True, tuple(r[c] for c, _ in fields)])
+        return self.advance(fresh, 1000 * timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        return self.advance(([], []), 1000 * timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+    def advance(self, fresh: tuple[list, list], now: int) -> Iterator[Row]:
+        """Pairs of new rows, and rows without partner that the watermark ``now`` has passed."""
+        sides = [sorted([[*r[-2:], False, tuple(r[:-2])] for r in state.get()] + rows, key=lambda r: r[0]) for state, rows in zip(self.states, fresh)]
+        nothing = [(None,) * len(self.left), (None,) * len(self.right)]
+        row = Row(*(c for c, _ in self.left + self.right))
+        if fresh[0] or fresh[1]:
+            first, other = 0, sides[1]
+            for a in sides[0]:
+                while first < len(other) and other[first][0] <= a[0] - self.tol:
+                    first += 1
+                k = first
+                while k < len(other) and other[k][0] < a[0] + self.tol:
+                    b = other[k]
+                    a[1] = b[1] = True
+                    if a[2] or b[2]:
+                        yield row(*a[3], *b[3])
+                    k += 1
+        ahead = []
+        for i, (state, rows) in enumerate(zip(self.states, sides)):
+            kept = []
+            for r in rows:
+                if r[0] + self.tol > now:
+                    kept.append((*r[3], r[0], r[1]))
+                    ahead.append(r[0] + self.tol)
+                elif not r[1]:
+                    yield row(*r[3], *nothing[1]) if i == 0 else row(*nothing[0], *r[3])
+            if kept:
+                state.put(kept)
+            else:
+                state.clear()
+        if ahead:
+            self.handle.registerTimer(max(now, min(ahead)) // 1000 + 1)
+
+
+def stream_pairs(left: DataFrame, right: DataFrame, on: tuple[str, str], times: tuple[str, str], tol: int, delay: str) -> DataFrame:
+    """Full outer join of two streams on equal keys (null is a key like any other) and times less than ``tol`` microseconds apart. All columns of both.
+
+    A key's rows meet only those near them in time, not all rows of the key.
+    """
+    fields = [[(f.name, "long" if f.name == t else f.dataType.simpleString()) for f in df.schema.fields] for df, t in ((left, times[0]), (right, times[1]))]
+    parts = []
+    for i, (df, key, t) in enumerate(((left, on[0], times[0]), (right, on[1], times[1]))):
+        own = [F.unix_micros(c).alias(c) if c == t else F.col(c) for c, _ in fields[i]]
+        none = [F.lit(None).cast(kind).alias(c) for c, kind in fields[1 - i]]
+        sides = [*own, *none] if i == 0 else [*none, *own]
+        marked = df.where(F.col(t).isNotNull()).withWatermark(t, delay)
+        parts.append(marked.select(F.col(key).alias("_key"), F.col(t).alias("_ts"), F.unix_micros(t).alias("_at"), F.lit(i).alias("_right"), *sides))
+    shape = ", ".join(f"`{c}` {kind}" for c, kind in fields[0] + fields[1])
+    met = parts[0].union(parts[1]).groupBy("_key").transformWithState(Pairs(tol, *fields), shape, "append", "eventTime")
+    return met.withColumns({t: F.timestamp_micros(t) for t in times})

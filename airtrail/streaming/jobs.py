@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..operators.matching import merge_flows
 from ..operators.sessions import http_connections
 from ..operators.stats import direction_counts, protocol_breakdown
+from .flows import stream_pairs
 
 
 def stream_logs(spark: SparkSession, path: str, schema: str | None = None, sep: str = " ", files_per_trigger: int | None = None) -> DataFrame:
@@ -23,11 +24,14 @@ def stream_merge_flows(tcp: DataFrame, http: DataFrame, tol: str = "180 seconds"
     ``tcp`` has flow_id, socket, flow_ts; ``http`` seq, socket, http_ts (timestamps), either may hold more columns. State is held
     only as long as a partner can still come; a row without one is sent once the watermark has passed it.
     """
-    left = tcp.withColumnRenamed("socket", "tcp_socket").withWatermark("flow_ts", delay)
-    right = http.withColumnRenamed("socket", "http_socket").withWatermark("http_ts", delay)
-    span = F.expr(f"INTERVAL {tol}")
-    near = (F.col("flow_ts") > F.col("http_ts") - span) & (F.col("flow_ts") < F.col("http_ts") + span)
-    return left.join(right, (F.col("tcp_socket") == F.col("http_socket")) & near, "full_outer")
+    left, right = tcp.withColumnRenamed("socket", "tcp_socket"), http.withColumnRenamed("socket", "http_socket")
+    return stream_pairs(left, right, ("tcp_socket", "http_socket"), ("flow_ts", "http_ts"), interval_us(tol), delay)
+
+
+def interval_us(text: str) -> int:
+    """Microseconds of a length of time like ``180 seconds``."""
+    number, unit = text.split()
+    return round(float(number) * {"millisecond": 1e3, "second": 1e6, "minute": 6e7, "hour": 3.6e9}[unit.rstrip("s")])
 
 
 def best_matches(pairs: DataFrame, tol: int = 180_000_000) -> DataFrame:

@@ -67,3 +67,28 @@ def test_merge_blocks_over_many_batches(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).where("socket <> 'marker'")
     assert sorted(map(tuple, got.select(names).collect())) == want
     assert early > 100
+
+
+def test_stream_pairs_against_all_pairs(spark, tmp_path):
+    import collections
+    import random
+    import time
+
+    rng = random.Random(3)
+    minute = 60_000_000
+    flows = [(i, rng.choice(["a", "b", None]), rng.randrange(600) * minute) for i in range(150)] + [(900, "z", 10**12)]
+    sent = [(i, rng.choice(["a", "b", "c", None]), rng.randrange(600) * minute) for i in range(150)] + [(901, "y", 10**12)]
+    # two files of each side, so that pairs also meet through the state; a late marker lets everything end
+    sides = []
+    for name, rows, ts, no in (("f", flows, "flow_ts", "flow_id"), ("h", sent, "http_ts", "seq")):
+        for part in (0, 1):
+            some = [r for r in rows[:150] if (r[2] >= 300 * minute) == part] + rows[150:] * part
+            spark.createDataFrame(some, f"{no} LONG, socket STRING, us LONG").select(no, "socket", F.timestamp_micros("us").alias(ts)).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+            time.sleep(1.1)  # files are read in the order of their times
+        sides.append(spark.readStream.schema(f"{no} LONG, socket STRING, {ts} TIMESTAMP").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name)))
+    pairs = jobs.stream_merge_flows(*sides, tol="3 minutes", delay="700 minutes")
+    jobs.run_available(pairs, str(tmp_path / "out"), str(tmp_path / "state"))
+    got = collections.Counter((r.flow_id, r.seq) for r in spark.read.parquet(str(tmp_path / "out")).collect() if {r.flow_id, r.seq}.isdisjoint({900, 901}))
+    met = [(a[0], b[0]) for a in flows[:150] for b in sent[:150] if a[1] == b[1] and abs(a[2] - b[2]) < 3 * minute]
+    alone = [(a[0], None) for a in flows[:150] if a[0] not in {m[0] for m in met}] + [(None, b[0]) for b in sent[:150] if b[0] not in {m[1] for m in met}]
+    assert got == collections.Counter(met + alone)
