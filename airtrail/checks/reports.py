@@ -600,11 +600,12 @@ FAR = 4_102_444_800_000  # 2100-01-01
 
 
 def _closed(t, df, time_ms, ts, **fixed):
-    """Rows with a timestamp plus one marker row, written as stream input."""
+    """Rows with a timestamp plus one marker row, written as stream input. The marker is made from the written rows, so they are computed once."""
     rows = df.withColumn(ts, F.timestamp_millis(time_ms))
-    marker = rows.limit(1).withColumns({ts: F.timestamp_millis(F.lit(FAR)), **{c: F.lit(v) for c, v in fixed.items()}})
     path = scratch(t.spark, "stream-in")
-    rows.unionByName(marker).write.parquet(path)
+    rows.write.parquet(path)
+    marker = t.spark.read.schema(rows.schema).parquet(path).limit(1)
+    marker.withColumns({ts: F.timestamp_millis(F.lit(FAR)), **{c: F.lit(v) for c, v in fixed.items()}}).select(rows.columns).write.mode("append").parquet(path)
     return t.spark.readStream.schema(rows.schema).parquet(path)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import deque
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, functions as F
@@ -9,6 +11,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 BLOCK_ROWS = "block STRING, side STRING, pos LONG, matched BOOLEAN, socket STRING, flow_id LONG, seq LONG, t_us LONG"
 MINUTE_US = 60_000_000
+FLOW, TRANSFER = ("flow_id", "t_us"), ("conn_no", "seq", "connection", "conn_us", "req_us", "taken")
+SOCKET_STATE = ("number LONG, ended BOOLEAN, flow_id ARRAY<LONG>, t_us ARRAY<LONG>, "
+                "conn_no ARRAY<LONG>, seq ARRAY<LONG>, connection ARRAY<STRING>, conn_us ARRAY<LONG>, req_us ARRAY<LONG>, taken ARRAY<BOOLEAN>")
 BlockRow = Row(*(field.split()[0] for field in BLOCK_ROWS.split(", ")))
 
 
@@ -22,6 +27,8 @@ class Connection:
         self.align, self.first, self.last = first["conn_us"] if opened else first["req_us"], first["req_us"], rows[-1]["req_us"]
         self.closed = any(r["connection"] in ("last", "unique") for r in rows)
         self.taken = any(r["taken"] for r in rows)
+        # closed ones first, then by first request
+        self.rank = (not self.closed, self.first, number)
 
 
 class FlowBlocks(StatefulProcessor):
@@ -38,18 +45,16 @@ class FlowBlocks(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.transfers = handle.getListState("transfers", "conn_no LONG, seq LONG, connection STRING, conn_us LONG, req_us LONG, taken BOOLEAN")
-        self.flows = handle.getListState("flows", "flow_id LONG, t_us LONG")
-        # the latest connection's number and whether its last row ended it
-        self.numbering = handle.getValueState("numbering", "conn_no LONG, ended BOOLEAN")
+        # all of a socket is one value, read and written once a call: rows of a list state travel to the JVM one by one
+        self.state = handle.getValueState("socket", SOCKET_STATE)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         flows, sent = [], []
-        for r in rows:
-            if r.flow_id is not None:
-                flows.append({"flow_id": r.flow_id, "t_us": r.t_us})
+        for _, _, flow_id, t_us, seq, connection, conn_us, req_us in rows:
+            if flow_id is not None:
+                flows.append({"flow_id": flow_id, "t_us": t_us})
             else:
-                sent.append({"conn_no": None, "seq": r.seq, "connection": r.connection, "conn_us": r.conn_us, "req_us": r.req_us, "taken": False})
+                sent.append({"conn_no": None, "seq": seq, "connection": connection, "conn_us": conn_us, "req_us": req_us, "taken": False})
         return self.advance(key[0], flows, sent, 1000 * timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -60,9 +65,10 @@ class FlowBlocks(StatefulProcessor):
 
     def advance(self, socket: str, flows: list, sent: list, now: int) -> Iterator[Row]:
         """Everything that the watermark ``now`` (no earlier row can come) allows."""
-        flows += [{"flow_id": r[0], "t_us": r[1]} for r in self.flows.get()]
-        sent += [dict(zip(("conn_no", "seq", "connection", "conn_us", "req_us", "taken"), r)) for r in self.transfers.get()]
-        number, ended = tuple(self.numbering.get()) if self.numbering.exists() else (0, True)
+        # the latest connection's number and whether its last row ended it
+        number, ended, *waits = self.state.get() or (0, True, *[[]] * 8)
+        flows += [dict(zip(FLOW, r)) for r in zip(*waits[:2])]
+        sent += [dict(zip(TRANSFER, r)) for r in zip(*waits[2:])]
         held: dict[int, list] = {}
         waiting = sorted((r for r in sent if r["conn_no"] is None), key=lambda r: (r["req_us"], r["seq"]))
         for r in sorted((r for r in sent if r["conn_no"] is not None), key=lambda r: (r["req_us"], r["seq"])):
@@ -77,11 +83,12 @@ class FlowBlocks(StatefulProcessor):
         known = [Connection(n, rows) for n, rows in held.items()]
         if known and not ended and now - held[number][-1]["req_us"] > self.idle and not any(r["req_us"] - held[number][-1]["req_us"] <= self.idle for r in later):
             ended = True
-        open_ = {c.number for c in known if c.number == number and not ended}
+        open_ = {c.number: c for c in known if c.number == number and not ended}
 
         out, left = [], []
+        near, ahead = deque(), deque(sorted(known, key=lambda c: c.align))
         for flow in sorted(flows, key=lambda f: (f["t_us"], f["flow_id"])):
-            best = self.choice(flow, known, open_) if now > flow["t_us"] + self.tol + self.lead else self
+            best = self.choice(flow, near, ahead, open_) if now > flow["t_us"] + self.tol + self.lead else self
             if best is self:
                 left.append(flow)
                 continue
@@ -89,34 +96,39 @@ class FlowBlocks(StatefulProcessor):
                 best.taken = True
             name = f"{socket}#{best.number}" if best else f"flow#{flow['flow_id']}"
             out.append(BlockRow(name, "tcp", flow["flow_id"], best is not None, socket, flow["flow_id"], None, flow["t_us"]))
-        kept = []
+        kept, undecided = [], [f["t_us"] for f in left]
         for c in known:
-            if c.number in open_ or now <= c.align + self.tol or any(abs(f["t_us"] - c.align) < self.tol for f in left):
+            first = bisect_right(undecided, c.align - self.tol)
+            if c.number in open_ or now <= c.align + self.tol or (first < len(undecided) and undecided[first] < c.align + self.tol):
                 kept += [r | {"taken": c.taken} for r in c.rows]
                 continue
             out += [BlockRow(f"{socket}#{c.number}", "http", r["seq"], c.taken, socket, None, r["seq"], r["conn_us"] if r["conn_us"] is not None else r["req_us"]) for r in c.rows]
 
-        waits = [(r["conn_no"], r["seq"], r["connection"], r["conn_us"], r["req_us"], r["taken"]) for r in kept + later]
-        for state, rows in ((self.flows, [(f["flow_id"], f["t_us"]) for f in left]), (self.transfers, waits)):
-            if rows:
-                state.put(rows)
-            else:
-                state.clear()
-        self.numbering.update((number, ended))
+        self.state.update((number, ended, *([f[c] for f in left] for c in FLOW), *([r[c] for r in kept + later] for c in TRANSFER)))
         times = [f["t_us"] + self.tol + self.lead for f in left] + [r["req_us"] for r in later] + [c.align + self.tol for c in known] + [c.last + self.idle for c in known if c.number in open_]
-        ahead = [t for t in times if t >= now]
-        if ahead:
-            self.handle.registerTimer(min(ahead) // 1000 + 1)
+        to_come = [t for t in times if t >= now]
+        if to_come:
+            self.handle.registerTimer(min(to_come) // 1000 + 1)
         return iter(out)
 
-    def choice(self, flow: dict, known: list, open_: set):
-        """The connection of a flow, None without one, or the processor itself while a connection that is still open could come first."""
-        near = [c for c in known if abs(flow["t_us"] - c.align) < self.tol]
+    def choice(self, flow: dict, near: deque, ahead: deque, open_: dict):
+        """The connection of a flow, None without one, or the processor itself while a connection that is still open could come first.
+
+        Flows come in time order, connections wait by their time in ``ahead``. ``near`` holds those within reach that none of the later ones
+        there comes before, so its first is the best, and each connection enters and leaves it once.
+        """
+        while ahead and ahead[0].align < flow["t_us"] + self.tol:
+            c = ahead.popleft()
+            while near and near[-1].rank > c.rank:
+                near.pop()
+            near.append(c)
+        while near and near[0].align <= flow["t_us"] - self.tol:
+            near.popleft()
         if not near:
             return None
-        best = min(near, key=lambda c: (not c.closed, c.first, c.number))
-        rank = (not best.closed, best.first, best.number)
-        return self if any(c is not best and c.number in open_ and (False, c.first, c.number) < rank for c in near) else best
+        best = near[0]
+        waits = any(c is not best and abs(flow["t_us"] - c.align) < self.tol and (False, c.first, c.number) < best.rank for c in open_.values())
+        return self if waits else best
 
 
 def stream_merge_blocks(tcp: DataFrame, http: DataFrame, tol: int = 3 * MINUTE_US, delay: str = "5 minutes", lead: int = 5 * MINUTE_US,
