@@ -32,9 +32,10 @@ def attach_ip(sessions: DataFrame, addresses: DataFrame, shift: int = 300_000, c
     spread out. Equal sessions are counted, looked up once and repeated.
     """
     cols = [c for c in sessions.columns if c != "ip"]
-    left = sessions.groupBy(*cols).agg(F.count("*").alias("_n")).withColumn("_day", day_of_ms(F.col("s_ms")))
-    held = addresses.where((F.col("e_ms") >= F.col("s_ms")) & F.col("mac").isNotNull()).select(
-        "mac", day_of_ms(F.col("s_ms")).alias("_day"), F.col("s_ms").alias("_s"), F.col("e_ms").alias("_e"), F.col("ip").alias("_ip"))
+    # both sides are read by every lookup below
+    left = settle(sessions.groupBy(*cols).agg(F.count("*").alias("_n")).withColumn("_day", day_of_ms(F.col("s_ms"))), "counted-sessions")
+    held = settle(addresses.where((F.col("e_ms") >= F.col("s_ms")) & F.col("mac").isNotNull()).select(
+        "mac", day_of_ms(F.col("s_ms")).alias("_day"), F.col("s_ms").alias("_s"), F.col("e_ms").alias("_e"), F.col("ip").alias("_ip")), "held-addresses")
     keys, sound = ["mac", "_day"], F.col("mac").isNotNull() & F.col("e_ms").isNotNull() & F.col("s_ms").isNotNull()
 
     def folded(rows: DataFrame, at: Column, ends: Column, how: str, into: str) -> DataFrame:
