@@ -15,12 +15,22 @@ from .common import mix, pieces, smallest_by_hash, worker_store
 # number signs (fractions, roman and circled numbers) are word signs to the pattern language, but no letters
 SIGNS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
 WORD = re.compile(rf"[^\W\d_{SIGNS}]+")
+RUN = re.compile(r"[^\W\d_]+")  # words that number signs may still join
 BUCKETS = 1 << 18
 GRAMS = (1, 2, 3, 4, 5)
 STEPS = 256  # words walked one after another; stretches of so many words are walked side by side
 KEPT = 250_000  # words whose scores a worker remembers
 
 
+def words_of(text: str) -> list[str]:
+    """All matches of ``WORD`` in order. That pattern walks through its hundreds of signs for every letter, so it is tried only on
+    the runs that hold another sign than letters."""
+    found = RUN.findall(text)
+    if "".join(found).isalpha() or not found:
+        return found
+    return [word for run in found for word in ([run] if run.isalpha() else WORD.findall(run))]
+
+
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of words, as (word number, bucket): byte n-grams with the word's edges marked, so that n-grams at an edge
     are prefixes and suffixes, and the whole word as the lexicon entry."""
@@ -137,7 +147,7 @@ def fit(labelled: DataFrame, rounds: int = 25, rate: float = 0.4, decay: float =
     parts = []
     rng = np.random.default_rng(seed)
     for lang, text in rows:
-        ids = np.array([index.setdefault(w, len(index)) for w in WORD.findall(text.lower())], np.int64)
+        ids = np.array([index.setdefault(w, len(index)) for w in words_of(text.lower())], np.int64)
         at = 0
         while at < len(ids):
             size = 1 + rng.geometric(1 / stretch)
@@ -194,7 +204,7 @@ def identify(docs: DataFrame, model: Model, runs: bool = False) -> DataFrame:
         if store.get("model") != key or len(store["index"]) > KEPT:
             store.update(model=key, index={}, table=np.zeros((0, len(known))))
         index = store["index"]
-        split = [WORD.findall(t.lower()) if t else [] for t in texts]
+        split = [words_of(t.lower()) if t else [] for t in texts]
         fresh = list({w for words in split for w in words}.difference(index))
         if fresh:
             index.update(zip(fresh, range(len(index), len(index) + len(fresh))))
