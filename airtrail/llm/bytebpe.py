@@ -7,7 +7,7 @@ large map would go through all keys; pairs of bytes, with which every word begin
 
 Texts are cut into words by Spark's regular expressions and taken in blocks of about ``BLOCK`` words, stretches of rows of an input partition.
 A block sends its distinct words once; all blocks' words meet by word, where each distinct word is folded once; its tokens go back to the
-blocks that hold it, which meet their texts as numbers of words, not as texts. A word's rows are as many as the blocks that hold it; no
+blocks that hold it, packed with those of the block's other words in the same partition, and meet the block's texts as numbers of words, not as texts. A word's rows are as many as the blocks that hold it; no
 vocabulary is gathered anywhere.
 
 ``docs`` is read twice and must give the same rows in the same partitions both times, as files and tables do; a block that
@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK = 5_000_000  # words of a block
+HELD = 500_000  # words whose tokens are packed together
 STEP = 500_000  # words that are turned into ids at once
 CHUNK, BACK = 64, 8  # bytes of a chunk of a long word; tokens before it that are looked at again
 PAIRS = 1 << 15  # buckets of the rank map
@@ -252,6 +253,18 @@ def in_blocks(docs: DataFrame, pattern: str, schema: str, each: Callable, block:
     return docs.select(F.col("doc_id").cast("long"), words(F.col("text"), pattern).alias("words")).mapInArrow(run, schema)
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers compressed, the bytes of one place of all numbers together, as they compress better so."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return pa.Codec("zstd", 6).compress(planes, asbytes=True)
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    """The ``n`` numbers of ``packed``."""
+    planes = np.frombuffer(pa.decompress(raw, 4 * n, "zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+
+
 def words_of_block(number: int, ids: list, counts: np.ndarray, known: pa.Array, place: np.ndarray, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A block's distinct words."""
     for i in range(0, len(known), 50_000):
@@ -260,11 +273,41 @@ def words_of_block(number: int, ids: list, counts: np.ndarray, known: pa.Array,
 
 
 def texts_of_block(number: int, ids: list, counts: np.ndarray, known: pa.Array, place: np.ndarray, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A block's texts as numbers of words: the bytes of one place of all numbers together, as they compress better so."""
-    planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    """A block's texts as numbers of words."""
     yield pa.RecordBatch.from_pydict({
         "block": pa.array([number], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64())), "counts": pa.array([counts.tolist()], pa.list_(pa.int32())),
-        "codes": pa.array([pa.Codec("zstd", 6).compress(planes, asbytes=True)], pa.binary()), "known": pa.array([len(known)], pa.int64())})
+        "codes": pa.array([packed(codes)], pa.binary()), "known": pa.array([len(known)], pa.int64())})
+
+
+def tokens_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words' signs ``block, code, signs`` as one row a block, in stretches of about ``HELD`` words: steps between the words' numbers, their
+    lengths in tokens and their ids, packed."""
+    held, n = [], 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        block, code = table["block"].to_numpy(), table["code"].to_numpy()
+        order = np.lexsort((code, block))
+        block, code, signs = block[order], code[order], table["signs"].take(pa.array(order))
+        length = pc.utf8_length(signs).to_numpy().astype(np.int64)
+        flat = np.frombuffer("".join(signs.to_pylist()).encode("utf-32-le"), "<u4")
+        flat = flat - np.where(flat >= SURROGATES, GAP, 0)
+        upto = np.concatenate([[0], np.cumsum(length)])
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        rows = [(int(block[a]), b - a, int(upto[b] - upto[a]), packed(np.diff(code[a:b], prepend=0)), packed(length[a:b]), packed(flat[upto[a] : upto[b]]))
+                for a, b in zip(cuts, cuts[1:])]
+        kinds = {"of": pa.int64(), "words": pa.int64(), "tokens": pa.int64(), "codes": pa.binary(), "lengths": pa.binary(), "flat": pa.binary()}
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds.values())], names=list(kinds))
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= HELD:
+            yield from flush()
+            held, n = [], 0
+    if held:
+        yield from flush()
 
 
 def spread(flat: np.ndarray, start: np.ndarray, length: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -294,20 +337,22 @@ def encode(docs: DataFrame, codec: Codec, pattern: str, block: int = BLOCK, deco
     first = F.row_number().over(Window.partitionBy("word").orderBy("block")) == 1
     folded = by_word.withColumn("_first", first).withColumn("_once", F.when(F.col("_first"), let(codec.literals(), lambda at: word_signs(at, F.col("word")))))
     tokens = folded.select("block", "code", F.max("_once").over(Window.partitionBy("word")).alias("signs"))
+    tokens = tokens.mapInArrow(tokens_of_blocks, "of long, words long, tokens long, codes binary, lengths binary, flat binary")
     texts = in_blocks(docs, java, "block long, ids array<long>, counts array<int>, codes binary, known long", texts_of_block, block)
 
     pieces = Pieces(codec.texts) if decoded else None
 
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
-        if len(left) != 1 or left["known"][0].as_py() != len(right):
+        if len(left) != 1 or left["known"][0].as_py() != (pc.sum(right["words"]).as_py() or 0):
             raise RuntimeError("the documents gave other rows when they were read again; write them to a table first")
-        signs = right["signs"].take(pa.array(np.argsort(right["code"].to_numpy())))
-        length = pc.utf8_length(signs).to_numpy().astype(np.int64)
-        flat = np.frombuffer("".join(signs.to_pylist()).encode("utf-32-le"), "<u4")
-        flat = (flat - np.where(flat >= SURROGATES, GAP, 0)).astype("<u4")
-        start = np.cumsum(length) - length
-        codes = np.frombuffer(pa.decompress(left["codes"][0].as_py(), 4 * sum(left["counts"][0].as_py()), "zstd"), np.uint8)
-        codes = np.ascontiguousarray(codes.reshape(4, -1).T).view("<u4").ravel()
+        parts = right.to_pylist()
+        none = np.zeros(0, "<u4")
+        order = np.argsort(np.concatenate([none, *(np.cumsum(unpacked(p["codes"], p["words"]), dtype=np.int64) for p in parts)]))
+        length = np.concatenate([none, *(unpacked(p["lengths"], p["words"]) for p in parts)]).astype(np.int64)
+        flat = np.concatenate([none, *(unpacked(p["flat"], p["tokens"]) for p in parts)]).astype("<u4")
+        start = (np.cumsum(length) - length)[order]
+        length = length[order]
+        codes = unpacked(left["codes"][0].as_py(), sum(left["counts"][0].as_py()))
         upto = np.concatenate([[0], np.cumsum(left["counts"][0].as_py())])
         out, i = [], 0
         while i < len(upto) - 1:
@@ -320,8 +365,7 @@ def encode(docs: DataFrame, codec: Codec, pattern: str, block: int = BLOCK, deco
         columns = {"doc_id": pa.array(left["ids"][0].as_py(), pa.int64()), "ids": pa.array(out, pa.binary())}
         return pa.table(columns | ({"bytes": pa.array([pieces.join(x) for x in out], pa.binary())} if pieces else {}))
 
-    renamed = tokens.select(F.col("block").alias("of"), "code", "signs")
-    return texts.groupBy("block").cogroup(renamed.groupBy("of")).applyInArrow(joined, "doc_id long, ids binary" + (", bytes binary" if decoded else ""))
+    return texts.groupBy("block").cogroup(tokens.groupBy("of")).applyInArrow(joined, "doc_id long, ids binary" + (", bytes binary" if decoded else ""))
 
 
 def ids(packed: Column) -> Column:
