@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import sys
 import types
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,31 @@ def worker_store(name: str) -> dict:
     return box.__dict__.setdefault(name, {})
 
 
+def give_back(*kept: str) -> None:
+    """Empties the worker's dictionaries but the ``kept`` ones and returns memory that is no longer used to the system."""
+    box = sys.modules.get("_llm_worker_store")
+    for name, store in list(vars(box).items()) if box else []:
+        if isinstance(store, dict) and name not in kept:
+            store.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable, *kept: str) -> Callable:
+    """``run`` for ``mapInArrow``, with ``give_back`` before its first batch and after its last: a worker goes on to other operators' tasks
+    and would hold the largest use of each of them."""
+    def lighter(batches):
+        give_back(*kept)
+        try:
+            yield from run(batches)
+        finally:
+            give_back(*kept)
+
+    return lighter
+
+
 def pieces(texts: list, budget: int = 1_500_000) -> Iterator[tuple[int, int]]:
     """Ranges of a batch of about ``budget`` characters; a longer text is a range of its own."""
     start = total = 0

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .common import bytes_of, components, mix, pieces, prefix, stretch, word_hashes
+from .common import bytes_of, components, give_back, lean, mix, pieces, prefix, stretch, word_hashes
 
 HASHES = 128
 BITS = 4  # kept of each minimum; 16 minima share a 64-bit word
@@ -102,7 +102,7 @@ def sketch(docs: DataFrame, k: int = 5) -> DataFrame:
             for a, b in pieces(texts):
                 yield rows(ids[a:b], texts[a:b])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, packed array<long>, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run, "powers"), "doc_id long, n long, k1 long, k2 long, packed array<long>, bands array<long>")
 
 
 def estimate(one: str, other: str) -> Column:
@@ -144,7 +144,7 @@ def full_sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame, k: int, wid
                     columns["wide"] = pa.array(bits, pa.binary())
                 yield pa.RecordBatch.from_pydict(columns)
 
-    made = texts.mapInArrow(sets, "doc_id long, k1 long, k2 long, members binary" + (", wide binary" if wide else ""))
+    made = texts.mapInArrow(lean(sets, "powers"), "doc_id long, k1 long, k2 long, members binary" + (", wide binary" if wide else ""))
     return settle(made.join(named, ["doc_id", "k1", "k2"]).dropDuplicates(["node"]).drop("doc_id", "k1", "k2"), "sets")
 
 
@@ -167,7 +167,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, perce
 
     both = pairs.join(made.select(F.col("node").alias("a"), F.col("members").alias("left")), "a").join(
         made.select(F.col("node").alias("b"), F.col("members").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
+    return both.select("a", "b", "left", "right").mapInArrow(lean(compare, "powers"), "a long, b long")
 
 
 def agree(one: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -270,6 +270,7 @@ def join_open(placed: DataFrame, marks: DataFrame, docs: DataFrame, classes: Dat
     marked, place = tasks.join(made.select("node", "wide"), "node"), ["part", "big", "i", "j"]
 
     def near(table: pa.Table) -> pa.Table:
+        give_back("powers")
         table = table.combine_chunks()
         x, y = candidates(table, threshold)
         found = np.unique(table.column("node").to_numpy()[np.concatenate([x, y])])
@@ -278,6 +279,7 @@ def join_open(placed: DataFrame, marks: DataFrame, docs: DataFrame, classes: Dat
     wanted = settle(marked.groupBy(*place).applyInArrow(near, "part long, big boolean, i int, j int, node long"), "near")
 
     def linked(table: pa.Table) -> pa.Table:
+        give_back("powers")
         table = table.combine_chunks()
         x, y = candidates(table, threshold)
         node, component, members = table.column("node").to_numpy(), table.column("component").to_numpy(), table.column("members")

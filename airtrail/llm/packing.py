@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settle
+from .common import lean
 from .tokens import encoder
 
 SPREAD = 1024  # rows of one length are counted in so many parts
@@ -47,7 +48,7 @@ def cut(docs: DataFrame, tokenizer: str, size: int = 4096, end: int = 1, whole:
     names = ["doc_id", "piece", "start", "length", "ids_crc32" if checksum else "ids"]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64() if checksum else pa.binary()]
     last = "ids_crc32 long" if checksum else "ids binary"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, piece int, start long, length long, {last}")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run, "encoders"), f"doc_id long, piece int, start long, length long, {last}")
 
 
 def fullest(available: np.ndarray, most: int) -> list[int]:

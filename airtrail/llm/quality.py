@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .common import pieces, smallest_by_hash
+from .common import lean, pieces, smallest_by_hash
 
 NAMES = (
     "log_words", "word_length", "upper", "digit", "white", "other_sign", "stop", "comma", "exclaim", "bar", "quote",
@@ -103,7 +103,7 @@ def measured(docs: DataFrame, *keep: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in keep), values], names=[*keep, "measures"])
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return docs.select(*keep, "text").mapInArrow(run, f"{shape}, measures array<double>")
+    return docs.select(*keep, "text").mapInArrow(lean(run), f"{shape}, measures array<double>")
 
 
 def pairs_of(rows: DataFrame, middle: np.ndarray, scale: np.ndarray, good: int, bad: int, least: int) -> DataFrame:
@@ -186,7 +186,7 @@ def fit(labelled: DataFrame, bad_share: float, pairs: int = 40_000, rounds: int
             yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(widen(x, model.middle, model.scale) @ model.weights)], names=["quality", "score"])
 
     kind = rows.schema["quality"].dataType.simpleString()
-    model.threshold = quantile(settle(rows.mapInArrow(score, f"quality {kind}, score double"), "scores"), bad_share, good, bad)
+    model.threshold = quantile(settle(rows.mapInArrow(lean(score), f"quality {kind}, score double"), "scores"), bad_share, good, bad)
     return model
 
 
@@ -207,7 +207,7 @@ def rate(docs: DataFrame, model: Model) -> DataFrame:
                 columns = [ids[a:b], score, (score >= 0.5).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), source).mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long"), source).mapInArrow(lean(run), "doc_id long, score double, predicted int")
 
 
 def select_good(docs: DataFrame, model: Model) -> DataFrame:
@@ -218,4 +218,4 @@ def select_good(docs: DataFrame, model: Model) -> DataFrame:
             keep = [model.scores(np.array([measure(t) for t in texts[a:b]])) >= 0.5 for a, b in pieces(texts, 8_000_000)]
             yield batch.filter(pa.array(np.concatenate(keep) if keep else [], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
