@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 
@@ -10,6 +12,8 @@ from .common import pieces, worker_store
 
 MARK = "\x01"  # stands between words encoded in one call
 KEPT = 250_000  # words of a generation; a worker remembers two
+LETTERS = [c for c in map(chr, (*range(0x61, 0x7B), *range(0xDF, 0x100))) if c.isalpha()]  # lower case, one sign each in composed form
+CLOSING = ".,!?;:*&#)%"  # signs that often end a word
 
 
 class Encoder:
@@ -27,15 +31,47 @@ class Encoder:
         self.tokenizer, self.whole, self.known, self.old = Tokenizer.from_file(path), whole, {}, {}
         mark = self.ids(MARK)
         self.mark = mark[0] if len(mark) == 1 else None
-        # letters, their case and a closing sign are told apart before merging
-        self.apart = all(self.ids(a) == [y for x in b for y in self.ids(x)] for a, b in (("Then.,", ("then", ".,")), ("oF,", ("of", ","))))
+        self.model, self.forms = self.tokenizer.model, {} if whole else self.letter_forms()
+        small, large = "".join(map(chr, self.forms)), "".join(c.upper() for c in map(chr, self.forms) if self.same_upper(c))
+        # letters, their case and closing signs are told apart before merging
+        apart = self.forms and all(self.ids(f"Then{c}{c}") == self.ids("then") + self.ids(c + c) for c in CLOSING)
+        self.run = re.compile(f"[{small}]+") if self.forms else None
+        self.halved = re.compile(f"([{small}{large}]+)([{re.escape(CLOSING)}]*)") if apart else None
+
+    def letter_forms(self) -> dict[int, str]:
+        """The letters of ``LETTERS`` whose runs the tokenizer merges whole and unchanged, with the form in which the merges name them;
+        none if it cuts or changes such runs, or if a token of its own could lie in one."""
+        normal, cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        if normal is None or cut is None:
+            return {}
+        forms = {}
+        for c in LETTERS:
+            cuts = cut.pre_tokenize_str(c)
+            if len(cuts) == 1 and normal.normalize_str(c) == c:
+                forms[ord(c)] = cuts[0][0]
+        text = "".join(map(chr, forms))
+        own = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        able = all(normal.normalize_str(t) == t and [x for x, _ in cut.pre_tokenize_str(t)] == [t.translate(forms)] for t in (text, text[::-1]))
+        return forms if able and text and not any(t.rstrip(CLOSING).isalpha() or not t.strip(CLOSING) for t in own) else {}
+
+    def same_upper(self, letter: str) -> bool:
+        """Whether the tokenizer takes the upper case of a letter for the letter."""
+        upper = letter.upper()
+        return len(upper) == 1 and upper.lower() == letter == self.tokenizer.normalizer.normalize_str(upper)
 
     def ids(self, text: str) -> list[int]:
         # without the places of tokens in the text, which nobody asks for
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def learn(self, words: set[str]) -> None:
-        """Remembers words, many in one call; a word that holds the mark is encoded alone."""
+        """Remembers words. Runs of letters go straight to the merges, others are encoded many in one call; a word that holds the mark is encoded alone."""
+        if self.run:
+            tokenize, forms = self.model.tokenize, self.forms
+            runs = [w for w in words if self.run.fullmatch(w)]
+            for word in runs:
+                ids = [t.id for t in tokenize(word.translate(forms))]
+                self.known[word] = pack(f"<{len(ids)}I", *ids)
+            words = words.difference(runs)
         many = [w for w in words if w and MARK not in w] if self.mark is not None else []
         for i in range(0, len(many), 2000):
             some = many[i : i + 2000]
@@ -67,11 +103,12 @@ class Encoder:
             self.known.update((w, self.old[w]) for w in again)
             fresh -= again
             halves = {}
-            if self.apart:
-                for w in fresh:
-                    body = w.rstrip(".,")
-                    if body.isascii() and body.isalpha() and not (body == w and w.islower()):
-                        halves[w] = (body.lower(), w[len(body) :])
+            if self.halved:
+                for w, found in zip(fresh, map(self.halved.fullmatch, fresh)):
+                    if found:
+                        body, tail = found.groups()
+                        if tail or not self.run.fullmatch(body):
+                            halves[w] = (body.lower(), tail)
             needed = fresh.difference(halves).union(*halves.values()).difference(self.known)
             again = needed.intersection(self.old)
             self.known.update((w, self.old[w]) for w in again)
