@@ -99,9 +99,9 @@ class Encoder:
                 self.known, self.old = {}, self.known
             split = [t.replace("\n", " ").split(" ") if t else [] for t in texts[a:b]]
             fresh = set().union(*split).difference(self.known)
-            again = fresh.intersection(self.old)
+            again = [w for w in fresh if w in self.old]
             self.known.update((w, self.old[w]) for w in again)
-            fresh -= again
+            fresh = fresh.difference(again)
             halves = {}
             if self.halved:
                 for w, found in zip(fresh, map(self.halved.fullmatch, fresh)):
@@ -110,9 +110,9 @@ class Encoder:
                         if tail or not self.run.fullmatch(body):
                             halves[w] = (body.lower(), tail)
             needed = fresh.difference(halves).union(*halves.values()).difference(self.known)
-            again = needed.intersection(self.old)
+            again = [w for w in needed if w in self.old]
             self.known.update((w, self.old[w]) for w in again)
-            self.learn(needed - again)
+            self.learn(needed.difference(again))
             for w, (body, tail) in halves.items():
                 self.known[w] = self.known[body] + self.known[tail]
             get = self.known.__getitem__
