@@ -5,6 +5,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -150,22 +151,33 @@ def stream_merge_blocks(tcp: DataFrame, http: DataFrame, tol: int = 3 * MINUTE_U
     return left.union(right).groupBy("socket").transformWithState(FlowBlocks(tol, lead, idle), BLOCK_ROWS, "append", "eventTime")
 
 
+CELL_TOLERANCES, SPAN = 480, 1000  # length of a cell of time in tolerances; rows of a side in one row of pairs
+
+
 class Pairs(StatefulProcessor):
-    """The state of a socket: rows of both sides for which a partner can still come. Both sides are walked in time order, so a row meets those near it only."""
+    """The state of a key's cell of time: rows of both sides for which a partner can still come.
+
+    Beside its own rows a cell holds copies of those of its neighbours that lie within the tolerance of its edge, so it knows all
+    partners of its own rows; a pair is sent by the cell of its left row. Spark gathers what one call sends, so pairs are not sent one
+    by one: a row carries up to ``SPAN`` rows of each side in time order and, for each left one, where its partners begin and how many they are.
+    """
 
-    def __init__(self, tol: int, left: list[tuple[str, str]], right: list[tuple[str, str]]):
-        self.tol, self.left, self.right = tol, left, right
+    def __init__(self, tol: int, left: list[str], right: list[str], places: list[list[int]], times: list[int]):
+        self.tol, self.kinds, self.times = tol, (left, right), times
+        self.row = Row(*columns(left, right))
+        self.places = [[4 + k for k in side] for side in places]  # after key, cell, time stamp and kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.states = [handle.getListState(name, ", ".join(f"`{c}` {k}" for c, k in fields) + ", _at LONG, _met BOOLEAN")
-                       for name, fields in (("left", self.left), ("right", self.right))]
+        held = [f"{side}{i} ARRAY<{kind}>" for side, kinds in zip("lr", self.kinds) for i, kind in enumerate([*kinds, "LONG", "BOOLEAN", "BOOLEAN"])]
+        self.state = handle.getValueState("cell", ", ".join(held))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         fresh: tuple[list, list] = ([], [])
         for r in rows:
-            fields = self.right if r._right else self.left
-            fresh[r._right].append([r._at, False, True, tuple(r[c] for c, _ in fields)])
+            own, side = divmod(r[3], 2)
+            values = [r[k] for k in self.places[side]]
+            fresh[side].append((*values, values[self.times[side]], own == 1, False))
         return self.advance(fresh, 1000 * timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -175,52 +187,94 @@ class Pairs(StatefulProcessor):
         pass
 
     def advance(self, fresh: tuple[list, list], now: int) -> Iterator[Row]:
-        """Pairs of new rows, and rows without partner that the watermark ``now`` has passed."""
-        sides = [sorted([[*r[-2:], False, tuple(r[:-2])] for r in state.get()] + rows, key=lambda r: r[0]) for state, rows in zip(self.states, fresh)]
-        nothing = [(None,) * len(self.left), (None,) * len(self.right)]
-        row = Row(*(c for c, _ in self.left + self.right))
-        if fresh[0] or fresh[1]:
-            first, other = 0, sides[1]
-            for a in sides[0]:
-                while first < len(other) and other[first][0] <= a[0] - self.tol:
-                    first += 1
-                k = first
-                while k < len(other) and other[k][0] < a[0] + self.tol:
-                    b = other[k]
-                    a[1] = b[1] = True
-                    if a[2] or b[2]:
-                        yield row(*a[3], *b[3])
-                    k += 1
-        ahead = []
-        for i, (state, rows) in enumerate(zip(self.states, sides)):
-            kept = []
-            for r in rows:
-                if r[0] + self.tol > now:
-                    kept.append((*r[3], r[0], r[1]))
-                    ahead.append(r[0] + self.tol)
-                elif not r[1]:
-                    yield row(*r[3], *nothing[1]) if i == 0 else row(*nothing[0], *r[3])
-            if kept:
-                state.put(kept)
-            else:
-                state.clear()
+        """Pairs of new rows, and rows without partner that the watermark ``now`` has passed. A row is its columns, time, whether it is the cell's own and whether it has met one."""
+        held, split = self.state.get(), len(self.kinds[0]) + 3
+        old = [sorted(zip(*part), key=itemgetter(-3)) for part in (held[:split], held[split:])] if held else [[], []]
+        fresh = [sorted(rows, key=itemgetter(-3)) for rows in fresh]
+        both = [sorted(a + b, key=itemgetter(-3)) if a and b else a or b for a, b in zip(old, fresh)]
+        if fresh[0]:
+            yield from self.pairs(fresh[0], both[1])
+        if old[0] and fresh[1]:
+            yield from self.pairs(old[0], fresh[1])
+        first, after = zip(*(self.reach(both[i], both[1 - i]) for i in (0, 1)))
+        kept, ahead = [], []
+        for i, rows in enumerate(both):
+            met = [r[-1] or a < z for r, a, z in zip(rows, first[i].tolist(), after[i].tolist())]
+            alone = [r for r, m in zip(rows, met) if r[-2] and not m and r[-3] + self.tol <= now]
+            for k in range(0, len(alone), SPAN):
+                yield self.record(*([alone[k:k + SPAN], None] if i == 0 else [None, alone[k:k + SPAN]]))
+            kept.append([(*r[:-1], m) for r, m in zip(rows, met) if r[-3] + self.tol > now])
+            ahead += [r[-3] + self.tol for r in kept[i][:1]]
         if ahead:
+            self.state.update(tuple(column for rows, kinds in zip(kept, self.kinds) for column in ([list(c) for c in zip(*rows)] or [[] for _ in range(len(kinds) + 3)])))
             self.handle.registerTimer(max(now, min(ahead)) // 1000 + 1)
+        elif held:
+            self.state.clear()
+
+    def reach(self, rows: list, other: list) -> tuple:
+        """Where the rows of the other side that lie within the tolerance begin and end, for each row; both sides are in time order."""
+        import numpy as np
+
+        at, near = (np.array([r[-3] for r in side], dtype=np.int64) for side in (rows, other))
+        return np.searchsorted(near, at - self.tol, "right"), np.searchsorted(near, at + self.tol, "left")
+
+    def pairs(self, left: list, right: list) -> Iterator[Row]:
+        """Rows that hold all pairs of the cell's own left rows, with only such rows as have a partner."""
+        import numpy as np
+
+        first, after = self.reach(right, left)
+        right = [r for r, a, z in zip(right, first.tolist(), after.tolist()) if a < z]
+        first, after = self.reach(left, right)
+        some = [k for k, r in enumerate(left) if r[-2] and first[k] < after[k]]
+        left, first, after = [left[k] for k in some], first[some], after[some]
+        for k in range(0, len(left), SPAN):
+            part, lo, hi = left[k:k + SPAN], first[k:k + SPAN], after[k:k + SPAN]
+            for begin in range(int(lo[0]), int(hi[-1]), SPAN):
+                a, z = np.maximum(lo, begin), np.minimum(hi, begin + SPAN)
+                these = np.nonzero(a < z)[0].tolist()
+                if these:
+                    yield self.record([part[j] for j in these], right[begin:begin + SPAN], (a[these] - begin).tolist(), (z - a)[these].tolist())
+
+    def record(self, left: list | None, right: list | None, first: list | None = None, many: list | None = None) -> Row:
+        """One row of both sides' columns; without ``first`` the rows have no partner."""
+        sides = [[list(c) for c in list(zip(*rows))[:-3]] if rows else [None] * len(kinds) for rows, kinds in zip((left, right), self.kinds)]
+        none = left and [0] * len(left)
+        return self.row(*sides[0], first or none, many or none, *sides[1])
+
+
+def columns(left: list, right: list) -> list[str]:
+    """Columns of the rows that ``Pairs`` sends: the left side's, where partners begin, how many they are, the right side's."""
+    return [*(f"_l{i}" for i in range(len(left))), "_first", "_many", *(f"_r{i}" for i in range(len(right)))]
 
 
 def stream_pairs(left: DataFrame, right: DataFrame, on: tuple[str, str], times: tuple[str, str], tol: int, delay: str) -> DataFrame:
     """Full outer join of two streams on equal keys (null is a key like any other) and times less than ``tol`` microseconds apart. All columns of both.
 
-    A key's rows meet only those near them in time, not all rows of the key.
+    A key's rows are cut into cells of time that are found, held and sent apart, so neither a key's rows nor its pairs are ever together in a
+    task's memory. Rows meet only those near them in time, and Python handles rows: the pairs are taken apart afterwards.
     """
     fields = [[(f.name, "long" if f.name == t else f.dataType.simpleString()) for f in df.schema.fields] for df, t in ((left, times[0]), (right, times[1]))]
-    parts = []
+    kinds = [[kind for _, kind in side] for side in fields]
+    # both sides share columns of the same kind, as every value of a row costs Python time
+    slots, places = list(kinds[0]), [list(range(len(kinds[0]))), []]
+    for kind in kinds[1]:
+        free = [k for k, other in enumerate(slots) if other == kind and k not in places[1]]
+        places[1].append(free[0] if free else len(slots))
+        slots += [] if free else [kind]
+    width, parts = max(1, CELL_TOLERANCES * tol), []
     for i, (df, key, t) in enumerate(((left, on[0], times[0]), (right, on[1], times[1]))):
-        own = [F.unix_micros(c).alias(c) if c == t else F.col(c) for c, _ in fields[i]]
-        none = [F.lit(None).cast(kind).alias(c) for c, kind in fields[1 - i]]
-        sides = [*own, *none] if i == 0 else [*none, *own]
-        marked = df.where(F.col(t).isNotNull()).withWatermark(t, delay)
-        parts.append(marked.select(F.col(key).alias("_key"), F.col(t).alias("_ts"), F.unix_micros(t).alias("_at"), F.lit(i).alias("_right"), *sides))
-    shape = ", ".join(f"`{c}` {kind}" for c, kind in fields[0] + fields[1])
-    met = parts[0].union(parts[1]).groupBy("_key").transformWithState(Pairs(tol, *fields), shape, "append", "eventTime")
+        own = [F.unix_micros(c) if c == t else F.col(c) for c, _ in fields[i]]
+        shared = [(own[places[i].index(k)] if k in places[i] else F.lit(None).cast(kind)).alias(f"_v{k}") for k, kind in enumerate(slots)]
+        cells = F.array_distinct(F.array(*[F.floor((F.unix_micros(t) + slack) / width) for slack in (0, 1 - tol, tol - 1)]))
+        marked = df.where(F.col(t).isNotNull()).withWatermark(t, delay).select("*", F.explode(cells).alias("_cell"))
+        kind = F.when(F.col("_cell") == F.floor(F.unix_micros(t) / width), 2 + i).otherwise(i)  # own rows, copies; left, right
+        parts.append(marked.select(F.col(key).alias("_key"), "_cell", F.col(t).alias("_ts"), kind.alias("_kind"), *shared))
+    names, at = columns(*kinds), [[c for c, _ in side].index(t) for side, t in zip(fields, times)]
+    shape = ", ".join(f"{c} ARRAY<{kind}>" for c, kind in zip(names, [*kinds[0], "INT", "INT", *kinds[1]]))
+    sent = parts[0].union(parts[1]).groupBy("_key", "_cell").transformWithState(Pairs(tol, *kinds, places, at), shape, "append", "eventTime")
+    split = len(kinds[0]) + 2
+    each = sent.select(F.arrays_zip(*names[split:]).alias("_all"), F.inline_outer(F.arrays_zip(*names[:split])))
+    partners = F.when(F.col("_many") > 0, F.slice("_all", F.col("_first") + 1, F.col("_many"))).otherwise(F.col("_all"))
+    met = each.select(*names[:split - 2], F.explode_outer(partners).alias("_other"))
+    met = met.select(*[F.col(c).alias(f) for c, (f, _) in zip(names, fields[0])], *[F.col(f"_other.{c}").alias(f) for c, (f, _) in zip(names[split:], fields[1])])
     return met.withColumns({t: F.timestamp_micros(t) for t in times})
